@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from foliant.llm import sharding
+from foliant.llm import quality, sharding
 
 QUERIES = {
+    "op1_quality_cascade": quality.op1_quality_cascade,
     "op10_balanced_shards": sharding.op10_balanced_shards,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_quality_cascade": quality.OP1_SQL,
+}
