@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from foliant.llm import bpe, quality, sharding
+from foliant.llm import bpe, packing, quality, sharding
 
 QUERIES = {
     "op1_quality_cascade": quality.op1_quality_cascade,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op10_balanced_shards": sharding.op10_balanced_shards,
 }
