@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from foliant.llm import bpe, language_id, packing, quality, sharding
+from foliant.llm import bpe, language_id, packing, quality, sharding, simhash
 
 QUERIES = {
     "op1_quality_cascade": quality.op1_quality_cascade,
+    "op2_simhash_vp_trees": simhash.op2_simhash_vp_trees,
     "op5_language_id": language_id.op5_language_id,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_byte_bpe": bpe.op8_byte_bpe,
