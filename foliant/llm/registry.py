@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import bpe, language_id, packing, quality, sharding, simhash
+from foliant.llm import bpe, language_id, packing, permutation_index, quality, sharding, simhash
 
 QUERIES = {
     "op1_quality_cascade": quality.op1_quality_cascade,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_language_id": language_id.op5_language_id,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_permutation_index": permutation_index.op9_permutation_index,
     "op10_balanced_shards": sharding.op10_balanced_shards,
 }
 
