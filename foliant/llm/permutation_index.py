@@ -19,9 +19,9 @@ from pyspark.sql.window import Window
 from foliant.llm.common import stored, table
 
 #: Pivots (drawn by a hash of the id: a bounded sample), and how many of them represent a vector.
-PIVOTS, PREFIX = 256, 64
+PIVOTS, PREFIX = 256, 128
 #: Candidates that a shard ranks again: this part of its rows, and so many at least; ties at the cut stay in.
-RERANK, RERANK_LEAST = 0.08, 400
+RERANK, RERANK_LEAST = 0.12, 800
 #: Rows of a shard and of a block of queries, about.
 SHARD_ROWS, QUERY_ROWS = 8192, 16_384
 
@@ -52,22 +52,30 @@ def lifted(x: np.ndarray, longest: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))[:, None]])
 
 
+def spread_pivots(drawn: np.ndarray, most: int, alike: float = 0.7) -> np.ndarray:
+    """The first vectors drawn that are no near copies of one chosen before: a common vector gives one pivot."""
+    chosen: list[np.ndarray] = []
+    for x in drawn:
+        if len(chosen) == most:
+            break
+        if not chosen or (np.stack(chosen) @ x).max() < alike * (x @ x):
+            chosen.append(x)
+    return np.stack(chosen) if chosen else drawn
+
+
 def search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, longest: float, k: int, prefix: int, rerank: float, least: int):
     """Of each query, the k best of the shard: query ids, vector ids, inner products."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     ranks = permutations(lifted(x, longest), pivots, prefix)
-    posted, rows = np.nonzero(ranks.T < prefix)
-    starts = np.searchsorted(posted, np.arange(len(pivots) + 1))
-    place = ranks[rows, posted]  # inverted files: rows and ranks, one pivot after the other
+    files = np.ascontiguousarray(ranks.T)  # inverted files: a pivot's rank for every row, as each holds a good part of them
     asked = permutations(np.hstack([q, np.zeros((len(q), 1))]), pivots, prefix)
     keep = min(len(ids), max(least, int(np.ceil(rerank * len(ids)))))
     out_q, out_v, out_s = [], [], []
     for i, query in enumerate(query_ids):
-        saved = np.zeros(len(ids), np.int32)
+        saved = np.zeros(len(ids), np.int16)
         for p in np.nonzero(asked[i] < prefix)[0]:
-            lo, hi = starts[p], starts[p + 1]
-            saved[rows[lo:hi]] += prefix - np.maximum(place[lo:hi], asked[i, p])
+            saved += prefix - np.maximum(files[p], asked[i, p])
         found = np.nonzero(saved >= np.partition(saved, len(ids) - keep)[len(ids) - keep])[0]
         found = found[ids[found] != query]
         score = (x[found] * q[i]).sum(axis=1)
@@ -93,9 +101,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     n, longest, size = stats["n"], float(stats["square"] or 0) ** 0.5, stats["size"] or 0
     asked = stored(usable(queries, id_col, vector_col).where(F.size("v") == size).dropDuplicates(["id"]), "queries")
     drawn = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(4 * pivots).collect()], np.float64).reshape(-1, max(size, 1))
-    _, first = np.unique(drawn, axis=0, return_index=True)
-    chosen = lifted(drawn[np.sort(first)[:pivots]], longest)
-    prefix = max(1, min(prefix, len(chosen)))
+    chosen = spread_pivots(lifted(drawn, longest), pivots)
+    prefix = max(1, min(prefix, len(chosen), 250))
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-asked.count() // QUERY_ROWS))
     spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     index = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", spread(blocks))
