@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from foliant.llm import bpe, language_id, packing, permutation_index, quality, sharding, simhash
+from foliant.llm import bpe, language_id, packing, permutation_index, quality, sharding, simhash, warc
 
 QUERIES = {
     "op1_quality_cascade": quality.op1_quality_cascade,
     "op2_simhash_vp_trees": simhash.op2_simhash_vp_trees,
+    "op4_warc_index": warc.op4_warc_index,
     "op5_language_id": language_id.op5_language_id,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_byte_bpe": bpe.op8_byte_bpe,
@@ -16,4 +17,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_quality_cascade": quality.OP1_SQL,
+    "op4_warc_index": warc.OP4_SQL,
 }
