@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from foliant.llm import bpe, language_id, packing, permutation_index, quality, sharding, simhash, warc
+from foliant.llm import bpe, language_id, packing, permutation_index, quality, sharding, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_quality_cascade": quality.op1_quality_cascade,
     "op2_simhash_vp_trees": simhash.op2_simhash_vp_trees,
     "op4_warc_index": warc.op4_warc_index,
     "op5_language_id": language_id.op5_language_id,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_permutation_index": permutation_index.op9_permutation_index,
