@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from foliant.llm import bpe, language_id, packing, permutation_index, quality, sharding, simhash, suffix_dedup, warc
+from foliant.llm import bpe, chat, language_id, packing, permutation_index, quality, sharding, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_quality_cascade": quality.op1_quality_cascade,
     "op2_simhash_vp_trees": simhash.op2_simhash_vp_trees,
+    "op3_preference_pairs": chat.op3_preference_pairs,
     "op4_warc_index": warc.op4_warc_index,
     "op5_language_id": language_id.op5_language_id,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
@@ -18,5 +19,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_quality_cascade": quality.OP1_SQL,
+    "op3_preference_pairs": chat.OP3_SQL,
     "op4_warc_index": warc.OP4_SQL,
 }
