@@ -1,10 +1,5 @@
 """All queries over the reference's operators, with their DuckDB SQL."""
 
-from __future__ import annotations
+from foliant.plans.queries import ORACLES, QUERIES, flagship
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def flagship(spark, sf_dir):
-    return QUERIES["flagship"](spark, sf_dir)
+__all__ = ["ORACLES", "QUERIES", "flagship"]
