@@ -196,12 +196,14 @@ class LanguageModel:
         self.scale = 1.0
 
     def calibrate(self, texts: list[str], langs: list[str]) -> LanguageModel:
+        if not self.models.languages or not texts:
+            return self
         h = self.models.entropies(pa.array(texts, pa.string()))
         known = {x: k for k, x in enumerate(self.models.languages)}
         truth = np.array([known.get(x, -1) for x in langs])
-        ok = ~np.isnan(h[:, 0]) & (truth >= 0) if len(h) else np.zeros(0, bool)
+        ok = ~np.isnan(h[:, 0]) & (truth >= 0)
         for k in range(len(known)):
-            own = h[ok & (truth == k), k] if len(h) else []
+            own = h[ok & (truth == k), k]
             if len(own):
                 self.limit[k] = np.quantile(own, 1 - TAIL) * (1 + MARGIN)
         if ok.any() and len(known) > 1:  # the scale of the score under which the labelled texts are likeliest
@@ -213,9 +215,9 @@ class LanguageModel:
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score (its share among the languages, 0 to 1) and whether it is accepted."""
-        h = self.models.entropies(texts)
         if not self.models.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        h = self.models.entropies(texts)
         none = np.isnan(h[:, 0])
         best = np.where(none[:, None], 0.0, h).argmin(axis=1)
         low = h[np.arange(len(h)), best]
