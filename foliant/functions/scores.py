@@ -126,9 +126,13 @@ def table_content_quality(markdown: Column) -> Column:
     return F.when(none, 0.0).otherwise(F.least(F.lit(1.0), good / F.size(full) + bonus))
 
 
-def score_table_markdown(markdown: Column) -> Column:
-    """How much a Markdown table looks like a real one; 0 below three table lines or a quality of 0.28."""
-    lines, columns, quality = table_lines(markdown), table_columns(markdown), table_content_quality(markdown)
+def score_table_markdown(markdown: Column, quality: Column | None = None) -> Column:
+    """How much a Markdown table looks like a real one; 0 below three table lines or a quality of 0.28.
+
+    quality: table_content_quality, where it is a column already.
+    """
+    lines, columns = table_lines(markdown), table_columns(markdown)
+    quality = table_content_quality(markdown) if quality is None else quality
     body = F.array_join(lines, "\n")
     score = (
         F.least(F.size(lines), F.lit(80)) * 0.8 * quality

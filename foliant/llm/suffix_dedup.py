@@ -6,21 +6,24 @@ a time is sorting all that matter. Each start of such a string belongs to one an
 
 1. Anchors of all texts are counted by hash; a bitmap of bounded size keeps those that occur twice (a false hit costs
    work only).
-2. For those, the bytes of their starts are dealt by anchor, equal contexts counted as one before.
-3. Per anchor, suffixes are sorted by merging runs; two suffixes are compared by the longest common extension, found
-   by binary search over prefix polynomial hashes (8 steps). Neighbours that agree in 200 bytes are repeats, and their
-   bytes are compared to rule out a collision.
-4. The starts found go back to the texts, which lose every byte they cover.
+2. The context of an anchor, the bytes of its starts, is hashed. A context that occurs twice is repeated as a whole.
+3. Only where one anchor has different contexts are bytes dealt, one occurrence of each context. Their suffixes are
+   sorted by merging runs; two suffixes are compared by the longest common extension, found by binary search over
+   prefix polynomial hashes (8 steps). Neighbours that agree in 200 bytes are repeats, and their bytes are compared to
+   rule out a collision.
+4. The starts found go back to the texts, which lose every byte they cover; texts without any are not shuffled.
+
+Texts are read once for each of these steps rather than shuffled whole.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +31,7 @@ from foliant.llm.common import partitions, stored, table
 
 LENGTH, GRAM = 200, 50
 #: Bytes that are hashed at once, and the largest bitmap of anchors (bits).
-SEGMENT_BYTES, BITMAP_BITS = 1 << 21, 1 << 27
+SEGMENT_BYTES, BITMAP_BITS = 1 << 20, 1 << 27
 #: Different contexts of an anchor that one task sorts; of an anchor with more, the strings are grouped by Spark.
 GROUP_MOST = 10_000
 _BASE = 0x9E3779B97F4A7C15
@@ -100,7 +103,8 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     cut = np.nonzero(place[1:] != place[:-1])[0]
     lo, hi = start[np.concatenate([[0], cut + 1])], start[np.concatenate([cut, [len(start) - 1]])]
     place = place[np.concatenate([[0], cut + 1])]
-    return hashes[place], place, lo, hi
+    h = hashes[place] * np.uint64(0x9E3779B97F4A7C15)  # the smallest hashes share their leading bits: mixed anew
+    return h, place, lo, hi
 
 
 def segments(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -140,49 +144,82 @@ def anchor_counts(texts: DataFrame) -> DataFrame:
     return texts.select(F.col("text").cast("binary")).mapInArrow(run, "h long, n int")
 
 
-def bitmap(repeated: DataFrame, rows: int) -> tuple[bytes, int]:
-    """A bitmap of hashes (their leading bits), and how many bits lead. At most BITMAP_BITS, made in slices."""
-    bits = max(16, min(BITMAP_BITS.bit_length() - 1, (16 * rows).bit_length()))
+def bitmap(found: DataFrame, name: str) -> tuple[bytes, int]:
+    """A bitmap of hashes (leading bits of a long column), and how many bits lead: at most BITMAP_BITS, in slices."""
+    bits = max(16, min(BITMAP_BITS.bit_length() - 1, (16 * found.count()).bit_length()))
     lead = max(0, bits - 20)  # slices of 2**20 bits
 
     def slice_(key: tuple, t: pa.Table) -> pa.Table:
         marks = np.zeros(1 << (bits - lead), np.uint8)
-        marks[(t.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - bits)) & np.uint64((1 << (bits - lead)) - 1)] = 1
+        marks[(t.column(name).to_numpy().view(np.uint64) >> np.uint64(64 - bits)) & np.uint64((1 << (bits - lead)) - 1)] = 1
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "marks": pa.array([np.packbits(marks).tobytes()], pa.binary())})
 
-    sliced = repeated.withColumn("slice", F.shiftrightunsigned("h", 64 - lead).cast("int") if lead else F.lit(0))
-    found = {r["slice"]: r["marks"] for r in sliced.groupBy("slice").applyInArrow(slice_, "slice int, marks binary").collect()}
+    sliced = found.select(name).withColumn("slice", F.shiftrightunsigned(name, 64 - lead).cast("int") if lead else F.lit(0))
+    parts = {r["slice"]: r["marks"] for r in sliced.groupBy("slice").applyInArrow(slice_, "slice int, marks binary").collect()}
     empty = bytes((1 << (bits - lead)) // 8)
-    return b"".join(found.get(k, empty) for k in range(1 << lead)), bits
+    return b"".join(parts.get(k, empty) for k in range(1 << lead)), bits
 
 
-def contexts(docs: DataFrame, marks: bytes, bits: int) -> DataFrame:
-    """Of anchors in the bitmap: id, text hash, the first start's place, anchor hash, its distance from there (lead),
-    and the bytes of its starts."""
+def in_bitmap(marks: bytes, bits: int, h: np.ndarray) -> np.ndarray:
+    index = h.view(np.uint64) >> np.uint64(64 - bits)
+    return (np.frombuffer(marks, np.uint8)[index >> np.uint64(3)] >> (np.uint64(7) - (index & np.uint64(7))).astype(np.uint8)) & 1 > 0
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, rk (a hash of the row), text (binary)."""
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rk"), F.col("text").cast("binary").alias("text"))
+
+
+def anchored(batch: pa.RecordBatch):
+    """Of a batch of keyed rows, array by array: its rows, their hashes, places in the texts, anchors' hashes, leads,
+    contexts' bounds in the array, the array, and the occurrences' own hashes."""
+    rk = batch.column(1).to_numpy()
+    for data, ends, rows, begins in segments(batch.column(2)):
+        h, place, lo, hi = anchors(data, ends)
+        which = np.searchsorted(ends, lo, "right")
+        row = rows[which]
+        at = lo - np.concatenate([[0], ends[:-1]])[which] + begins[which]
+        with np.errstate(over="ignore"):
+            own = (rk[row].view(np.uint64) ^ (at.astype(np.uint64) * np.uint64(_BASE))) * np.uint64(0xD6E8FEB86659FD93)
+            own ^= own >> np.uint64(32)
+            own *= np.uint64(0xD6E8FEB86659FD93)
+        yield row, rk[row], at, h, place - lo, lo, hi + LENGTH, data, own
+
+
+def occurrences(docs: DataFrame, marks: bytes, bits: int) -> DataFrame:
+    """Contexts of the anchors in the bitmap: doc_id, rk, at (first byte in the text), size, h, cx (hashes of the anchor
+    and of the context with the anchor's distance), own (a hash of the occurrence)."""
     shared = docs.sparkSession.sparkContext.broadcast(marks)  # at most BITMAP_BITS
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "th", "lo", "h", "lead", "ctx"]
+    names = ["doc_id", "rk", "at", "size", "h", "cx", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            for data, ends, rows, begins in segments(batch.column(2)):
-                h, place, lo, hi = anchors(data, ends)
-                index = h >> np.uint64(64 - bits)
-                hit = (seen[index >> np.uint64(3)] >> (np.uint64(7) - (index & np.uint64(7))).astype(np.uint8)) & 1 > 0
-                h, place, lo, hi = h[hit], place[hit], lo[hit], hi[hit]
-                which = np.searchsorted(ends, lo, "right")
-                row = pa.array(rows[which] if len(which) else np.zeros(0, np.int64))
-                begin = lo - np.concatenate([[0], ends[:-1]])[which] + begins[which] if len(which) else np.zeros(0, np.int64)
+            for row, rk, at, h, lead, lo, end, data, own in anchored(batch):
+                k = np.nonzero(in_bitmap(shared.value, bits, h))[0]
                 raw = data.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(begin), pa.array(h.view(np.int64)), pa.array((place - lo).astype(np.int32)),
-                     pa.array([raw[a : b + LENGTH] for a, b in zip(lo.tolist(), hi.tolist())], pa.binary())],
-                    names=names,
-                )
+                cx = np.fromiter((xxhash.xxh64_intdigest(raw[a:b], d) for a, b, d in zip(lo[k].tolist(), end[k].tolist(), lead[k].tolist())), np.uint64, len(k))
+                columns = rk[k], at[k], (end - lo)[k].astype(np.int32), h[k].view(np.int64), cx.view(np.int64), own[k].view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[k])), *map(pa.array, columns)], names=names)
+
+    return keyed(docs).mapInArrow(run, f"doc_id {kind}, rk long, at long, size int, h long, cx long, own long")
+
+
+def contexts(docs: DataFrame, marks: bytes, bits: int) -> DataFrame:
+    """Occurrences whose own hash is in the bitmap: own, h, lead, cx, ctx (the bytes)."""
+    shared = docs.sparkSession.sparkContext.broadcast(marks)  # at most BITMAP_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, _, h, lead, lo, end, data, own in anchored(batch):
+                k = np.nonzero(in_bitmap(shared.value, bits, own))[0]
+                raw, d = data.tobytes(), lead[k].tolist()
+                ctx = [raw[a:b] for a, b in zip(lo[k].tolist(), end[k].tolist())]
+                cx = np.fromiter(map(xxhash.xxh64_intdigest, ctx, d), np.uint64, len(k))
+                columns = pa.array(own[k].view(np.int64)), pa.array(h[k].view(np.int64)), pa.array(d, pa.int32()), pa.array(cx.view(np.int64)), pa.array(ctx, pa.binary())
+                yield pa.RecordBatch.from_arrays(list(columns), names=["own", "h", "lead", "cx", "ctx"])
 
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    return keyed.mapInArrow(run, f"doc_id {kind}, th long, lo long, h long, lead int, ctx binary")
+    return keyed(docs).mapInArrow(run, "own long, h long, lead int, cx long, ctx binary")
 
 
 def sort_suffixes(text: PrefixHashes, place: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -248,11 +285,11 @@ def agree(data: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return result
 
 
-def repeated_starts(h: np.ndarray, lead: np.ndarray, ctx: list[bytes], n: np.ndarray) -> list[np.ndarray]:
-    """For each context (rows in order of h), the starts in it whose string stands elsewhere too."""
+def repeated_starts(h: np.ndarray, lead: np.ndarray, ctx: list[bytes]) -> list[np.ndarray]:
+    """For each context (rows in order of h), the starts in it whose string stands in another row too."""
     sizes = np.fromiter(map(len, ctx), np.int64, len(ctx))
     starts = sizes - LENGTH + 1
-    found = [np.arange(s) if k > 1 else np.zeros(0, np.int64) for s, k in zip(starts.tolist(), n.tolist())]
+    found = [np.zeros(0, np.int64)] * len(ctx)
     same = h[1:] == h[:-1]
     grouped = np.append(same, False) | np.append(False, same)
     rows = np.nonzero(grouped)[0]
@@ -282,7 +319,7 @@ def repeated_starts(h: np.ndarray, lead: np.ndarray, ctx: list[bytes], n: np.nda
     row, start = row[hit][order], start[hit][order]
     cuts = np.searchsorted(row, np.arange(len(rows) + 1))
     for k, i in enumerate(rows.tolist()):
-        if n[i] < 2 and cuts[k] < cuts[k + 1]:
+        if cuts[k] < cuts[k + 1]:
             found[i] = start[cuts[k] : cuts[k + 1]]
     return found
 
@@ -293,15 +330,15 @@ def runs_of(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, cut + 1)].tolist(), (starts[np.append(cut, len(starts) - 1)] + LENGTH).tolist()))
 
 
-def marked_contexts(distinct: DataFrame) -> DataFrame:
-    """distinct: h, lead, ctx, n. Returns h, cx (a hash of lead and ctx) and a, b: covered bytes of the context."""
+def marked_contexts(found: DataFrame) -> DataFrame:
+    """found: h, lead, cx, ctx. Returns h, cx and a, b: covered bytes of the context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
             ctx = t.column("ctx").to_pylist()
-            found = repeated_starts(t.column("h").to_numpy(), t.column("lead").to_numpy(), ctx, t.column("n").to_numpy())
+            found = repeated_starts(t.column("h").to_numpy(), t.column("lead").to_numpy(), ctx)
             at, a, b = [], [], []
             for i, s in enumerate(found):
                 if len(s):
@@ -338,34 +375,37 @@ def marked_contexts(distinct: DataFrame) -> DataFrame:
         if held:
             yield from work(pa.Table.from_batches(held))
 
-    dealt = distinct.repartition(partitions(distinct.sparkSession), "h").sortWithinPartitions("h")
-    return dealt.select("h", "lead", "ctx", "n", "cx").mapInArrow(run, "h long, cx long, a int, b int")
+    dealt = found.repartition(partitions(found.sparkSession), "h").sortWithinPartitions("h")
+    return dealt.select("h", "lead", "ctx", "cx").mapInArrow(run, "h long, cx long, a int, b int")
 
 
-def marked_in_large_groups(distinct: DataFrame) -> DataFrame:
+def marked_in_large_groups(found: DataFrame) -> DataFrame:
     """As marked_contexts, for anchors with very many contexts: every string is a row of its own, counted by Spark."""
-    starts = distinct.select("h", "lead", "cx", "n", "ctx", F.explode(F.sequence(F.lit(0), F.octet_length("ctx") - LENGTH)).alias("s"))
-    each = starts.select("h", (F.col("lead") - F.col("s")).alias("l"), "cx", "s", "n", F.substring("ctx", F.col("s") + 1, F.lit(LENGTH)).alias("string"))
-    twice = each.groupBy("h", "l", "string").agg(F.sum("n").alias("n")).where("n > 1").select("h", "l", "string")
+    starts = found.select("h", "lead", "cx", "ctx", F.explode(F.sequence(F.lit(0), F.octet_length("ctx") - LENGTH)).alias("s"))
+    each = starts.select("h", (F.col("lead") - F.col("s")).alias("l"), "cx", "s", F.substring("ctx", F.col("s") + 1, F.lit(LENGTH)).alias("string"))
+    twice = each.groupBy("h", "l", "string").agg(F.count("*").alias("n")).where("n > 1").select("h", "l", "string")
     return each.join(twice, ["h", "l", "string"]).select("h", "cx", F.col("s").cast("int").alias("a"), (F.col("s") + LENGTH).cast("int").alias("b"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, th (xxhash64 of the text), spans: bytes that repeated strings cover, as structs (a, b), overlapping."""
+    """doc_id, rk (xxhash64 of doc_id and text), spans: bytes that repeated strings cover, as structs (a, b)."""
     counted = anchor_counts(docs).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    repeated = stored(counted, "repeated-anchors")
-    marks, bits = bitmap(repeated, repeated.count())
-    cx = F.xxhash64("lead", "ctx").alias("cx")
-    found = stored(contexts(docs, marks, bits).select("doc_id", "th", "lo", "h", "lead", "ctx", cx), "contexts")
-    distinct = stored(found.groupBy("h", "lead", "ctx", "cx").agg(F.count("*").alias("n")), "distinct-contexts")
-    large = stored(distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_MOST).select("h"), "large-groups")
+    found = stored(occurrences(docs, *bitmap(stored(counted, "repeated-anchors"), "h")), "occurrences", "zstd")
+    distinct = stored(found.groupBy("h", "cx").agg(F.count("*").alias("n"), F.min("own").alias("own"), F.first("size").alias("size")), "distinct-contexts", "zstd")
+    several = stored(distinct.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "several-contexts")
+    chosen = stored(distinct.join(several.select("h"), "h", "left_semi").select("own"), "chosen-contexts")
+    # the join takes off what the bitmap lets through besides: copies of a hot context
+    ctx = contexts(docs, *bitmap(chosen, "own")).join(chosen, "own", "left_semi").drop("own")
+    large = several.where(F.col("n") > GROUP_MOST).select("h")
     if large.isEmpty():
-        marked = marked_contexts(distinct)
+        marked = marked_contexts(ctx)
     else:
-        marked = marked_contexts(distinct.join(large, "h", "left_anti")).union(marked_in_large_groups(distinct.join(large, "h", "left_semi")))
-    back = found.select("doc_id", "th", "lo", "h", "cx").join(stored(marked, "marked-contexts"), ["h", "cx"])
-    span = F.struct((F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))
-    return back.groupBy("doc_id", "th").agg(F.collect_set(span).alias("spans"))
+        ctx = stored(ctx, "contexts", "zstd")
+        marked = marked_contexts(ctx.join(large, "h", "left_anti")).union(marked_in_large_groups(ctx.join(large, "h", "left_semi")))
+    whole = distinct.where("n > 1").select("h", "cx", F.lit(0).alias("a"), F.col("size").alias("b"))
+    back = found.select("doc_id", "rk", "at", "h", "cx").join(whole.union(stored(marked, "marked-contexts")), ["h", "cx"])
+    span = F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
+    return back.groupBy("doc_id", "rk").agg(F.collect_set(span).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -386,33 +426,48 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     included; strings are judged on the input. A null text is empty. Null and repeated doc_id are rows of their own:
     rows of equal doc_id and text share their spans. Texts under LENGTH bytes stay.
     """
-    spans = repeated_spans(docs.select("doc_id", "text"))
+    spans = stored(repeated_spans(docs.select("doc_id", "text")), "spans", "zstd")
+    marks, bits = bitmap(spans, "rk")
+    shared = docs.sparkSession.sparkContext.broadcast(marks)  # at most BITMAP_BITS
     fields = [f for f in docs.schema if f.name not in ("n_bytes", "removed", "kept")]
-    keyed = docs.select(*[f"`{f.name}`" for f in fields], F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_raw"))
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("th").alias("_key"), F.col("spans").alias("_spans"))
-    joined = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["_id"]) & (keyed["_th"] == spans["_key"]), "left").drop("_th", "_id", "_key")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    rows = docs.select(*[f"`{f.name}`" for f in fields], F.xxhash64("doc_id", "text").alias("_rk"), F.col("text").cast("binary").alias("_raw"))
+    width = len(fields)
+    result = f"{kinds}, n_bytes long, removed array<struct<a: long, b: long>>, kept binary"
+    names = [*(f.name for f in fields), "n_bytes", "removed", "kept"]
+
+    def cut(batch: pa.RecordBatch, raw: pa.Array, found: list) -> pa.RecordBatch:
+        sizes, removed, kept = [], [], []
+        for i in range(len(batch)):
+            text = raw[i].as_py() or b""
+            runs = merged([(s["a"], s["b"]) for s in found[i] or ()])
+            at, parts = 0, []
+            for a, b in runs:
+                parts.append(text[at:a])
+                at = b
+            sizes.append(len(text))
+            removed.append([{"a": a, "b": b} for a, b in runs])
+            kept.append(b"".join([*parts, text[at:]]))
+        spans_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+        return pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(sizes, pa.int64()), pa.array(removed, spans_type), pa.array(kept, pa.binary())], names=names)
+
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(shared.value, bits, batch.column(width).to_numpy())))
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.filter(pa.array(~in_bitmap(shared.value, bits, batch.column(width).to_numpy())))
+            yield cut(rest, rest.column(width + 1), [None] * len(rest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, found = batch.column(len(fields)), batch.column(len(fields) + 1)
-            sizes, removed, kept = [], [], []
-            for i in range(len(batch)):
-                text = raw[i].as_py() or b""
-                runs = merged([(s["a"], s["b"]) for s in found[i].as_py() or ()])
-                at, parts = 0, []
-                for a, b in runs:
-                    parts.append(text[at:a])
-                    at = b
-                sizes.append(len(text))
-                removed.append([{"a": a, "b": b} for a, b in runs])
-                kept.append(b"".join([*parts, text[at:]]))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(fields)], pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(kept, pa.binary())],
-                names=[*(f.name for f in fields), "n_bytes", "removed", "kept"],
-            )
+            yield cut(batch, batch.column(width), batch.column(width + 1).to_pylist())
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return joined.mapInArrow(run, f"{schema}, n_bytes long, removed array<struct<a: long, b: long>>, kept binary")
+    spans = spans.select(F.col("doc_id").alias("_id"), F.col("rk").alias("_key"), F.col("spans").alias("_spans"))
+    hit = rows.mapInArrow(touched, f"{kinds}, _rk long, _raw binary")
+    joined = hit.join(spans, hit["doc_id"].eqNullSafe(spans["_id"]) & (hit["_rk"] == spans["_key"]), "left").drop("_rk", "_id", "_key")
+    return joined.mapInArrow(run, result).union(rows.mapInArrow(untouched, result))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

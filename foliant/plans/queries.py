@@ -472,8 +472,9 @@ s AS (SELECT *, CASE WHEN len(ls) < 3 OR len(fullc) = 0 THEN 0.0 ELSE least(1.0,
 SELECT t, round(quality, 9) AS quality, CASE WHEN len(ls) < 3 OR quality < 0.28 THEN 0.0 ELSE round(least(len(ls), 80) * 0.8 * quality + CASE WHEN hint THEN 24 * quality ELSE 0 END + 18 + 22 + 12, 9) END AS score, len(ls)::INT AS lines FROM s
 """)
 def table_scores(spark, sf_dir):
-    md = F.col("markdown")
-    return _tables(spark, sf_dir).select("t", F.round(S.table_content_quality(md), 9).alias("quality"), F.round(S.score_table_markdown(md), 9).alias("score"), F.size(S.table_lines(md)).alias("lines"))
+    md, quality = F.col("markdown"), F.col("quality")
+    scored = _tables(spark, sf_dir).withColumn("quality", S.table_content_quality(md))
+    return scored.select("t", F.round(quality, 9).alias("quality"), F.round(S.score_table_markdown(md, quality), 9).alias("score"), F.size(S.table_lines(md)).alias("lines"))
 
 
 STATUS = {"signup": "queued", "view": "processing", "purchase": "completed", "error": "failed", "click": "paused"}

@@ -1,5 +1,6 @@
 """All queries over the reference's operators, with their DuckDB SQL."""
 
+from foliant.plans import cleaning_queries  # noqa: F401  adds its queries
 from foliant.plans.queries import ORACLES, QUERIES, flagship
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

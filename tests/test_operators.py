@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.functions import cleaning as C
 from foliant.functions import predicates as P
 from foliant.functions import scores as S
 from foliant.functions import text as T
@@ -57,6 +58,23 @@ def test_predicates(spark):
     assert one(spark, ["| a | b |", "| a", None], P.is_table_line) == [True, False, False]
 
 
+def test_cleaning(spark):
+    noisy = ["Total 5 Sello digital del SAT: abcd", "uuid 0a1b2c3d-0a1b-0a1b-0a1b-0a1b2c3d4e5f fin", "x" * 60, None, "a || [m1] b"]
+    assert one(spark, noisy, C.strip_inline_noise) == ["Total 5", "uuid fin", "", "", "a b"]
+    prose = "palabras comunes bastante largas seguidas siempre ahora"
+    assert one(spark, [prose], C.remove_base64) == [" "]
+    assert one(spark, [prose], lambda t: C.remove_base64(t, strict_reference=False)) == [prose]
+    lines = ["", None, "| a | b |", "# Informe anual de obra", "# JUAN PEREZ", "ab", "12", "Este contrato se firma hoy en la ciudad", "Xk9 q2 zz 7b w1 p0 rt 4v", "OJNJIDNDIY"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string")
+    got = [r["cleaned"] for r in C.clean_lines(df, "t").orderBy("i").collect()]
+    assert got == ["", "", "| a | b |", "# Informe anual de obra", None, None, None, "Este contrato se firma hoy en la ciudad", None, None]
+    docs = spark.createDataFrame([(1, "Primera frase de prueba larga\n" + "zz\n" * 10 + "Segunda frase de prueba larga"), (2, None), (3, "zz")], "k int, t string")
+    got = dict(map(tuple, C.sanitize_documents(docs, "k", "t").collect()))
+    assert got == {1: "Primera frase de prueba larga\n\n> Sello o timbre omitido.\n\nSegunda frase de prueba larga", 2: "", 3: ""}
+    assert one(spark, ["1) a\n2. b\n\n• c\n\nOBJETO:\n\nuna\nlinea", "# x", None], C.structure_markdown) == ["1. a\n\n2. b\n\n- c\n\n## OBJETO\n\nuna\nlinea", "# x", ""]
+    assert one(spark, ["JUAN PEREZ LOPEZ\nhola 12/12/20 10:10:10 fin\n\n\n\nx", None], C.normalize_digital_text) == ["hola fin\n\nx", ""]
+
+
 def test_ranges(spark):
     rows = [("1,3,5-10", 12), ("2,2,1", 3), ("9-4", 12), ("13", 12), ("", 5), (None, 5), ("1-", 5), ("x", 5)]
     got = [v for (v,) in values(spark, rows, "s string, n int", ranges.parse_pages(F.col("s"), F.col("n")).alias("v"))]
