@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.functions.predicates import capitals_only, has, has_long_base64, is_heading_line, is_stamp_line, is_table_line, tokens
+from foliant.functions.predicates import CLAUSE, ORDINAL, SENTENCE, capitals_only, has, has_long_base64, is_heading_line, is_stamp_line, is_table_line, tokens
 from foliant.functions.scores import EDGE, VOWEL, base64_char_ratio, token_vowel_ratio, word_vowel_ratio
 from foliant.functions.text import normalize_markdown, normalize_whitespace, rewrite, strip, whole
 
@@ -45,6 +45,14 @@ EVIDENCE_FIELDS = (
     ("Validez", r"Validez:\s*\n?\s*([^\n]+)"), ("OCSP", r"Nombre del respondedor:\s*\n?\s*([^\n]+)"),
     ("TSP", r"Identificador de la respuesta TSP:\s*\n?\s*(\S+)"),
 )
+STAMP_LINES = (
+    r"^[-*]\s*\*\*(?:sello|timbre|firma|manuscrito)|^(?:pagado|cotejado|copia\s+certificada)$|^\*\*(?:sello|timbre|firma)\s*/"
+    r"|^(?:scanned\s+with\s+camscanner|camscanner)$"
+)
+HONEST_HEADINGS = (
+    r"instituto\s+nacional\s+elector|credencial\s+para\s+votar|estados\s+unidos\s+mexicanos|acta\s+de\s+nacimiento|checklist|requisitos\s+de\s+contrataci|telmex"
+    rf"|telefonos?\s+de\s+mexico|(?:^|{EDGE})cfe(?:$|{EDGE})|recibo|comprobante|experiencia\s+laboral|mi\s+perfil|formaci[oó]n|datos\s+de\s+(?:la\s+persona|filiaci[oó]n)"
+)
 EVIDENCE_FOOT = "\n\n> Cadena de firma, sellos de tiempo y tablas hex omitidos; solo metadatos legibles."
 
 
@@ -197,6 +205,22 @@ def structure_markdown(text: Column) -> Column:
     return F.when(marked, normalize_markdown(body)).otherwise(normalize_markdown(F.array_join(blocks, "\n\n")))
 
 
+def polish_paragraphs(text: Column) -> Column:
+    """Paragraphs without stamps, each on one line; a lone line that is a clause, an ordinal or short capitals is a heading."""
+
+    def block(raw: Column) -> Column:
+        lines = F.filter(F.transform(F.split(raw, "\n", -1), strip), lambda x: x != "")
+        single = F.try_element_at(lines, F.lit(1))
+        bare = F.regexp_replace(single, ":+$", "")
+        spaces = F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit("")))
+        short = single.rlike(r"\p{Lu}") & ~single.rlike(r"\p{Ll}") & (F.length(single) <= 42) & (spaces <= 4) & ~has(single, SENTENCE)
+        heading = single.rlike("(?iu)" + ORDINAL) | single.rlike("(?iu)" + CLAUSE) | short
+        return F.when(F.size(lines) == 1, F.when(heading, F.concat(F.lit("## "), strip(bare))).otherwise(single)).when(F.size(lines) > 1, F.array_join(lines, " "))
+
+    blocks = F.filter(F.transform(F.split(strip_watermarks(text), r"\n\s*\n", -1), block), lambda x: x.isNotNull())
+    return normalize_markdown(F.array_join(blocks, "\n\n"))
+
+
 def format_annotations(lines: Column) -> Column:
     """Bullets that tell seals and codes from signatures and handwriting. lines: an array."""
 
@@ -233,16 +257,16 @@ def clean_line(s: Column, cleaned: Column, rest: Column, aggressive: bool = True
     clean_lines), so that none is worked out again in each test.
     """
     title = strip(F.regexp_replace(s, r"^#+\s*", ""))
-    stamped = (title != "") & (F.length(title) <= 72) & ((capitals_only(title) & F.size(tokens(title)).between(2, 5)) | looks_like_seal_tokens(title) | is_stamp_gibberish(title))
+    stamped = (title != "") & (F.length(title) <= 72) & ~title.rlike("(?iu)" + HONEST_HEADINGS) & ((capitals_only(title) & F.size(tokens(title)).between(2, 5)) | looks_like_seal_tokens(title) | is_stamp_gibberish(title))
     r = token_vowel_ratio(cleaned)
     rescued = (F.length(s) > 180) & (F.length(cleaned) >= 35) & (r >= 0.32) & ~looks_like_seal_tokens(cleaned)
     harsh = (
         ((F.length(s) > 90) & (F.length(cleaned) < F.greatest(F.lit(22.0), F.length(s) * 0.14))) | ((F.length(cleaned) >= 120) & (r < 0.18))
-        | ((F.length(cleaned) <= 14) & (r < 0.45) & ~cleaned.rlike(r"(?iu)[$€]|^\d+[.,]\d{2}$|RFC|IVA|CP"))
+        | ((F.length(cleaned) <= 14) & (r < 0.45) & ~cleaned.rlike(rf"(?iu)[$€]|^\d+[.,]\d{{2}}$|RFC|IVA|CP(?:$|{EDGE})"))
     )
     return (
         F.when(s == "", "").when(is_table_line(s), s).when(s.startswith("#"), F.when(~stamped, s))
-        .when((F.length(s) <= 3) & ~s.rlike("^[0-9]+$"), None).when(cleaned == "", None).when(rescued, cleaned)
+        .when(s.rlike("(?iu)" + STAMP_LINES) | ((F.length(s) <= 3) & ~s.rlike("^[0-9]+$")), None).when(cleaned == "", None).when(rescued, cleaned)
         .when(is_garbage_line(cleaned, rest) | is_garbage_line(s, cleaned) | (F.lit(aggressive) & harsh), None).otherwise(cleaned)
     )
 

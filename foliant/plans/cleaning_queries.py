@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foliant.functions import chatter as K
 from foliant.functions import cleaning as C
-from foliant.operators import documents
-from foliant.plans.queries import NL, query, sql_count, sql_has, sql_normalize, sql_strip, sub, table
+from foliant.operators import documents, layout
+from foliant.plans.queries import NL, query, sql_count, sql_has, sql_normalize, sql_plain, sql_strip, sub, table
 
 LINES = r"""
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS raw FROM documents),
@@ -113,9 +114,46 @@ def evidence_summary(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", C.summarize_evidence(x).alias("summary"))
 
 
-
 @query()
 def structured_text(spark, sf_dir):
     """Paragraphs to Markdown; held to a branch table and to its own fixed point."""
     x = F.concat(F.regexp_replace("text", "\n", "\n\n"), F.lit("\n\n1) uno\n2. dos\n\n• a\n\nOBJETO:\n\nPRIMERO. Nada"))
     return table(spark, sf_dir, "documents").select("doc_id", C.structure_markdown(x).alias("markdown"))
+
+
+TALK = "CASE doc_id % 5 WHEN 0 THEN 'Aquí está el texto:' || chr(10) || '---' || chr(10) WHEN 1 THEN 'He analizado la imagen' || chr(13) || chr(10) || chr(10) ELSE '' END"
+AFTER = "CASE doc_id % 3 WHEN 0 THEN chr(10) || ' ¿En qué más puedo ayudarte?' || chr(10) || 'x' WHEN 1 THEN chr(10) || 'Transcripción del documento' ELSE '' END"
+META_SQL, REFUSAL_SQL = "(?i)" + "|".join(K.META).replace("'", "''"), "(?i)" + "|".join(K.REFUSALS).replace("'", "''")
+NOTHING = "''"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'No puedo transcribir.' ELSE {TALK} || text || {AFTER} END AS x FROM documents),
+b AS (SELECT doc_id, x, {sql_strip(sub("regexp_replace(x, chr(13) || chr(10), chr(10), 'g')", *((rf'(?is)\n\s*{c}.*', NOTHING) for c in K.CLOSINGS)))} AS b FROM d),
+l AS (SELECT doc_id, x, b, string_split(b, chr(10)) AS ls, list_transform(string_split(b, chr(10)), lambda y: {sql_strip('y')}) AS ss FROM b),
+p AS (SELECT *, list_filter(list_transform(ss, lambda s, i: CASE WHEN s <> '' AND NOT regexp_matches(s, '{META_SQL}') AND NOT regexp_matches(s, '{REFUSAL_SQL}') AND NOT regexp_matches(s, '{K.FENCE}') THEN i END), lambda i: i IS NOT NULL) AS f,
+  list_filter(list_transform(ss, lambda s, i: CASE WHEN s <> '' AND NOT regexp_matches(s, '{META_SQL}') THEN i END), lambda i: i IS NOT NULL) AS t,
+  len(list_filter(string_split(x, chr(10)), lambda s: regexp_matches(s, '{META_SQL}'))) AS talk, len(list_filter(ls, lambda s: regexp_matches(s, '{META_SQL}'))) AS talk_b FROM l)
+SELECT doc_id, CASE WHEN (regexp_matches(b, '{REFUSAL_SQL}') OR (talk_b > 0 AND talk_b >= greatest(1, len(ls) // 2)) OR len(list_filter({list(K.MARKERS)}, lambda m: contains(lower(b), m))) > 0) AND length({sql_plain('b')}) < 80 THEN '' ELSE coalesce({sql_strip("array_to_string(ls[list_min(f):list_max(t)], chr(10))")}, '') END AS inner_text,
+  talk::INT AS talk, regexp_matches(x, '{REFUSAL_SQL}') AS refuses FROM p
+""")
+def chatter_free(spark, sf_dir):
+    k, t = F.col("doc_id"), F.col("x")
+    head = F.when(k % 5 == 0, "Aquí está el texto:\n---\n").when(k % 5 == 1, "He analizado la imagen\r\n\n").otherwise("")
+    tail = F.when(k % 3 == 0, "\n ¿En qué más puedo ayudarte?\nx").when(k % 3 == 1, "\nTranscripción del documento").otherwise("")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(k % 7 == 0, "No puedo transcribir.").otherwise(F.concat(head, "text", tail)).alias("x"))
+    return d.select("doc_id", K.strip_chatter(t).alias("inner_text"), K.meta_lines(t).alias("talk"), K.refuses(t).alias("refuses"))
+
+
+@query()
+def flattened_tables(spark, sf_dir):
+    """Pipe blocks that are no good tables, as text; held to a branch table."""
+    t = F.concat("text", F.lit("\n| x | ~ | . | , | ; | : | a |\n|---|\nfin\n| fecha | total |\n| --- | --- |\n| 01/02/2020 | $ 5 |"))
+    return layout.flatten_tables(table(spark, sf_dir, "documents").select("doc_id", t.alias("x")), "doc_id", "x")
+
+
+@query()
+def polished_paragraphs(spark, sf_dir):
+    """Paragraphs on a line each; held to a branch table."""
+    x = F.concat(F.regexp_replace("text", "\n", "\n\n"), F.lit("\n\nOBJETO:\n\nPRIMERO. Nada"))
+    return table(spark, sf_dir, "documents").select("doc_id", C.polish_paragraphs(x).alias("markdown"))

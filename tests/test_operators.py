@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.functions import chatter as K
 from foliant.functions import cleaning as C
 from foliant.functions import predicates as P
 from foliant.functions import scores as S
@@ -64,15 +65,38 @@ def test_cleaning(spark):
     prose = "palabras comunes bastante largas seguidas siempre ahora"
     assert one(spark, [prose], C.remove_base64) == [" "]
     assert one(spark, [prose], lambda t: C.remove_base64(t, strict_reference=False)) == [prose]
-    lines = ["", None, "| a | b |", "# Informe anual de obra", "# JUAN PEREZ", "ab", "12", "Este contrato se firma hoy en la ciudad", "Xk9 q2 zz 7b w1 p0 rt 4v", "OJNJIDNDIY"]
+    lines = ["", None, "| a | b |", "# Informe anual de obra", "# JUAN PEREZ", "ab", "12", "Este contrato se firma hoy en la ciudad", "Xk9 q2 zz 7b w1 p0 rt 4v", "OJNJIDNDIY", "CamScanner", "# Recibo AB"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string")
     got = [r["cleaned"] for r in C.clean_lines(df, "t").orderBy("i").collect()]
-    assert got == ["", "", "| a | b |", "# Informe anual de obra", None, None, None, "Este contrato se firma hoy en la ciudad", None, None]
+    assert got == ["", "", "| a | b |", "# Informe anual de obra", None, None, None, "Este contrato se firma hoy en la ciudad", None, "OJNJIDNDIY", None, "# Recibo AB"]
     docs = spark.createDataFrame([(1, "Primera frase de prueba larga\n" + "zz\n" * 10 + "Segunda frase de prueba larga"), (2, None), (3, "zz")], "k int, t string")
     got = dict(map(tuple, C.sanitize_documents(docs, "k", "t").collect()))
     assert got == {1: "Primera frase de prueba larga\n\n> Sello o timbre omitido.\n\nSegunda frase de prueba larga", 2: "", 3: ""}
-    assert one(spark, ["1) a\n2. b\n\n• c\n\nOBJETO:\n\nuna\nlinea", "# x", None], C.structure_markdown) == ["1. a\n\n2. b\n\n- c\n\n## OBJETO\n\nuna\nlinea", "# x", ""]
-    assert one(spark, ["JUAN PEREZ LOPEZ\nhola 12/12/20 10:10:10 fin\n\n\n\nx", None], C.normalize_digital_text) == ["hola fin\n\nx", ""]
+    assert one(spark, ["1) a\n2) b\n\n• c\n\nOBJETO:\n\nuna\nlinea", "1) a\n2. b", "# x", None], C.structure_markdown) == ["1. a\n\n2. b\n\n- c\n\n## OBJETO\n\nuna\nlinea", "1) a\n2. b", "# x", ""]
+    assert one(spark, ["JUAN PEREZ LOPEZ\nhola 12/12/20 10:10:10 y una frase bastante larga\n\n\n\n12/12/20 10:10:10 x\nx", None], C.normalize_digital_text) == ["hola y una frase bastante larga\n\nx", ""]
+
+
+def test_chatter(spark):
+    texts = [
+        "Aquí está el texto:\n---\n\nCláusula uno\n\nfin\n¿En qué más puedo ayudarte?\nmás", "No puedo transcribir esto", "", None, "solo texto",
+        "Este documento es largo\r\n" + "uno " * 40 + "\r\nHe transcrito todo", "I cannot transcribe\n" + "palabra " * 30, "***\nThis is a page",
+    ]
+    assert one(spark, texts, K.strip_chatter) == ["Cláusula uno\n\nfin", "", "", "", "solo texto", ("uno " * 40).strip(), ("palabra " * 30).strip(), ""]
+    assert one(spark, texts, K.is_refusal) == [True, True, False, False, False, False, True, True]
+    penalty = [v for (v,) in values(spark, [(t,) for t in texts], "t string", F.round(S.text_quality_score(F.col("t")) - K.reading_score(F.col("t")), 6).alias("v"))]
+    assert penalty == [260.0, 200.0, 0.0, 0.0, 0.0, 60.0, 200.0, 30.0]
+    answers = ['{"choices": [{"message": {"content": " a "}}]}', '{"choices": [{"message": {"content": [{"type": "text", "text": "a"}, {"type": "image"}, {"type": "text", "text": "b"}]}}]}',
+               '{"content": [{"type": "text", "text": "x"}, {"type": "tool", "text": "y"}]}', "{}", "no json", None]
+    assert one(spark, answers, K.response_text) == ["a", "a\nb", "x", "", "", ""]
+
+
+def test_polished_paragraphs_and_flattened_tables(spark):
+    assert one(spark, ["PRIMERO. Nada\n\nOBJETO:\n\nuna\nlinea\n\notra", None, ""], C.polish_paragraphs) == ["## PRIMERO. Nada\n\n## OBJETO\n\nuna linea\n\notra", "", ""]
+    good = "| fecha | total |\n| --- | --- |\n| 01/02/2020 | $ 5 |"
+    bad = "| x | ~ | . | , | ; | : | a |\n|---|\n| | |"
+    docs = spark.createDataFrame([(1, f"antes\n{good}\ndespués"), (2, f"antes\n{bad}\ndespués\n"), (3, "sin tabla \n\n\n\nx"), (4, None)], "k int, t string")
+    got = dict(map(tuple, layout.flatten_tables(docs, "k", "t").collect()))
+    assert got == {1: f"antes\n{good}\n\ndespués", 2: "antes\nx ~ . , ; : a\n\ndespués", 3: "sin tabla \n\n\n\nx", 4: ""}
 
 
 def test_ranges(spark):
