@@ -214,13 +214,15 @@ def linked_in_shard(fp: np.ndarray, home: np.ndarray, visit: np.ndarray, part: i
 
 
 def link_fingerprints(distinct: DataFrame, lanes: int, distances: tuple[int, int]) -> DataFrame:
-    """distinct: fp0 .. of distinct fingerprints. Returns links u, v of fp0 that connect what lies within distances.
+    """distinct: fp0 .. of distinct fingerprints. Returns links u, v of nodes that connect what lies within distances.
 
-    distances: the most bits that may differ in lane 0, and in all lanes. A task gives a link from each of its
+    A fingerprint of one lane is its own node; with more lanes, several may share fp0, and the column `node` tells them
+    apart. distances: the most bits that may differ in lane 0, and in all lanes. A task gives a link from each of its
     fingerprints to the smallest of its class, so links number no more than the rows it read.
     """
     spark = distinct.sparkSession
     names = [f"fp{k}" for k in range(lanes)]
+    distinct = distinct.select(F.col("fp0").alias("node") if lanes == 1 else "node", *names)
     n = distinct.count()
     leaves = 1 << max(2, min(10, int(np.ceil(np.log2(max(1, n / SHARD_ROWS))))))
     drawn = distinct.where(F.pmod(F.xxhash64("fp0", F.lit("tree")), F.lit(max(1, n // TREE_SAMPLE))) == 0).select("fp0").toArrow()
@@ -250,8 +252,8 @@ def link_fingerprints(distinct: DataFrame, lanes: int, distances: tuple[int, int
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy()
-            mixed = remix(fp.view(np.uint64), 7)
+            fp = batch.column("fp0").to_numpy()
+            mixed = remix(batch.column("node").to_numpy().view(np.uint64), 7)
             for p, leaf, rows, own in placed(fp):
                 if not len(rows):
                     continue
@@ -266,21 +268,21 @@ def link_fingerprints(distinct: DataFrame, lanes: int, distances: tuple[int, int
                             cell = ((p * 1024 + leaf) << 32) + (i << 16) + j
                             yield pa.RecordBatch.from_arrays(
                                 [pa.array(np.full(len(keep), cell)), pa.array(own[keep]), pa.array(home[keep]), pa.array(visit[keep]), *whole.take(pa.array(keep)).columns],
-                                names=["cell", "own", "home", "visit", *names],
+                                names=["cell", "own", "home", "visit", "node", *names],
                             )
 
     def search(key: tuple, cell: pa.Table) -> pa.Table:
         fp = np.stack([cell.column(c).to_numpy() for c in names], axis=1)
         order = np.lexsort(fp.T[::-1])
-        fp = fp[order]
+        fp, node = fp[order], cell.column("node").to_numpy()[order]
         flag = {c: cell.column(c).to_numpy(zero_copy_only=False)[order] for c in ("own", "home", "visit")}
         # in a grid, a home may meet another home as a visitor: rows are in one order everywhere
         label = linked_in_shard(fp, flag["home"], flag["visit"], (key[0].as_py() >> 32) // 1024, distances)
         rows = np.nonzero(label != np.arange(len(label)))[0]
-        return pa.table({"u": pa.array(fp[rows, 0]), "v": pa.array(fp[label[rows], 0])})
+        return pa.table({"u": pa.array(node[rows]), "v": pa.array(node[label[rows]])})
 
     lanes_sql = ", ".join(f"{c} long" for c in names)
-    dealt = distinct.select(*names).mapInArrow(deal, f"cell long, own boolean, home boolean, visit boolean, {lanes_sql}")
+    dealt = distinct.mapInArrow(deal, f"cell long, own boolean, home boolean, visit boolean, node long, {lanes_sql}")
     return dealt.groupBy("cell").applyInArrow(search, "u long, v long").where("u <> v")
 
 
@@ -293,9 +295,10 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 4, distances: tuple[i
     """
     names = [f"fp{k}" for k in range(lanes)]
     rows = stored(fingerprints(docs, shingle, lanes, id_col, text_col), "fingerprints")
-    distinct = stored(rows.groupBy(*names).agg(F.min(id_col).alias("least")), "distinct-fingerprints")
+    node = F.col("fp0") if lanes == 1 else F.monotonically_increasing_id()
+    distinct = stored(rows.groupBy(*names).agg(F.min(id_col).alias("least")).withColumn("node", node), "distinct-fingerprints")
     roots = components(link_fingerprints(distinct, lanes, distances))
-    inside = stored(distinct.join(roots, distinct["fp0"] == roots["node"]).select(*names, "least", "root"), "linked")
+    inside = stored(distinct.join(roots, "node").select(*names, "least", "root"), "linked")
     smallest = inside.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = inside.join(smallest, "root").select(*names, "component_id")
     classes = distinct.join(linked, names, "left").select(*names, F.coalesce("component_id", "least").alias("component_id"))

@@ -126,6 +126,26 @@ def test_all_links_are_found(spark, distances, monkeypatch):
     assert all(found.get(x, x) == least[k] for x, k in zip(fps.tolist(), forest.label))
 
 
+def test_equal_first_lanes_are_linked(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    flip = lambda x, n: int(x) ^ sum(1 << int(b) for b in rng.choice(63, n, replace=False))
+    fps = [[int(x) for x in rng.integers(0, 1 << 63, 4)] for _ in range(60)]
+    fps += [[f[0], flip(f[1], n), flip(f[2], 1), f[3]] for f in fps[:40] for n in (1, 9, 10, 30)]  # fp0 is shared
+    fps += [[flip(f[0], n), *f[1:]] for f in fps[:20] for n in (2, 4, 5)]
+    fps = [tuple(f) for f in dict.fromkeys(map(tuple, fps))]
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 40)
+    monkeypatch.setattr(simhash, "TASK_HOMES", 25)
+    monkeypatch.setattr(simhash, "TASK_VISITS", 60)
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs)
+    df = spark.createDataFrame([(i, *f) for i, f in enumerate(fps)], "doc_id long, fp0 long, fp1 long, fp2 long, fp3 long")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_classes(df, distances=(4, 10), lanes=4).collect()}
+    u = np.array(fps, np.int64).view(np.uint64)
+    d = np.bitwise_count(u[:, None] ^ u[None]).astype(int)
+    forest = simhash.Forest(len(u))
+    forest.link(*np.nonzero((d[:, :, 0] <= 4) & (d.sum(axis=2) <= 10)))
+    assert found == dict(enumerate(forest.label.tolist())) and len(set(found.values())) < len(fps) - 100
+
+
 def test_components_of_a_path(spark):
     n = 200
     links = spark.createDataFrame([((i * 37) % n, ((i + 1) * 37) % n) for i in range(n - 1)], "u long, v long")
