@@ -12,14 +12,17 @@ from foliant.llm.common import stored, table
 from foliant.llm.language_id import fit_languages, identified
 from foliant.llm.packing import pack, public_paths, tokenized_pieces
 from foliant.llm.quality import quality_filter
-from foliant.llm.simhash import near_duplicate_classes
+from foliant.llm.simhash import similar_classes
 from foliant.llm.suffix_dedup import without_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: Near duplicates: 5-word shingles and 4 x 64 bits. Two texts of similarity 0.8 differ in about 39 of 256 bits
-#: (standard deviation 6) and in 10 of the first 64 (3). At most 15 and 44 find nearly all such pairs.
-SHINGLE, LANES, DISTANCES = 5, 4, (15, 44)
+#: Near duplicates: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 at least, compared as sets.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Candidates differ in at most 72 of 4 x 64 bits, and in at most 2 of one of the sixteen 16-bit parts. At 0.8 a bit
+#: differs with a probability of 0.1515 (0.1875 in texts of 8 and 9 words that share 4 of 5 shingles): by binomial
+#: tails 1 pair in 400,000 is no candidate (1 in 2600).
+LIMIT, REACH = 72, 2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one with the smallest doc_id; of rows that repeat it, one."""
     keyed = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "keyed")
     # rows in order of doc_id (null last), so that the smallest row of a class is the one that stays
-    classes = near_duplicate_classes(keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("key"), "text"), SHINGLE, DISTANCES, LANES, "key")
+    classes = similar_classes(keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("key"), "text"), SHINGLE, SIMILARITY, LIMIT, REACH, id_col="key")
     kept = classes.where(F.col("key") == F.col("component_id")).select(F.col("key.row").alias("row"))
     return keyed.join(kept, "row", "left_semi").select(COLUMNS)
 

@@ -8,6 +8,9 @@ ball overlaps; the lower levels are built inside a shard and pruned likewise.
 Over all 64 bits such bounds prune little (random fingerprints are about 32 apart, give or take 4). Two fingerprints
 within distance D differ in at most D // 4 bits of one of four 16-bit parts, so each part has a tree of its own, with
 that small radius, and pairs found there are checked over all bits: no pair is missed and none is added.
+
+Texts of a given Jaccard similarity of shingle sets (`similar_classes`) are first sought by fingerprints of several
+lanes, within wide limits; what is linked counts only once the sets themselves have been compared.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +34,8 @@ SEED, PARTS, PART_BITS = 42, 4, 16
 TREE_SAMPLE = 8192
 #: A shard's share of fingerprints aimed at, and the most that one task holds (a larger shard is cut into a grid).
 SHARD_ROWS, TASK_HOMES, TASK_VISITS = 20_000, 60_000, 400_000
+#: The shingles of candidates that one task compares, about (a larger class is cut into a grid).
+TASK_SHINGLES = 4_000_000
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -162,12 +168,12 @@ class Forest:
                 label[:] = up
 
 
-def linked_in_shard(fp: np.ndarray, home: np.ndarray, visit: np.ndarray, part: int, distances: tuple[int, int], block: int = 1 << 21) -> np.ndarray:
+def linked_in_shard(fp: np.ndarray, home: np.ndarray, visit: np.ndarray, part: int, distances: tuple[int, int], reach: int, block: int = 1 << 21) -> np.ndarray:
     """Classes of a shard's fingerprints (rows x lanes) under the links between homes and visitors."""
     first, total = distances
     forest = Forest(len(fp))
     fp = np.ascontiguousarray(fp).view(np.uint64)  # bits of a negative integer are counted wrongly
-    value = part_values(np.ascontiguousarray(fp[:, 0]), part)
+    value = part_values(np.ascontiguousarray(fp[:, part // PARTS]), part % PARTS)
 
     def grouped(rows: np.ndarray):
         rows = rows[np.argsort(value[rows], kind="stable")]
@@ -186,11 +192,13 @@ def linked_in_shard(fp: np.ndarray, home: np.ndarray, visit: np.ndarray, part: i
         i, j, d = i[ok], j[ok], d[ok]
         for lane in range(1, fp.shape[1]):
             d += np.bitwise_count(fp[i, lane] ^ fp[j, lane])
+            ok = d <= total
+            i, j, d = i[ok], j[ok], d[ok]
         ok = d <= total
         if ok.any():
             forest.link(i[ok], j[ok])
 
-    for a, b in near_values(q_values, h_values, first // PARTS):
+    for a, b in near_values(q_values, h_values, reach):
         pairs = q_count[a] * h_count[b]
         ends = np.cumsum(pairs)
         lo = 0
@@ -213,29 +221,30 @@ def linked_in_shard(fp: np.ndarray, home: np.ndarray, visit: np.ndarray, part: i
     return forest.label
 
 
-def link_fingerprints(distinct: DataFrame, lanes: int, distances: tuple[int, int]) -> DataFrame:
+def link_fingerprints(distinct: DataFrame, lanes: int, distances: tuple[int, int], reach: int | None = None) -> DataFrame:
     """distinct: fp0 .. of distinct fingerprints. Returns links u, v of nodes that connect what lies within distances.
 
     A fingerprint of one lane is its own node; with more lanes, several may share fp0, and the column `node` tells them
-    apart. distances: the most bits that may differ in lane 0, and in all lanes. A task gives a link from each of its
-    fingerprints to the smallest of its class, so links number no more than the rows it read.
+    apart. distances: the most bits that may differ in lane 0, and in all lanes. With a reach, what differs in no more
+    bits than that in one 16-bit part of any lane is compared, and other pairs are missed; without, none is. A task
+    gives a link from each of its fingerprints to the smallest of its class, so links number no more than the rows it
+    read.
     """
     spark = distinct.sparkSession
     names = [f"fp{k}" for k in range(lanes)]
     distinct = distinct.select(F.col("fp0").alias("node") if lanes == 1 else "node", *names)
     n = distinct.count()
     leaves = 1 << max(2, min(10, int(np.ceil(np.log2(max(1, n / SHARD_ROWS))))))
-    drawn = distinct.where(F.pmod(F.xxhash64("fp0", F.lit("tree")), F.lit(max(1, n // TREE_SAMPLE))) == 0).select("fp0").toArrow()
-    sample = drawn.column("fp0").to_numpy()
-    trees = [VantageTree(np.sort(part_values(sample, p)), leaves) for p in range(PARTS)]
-    reach = distances[0] // PARTS
+    drawn = distinct.where(F.pmod(F.xxhash64("fp0", F.lit("tree")), F.lit(max(1, n // TREE_SAMPLE))) == 0).select(*names).toArrow()
+    trees = [VantageTree(np.sort(part_values(drawn.column(c).to_numpy(), p)), leaves) for c in (names[:1] if reach is None else names) for p in range(PARTS)]
+    reach = distances[0] // PARTS if reach is None else reach
 
-    def placed(fp: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def placed(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """part, leaf, rows that visit it, and which of them live there. Of two shards that overlap each other's
         fingerprints, only the later one's go visiting."""
         for p, tree in enumerate(trees):
-            values = part_values(fp, p)
-            home = np.zeros(len(fp), np.int64)
+            values = part_values(batch.column(names[p // PARTS]).to_numpy(), p % PARTS)
+            home = np.zeros(len(values), np.int64)
             for leaf, rows in tree.visits(values, 0):
                 home[rows] = leaf
             for leaf, rows in tree.visits(values, reach):
@@ -244,17 +253,16 @@ def link_fingerprints(distinct: DataFrame, lanes: int, distances: tuple[int, int
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(p, leaf, int(own.sum()), len(rows)) for p, leaf, rows, own in placed(batch.column(0).to_numpy())]
+            out = [(p, leaf, int(own.sum()), len(rows)) for p, leaf, rows, own in placed(batch)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 4, names=["part", "leaf", "homes", "visits"])
 
-    sizes = distinct.select("fp0").mapInArrow(tally, "part long, leaf long, homes long, visits long").groupBy("part", "leaf").agg(F.sum("homes"), F.sum("visits")).collect()  # at most 4 x 1024 rows
+    sizes = distinct.select(*names).mapInArrow(tally, "part long, leaf long, homes long, visits long").groupBy("part", "leaf").agg(F.sum("homes"), F.sum("visits")).collect()  # at most 4 x lanes x 1024 rows
     grid = {(r[0], r[1]): (-(-r[2] // TASK_HOMES) or 1, -(-r[3] // TASK_VISITS) or 1) for r in sizes}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column("fp0").to_numpy()
             mixed = remix(batch.column("node").to_numpy().view(np.uint64), 7)
-            for p, leaf, rows, own in placed(fp):
+            for p, leaf, rows, own in placed(batch):
                 if not len(rows):
                     continue
                 hs, vs = grid[p, leaf]
@@ -273,11 +281,12 @@ def link_fingerprints(distinct: DataFrame, lanes: int, distances: tuple[int, int
 
     def search(key: tuple, cell: pa.Table) -> pa.Table:
         fp = np.stack([cell.column(c).to_numpy() for c in names], axis=1)
-        order = np.lexsort(fp.T[::-1])
-        fp, node = fp[order], cell.column("node").to_numpy()[order]
+        node = cell.column("node").to_numpy()
+        order = np.lexsort([node, *fp.T[::-1]])
+        fp, node = fp[order], node[order]
         flag = {c: cell.column(c).to_numpy(zero_copy_only=False)[order] for c in ("own", "home", "visit")}
         # in a grid, a home may meet another home as a visitor: rows are in one order everywhere
-        label = linked_in_shard(fp, flag["home"], flag["visit"], (key[0].as_py() >> 32) // 1024, distances)
+        label = linked_in_shard(fp, flag["home"], flag["visit"], (key[0].as_py() >> 32) // 1024, distances, reach)
         rows = np.nonzero(label != np.arange(len(label)))[0]
         return pa.table({"u": pa.array(node[rows]), "v": pa.array(node[label[rows]])})
 
@@ -305,6 +314,103 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 4, distances: tuple[i
     return rows.join(classes, names)
 
 
+def shingle_set(text: str, size: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text.encode(), size))
+
+
+def alike_in_cell(sets: list[np.ndarray], block: np.ndarray, similarity: float) -> np.ndarray:
+    """Classes of sets under Jaccard similarities of at least that. Where there are two blocks, only sets of different
+    blocks are compared; sets that are in one class already are not."""
+    forest, sizes, n = Forest(len(sets)), np.array([len(x) for x in sets]), len(sets)
+    owner = np.repeat(np.arange(n), sizes)
+    _, flat, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[flat] > 1  # others count in the size only
+    flat, kept = flat[shared], np.bincount(owner[shared], minlength=n)
+    start = np.cumsum(kept) - kept
+    mark, across = np.zeros(len(times), bool), len(np.unique(block)) > 1
+    for i in range(n):
+        few, many = np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
+        apart = (forest.label[i + 1 :] != forest.label[i]) & (few >= similarity * many - 1e-6)
+        if across:
+            apart &= block[i + 1 :] != block[i]
+        js = np.nonzero(apart & (kept[i + 1 :] > 0))[0] + i + 1
+        if not len(js) or not kept[i]:
+            continue
+        own = flat[start[i] : start[i] + kept[i]]
+        mark[own] = True
+        ends = np.cumsum(kept[js])
+        at = np.arange(ends[-1]) + np.repeat(start[js] - ends + kept[js], kept[js])
+        both = np.add.reduceat(mark[flat[at]].astype(np.int64), ends - kept[js])
+        mark[own] = False
+        js = js[both / (sizes[i] + sizes[js] - both) >= similarity]
+        forest.link(np.full(len(js), i), js)
+    return forest.label
+
+
+def link_alike(members: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """members: candidate (a class of candidates), node, n_shingles, text. Returns links u, v of nodes that connect what is
+    at least so similar in each class. A row goes to as many tasks as its class has blocks of TASK_SHINGLES."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, texts in text_chunks(batch.column(4)):
+                found = [shingle_set(t, shingle).view(np.int64) for t in texts]
+                rows = batch.slice(lo, len(texts))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array(found, pa.list_(pa.int64()))], names=["candidate", "node", "blocks", "block", "shingles"])
+
+    def search(cell: pa.Table) -> pa.Table:
+        node, block = cell.column("node").to_numpy(), cell.column("block").to_numpy()
+        column = cell.column("shingles").combine_chunks()
+        flat = column.flatten().to_numpy().view(np.uint64)
+        ends = np.cumsum(pc.list_value_length(column).to_numpy())
+        label = alike_in_cell(np.split(flat, ends[:-1]), block, similarity)
+        rows = np.nonzero(label != np.arange(len(label)))[0]
+        return pa.table({"u": pa.array(node[rows]), "v": pa.array(node[label[rows]])})
+
+    blocks = members.groupBy("candidate").agg(F.ceil(F.sum("n_shingles") / F.lit(TASK_SHINGLES)).cast("long").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    blocks = blocks.select("candidate", F.greatest("blocks", F.lit(1)).alias("blocks"))
+    dealt = members.join(blocks, "candidate").select("candidate", "node", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "text")
+    cells = dealt.mapInArrow(sets, "candidate long, node long, blocks long, block long, shingles array<long>")
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return cells.groupBy("candidate", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).applyInArrow(search, "u long, v long")
+
+
+def similar_classes(docs: DataFrame, shingle: int, similarity: float, limit: int, reach: int, lanes: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, component_id: the smallest id that links of texts reach, where a link joins texts whose sets of word
+    shingles have at least that Jaccard similarity. One row per row of docs; ids must be whole and no two alike.
+
+    Links are sought by SimHash of the sets (a shingle counts once), among fingerprints that differ in at most `limit`
+    bits of all lanes and in at most `reach` of one 16-bit part; every link is checked on the sets. Texts without words
+    are one class. Other columns are not read.
+    """
+    names = [f"fp{k}" for k in range(lanes)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list[int]] = [[] for _ in range(lanes + 3)]
+            for _, texts in text_chunks(batch.column(1)):
+                for t in texts:
+                    own = shingle_set(t, shingle)
+                    digest = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64).tolist()
+                    for column, value in zip(columns, [*simhash(own, lanes), *digest, len(own)]):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=[id_col, *names, "set0", "set1", "n_shingles"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    longs = ", ".join(f"{c} long" for c in [*names, "set0", "set1", "n_shingles"])
+    rows = stored(docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {longs}"), "fingerprints")
+    distinct = rows.groupBy("set0", "set1", *names, "n_shingles").agg(F.min(id_col).alias("least"))
+    distinct = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
+    near = components(link_fingerprints(distinct, lanes, (64, limit), reach)).select("node", F.col("root").alias("candidate"))
+    members = distinct.join(near, "node").select("candidate", "node", "n_shingles", F.col("least").alias(id_col))
+    roots = components(link_alike(members.join(docs.select(id_col, F.col(text_col).alias("text")), id_col), shingle, similarity))
+    inside = stored(distinct.join(roots, "node").select("node", "least", "root"), "linked")
+    smallest = inside.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = inside.join(smallest, "root").select("node", "component_id")
+    classes = distinct.join(linked, "node", "left").select("set0", "set1", F.coalesce("component_id", "least").alias("component_id"))
+    return rows.select(id_col, "set0", "set1").join(classes, ["set0", "set1"]).select(id_col, "component_id")
+
+
 def op2_simhash_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicate_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from foliant.llm import packing
+from foliant.llm import packing, simhash
 from foliant.llm.common import stored
 
 SF = "/root/testdata/sf0.001"
@@ -43,6 +43,39 @@ def test_near_copies_go_and_others_stay(stages):
     assert not [(a, b) for k, a in enumerate(ids) for b in ids[:k] if sim(after[a], after[b]) >= 0.9]
 
 
+@pytest.mark.parametrize("task_shingles", [4_000_000, 2000])  # a class in one task, and cut into a grid
+def test_near_copies_are_those_of_similar_shingle_sets(spark, monkeypatch, task_shingles):
+    monkeypatch.setattr(simhash, "TASK_SHINGLES", task_shingles)
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    texts = []
+    for k in range(120):
+        base = words(int(rng.integers(60, 300)))
+        texts.append(base)
+        for part in (0.015, 0.02, 0.022, 0.025, 0.03, 0.04, 0.06):  # similarities on both sides of 0.8
+            copy = list(base)
+            for at in rng.choice(len(copy), max(1, int(part * len(copy))), replace=False):
+                copy[at] = f"other{rng.integers(1 << 40)}"
+            texts.append(copy)
+        line = words(9) * 60  # repeats count once
+        texts += [base + words(9) * 60, base + line] if k % 4 == 0 else []
+    hub = words(200)
+    texts += [[*hub[: 200 - n], *words(n)] for n in range(1, 60)] + [words(3), words(3), [], []]
+    texts = [" ".join(t) for t in texts]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, SF).select("doc_id").collect()}
+    own = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    forest, at_limit = simhash.Forest(len(own)), 0
+    for a in range(len(own)):
+        for b in range(a):
+            sim = len(own[a] & own[b]) / len(own[a] | own[b])
+            at_limit += 0.75 <= sim < 0.85
+            if sim >= 0.8:
+                forest.link(np.array([a]), np.array([b]))
+    assert at_limit > 300
+    assert found == set(forest.label.tolist())
+
+
 def test_packed_pieces_hold_the_last_texts(stages):
     docs, pieces = stages["packing"]
     tok = packing.tokenizer(*packing.public_paths()).whole
