@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by the order of its nearest pivots. Each shard of the index posts its vectors in the inverted
+A vector is represented by the order of its nearest pivots in direction, and by its length. Each shard of the index posts its vectors in the inverted
 files of those pivots with the pivot's rank; a query adds up, over the files of its own pivots, what the induced
-footrule distance (a pivot that is missing counts as rank `prefix`) saves for each vector, and the vectors with the
-smallest distance are ranked again by the inner product itself.
+footrule distance (a pivot that is missing counts as rank `prefix`) saves for each vector. A line fitted in the shard
+turns that into a cosine; the vectors for which cosine times length is largest are ranked again by the inner product
+itself. Where all are equally long, these are the vectors with the smallest distance.
 
 Every row is indexed. Queries meet every shard in blocks: (queries x shards) rows are dealt, never pairs.
 """
@@ -22,6 +23,10 @@ from foliant.llm.common import stored, table
 PIVOTS, PREFIX = 256, 128
 #: Candidates that a shard ranks again: this part of its rows, and so many at least; ties at the cut stay in.
 RERANK, RERANK_LEAST = 0.12, 800
+#: Cosines of pivots: no more than the first, or the next where too few pivots are left. Only copies never count.
+ALIKE = (0.7, 0.8, 0.9, 0.95, 0.99, 0.999, 1 - 1e-9)
+#: Queries of a shard, at most, by which cosines are fitted to distances.
+FIT_QUERIES = 8
 #: Rows of a shard and of a block of queries, about.
 SHARD_ROWS, QUERY_ROWS = 8192, 16_384
 
@@ -47,36 +52,56 @@ def permutations(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return ranks
 
 
-def lifted(x: np.ndarray, longest: float) -> np.ndarray:
-    """Vectors with one more component, so that all are equally long and nearness is the inner product."""
-    return np.hstack([x, np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))[:, None]])
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors (none of them zero) scaled to length 1, and their lengths."""
+    most = np.abs(x).max(axis=1, initial=0, keepdims=True)
+    x = x / most
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / length, (most * length)[:, 0]
 
 
-def spread_pivots(drawn: np.ndarray, most: int, alike: float = 0.7) -> np.ndarray:
-    """The first vectors drawn that are no near copies of one chosen before: a common vector gives one pivot."""
+def spread_pivots(drawn: np.ndarray, most: int, alike: tuple[float, ...] = (0.7,)) -> np.ndarray:
+    """The first directions drawn that are no near copies of one chosen before: a common vector gives one pivot. The
+    next limit of the cosine holds where the one before leaves too few."""
     chosen: list[np.ndarray] = []
-    for x in drawn:
-        if len(chosen) == most:
-            break
-        if not chosen or (np.stack(chosen) @ x).max() < alike * (x @ x):
-            chosen.append(x)
+    for limit in alike:
+        best = np.max(drawn @ np.stack(chosen).T, axis=1) if chosen else np.full(len(drawn), -1.0)
+        for k, x in enumerate(drawn):
+            if len(chosen) == most:
+                break
+            if best[k] < limit:
+                chosen.append(x)
+                best = np.maximum(best, drawn @ x)
     return np.stack(chosen) if chosen else drawn
 
 
-def search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, longest: float, k: int, prefix: int, rerank: float, least: int):
+def savings(files: np.ndarray, asked: np.ndarray, prefix: int) -> np.ndarray:
+    """What the inverted files save each vector in the distance to a query, given the query's ranks of the pivots."""
+    saved = np.zeros(files.shape[1], np.int16)
+    for p in np.nonzero(asked < prefix)[0]:
+        saved += prefix - np.maximum(files[p], asked[p])
+    return saved
+
+
+def search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int, prefix: int, rerank: float, least: int):
     """Of each query, the k best of the shard: query ids, vector ids, inner products."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
-    ranks = permutations(lifted(x, longest), pivots, prefix)
+    (unit, length), (q_unit, _) = directions(x), directions(q)
+    ranks = permutations(unit, pivots, prefix)
     files = np.ascontiguousarray(ranks.T)  # inverted files: a pivot's rank for every row, as each holds a good part of them
-    asked = permutations(np.hstack([q, np.zeros((len(q), 1))]), pivots, prefix)
+    asked = permutations(q_unit, pivots, prefix)
     keep = min(len(ids), max(least, int(np.ceil(rerank * len(ids)))))
+    some = np.linspace(0, len(q) - 1, min(len(q), FIT_QUERIES)).astype(int)
+    seen = np.concatenate([savings(files, asked[i], prefix) for i in some]).astype(np.float64)
+    cosine = np.concatenate([unit @ q_unit[i] for i in some])
+    spread = ((seen - seen.mean()) ** 2).mean()
+    slope = max(((seen - seen.mean()) * (cosine - cosine.mean())).mean() / spread, 1e-9) if spread else 1e-9
+    base = cosine.mean() - slope * seen.mean()
     out_q, out_v, out_s = [], [], []
     for i, query in enumerate(query_ids):
-        saved = np.zeros(len(ids), np.int16)
-        for p in np.nonzero(asked[i] < prefix)[0]:
-            saved += prefix - np.maximum(files[p], asked[i, p])
-        found = np.nonzero(saved >= np.partition(saved, len(ids) - keep)[len(ids) - keep])[0]
+        likely = length * (base + slope * savings(files, asked[i], prefix))
+        found = np.nonzero(likely >= np.partition(likely, len(ids) - keep)[len(ids) - keep])[0]
         found = found[ids[found] != query]
         score = (x[found] * q[i]).sum(axis=1)
         best = np.lexsort((ids[found], -score))[:k]
@@ -97,11 +122,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     """
     spark = vectors.sparkSession
     rows = stored(usable(vectors, id_col, vector_col), "vectors")
-    stats = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square"), F.max(F.size("v")).alias("size")).first()
-    n, longest, size = stats["n"], float(stats["square"] or 0) ** 0.5, stats["size"] or 0
+    stats = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("size")).first()
+    n, size = stats["n"], stats["size"] or 0
     asked = stored(usable(queries, id_col, vector_col).where(F.size("v") == size).dropDuplicates(["id"]), "queries")
-    drawn = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(4 * pivots).collect()], np.float64).reshape(-1, max(size, 1))
-    chosen = spread_pivots(lifted(drawn, longest), pivots)
+
+    def draw(table: DataFrame) -> np.ndarray:
+        found = table.orderBy(F.xxhash64("id"), "id").limit(4 * pivots).collect()
+        return directions(np.array([r["v"] for r in found], np.float64).reshape(-1, max(size, 1)))[0]
+
+    drawn = draw(rows)
+    chosen = spread_pivots(drawn, pivots)
+    if len(chosen) < pivots:  # common vectors fill the draw, or all vectors are alike: draw from distinct ones
+        chosen = spread_pivots(np.vstack([drawn, draw(rows.groupBy("v").agg(F.min("id").alias("id")))]), pivots, ALIKE)
     prefix = max(1, min(prefix, len(chosen), 250))
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-asked.count() // QUERY_ROWS))
     spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
@@ -119,7 +151,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         if not len(ids) or not len(query_ids):
             found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         else:
-            found = search_shard(ids, x, query_ids, q, shared.value, longest, k, prefix, rerank, least)
+            found = search_shard(ids, x, query_ids, q, shared.value, k, prefix, rerank, least)
         return pa.table(dict(zip(("query_id", "id", "score"), map(pa.array, found))))
 
     found = index.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInArrow(search, "query_id long, id long, score double")

@@ -401,6 +401,33 @@ def test_nearest_neighbours(spark, monkeypatch):
     assert permutation_index.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("outlier", [0, 2, 5])
+def test_nearest_of_varied_lengths(spark, monkeypatch, outlier):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 64)) * np.exp(0.3 * rng.normal(size=(3000, 1)))
+    if outlier:  # one vector longer than all others
+        x[1234] *= outlier * np.linalg.norm(x, axis=1).max() / np.linalg.norm(x[1234])
+    pivots, spread = [], permutation_index.spread_pivots
+    monkeypatch.setattr(permutation_index, "spread_pivots", lambda *a: pivots.append(spread(*a)) or pivots[-1])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out, hit = defaultdict(set), 0
+    for r in permutation_index.nearest(df, df.where("vec_id % 40 = 0"), least=1).collect():
+        out[r["query_id"]].add(r["vec_id"])
+    for q in range(0, 3000, 40):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(out[q] & set(np.argsort(-score)[:20].tolist()))
+    assert len(pivots[-1]) == 256 and hit >= 0.9 * 20 * 75
+
+
+def test_pivots_are_refilled():
+    rng = np.random.default_rng(6)
+    near = permutation_index.directions(np.ones(8) + 0.05 * rng.normal(size=(300, 8)))[0]
+    assert len(permutation_index.spread_pivots(near, 100)) < 100
+    assert len(permutation_index.spread_pivots(near, 100, permutation_index.ALIKE)) == 100
+    assert len(permutation_index.spread_pivots(np.repeat(near[:3], 50, axis=0), 100, permutation_index.ALIKE)) == 3
+
+
 # sharding
 
 
