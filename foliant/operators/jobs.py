@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -117,25 +120,48 @@ def transition(action: Column, status: Column) -> Column:
 def open_circuits(errors: DataFrame, calls: DataFrame, provider: str, time: str, cooldown: int = 300) -> DataFrame:
     """calls with `disabled`: whether the provider had a quota error within the cooldown before (as of the call).
 
-    One window over both, in order of time: the last error so far decides.
+    Time is cut into buckets as long as the cooldown, so that only errors of a call's own bucket and the one before can
+    count: windows run inside a provider's bucket, to which the last error of the bucket before is carried.
     """
-    both = calls.select(provider, time, F.lit(1).alias("_call"), *[c for c in calls.columns if c not in (provider, time)]).unionByName(errors.select(provider, time, F.lit(0).alias("_call")), allowMissingColumns=True)
-    last = F.max(F.when(F.col("_call") == 0, F.col(time))).over(Window.partitionBy(provider).orderBy(time, "_call").rowsBetween(Window.unboundedPreceding, 0))
-    seen = both.withColumn("_last", last).where("_call = 1")
+    t = F.col(time)
+    if dict(calls.dtypes)[time] == "timestamp_ntz":
+        seconds = F.unix_date(t.cast("date")).cast("long") * 86_400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
+    else:
+        seconds = F.unix_seconds(t)
+    bucket = F.floor(seconds / F.lit(max(1, cooldown))).cast("long").alias("_bucket")
+    failed = errors.select(provider, time, bucket)
+    carried = failed.groupBy(provider, (F.col("_bucket") + 1).alias("_bucket")).agg(F.max(time).alias(time))
+    asked = calls.select(provider, time, bucket, F.lit(1).alias("_call"), *[c for c in calls.columns if c not in (provider, time)])
+    both = asked.unionByName(failed.unionByName(carried).withColumn("_call", F.lit(0)), allowMissingColumns=True)
+    window = Window.partitionBy(provider, "_bucket").orderBy(time, "_call").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_last", F.max(F.when(F.col("_call") == 0, F.col(time))).over(window)).where("_call = 1")
     open_ = F.coalesce(F.col("_last") + F.make_dt_interval(secs=F.lit(cooldown)) > F.col(time), F.lit(False))
-    return seen.withColumn("disabled", open_).drop("_call", "_last")
+    return seen.withColumn("disabled", open_).drop("_call", "_last", "_bucket")
 
 
 def throttled(events: DataFrame, key: str, time: str, tiebreak: str, seconds: float = 1.5) -> DataFrame:
-    """Events of each key that come `seconds` or more after the last one that was let through (a fold, no window)."""
-    listed = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(time).cast("double").alias("t"), F.col(tiebreak).alias("i")))).alias("es"))
-    start = F.struct(F.lit(float("-inf")).alias("last"), F.array().cast(f"array<{dict(events.dtypes)[tiebreak]}>").alias("out"))
+    """Events of each key that come `seconds` or more after the last one that was let through.
 
-    def step(a, e):
-        go = e["t"] - a["last"] >= seconds
-        return F.struct(F.when(go, e["t"]).otherwise(a["last"]).alias("last"), F.when(go, F.concat(a["out"], F.array(e["i"]))).otherwise(a["out"]).alias("out"))
+    A fold, no window: rows stream in order of key and time, and only the last key and time are held. Rows without a
+    time are not let through.
+    """
 
-    return listed.select(key, F.explode(F.aggregate("es", start, step)["out"]).alias(tiebreak))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = object(), float("-inf")
+        for batch in batches:
+            go = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if k != now:
+                    now, last = k, float("-inf")
+                go.append(t - last >= seconds)
+                if go[-1]:
+                    last = t
+            yield batch.select([0, 1]).filter(pa.array(go, pa.bool_()))
+
+    kinds = dict(events.dtypes)
+    rows = events.where(F.col(time).isNotNull()).select(key, tiebreak, F.col(time).cast("double").alias("_t"))
+    rows = rows.repartition(key).sortWithinPartitions(key, "_t", tiebreak)
+    return rows.mapInArrow(run, f"`{key}` {kinds[key]}, `{tiebreak}` {kinds[tiebreak]}")
 
 
 def page_plan(pages: DataFrame, readings: DataFrame, tables: DataFrame, key: list[str]) -> DataFrame:

@@ -1,5 +1,8 @@
 """Branch tables and properties of the operators, with nulls and odd values."""
 
+import random
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +192,37 @@ def test_split_then_join_gives_the_text(spark, text):
     pages = documents.split_pages(df, "k", "t")
     joined = documents.join_pages(pages, "k", "index", "markdown").collect()
     assert not joined or joined[0]["markdown"] == text
+
+
+def job_events():
+    rng = random.Random(11)
+    start = datetime(2024, 1, 1)
+    rows = [(rng.choice("aaaab"), start + timedelta(seconds=rng.randrange(40_000)), i) for i in range(1500)]
+    return rows + [(None, start + timedelta(seconds=rng.randrange(900)), 2000 + i) for i in range(20)] + [("a", None, 3000), ("c", None, 3001)]
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_open_circuits_spread_a_provider(spark, kind):
+    rows = job_events()
+    table = spark.createDataFrame(rows, "p string, t timestamp, i long").withColumn("t", F.col("t").cast(kind))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = jobs.open_circuits(table.where("i % 20 = 0").select("p", "t"), table.where("i % 20 <> 0"), "p", "t", 300).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {i: any(i2 % 20 == 0 and p2 == p and t and t2 and timedelta(0) <= t - t2 < timedelta(seconds=300) for p2, t2, i2 in rows) for p, t, i in rows if i % 20}
+    assert {r["i"]: r["disabled"] for r in out} == want and len(out) == len(want) and 0 < sum(want.values()) < len(want)
+    assert len({r["task"] for r in out if r["p"] == "a"}) > 1
+
+
+def test_throttled_streams_a_key(spark):
+    rows = job_events()
+    out = jobs.throttled(spark.createDataFrame(rows, "p string, t timestamp, i long").repartition(5), "p", "t", "i", 60)
+    want, last = set(), {}
+    for p, t, i in sorted((r for r in rows if r[1]), key=lambda r: r[1:]):
+        if p not in last or t - last[p] >= timedelta(seconds=60):
+            last[p] = t
+            want.add((p, i))
+    found = [tuple(r) for r in out.collect()]
+    assert set(found) == want and len(found) == len(want)
+    assert "collect_list" not in out._jdf.queryExecution().toString()  # no row holds a whole key
