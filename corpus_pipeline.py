@@ -45,8 +45,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated strings leave the texts. A character that is cut in two goes as a whole; n_chars is counted anew."""
-    cut = without_repeats(docs.select(COLUMNS))
-    text = F.when(F.size("removed") > 0, F.regexp_replace(F.decode(F.make_valid_utf8(F.col("kept").cast("string")).cast("binary"), "UTF-8"), "�", "")).otherwise(F.col("text"))
+    cut = without_repeats(docs.select(COLUMNS), characters=True)
+    text = F.when(F.size("removed") > 0, F.col("kept").cast("string")).otherwise(F.col("text"))
     return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 

@@ -418,13 +418,23 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def whole_characters(text: bytes, a: int, b: int) -> tuple[int, int]:
+    """The span widened to whole UTF-8 characters: continuation bytes are 0x80 to 0xBF."""
+    while 0 < a < len(text) and text[a] & 0xC0 == 0x80:
+        a -= 1
+    while b < len(text) and text[b] & 0xC0 == 0x80:
+        b += 1
+    return a, b
+
+
+def without_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
     """docs (doc_id, text, ..) with n_bytes, removed (array of structs a, b: maximal runs of removed bytes) and kept
     (binary: the remaining bytes) added; columns of these names are replaced.
 
     Every byte goes that a string of LENGTH bytes covers which also starts elsewhere, in any text, the same one
     included; strings are judged on the input. A null text is empty. Null and repeated doc_id are rows of their own:
-    rows of equal doc_id and text share their spans. Texts under LENGTH bytes stay.
+    rows of equal doc_id and text share their spans. Texts under LENGTH bytes stay. With characters, spans are widened
+    to whole characters, so that what is kept is text.
     """
     spans = stored(repeated_spans(docs.select("doc_id", "text")), "spans", "zstd")
     marks, bits = bitmap(spans, "rk")
@@ -441,6 +451,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         for i in range(len(batch)):
             text = raw[i].as_py() or b""
             runs = merged([(s["a"], s["b"]) for s in found[i] or ()])
+            if characters:
+                runs = merged([whole_characters(text, a, b) for a, b in runs])
             at, parts = 0, []
             for a, b in runs:
                 parts.append(text[at:a])

@@ -76,6 +76,16 @@ def test_near_copies_are_those_of_similar_shingle_sets(spark, monkeypatch, task_
     assert found == set(forest.label.tolist())
 
 
+def test_replacement_characters_of_the_input_stay(spark):
+    passage = " ".join(f"shared{i}" for i in range(40))
+    # é and è share their first byte, é and ĩ their second: these characters are cut in two and go as a whole
+    texts = ["a � xé" + passage + "é 日 tail �", "otherĩ" + passage + "è end 💩"]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.suffix_dedup(spark, df, SF).collect()}
+    want = ["a � x 日 tail �", "other end 💩"]
+    assert found == {i: (t, len(t)) for i, t in enumerate(want)}
+
+
 def test_packed_pieces_hold_the_last_texts(stages):
     docs, pieces = stages["packing"]
     tok = packing.tokenizer(*packing.public_paths()).whole
