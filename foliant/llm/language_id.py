@@ -4,7 +4,8 @@ The models are n-grams of characters inside words, each word begun and ended by
 arrays of n-gram hashes; beside each hash stand, per language, the interpolated log probability of its last character
 and the log weight of backing off from it as a context. A text goes to the language with the lowest cross-entropy per
 character. Rejection is calibrated on labelled texts: what fits its best language much worse than nearly all of them
-do, or hardly better than another language, is not accepted.
+do is not accepted. How much better it fits than another language is the score, by which nothing is rejected: mixed
+texts and such of unlearned languages are accepted where their cross-entropy is low enough.
 """
 
 from __future__ import annotations
