@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from foliant.functions.predicates import CLAUSE, ORDINAL, SENTENCE, capitals_only, has, has_long_base64, is_heading_line, is_stamp_line, is_table_line, tokens
 from foliant.functions.scores import EDGE, VOWEL, base64_char_ratio, token_vowel_ratio, word_vowel_ratio
-from foliant.functions.text import normalize_markdown, normalize_whitespace, rewrite, strip, whole
+from foliant.functions.text import normalize_markdown, normalize_whitespace, once, rewrite, strip, whole
 
 # Phrases of digital tax seals that end a line's useful text, and what else goes from inside a line.
 SEAL_TAILS = (
@@ -19,12 +19,15 @@ SEAL_TAILS = (
     "N[uú]mero de serie del Certificado(?: de Sello Digital)?(?: del SAT)?:?", "Certificado de Sello Digital:?", "Complemento de Certificaci[oó]n Digital del SAT",
     "Este documento es una representaci[oó]n impresa de un CFDI", "Persona Moral Grandes Contribuyentes", r"HOJA\s+\d+\s*/\s*\d+",
 )
+#: One of these is part of each of them.
+SEAL_WORDS = ("sello", "certificaci", "certificado", "representaci", "contribuyentes", "hoja")
 SEAL_LINE = (
     "sello digital del cfdi|sello digital del sat|sello del sat|cadena original del complemento|n[uú]mero de serie del certificado"
     "|certificado de sello digital|cadena original del timbre|complemento de certificaci[oó]n digital"
 )
 BOILERPLATE = r"representaci[oó]n impresa de un cfdi|persona moral grandes contribuyentes|^hoja\s*\d+\s*/\s*\d+\s*$"
-TAX_REPEAT = r"(?:objeto de (?:i|í|l|1)mpuesto:?\s*0?2\s*(?:s[iííl1]\s*objeto de impuesto\s*)+)+"
+#: Possessive groups: the engine takes a greedy group of varying length by recursion, a level for each round.
+TAX_REPEAT = r"(?:objeto de (?:i|í|l|1)mpuesto:?\s*0?2\s*(?:s[iííl1]\s*objeto de impuesto\s*)++)++"
 UUID = rf"(^|{EDGE})[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}($|{EDGE})"
 SERIAL = rf"(^|{EDGE})\d{{17,20}}($|{EDGE})"
 KNOWN_LINE = (
@@ -37,7 +40,10 @@ FUNCTION_WORDS = (
     "que", "por", "con", "su", "se", "es", "como", "para", "mi", "me", "le", "si", "no",
 )
 ANNOTATIONS = "## Firmas, sellos y anotaciones"
-SMALL_TOKENS = r"(?:^|[^\p{L}\p{N}_])(?:[A-Za-z]{1,2}[\s|]{1,3}){5,}"
+SMALL_TOKENS = r"(?:^|[^\p{L}\p{N}_])(?:[A-Za-z]{1,2}[\s|]{1,3}){5}"  # a test: more than five say no more
+#: 48 characters of the alphabet, or groups of five or more that white space parts, four at least. A group counts only
+#: where another begins after it, so the possessive loop ends where a greedy one would have turned back to.
+BASE64_RUNS = r"[A-Za-z0-9+/=]{48,}|(?:[A-Za-z0-9+/]{5,}+\s++(?=[A-Za-z0-9+/=]{5})){3,}+[A-Za-z0-9+/=]{5,}"
 EVIDENCE_FIELDS = (
     ("Archivo firmado", r"Archivo\s+Firmado:\s*\n?\s*(\S+)"), ("Firmante", r"FIRMANTE\s+Nombre:\s*\n\s*([^\n]+)"),
     ("No. serie", r"FIRMA\s+No\.\s*serie:\s*\n\s*([^\n]+)"), ("Algoritmo", r"Algoritmo:\s*\n?\s*([^\n]+)"),
@@ -56,21 +62,31 @@ HONEST_HEADINGS = (
 EVIDENCE_FOOT = "\n\n> Cadena de firma, sellos de tiempo y tablas hex omitidos; solo metadatos legibles."
 
 
+def replace_each(text: Column, pattern: str, change) -> Column:
+    """text with change(match) in the place of each match; other places that hold the same string stay."""
+    between = F.split(text, pattern, -1)
+    found = F.concat(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), change), F.array(F.lit("")))
+    return F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, b)), "")
+
+
 def remove_base64(text: Column, strict_reference: bool = True) -> Column:
     """Encoded runs to a space: 48 characters, or four groups of five that have 36 together.
 
     By the reference's rule that also takes plain words of five letters or more, four in a row. With strict_reference
     off, a run needs a digit, plus, slash or equals sign.
     """
-    found = F.array_distinct(F.regexp_extract_all(whole(text), F.lit(r"[A-Za-z0-9+/=]{48,}|(?:[A-Za-z0-9+/]{5,}\s+){3,}[A-Za-z0-9+/=]{5,}"), F.lit(0)))
-    coded = F.filter(found, lambda x: (F.length(F.regexp_replace(x, r"\s+", "")) >= 36) & (F.lit(strict_reference) | x.rlike("[0-9+/=]")))
-    longest = F.array_sort(coded, lambda a, b: F.length(b) - F.length(a))
-    return F.aggregate(longest, whole(text), lambda t, x: F.replace(t, x, F.lit(" ")))
+    def blank(found: Column) -> Column:
+        coded = (F.length(F.regexp_replace(found, r"\s+", "")) >= 36) & (F.lit(strict_reference) | found.rlike("[0-9+/=]"))
+        return F.when(coded, " ").otherwise(found)
+
+    return once(whole(text), lambda t: F.when(t.rlike(BASE64_RUNS), replace_each(t, BASE64_RUNS, blank)).otherwise(t))
 
 
 def strip_inline_noise(line: Column) -> Column:
     """A line without tax seals, serials, identifiers, encoded runs and pipe runs."""
-    t = rewrite(whole(line), [(f"(?iu){p}.*", "") for p in SEAL_TAILS])
+    folded = F.lower(F.upper(whole(line)))
+    sealed = F.exists(F.array(*map(F.lit, SEAL_WORDS)), lambda w: folded.contains(w))  # few lines need the ten patterns
+    t = F.when(sealed, rewrite(whole(line), [(f"(?iu){p}.*", "") for p in SEAL_TAILS])).otherwise(whole(line))
     t = rewrite(t, [(f"(?iu){TAX_REPEAT}", " "), (UUID, "$1 $2"), (SERIAL, "$1 $2")])
     t = rewrite(remove_base64(t), [("[A-Za-z0-9+/=]{32,}", " "), (r"(?i)\[\s*m\d?\s*\]", ""), (r"\|{2,}", " "), (r"\s{2,}", " ")])
     return strip(F.regexp_replace(t, r"""^[ |.,;:\-'"]+|[ |.,;:\-'"]+$""", ""))
@@ -168,9 +184,8 @@ def strip_watermarks(text: Column) -> Column:
 
     def line(raw: Column) -> Column:
         s = strip(raw)
-        row = rewrite(s, [(rf"(^|{EDGE})\d{{2}}/\d{{2}}/\d{{2}}\s+\d{{2}}:\d{{2}}:\d{{2}}($|{EDGE})", "$1 $2"), (rf"(^|{EDGE})(?:\d{{2}}\.){{6,}}\d{{2,}}(?:\.\d{{2,}})*($|{EDGE})", "$1 $2")])
-        runs = F.regexp_extract_all(row, F.lit(r"(?<![\p{L}\p{N}_])[A-ZÁÉÍÓÚÑ]{2,}(?:\s+[A-ZÁÉÍÓÚÑ]{2,}){1,4}(?![\p{L}\p{N}_])"), F.lit(0))
-        row = F.aggregate(F.filter(F.array_distinct(runs), is_stamp_line), row, lambda t, x: F.replace(t, x, F.lit("")))
+        row = rewrite(s, [(rf"(^|{EDGE})\d{{2}}/\d{{2}}/\d{{2}}\s+\d{{2}}:\d{{2}}:\d{{2}}($|{EDGE})", "$1 $2"), (rf"(^|{EDGE})(?:\d{{2}}\.){{6,}}\d{{2,}}(?:\.\d{{2,}}+(?=$|{EDGE}))*+($|{EDGE})", "$1 $2")])
+        row = replace_each(row, r"(?<![\p{L}\p{N}_])[A-ZÁÉÍÓÚÑ]{2,}(?:\s+[A-ZÁÉÍÓÚÑ]{2,}){1,4}(?![\p{L}\p{N}_])", lambda x: F.when(is_stamp_line(x), "").otherwise(x))
         row = strip(F.regexp_replace(row, r"\s{2,}", " "))
         return F.when(s == "", "").when(is_stamp_line(s) | (row == ""), F.lit(None)).otherwise(row)
 

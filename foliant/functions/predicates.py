@@ -10,8 +10,8 @@ from foliant.functions.text import WORD, normalize_whitespace, strip, strip_mark
 
 # Patterns of stamp and heading lines.
 STAMP_DATETIME = rf"(?:^|{EDGE})\d{{2}}/\d{{2}}/\d{{2}}\s+\d{{2}}:\d{{2}}:\d{{2}}(?:$|{EDGE})"
-DOTTED_SERIAL = rf"(?:^|{EDGE})(?:\d{{2}}\.){{6,}}\d{{2,}}(?:\.\d{{2,}})*(?:$|{EDGE})"
-HEX_CHAIN = rf"(?:^|{EDGE})(?:[0-9a-fA-F]{{2}}\s+){{12,}}[0-9a-fA-F]{{2}}(?:$|{EDGE})"
+DOTTED_SERIAL = rf"(?:^|{EDGE})(?:\d{{2}}\.){{6,}}\d{{2,}}(?:$|{EDGE})"
+HEX_CHAIN = rf"(?:^|{EDGE})(?:[0-9a-fA-F]{{2}}\s+){{12}}[0-9a-fA-F]{{2}}(?:$|{EDGE})"  # a test: a longer chain ends in one of these
 LEGAL_LINE = r"^(?:PRIMER|SEGUNDO|TERCER|CUARTO|QUINTO|SEXTO|AGRAVIO|RECURSO|AMPARO|R\s*E\s*S\s*U\s*E\s*L\s*V\s*E|FUENTE|REGISTRO\s+DIGITAL)"
 ORDINAL = rf"^(?:PRIMERO|SEGUNDO|TERCERO|CUARTO|QUINTO|SEXTO|S[EÉ]PTIMO|OCTAVO|NOVENO|D[EÉ]CIMO)(?:$|{EDGE})"
 CLAUSE = (

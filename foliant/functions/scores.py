@@ -12,7 +12,8 @@ QUALITY_CHARS = r"[a-zA-ZáéíóúÁÉÍÓÚñÑüÜ0-9\s,.;:!?()\"'\-/%$#@&]"
 VOWEL = "[aeiouáéíóúAEIOUÁÉÍÓÚ]"
 VOWEL_WIDE = "[aeiouáéíóúüAEIOUÁÉÍÓÚÜ]"
 ACCENT = "[áéíóúÁÉÍÓÚñÑ]"
-SPANISH_TOKEN = "[a-záéíóúñA-ZÁÉÍÓÚÑ]{3,}"
+SPANISH_LETTER = "[a-záéíóúñA-ZÁÉÍÓÚÑ]"
+WORD_CHAR = r"[\p{L}\p{N}_]"
 HEADER_KEYS = ("FECHA", "NOMBRE", "CONCEPTO", "PAGO", "IMPORTE", "PAGADO", "MONTO", "REAL", "ROBADO")
 PAYROLL_KEYS = ("FECHA", "NOMBRE", "CONCEPTO", "IMPORTE", "PAGO")
 HEADER_HINTS = "fecha|nombre|concepto|pago|importe|monto|cantidad|descripci[oó]n|precio|total"
@@ -30,38 +31,45 @@ def ratio(part: Column, total: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(part / total)
 
 
+# The scores below keep to plain functions of one expression, without branches or lambdas around it, so that generated
+# code works out the rewritten text once per row.
+
+
 def text_quality_score(text: Column) -> Column:
     """Of stripped Markdown: share of useful characters, length, words and lines; 0 to 165."""
     plain = strip_markdown_syntax(text)
     length = F.length(plain)
-    useful = F.regexp_count(plain, F.lit(QUALITY_CHARS)) / length * 55
+    useful = F.regexp_count(plain, F.lit(QUALITY_CHARS)) / F.greatest(length, F.lit(1)) * 55
     words = F.least(F.regexp_count(plain, F.lit(WORD)), F.lit(400)) / 10
-    lines = F.least(F.size(F.filter(F.split(plain, "\n", -1), lambda x: x.rlike(r"\S"))), F.lit(80)) / 4
-    return F.when(plain == "", F.lit(0.0)).otherwise(useful + F.least(length, F.lit(3000)) / 60 + words + lines)
+    lines = F.least(F.regexp_count(plain, F.lit(r"[^\n]*\S[^\n]*")), F.lit(80)) / 4
+    return useful + F.least(length, F.lit(3000)) / 60 + words + lines
+
+
+def share(text: Column, good: str, all_: str) -> Column:
+    """Matches of good for each match of all_, 0 without any."""
+    total = F.regexp_count(whole(text), F.lit(all_))
+    return F.regexp_count(whole(text), F.lit(good)) / F.greatest(total, F.lit(1))
 
 
 def token_vowel_ratio(text: Column) -> Column:
     """Share of runs of three or more Spanish letters that hold a vowel."""
-    tokens = F.regexp_extract_all(whole(text), F.lit(SPANISH_TOKEN), F.lit(0))
-    return ratio(F.size(F.filter(tokens, lambda t: t.rlike(VOWEL))), F.size(tokens))
+    return share(text, rf"(?={SPANISH_LETTER}*{VOWEL}){SPANISH_LETTER}{{3,}}", f"{SPANISH_LETTER}{{3,}}")
 
 
 def word_vowel_ratio(text: Column) -> Column:
     """Share of words that hold a vowel or have five characters."""
-    tokens = F.regexp_extract_all(whole(text), F.lit(WORD), F.lit(0))
-    return ratio(F.size(F.filter(tokens, lambda t: t.rlike(VOWEL_WIDE) | (F.length(t) >= 5))), F.size(tokens))
+    return share(text, rf"{WORD_CHAR}{{5,}}|{WORD_CHAR}*{VOWEL_WIDE}{WORD_CHAR}*", WORD)
 
 
 def word_accent_ratio(text: Column) -> Column:
     """Share of words that hold an accent or have four characters."""
-    tokens = F.regexp_extract_all(whole(text), F.lit(WORD), F.lit(0))
-    return ratio(F.size(F.filter(tokens, lambda t: t.rlike(ACCENT) | (F.length(t) >= 4))), F.size(tokens))
+    return share(text, rf"{WORD_CHAR}{{4,}}|{WORD_CHAR}*{ACCENT}{WORD_CHAR}*", WORD)
 
 
 def default_quality_score(text: Column) -> Column:
     plain = strip(F.regexp_replace(F.regexp_replace(whole(text), r"[#*|_>`\[\]()]", " "), r"\s+", " "))
     words = F.least(F.regexp_count(plain, F.lit(WORD)), F.lit(400)) / 10
-    return F.when(plain == "", F.lit(0.0)).otherwise(F.least(F.length(plain), F.lit(3000)) / 60 + words + word_accent_ratio(plain) * 20)
+    return F.least(F.length(plain), F.lit(3000)) / 60 + words + word_accent_ratio(plain) * 20
 
 
 def base64_char_ratio(text: Column) -> Column:

@@ -15,7 +15,7 @@ WORD = r"[\p{L}\p{N}_]+"
 NORMALIZE_STEPS = [("\r\n", "\n"), ("\r", "\n"), ("\f", "\n\n---\n\n"), (r"\n{3,}", "\n\n")]
 STRIP_STEPS = [
     (r"(?md)^#{1,6}\s+", ""), (r"(?md)^\s*[-*]\s+", ""), (r"(?md)^\s*\d+\.\s+", ""),
-    (r"(?md)^\s*\|?(?:\s*:?-+:?\s*\|)+\s*$", ""), (r"\|", " "), (r"\*\*", ""), ("__", ""), (r"\*", ""), ("_", ""),
+    (r"(?md)^\s*\|?(?:\s*:?-+:?\s*\|)++\s*$", ""), (r"\|", " "), (r"\*\*", ""), ("__", ""), (r"\*", ""), ("_", ""),
     (r"\[(.*?)\]\((.*?)\)", "$1"), (r"\n\s*---\s*\n", "\n\n"), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n"),
 ]
 
@@ -26,6 +26,11 @@ def rewrite(text: Column, steps: list[tuple[str, str]]) -> Column:
     return text
 
 
+def once(value: Column, body) -> Column:
+    """body(value), with value worked out once per row however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

@@ -13,19 +13,23 @@ LINES = r"""
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS raw FROM documents),
 """
 TAIL = "CASE line % 4 WHEN 1 THEN ' Sello digital del SAT: abc' WHEN 2 THEN ' 12345678901234567890 ||| [m1] ' WHEN 3 THEN ' 0a1b2c3d-0a1b-0a1b-0a1b-0a1b2c3d4e5f;' ELSE '' END"
+TAX = r"(?:objeto de (?:i|í|l|1)mpuesto:?\s*0?2\s*(?:s[iííl1]\s*objeto de impuesto\s*)+)+"
+RUNS = r"[A-Za-z0-9+/=]{48,}|(?:[A-Za-z0-9+/]{5,}\s+){3,}[A-Za-z0-9+/=]{5,}"
 TRIM = r"""'^[ |.,;:\-''"]+|[ |.,;:\-''"]+$'"""
 
 
 def sql_noise(x: str) -> str:
     """The steps of strip_inline_noise, on a column."""
     tails = sub(x, *((f"(?i){p}.*", "''") for p in C.SEAL_TAILS))
-    ids = sub(tails, (f"(?i){C.TAX_REPEAT}", "' '"), (C.UUID, r"'\1 \2'"), (C.SERIAL, r"'\1 \2'"))
+    ids = sub(tails, (f"(?i){TAX}", "' '"), (C.UUID, r"'\1 \2'"), (C.SERIAL, r"'\1 \2'"))
     return ids
 
 
 def sql_blobs(x: str) -> str:
-    found = rf"list_sort(list_transform(list_filter(list_distinct(regexp_extract_all({x}, '[A-Za-z0-9+/=]{{48,}}|(?:[A-Za-z0-9+/]{{5,}}\s+){{3,}}[A-Za-z0-9+/=]{{5,}}')), lambda c: length(regexp_replace(c, '\s+', '', 'g')) >= 36), lambda c: row(-length(c), c)))"
-    return f"list_reduce(list_prepend({x}, list_transform({found}, lambda c: c[2])), lambda a, c: replace(a, c, ' '))"
+    """Each run in its place: what stands between the runs, and the runs as blanks where they are long enough."""
+    found = rf"list_transform(regexp_extract_all({x}, '{RUNS}'), lambda c: CASE WHEN length(regexp_replace(c, '\s+', '', 'g')) >= 36 THEN ' ' ELSE c END)"
+    between = f"string_split(regexp_replace({x}, '{RUNS}', chr(1), 'g'), chr(1))"
+    return f"array_to_string(list_transform(list_zip({between}, {found}), lambda p: p[1] || coalesce(p[2], '')), '')"
 
 
 def sql_after(x: str) -> str:
