@@ -35,7 +35,7 @@ def table_words(words: DataFrame, min_conf: int = 15) -> DataFrame:
 def cluster_positions(points: DataFrame, keys: list[str], position: str, min_gap: int) -> DataFrame:
     """Sorted positions split where a gap is wider than min_gap: keys, cluster (from 0), centre (integer mean), size."""
     w = Window.partitionBy(*keys).orderBy(position)
-    new = F.when(F.col(position) - F.lag(position).over(w) <= min_gap, 0).otherwise(1)
+    new = F.when(F.col(position) - F.lag(position).over(w) <= min_gap, 0).otherwise(1)  # min_gap: a number or a column
     islands = points.withColumn("_new", new).withColumn("cluster", (F.sum("_new").over(w) - 1).cast("int"))
     return islands.groupBy(*keys, "cluster").agg(F.floor(F.sum(position) / F.count("*")).alias("centre"), F.count("*").alias("size"))
 
