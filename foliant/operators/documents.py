@@ -99,20 +99,20 @@ def lines_not_in(lines: DataFrame, main: DataFrame, line: str, main_key: str, ma
     """Distinct lines (lower case, two characters or more) that no text of main holds, by the anti-substring rule.
 
     A line goes if a text holds it, or, up to `longest` characters, any of its grams at every `stride`-th place.
-    Texts are indexed by their grams at every place, so the candidates come from an equi-join on grams, not from all
-    pairs; lines shorter than a gram meet the grams' prefixes of their own length.
+    Texts are indexed by their grams at every place (shorter at the end), so the candidates come from an equi-join on
+    grams, not from all pairs; lines shorter than a gram meet the grams' prefixes of their own length. Grams carry a
+    hash of their text; only texts that a long line's first gram is found in are looked at again.
     """
     keys = lines.select(F.lower(strip(F.col(line))).alias("key")).where(F.length("key") >= 2).distinct()
-    texts = main.select(F.lower(F.col(main_text)).alias("t")).where("t IS NOT NULL")
+    texts = main.select(F.lower(F.col(main_text)).alias("t")).where("t <> ''").distinct().withColumn("tid", F.xxhash64("t"))
     n = F.length("key")
     probes = keys.where(n >= gram).select("key", F.explode(F.transform(
         F.sequence(F.lit(1), F.when(n <= longest, n - gram + 1).otherwise(F.lit(1)), F.lit(stride)), lambda i: F.substr("key", i, F.lit(gram)))).alias("g"))
-    grams = texts.where(F.length("t") >= gram).select("t", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - gram + 1), lambda i: F.substr("t", i, F.lit(gram)))).alias("g"))
+    grams = texts.select("tid", F.explode(F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.substr("t", i, F.lit(gram)))).alias("g")).distinct()
     short_hits = probes.where(F.length("key") <= longest).join(grams.select("g").distinct(), "g", "left_semi").select("key")
-    long_hits = probes.where(F.length("key") > longest).join(grams.distinct(), "g").where(F.contains("t", "key")).select("key")
-    lengths = [r["n"] for r in keys.where(n < gram).select(n.alias("n")).distinct().collect()]  # at most gram - 2 values
-    tiny = keys.where(F.lit(False))
-    for k in lengths:
-        pieces = texts.where(F.length("t") >= k).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - k + 1), lambda i: F.substr("t", i, F.lit(k)))).alias("key")).distinct()
-        tiny = tiny.union(keys.where(n == k).join(pieces, "key", "left_semi"))
+    near = probes.where(F.length("key") > longest).join(grams, "g").select("key", "tid").distinct()
+    long_hits = near.join(texts, "tid").where(F.contains("t", "key")).select("key")
+    lengths = F.sequence(F.lit(2), F.lit(gram - 1))
+    pieces = grams.select("g").distinct().select(F.explode(F.transform(F.filter(lengths, lambda k: k <= F.length("g")), lambda k: F.substr("g", F.lit(1), k))).alias("key")).distinct()
+    tiny = keys.where(n < gram).join(pieces, "key", "left_semi")
     return keys.join(short_hits.union(long_hits).union(tiny).distinct(), "key", "left_anti")

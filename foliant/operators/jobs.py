@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant.functions.text import strip
+
 TERMINAL = ("completed", "failed", "cancelled")
 ACTIVE = ("queued", "processing", "paused")
 # What a user may do in which state, and what becomes of it.
@@ -50,7 +52,7 @@ def sync_batches(batches: DataFrame, parts: DataFrame, states: DataFrame) -> Dat
 def merge_batches(batches: DataFrame, parts: DataFrame, outputs: DataFrame) -> DataFrame:
     """Completed parts' outputs (job_id, markdown) under a title, in order of page_from; batches without any have no row."""
     done = parts.where("status = 'completed'").join(outputs, "job_id").groupBy("batch_id").agg(
-        F.sort_array(F.collect_list(F.struct("page_from", "page_to", "job_id", F.trim("markdown").alias("m")))).alias("ps")
+        F.sort_array(F.collect_list(F.struct("page_from", "page_to", "job_id", strip(F.col("markdown")).alias("m")))).alias("ps")
     )
     stem = F.regexp_replace(F.col("source_filename"), r"\.[^.]+$", "")
     head = F.concat(F.lit("# "), stem, F.lit("\n\n\n> Documento completo por partes — "), F.col("total_pages").cast("string"), F.lit(" páginas en el PDF original.\n"))
@@ -85,7 +87,8 @@ def queue_positions(states: DataFrame, job: str, enqueued: str) -> DataFrame:
     """
     waiting = states.where(F.col("status").isin("queued", "paused")).withColumn("_day", F.to_date(enqueued))
     days = waiting.groupBy("_day").agg(F.count("*").alias("_c"))
-    before = days.alias("a").join(days.alias("b"), F.col("b._day") < F.col("a._day"), "left").groupBy("a._day").agg(F.coalesce(F.sum("b._c"), F.lit(0)).alias("_before"))  # a row a day
+    earlier = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    before = days.select("_day", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))  # a row a day
     running = states.agg((F.count_if(F.col("status") == "processing") > 0).cast("int").alias("_busy"))
     inside = F.row_number().over(Window.partitionBy("_day").orderBy(enqueued, job))
     numbered = waiting.withColumn("_n", inside).join(before, "_day").crossJoin(F.broadcast(running))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,21 +57,29 @@ def cluster_rows(words: DataFrame, page: str = "page_id") -> DataFrame:
     """Rows of a page: words in order of (cy, left) join the current row if they are near its running mean.
 
     The tolerance is 0.55 of the mean height of the page's words, 10 at least (14 without heights). A running mean that
-    starts anew is no window: a page's words are folded in one array. Returns page, row (from 0), pos, left, cy, text.
+    starts anew is no window: rows stream in order of page, cy and left, and only the current row's sum is held.
+    Returns page, row (from 0), pos, left, cy, text.
     """
-    one = F.struct("cy", "left", "pos", "height", "text")
-    pages = words.groupBy(page).agg(F.sort_array(F.collect_list(one)).alias("ws"), F.avg(F.when(F.col("height") > 0, F.col("height"))).alias("h"))
-    pages = pages.withColumn("tol", F.greatest(F.lit(10.0), F.coalesce(F.col("h") * 0.55, F.lit(14.0))))
-    start = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("rows"))
-
-    def step(a, w):
-        near = (a["n"] > 0) & (F.abs(w["cy"] - a["sum"] / a["n"]) <= F.col("tol"))
-        row = F.when(near, a["row"]).otherwise(a["row"] + 1)
-        return F.struct(row.alias("row"), F.when(near, a["sum"] + w["cy"]).otherwise(w["cy"]).alias("sum"), F.when(near, a["n"] + 1).otherwise(1).alias("n"), F.concat(a["rows"], F.array(row)).alias("rows"))
-
-    folded = pages.select(page, "ws", F.aggregate("ws", start, step)["rows"].alias("rows"))
-    zipped = folded.select(page, F.explode(F.arrays_zip("ws", "rows")).alias("x"))
-    return zipped.select(page, F.col("x.rows").alias("row"), "x.ws.pos", "x.ws.left", "x.ws.cy", "x.ws.text")
+    tall = words.groupBy(page).agg(F.avg(F.when(F.col("height") > 0, F.col("height"))).alias("_h"))
+    known = words.select(page, "pos", "left", "cy", "text").join(tall, page).withColumn("_tol", F.greatest(F.lit(10.0), F.coalesce(F.col("_h") * 0.55, F.lit(14.0)))).drop("_h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, row, total, n = object(), 0, 0.0, 0
+        for batch in batches:
+            rows = []
+            for p, cy, tol in zip(*(batch.column(c).to_pylist() for c in (0, 3, 5))):
+                if p != now:
+                    now, row, total, n = p, 0, cy, 1
+                elif abs(cy - total / n) <= tol:
+                    total, n = total + cy, n + 1
+                else:
+                    row, total, n = row + 1, cy, 1
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.int32()), *(batch.column(c) for c in (1, 2, 3, 4))], names=[page, "row", "pos", "left", "cy", "text"])
+
+    kinds = dict(known.dtypes)
+    ordered = known.select(page, "pos", "left", F.col("cy").cast("double"), "text", F.col("_tol").cast("double")).repartition(page).sortWithinPartitions(page, "cy", "left", "pos")
+    return ordered.mapInArrow(run, f"`{page}` {kinds[page]}, row int, pos {kinds['pos']}, left {kinds['left']}, cy double, text string")
 
 
 def assign_columns(words: DataFrame, bounds: list[float]) -> DataFrame:

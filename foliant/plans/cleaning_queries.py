@@ -6,7 +6,11 @@ from pyspark.sql import functions as F
 
 from foliant.functions import chatter as K
 from foliant.functions import cleaning as C
+from foliant.functions import predicates as P
+from foliant.functions import scores as S
+from foliant.functions import text as T
 from foliant.operators import documents, layout
+from foliant.plans import cleaning_sql as Q
 from foliant.plans.queries import NL, query, sql_count, sql_has, sql_normalize, sql_plain, sql_strip, sub, table
 
 LINES = r"""
@@ -73,23 +77,52 @@ def gibberish_lines(spark, sf_dir):
     return lines.select("doc_id", "line", C.is_stamp_gibberish(F.col("raw")).alias("gibberish"))
 
 
-@query()
+def sql_denoised(table: str, column: str, result: str) -> str:
+    """Tables that add strip_inline_noise of a column, step by step."""
+    return f"""{result}1 AS (SELECT *, {sql_noise(column)} AS _n FROM {table}), {result}2 AS (SELECT * EXCLUDE (_n), {sql_blobs('_n')} AS _b FROM {result}1), {result}3 AS (SELECT * EXCLUDE (_b), {sql_after('_b')} AS {result} FROM {result}2)"""
+
+
+STEPS = f"{sql_denoised('s', 's', 'c')}, {sql_denoised('c3', 'c', 'r')}"
+
+
+@query(LINES + f"s AS (SELECT doc_id, line, {sql_strip('raw')} AS s FROM l), {STEPS} SELECT doc_id, line, {Q.cleaned_line()} AS cleaned FROM r3")
 def cleaned_lines(spark, sf_dir):
-    """The whole line cleaner; a tree of some fifty tests, held to a branch table instead of SQL."""
+    """The whole line cleaner."""
     lines = documents.lines_of(table(spark, sf_dir, "documents"), "doc_id", "text")
     return C.clean_lines(lines, "raw").select("doc_id", "line", "cleaned")
 
 
-@query()
+@query(rf"""
+WITH b AS (SELECT doc_id, {sql_blobs(sql_strip("regexp_replace(text, '(?is)" + chr(92) + "n##" + chr(92) + "s+Firmas," + chr(92) + "s+sellos" + chr(92) + "s+y" + chr(92) + "s+anotaciones.*', '')"))} AS t FROM documents),
+l AS (SELECT doc_id, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS line, unnest(string_split(t, chr(10))) AS raw FROM b), s AS (SELECT doc_id, line, {sql_strip('raw')} AS s FROM l), {STEPS},
+k AS (SELECT doc_id, line, {Q.cleaned_line()} AS cleaned FROM r3), f AS (SELECT *, line - coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY line), -1) - 1 AS skipped FROM k WHERE cleaned IS NOT NULL),
+j AS (SELECT doc_id, string_agg(CASE WHEN skipped >= 10 THEN chr(10) || '> Sello o timbre omitido.' || chr(10) || chr(10) ELSE '' END || cleaned, chr(10) ORDER BY line) AS t FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce({sql_normalize('t')}, '') AS markdown FROM documents d LEFT JOIN j USING (doc_id)
+""")
 def sanitized_documents(spark, sf_dir):
     """Documents cleaned line by line and joined again, with notes where many lines went."""
     return C.sanitize_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-@query()
+STAMPED = "CASE line % 5 WHEN 1 THEN ' NOTARIA PUBLICA FIRMA REGISTRADA SELLADA DOS MAS' WHEN 2 THEN ' 12/12/20 10:10:10 x' WHEN 3 THEN ' JUAN DE LA CRUZ, 12.34.56.78.90.12.34.56' ELSE '' END"
+
+
+def _stamped(spark, sf_dir):
+    """Texts with stamps at the ends of lines."""
+    k = F.col("line") % 5
+    tail = F.when(k == 1, " NOTARIA PUBLICA FIRMA REGISTRADA SELLADA DOS MAS").when(k == 2, " 12/12/20 10:10:10 x").when(k == 3, " JUAN DE LA CRUZ, 12.34.56.78.90.12.34.56").otherwise("")
+    lines = documents.lines_of(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "line", F.concat("raw", tail).alias("t"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]), "\n")
+    return lines.groupBy("doc_id").agg(joined.alias("x"))
+
+
+STAMPED_TEXTS = LINES + f"x AS (SELECT doc_id, string_agg(raw || {STAMPED}, chr(10) ORDER BY line) AS x FROM l GROUP BY doc_id)"
+
+
+@query(STAMPED_TEXTS + f", {Q.watermark_free('x', 'doc_id', 'x')} SELECT doc_id, {Q.digital_text('t')} AS text FROM free")
 def watermark_free(spark, sf_dir):
-    """Texts without stamps; runs of capitals need look-behind, which the SQL engine's patterns lack."""
-    return table(spark, sf_dir, "documents").select("doc_id", C.normalize_digital_text(F.col("text")).alias("text"))
+    """Texts without stamps."""
+    return _stamped(spark, sf_dir).select("doc_id", C.normalize_digital_text(F.col("x")).alias("text"))
 
 
 @query(rf"""
@@ -118,10 +151,32 @@ def evidence_summary(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", C.summarize_evidence(x).alias("summary"))
 
 
-@query()
+PARAGRAPHED = r"regexp_replace(text, '\n', chr(10) || chr(10), 'g') || chr(10) || chr(10) || '1) uno' || chr(10) || '2. dos' || chr(10) || chr(10) || '• a' || chr(10) || chr(10) || '2) solo' || chr(10) || chr(10) || 'OBJETO:' || chr(10) || chr(10) || 'PRIMERO. Nada'"
+NUMBER, BULLET = r"^\d+[.)]\s+", r"^[-•*]\s+"
+
+
+def sql_block(ls: str) -> str:
+    """A paragraph's lines to Markdown."""
+    number, bullet = "regexp_replace({}, '^(\\d+)[.)]\\s+', '\\1. ')", "'- ' || regexp_replace({}, '^[-•*]\\s+', '')"
+    every = lambda p: f"len(list_filter({ls}, lambda y: regexp_matches(y, '{p}'))) = len({ls})"
+    one = f"CASE WHEN {Q.heading_line(f'{ls}[1]')} THEN '## ' || {sql_strip(f"regexp_replace({ls}[1], ':+$', '')")} WHEN regexp_matches({ls}[1], '{NUMBER}') THEN {number.format(f'{ls}[1]')} WHEN regexp_matches({ls}[1], '{BULLET}') THEN {bullet.format(f'{ls}[1]')} ELSE {ls}[1] END"
+    many = f"CASE WHEN {every(NUMBER)} THEN array_to_string(list_transform({ls}, lambda y: {number.format('y')}), {NL} || {NL}) WHEN {every(BULLET)} THEN array_to_string(list_transform({ls}, lambda y: {bullet.format('y')}), {NL} || {NL}) ELSE array_to_string({ls}, {NL}) END"
+    return f"CASE WHEN len({ls}) = 1 THEN {one} ELSE {many} END"
+
+
+MARKDOWN = r"(?m)^#{1,6}\s|^\|.+\||^\s*[-*]\s+\S|^\d+\.\s+\S"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {sql_strip(f"replace(replace({PARAGRAPHED}, chr(13) || chr(10), chr(10)), chr(13), chr(10))")} AS b FROM documents),
+e AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {sub('b', (r'(?m)^' + chr(92) + 's*(#|' + chr(92) + '||[-*]|' + chr(92) + 'd+' + chr(92) + '.)', chr(39) + 'x' + chr(39)))} ELSE b END AS b FROM d),
+f AS (SELECT doc_id, {sql_strip('b')} AS b FROM e)
+SELECT doc_id, CASE WHEN regexp_matches(b, '{MARKDOWN}') THEN {sql_normalize('b')} ELSE {sql_normalize(f"array_to_string(list_transform({Q.paragraphs('b')}, lambda p: {sql_block('p')}), {NL} || {NL})")} END AS markdown FROM f
+""")
 def structured_text(spark, sf_dir):
-    """Paragraphs to Markdown; held to a branch table and to its own fixed point."""
-    x = F.concat(F.regexp_replace("text", "\n", "\n\n"), F.lit("\n\n1) uno\n2. dos\n\n• a\n\nOBJETO:\n\nPRIMERO. Nada"))
+    """Paragraphs to Markdown; every second text keeps lines that are Markdown already."""
+    x = T.strip(T.rewrite(F.concat(F.regexp_replace("text", "\n", "\n\n"), F.lit("\n\n1) uno\n2. dos\n\n• a\n\n2) solo\n\nOBJETO:\n\nPRIMERO. Nada")), [("\r\n", "\n"), ("\r", "\n")]))
+    x = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace(x, r"(?md)^\s*(#|\||[-*]|\d+\.)", "x")).otherwise(x)
     return table(spark, sf_dir, "documents").select("doc_id", C.structure_markdown(x).alias("markdown"))
 
 
@@ -149,15 +204,37 @@ def chatter_free(spark, sf_dir):
     return d.select("doc_id", K.strip_chatter(t).alias("inner_text"), K.meta_lines(t).alias("talk"), K.refuses(t).alias("refuses"))
 
 
-@query()
+PIPED = "text || chr(10) || '| x | ~ | . | , | ; | : | a |' || chr(10) || '|---|' || chr(10) || 'fin' || chr(10) || '| fecha | total |' || chr(10) || '| --- | --- |' || chr(10) || '| 01/02/2020 | $ 5 |'"
+PIPES = r"regexp_replace({}, '^\|+|\|+$', '', 'g')"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, {PIPED} AS x FROM documents), l AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS raw FROM (SELECT doc_id, string_split(regexp_replace(x, '\n\z', ''), chr(10)) AS ls FROM d)),
+p AS (SELECT *, {sql_strip('raw')} LIKE '|%' AS p FROM l), o AS (SELECT *, sum(CASE WHEN p AND before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM (SELECT *, coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY i), false) AS before FROM p)),
+b AS (SELECT doc_id, island, p, list(raw ORDER BY i) AS rows, string_agg(raw, chr(10) ORDER BY i) AS t FROM o GROUP BY ALL),
+q AS (SELECT *, list_filter(rows, lambda y: NOT contains(y, '---')) AS body, length(rows[1]) - length(replace(rows[1], '|', '')) - 1 AS cols, {sql_has('t', S.HEADER_HINTS)} AS hint, regexp_matches(t, '{S.DATE_CELL}') AS dates, regexp_matches(t, '{S.MONEY_CELL}') AS money, upper(t) AS up FROM b WHERE p),
+c AS (SELECT *, list_transform(body, lambda y: list_transform(string_split({PIPES.format(sql_strip('y'))}, '|'), lambda z: {sql_strip('z')})) AS cells, length(body[1]) - length(replace(body[1], '|', '')) - 1 AS first FROM q),
+f AS (SELECT *, len(flatten(cells)) AS n, list_filter(flatten(cells), lambda z: z <> '') AS fullc,
+  contains(up, 'FECHA') AND contains(up, 'NOMBRE') AND contains(up, 'CONCEPTO') AND (dates OR money OR contains(up, 'IMPORTE') OR contains(up, 'PAGO')) AND coalesce(first, 0) BETWEEN 3 AND 10 AS payroll FROM c),
+g AS (SELECT *, len(list_filter(fullc, lambda z: length(z) >= 2 AND NOT ((length(z) <= 2 AND NOT regexp_matches(z, '^[0-9]+$')) OR {sql_count('z', r'[\p{L}\p{N}$.,/-]')} / length(z) < 0.45 OR regexp_matches(z, '^(?:[^\p{{L}}\p{{N}}_]|_){{1,4}}$')))) AS good FROM f),
+h AS (SELECT *, CASE WHEN len(rows) < 3 OR len(fullc) = 0 OR (cols > 8 AND 1 - len(fullc) / greatest(n, 1) > 0.35) THEN 0.0 ELSE least(1.0, good / len(fullc) + 0.15 * dates::INT + 0.15 * money::INT + 0.1 * hint::INT) END AS quality FROM g),
+s AS (SELECT *, CASE WHEN len(rows) < 3 OR (cols > 10 AND NOT payroll) OR quality < 0.28 THEN 0.0 ELSE least(CASE WHEN cols > 8 AND NOT payroll THEN 12.0 ELSE 1e9 END, least(len(rows), 80) * 0.8 * quality + 24 * quality * hint::INT + 18 * dates::INT + 22 * money::INT + CASE WHEN cols BETWEEN 4 AND 9 THEN 12 WHEN cols > 10 THEN -18 ELSE 0 END) END AS score,
+  list_filter(list_transform(cells, lambda r: array_to_string(list_filter(r, lambda z: z <> ''), ' ')), lambda r: r <> '') AS flat FROM h),
+k AS (SELECT doc_id, island, CASE WHEN (payroll AND cols <= 10) OR (cols <= 5 AND quality >= 0.48) OR (cols <= 4 AND score >= 35) THEN t || chr(10) WHEN len(flat) = 0 THEN '' ELSE array_to_string(flat, chr(10)) || chr(10) END AS x FROM s UNION ALL SELECT doc_id, island, t FROM b WHERE NOT p)
+SELECT doc_id, {sql_strip(sub("string_agg(x, chr(10) ORDER BY island)", (r'\n{3,}', f"{NL} || {NL}")))} AS markdown FROM k GROUP BY doc_id
+""")
 def flattened_tables(spark, sf_dir):
-    """Pipe blocks that are no good tables, as text; held to a branch table."""
+    """Pipe blocks that are no good tables, as text."""
     t = F.concat("text", F.lit("\n| x | ~ | . | , | ; | : | a |\n|---|\nfin\n| fecha | total |\n| --- | --- |\n| 01/02/2020 | $ 5 |"))
     return layout.flatten_tables(table(spark, sf_dir, "documents").select("doc_id", t.alias("x")), "doc_id", "x")
 
 
-@query()
+@query(STAMPED_TEXTS + rf""", y AS (SELECT doc_id, replace(x, chr(10), chr(10) || chr(10)) || chr(10) || chr(10) || 'OBJETO:' || chr(10) || chr(10) || 'PRIMERO. Nada' || chr(10) || 'dos' AS z FROM x), {Q.watermark_free('y', 'doc_id', 'z')},
+p AS (SELECT doc_id, list_transform({Q.paragraphs('t')}, lambda ls: CASE WHEN len(ls) > 1 THEN array_to_string(ls, ' ') WHEN regexp_matches(ls[1], '(?i){P.ORDINAL}') OR regexp_matches(ls[1], '(?i){P.CLAUSE}') OR (regexp_matches(ls[1], '\p{{Lu}}') AND NOT regexp_matches(ls[1], '\p{{Ll}}') AND length(ls[1]) <= 42
+  AND length(regexp_replace(ls[1], ':+$', '')) - length(replace(regexp_replace(ls[1], ':+$', ''), ' ', '')) <= 4 AND NOT {sql_has('ls[1]', P.SENTENCE)}) THEN '## ' || {sql_strip("regexp_replace(ls[1], ':+$', '')")} ELSE ls[1] END) AS ps FROM free)
+SELECT doc_id, {sql_normalize(f"array_to_string(ps, {NL} || {NL})")} AS markdown FROM p
+""")
 def polished_paragraphs(spark, sf_dir):
-    """Paragraphs on a line each; held to a branch table."""
-    x = F.concat(F.regexp_replace("text", "\n", "\n\n"), F.lit("\n\nOBJETO:\n\nPRIMERO. Nada"))
-    return table(spark, sf_dir, "documents").select("doc_id", C.polish_paragraphs(x).alias("markdown"))
+    """Paragraphs on a line each."""
+    x = F.concat(F.regexp_replace("x", "\n", "\n\n"), F.lit("\n\nOBJETO:\n\nPRIMERO. Nada\ndos"))
+    return _stamped(spark, sf_dir).select("doc_id", C.polish_paragraphs(x).alias("markdown"))

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions import tables as T
-from foliant.operators import assembly, control, tables
-from foliant.plans.queries import COMPRESSED, QUALITY_SQL, SECTIONED, SECTIONS, STATES, _sectioned, _states, _stream, events_of, query, sql_plain, sql_strip, table
+from foliant.functions.predicates import runs_async
+from foliant.functions.scores import HEADER_KEYS, header_hits
+from foliant.functions.text import normalize_wide_cell
+from foliant.operators import assembly, candidates, control, jobs, tables
+from foliant.plans.queries import COMPRESSED, NL, QUALITY_SQL, SECTIONED, SECTIONS, STATES, _sectioned, _states, _stream, events_of, query, sql_plain, sql_strip, sub, table
 from foliant.streaming import jobs as streams
 
+SPACE = "' '"
 COMMAND = {"signup": "enqueue", "view": "start", "purchase": "complete"}
 
 
@@ -308,3 +312,65 @@ def edited_markdown(spark, sf_dir):
     d, none = F.col("doc_id"), F.array().cast("array<string>")
     keep = F.when(d % 2 == 0, F.array(F.lit("0"), F.lit("2"))).otherwise(none)
     return assembly.edit(table(spark, sf_dir, "documents").select("doc_id", _sectioned().alias("x")), "doc_id", "x", keep, d % 5 < 2)
+
+
+# smaller operators
+
+
+@query("""
+WITH b AS (SELECT c_custkey % 40 AS batch_id, c_custkey AS job_id, (c_custkey // 40)::INT * 10 AS a, c_custkey % 3 = 0 AS done FROM customer)
+SELECT batch_id, job_id, 'libro' || batch_id || '_p' || (a + 1) || '-' || (a + 10) || ext AS arcname FROM b, (VALUES ('.md'), ('.txt')) t(ext) WHERE done
+""")
+def batch_archives(spark, sf_dir):
+    k = F.col("c_custkey")
+    first = (k / 40).cast("int") * 10
+    parts = table(spark, sf_dir, "customer").select((k % 40).alias("batch_id"), k.alias("job_id"), (first + 1).alias("page_from"), (first + 10).alias("page_to"), F.when(k % 3 == 0, "completed").otherwise("queued").alias("status"))
+    return jobs.zip_manifest(parts.select("batch_id").distinct().withColumn("source_filename", F.concat(F.lit("libro"), "batch_id", F.lit(".pdf"))), parts)
+
+
+@query("""
+WITH p AS (SELECT o_custkey AS batch_id, (o_orderkey % 4)::INT AS page_from, (o_orderkey % 4)::INT + 9 AS page_to, o_orderkey AS job_id FROM orders), k AS (SELECT *, row_number() OVER (PARTITION BY batch_id, page_from, page_to ORDER BY job_id DESC) AS n FROM p)
+SELECT batch_id, page_from, page_to, job_id, (row_number() OVER (PARTITION BY batch_id ORDER BY page_from, page_to))::INT AS position FROM k WHERE n = 1
+""")
+def replaced_parts(spark, sf_dir):
+    k = F.col("o_orderkey")
+    parts = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("batch_id"), (k % 4).cast("int").alias("page_from"), ((k % 4).cast("int") + 9).alias("page_to"), k.alias("job_id"))
+    return jobs.replace_parts(parts, "job_id")
+
+
+@query("""
+SELECT l_orderkey AS page_id, l_returnflag AS variant, coalesce(avg(CASE WHEN l_quantity - 2 <> -1 THEN l_quantity - 2 END), 55.0) AS confidence, max(l_linenumber)::DOUBLE + 1.35 * coalesce(avg(CASE WHEN l_quantity - 2 <> -1 THEN l_quantity - 2 END), 55.0) AS score
+FROM lineitem GROUP BY ALL
+""")
+def candidate_scores(spark, sf_dir):
+    words = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_returnflag").alias("variant"), (F.col("l_quantity") - 2).alias("conf"), F.col("l_linenumber").cast("double").alias("quality"))
+    return candidates.candidate_scores(words, ["page_id", "variant"], "conf", "quality").drop("quality")
+
+
+@query("SELECT l_orderkey AS page_id, arg_min(l_linestatus, l_linenumber) AS mode, min(l_linenumber) AS priority FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM (SELECT l_orderkey, l_linenumber, min(l_linestatus) AS l_linestatus, bool_or(l_quantity > 20) AS ok FROM lineitem GROUP BY ALL)) WHERE ok GROUP BY l_orderkey")
+def first_accepted(spark, sf_dir):
+    readings = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("priority")).agg(F.min("l_linestatus").alias("mode"), F.bool_or(F.col("l_quantity") > 20).alias("ok"))
+    return candidates.first_accepted(readings, "page_id", "priority", "ok", "mode")
+
+
+@query("""
+WITH p AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'digital' WHEN 1 THEN 'both' ELSE 'ocr' END AS route, 'm' || doc_id AS m, CASE WHEN doc_id % 4 > 0 THEN upper(lang) END AS t, CASE WHEN doc_id % 5 = 0 THEN '| a |' END AS tb FROM documents)
+SELECT doc_id, route, concat_ws(chr(10) || chr(10), CASE route WHEN 'digital' THEN m WHEN 'both' THEN concat_ws(chr(10) || chr(10), m, t) ELSE coalesce(t, m) END, tb) AS markdown FROM p
+""")
+def page_plans(spark, sf_dir):
+    d = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents")
+    pages = docs.select("doc_id", F.when(d % 3 == 0, "digital").when(d % 3 == 1, "both").otherwise("ocr").alias("route"), F.concat(F.lit("m"), d.cast("string")).alias("markdown"))
+    readings = docs.where(d % 4 > 0).select("doc_id", F.upper("lang").alias("text"))
+    return jobs.page_plan(pages, readings, docs.where(d % 5 == 0).select("doc_id", F.lit("| a |").alias("table")), ["doc_id"])
+
+
+@query(rf"""
+SELECT doc_id, ({' + '.join(f"contains(upper(replace(text, 'ß', 'ss') || ' Fecha ' || lang), '{k}')::INT" for k in HEADER_KEYS)})::INT AS hits, n_chars >= 15 * 1024 * 1024 OR (doc_id % 2 = 0 AND doc_id % 90 >= 35) AS async,
+  {sql_strip(f"replace(regexp_replace({sql_strip(sub('replace(text, chr(160), chr(32))', ('[ ' + chr(92) + 't]+', SPACE), (chr(92) + 'n{3,}', NL + ' || ' + NL)))}, chr(10), ' ', 'g'), '|', '/')")} AS cell FROM documents
+""")
+def small_rules(spark, sf_dir):
+    d = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", header_hits(F.concat(F.replace("text", F.lit("ß"), F.lit("ss")), F.lit(" Fecha "), "lang")).alias("hits"), runs_async(F.col("n_chars"), d % 90, d % 2 == 0).alias("async"), normalize_wide_cell(F.col("text")).alias("cell"),
+    )

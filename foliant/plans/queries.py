@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from foliant.functions import predicates as P
 from foliant.functions import scores as S
 from foliant.functions import text as T
 from foliant.operators import candidates, documents, jobs, layout, ranges
+from foliant.sources.folders import shared_dir
 from foliant.streaming import jobs as streams
 
 QUERIES: dict = {}
@@ -217,7 +217,7 @@ def page_kinds(spark, sf_dir):
 
 
 @query(rf"""
-WITH d AS (SELECT doc_id, (doc_id % 10) / 10 AS cov, (doc_id % 5)::INT AS blocks, text[1:(doc_id * 37 % 600)] AS raw, text FROM documents),
+WITH d AS (SELECT doc_id, (doc_id % 10) / 10 AS cov, (doc_id % 5)::INT AS blocks, CASE doc_id % 4 WHEN 0 THEN regexp_replace(text, '[a-z]', '', 'g') WHEN 1 THEN regexp_replace(text, '[^A-Z]', '', 'g') ELSE text END AS raw, text FROM documents),
 e AS (SELECT *, length({sql_strip(sub("replace(raw, chr(160), ' ')", (r"[ \t]+", "' '"), (r"\n{3,}", f"{NL} || {NL}")))}) AS n, length({sql_plain('text')}) AS p,
       regexp_extract_all({sql_strip(sub("replace(raw, chr(160), ' ')", (r"[ \t]+", "' '"), (r"\n{3,}", f"{NL} || {NL}")))}, '[a-záéíóúñA-ZÁÉÍÓÚÑ]{{3,}}') AS a FROM d),
 f AS (SELECT *, cov >= 0.52 OR (cov >= 0.38 AND blocks <= 3 AND n < 250) OR (cov >= 0.22 AND n < 36) AS scan, CASE WHEN len(a) = 0 THEN 0 ELSE len(list_filter(a, lambda t: regexp_matches(t, '[aeiouáéíóúAEIOUÁÉÍÓÚ]'))) / len(a) END AS r FROM e),
@@ -225,7 +225,9 @@ g AS (SELECT *, NOT scan AND p >= 72 AND n >= 48 AND ((blocks >= 3 AND r >= 0.28
 SELECT doc_id, scan, CASE WHEN ok AND cov >= 0.28 THEN 'both' WHEN ok THEN 'digital' ELSE 'ocr' END AS route, least(100, greatest(36, greatest(blocks, 1) * 18)) AS least_chars FROM g
 """)
 def page_routes(spark, sf_dir):
-    cov, blocks, raw = F.col("doc_id") % 10 / 10, (F.col("doc_id") % 5).cast("int"), F.substr("text", F.lit(1), (F.col("doc_id") * 37 % 600).cast("int"))
+    d = F.col("doc_id")
+    raw = F.when(d % 4 == 0, F.regexp_replace("text", "[a-z]", "")).when(d % 4 == 1, F.regexp_replace("text", "[^A-Z]", "")).otherwise(F.col("text"))
+    cov, blocks = d % 10 / 10, (d % 5).cast("int")
     return table(spark, sf_dir, "documents").select(
         "doc_id", P.is_scan_dominant(cov, blocks, raw).alias("scan"), P.page_route(cov, blocks, raw, F.col("text")).alias("route"), S.minimum_pdf_text_chars(blocks).alias("least_chars")
     )
@@ -322,7 +324,7 @@ def page_specs(spark, sf_dir):
 
 
 READINGS = r"""
-WITH v AS (SELECT doc_id, unnest([{'o': 0, 'p': 'alpha', 't': text}, {'o': 1, 'p': 'beta', 't': upper(replace(text, 'ß', 'ss'))}, {'o': 2, 'p': 'gamma', 't': text[1:(doc_id % 300)]}]) AS u FROM documents),
+WITH v AS (SELECT doc_id, unnest([{'o': 0, 'p': 'alpha', 't': text}, {'o': 1, 'p': 'beta', 't': upper(replace(text, 'ß', 'ss'))}, {'o': 2, 'p': 'gamma', 't': regexp_replace(text, '[aeiou]+', '', 'g')}]) AS u FROM documents),
 w AS (SELECT doc_id, u.o AS ordinal, u.p AS provider, u.t AS text FROM v)
 """
 
@@ -330,7 +332,7 @@ w AS (SELECT doc_id, u.o AS ordinal, u.p AS provider, u.t AS text FROM v)
 def _readings(spark, sf_dir):
     one = lambda o, p, t: F.struct(F.lit(o).alias("ordinal"), F.lit(p).alias("provider"), t.alias("text"))
     t = F.col("text")
-    u = F.explode(F.array(one(0, "alpha", t), one(1, "beta", F.upper(F.replace(t, F.lit("ß"), F.lit("ss")))), one(2, "gamma", F.substr(t, F.lit(1), (F.col("doc_id") % 300).cast("int")))))
+    u = F.explode(F.array(one(0, "alpha", t), one(1, "beta", F.upper(F.replace(t, F.lit("ß"), F.lit("ss")))), one(2, "gamma", F.regexp_replace(t, "[aeiou]+", ""))))
     return table(spark, sf_dir, "documents").select("doc_id", u.alias("u")).select("doc_id", "u.*")
 
 
@@ -404,13 +406,13 @@ def assign_columns(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT DISTINCT l_orderkey % 100 AS page_id, (l_partkey % 1000)::INT AS x FROM lineitem), g AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY page_id ORDER BY x) <= 4 THEN 0 ELSE 1 END AS n FROM p),
+WITH p AS (SELECT l_orderkey AS page_id, (l_partkey % 1000)::INT AS x FROM lineitem), g AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY page_id ORDER BY x) <= 90 THEN 0 ELSE 1 END AS n FROM p),
 i AS (SELECT *, sum(n) OVER (PARTITION BY page_id ORDER BY x) - 1 AS cluster FROM g)
 SELECT page_id, cluster::INT AS cluster, floor(sum(x) / count(*))::BIGINT AS centre, count(*) AS size FROM i GROUP BY page_id, cluster
 """)
 def cluster_positions(spark, sf_dir):
-    points = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 100).alias("page_id"), (F.col("l_partkey") % 1000).cast("int").alias("x")).distinct()
-    return layout.cluster_positions(points, ["page_id"], "x", 4)
+    points = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), (F.col("l_partkey") % 1000).cast("int").alias("x"))
+    return layout.cluster_positions(points, ["page_id"], "x", 90)
 
 
 @query("""
@@ -423,7 +425,7 @@ def longest_run(spark, sf_dir):
 
 
 @query(WORDS + """
-, o AS (SELECT *, top + height / 2 AS cy, row_number() OVER (PARTITION BY page_id ORDER BY top + height / 2, "left", pos) AS k, greatest(10.0, avg(height) OVER (PARTITION BY page_id) * 0.55) AS tol FROM w)
+, o AS (SELECT *, top + height / 2 AS cy, row_number() OVER (PARTITION BY page_id ORDER BY top + height / 2, "left", pos) AS k, greatest(10.0, avg(height) OVER (PARTITION BY page_id) * 0.55) AS tol FROM w WHERE conf >= 15)
 , f AS (
   WITH RECURSIVE r AS (
     SELECT page_id, k, cy, tol, 0 AS row, cy AS s, 1 AS n, pos FROM o WHERE k = 1
@@ -435,7 +437,7 @@ def longest_run(spark, sf_dir):
 SELECT page_id, row, pos FROM f
 """)
 def cluster_rows(spark, sf_dir):
-    return layout.cluster_rows(layout.table_words(_words(spark, sf_dir), min_conf=-10)).select("page_id", "row", "pos")
+    return layout.cluster_rows(layout.table_words(_words(spark, sf_dir))).select("page_id", "row", "pos")
 
 
 CELLS = "WITH c AS (SELECT l_orderkey AS t, l_linenumber AS r, unnest([{'c': 0, 'v': l_returnflag}, {'c': 1, 'v': strftime(l_shipdate, '%d/%m/%Y')}, {'c': 2, 'v': '$ ' || l_partkey}, {'c': 3, 'v': CASE WHEN l_linenumber = 1 THEN 'FECHA total' ELSE ' x|y  ' || l_suppkey END}]) AS u FROM lineitem)"
@@ -576,8 +578,7 @@ def throttled_progress(spark, sf_dir):
 def _stream(spark, sf_dir, build, mode):
     """What a stream over the events table gives when it has read all there is."""
     events = table(spark, sf_dir, "events")
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='foliant-')}"
-    name = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    name = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet" if os.path.isdir(f"{sf_dir}/events.parquet") else f"{sf_dir}/events.parquet*")
     out = build(source.withColumn("ts", F.col("ts").cast("timestamp")))
     sink = out.writeStream.outputMode(mode).option("checkpointLocation", f"{name}/state").trigger(availableNow=True)
