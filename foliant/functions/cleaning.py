@@ -303,10 +303,9 @@ def sanitize_documents(docs: DataFrame, key: str, text: str, aggressive: bool =
     lines = clean_lines(docs.select(key, F.posexplode(F.split(body, "\n", -1)).alias("line", "raw")), "raw", aggressive)
     kept = F.col("cleaned").isNotNull()
     before = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    seen = lines.withColumn("_last", F.max(F.when(kept, F.col("line"))).over(before)).where(kept)
+    seen = lines.withColumn("_last", F.max(F.when(kept, F.col("line"))).over(before))
     skipped = F.col("line") - F.coalesce("_last", F.lit(-1)) - 1
     note = (skipped >= run) & (F.lit(aggressive) | F.col("raw").startswith("#"))
     piece = F.when(note, F.concat(F.lit("\n> Sello o timbre omitido.\n\n"), "cleaned")).otherwise(F.col("cleaned"))
-    joined = seen.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("line", piece.alias("t")))).alias("ls"))
-    merged = F.array_join(F.transform("ls", lambda x: x["t"]), "\n")
-    return docs.select(key).join(joined, key, "left").select(key, normalize_markdown(merged).alias("markdown"))
+    joined = seen.groupBy(key).agg(F.sort_array(F.collect_list(F.when(kept, F.struct("line", piece.alias("t"))))).alias("ls"))
+    return joined.select(key, normalize_markdown(F.array_join(F.transform("ls", lambda x: x["t"]), "\n")).alias("markdown"))

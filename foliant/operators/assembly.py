@@ -11,7 +11,7 @@ from foliant.functions.predicates import is_crypto_evidence, is_stamp_line, is_v
 from foliant.functions.scores import minimum_pdf_text_chars, text_quality_score
 from foliant.functions.text import PAGE_BREAK, compress_markdown, normalize_markdown, normalize_whitespace, strip, strip_markdown_syntax, whole
 from foliant.operators.cleaned import sanitized
-from foliant.operators.documents import banner_pages, join_pages, keep_sections, split_sections
+from foliant.operators.documents import keep_sections, split_sections
 
 PLAIN_METHODS = ("digital_pdf", "markitdown")
 HEAVY_MB, MANY_PAGES, LEAST_PAGE_CHARS = 20, 30, 24
@@ -45,23 +45,26 @@ def assemble(documents: DataFrame, pages: DataFrame, key: str = "doc_id") -> Dat
     A document without pages is split at its page breaks; one that has none of those either is one page, and counts the
     pages of its file if that is a PDF.
     """
-    plain = F.col("method").isin(*PLAIN_METHODS)
-    raw = pages.join(documents.select(key, plain.alias("_plain")), key).select(
-        key, "index", F.coalesce(F.nullif("markdown", F.lit("")), "text", F.lit("")).alias("_raw"), F.col("text").alias("_text"),
-        (~F.col("_plain") & ~F.coalesce("digital", F.lit(False)) & ~F.coalesce("ocr_sourced", F.lit(False))).alias("_hard"),
+    hard = ~F.col("method").isin(*PLAIN_METHODS)
+    raw = pages.join(documents.select(key, hard.alias("_h")), key).select(
+        key, F.col("index").cast("int").alias("index"), F.coalesce(F.nullif("markdown", F.lit("")), "text", F.lit("")).alias("_raw"), F.col("text").alias("_text"),
+        (F.col("_h") & ~F.coalesce("digital", F.lit(False)) & ~F.coalesce("ocr_sourced", F.lit(False))).alias("_hard"),
     )
+    # a document's own Markdown counts as page -1, used where no page is left
+    raw = raw.unionByName(documents.where(whole(F.col("markdown")) != "").select(key, F.lit(-1).alias("index"), F.col("markdown").alias("_raw"), F.lit(None).cast("string").alias("_text"), hard.alias("_hard")))
     cleaned = sanitized(raw.withColumn("_k", F.struct(key, "index")), "_k", "_raw", "_hard").select("_k.*", "markdown").where("markdown <> ''")
-    own = cleaned.join(raw.select(key, "index", "_text"), [key, "index"]).select(key, "index", "markdown", strip_markdown_syntax(F.coalesce(F.nullif("_text", F.lit("")), "markdown")).alias("text"))
-    bare = documents.join(own.select(key).distinct(), key, "left_anti").where(whole(F.col("markdown")) != "")
-    whole_md = sanitized(bare.select(key, "markdown", (~plain).alias("_hard")), key, "markdown", "_hard").where("markdown <> ''")
-    parts = F.filter(F.transform(F.split("markdown", r"\n\s*---\s*\n", -1), strip), lambda c: c != "")
-    chunks = whole_md.select(key, F.posexplode(parts).alias("index", "markdown"), (F.size(parts) > 1).alias("_paged"))
-    split = chunks.select(key, "index", "markdown", strip_markdown_syntax(F.col("markdown")).alias("text"), "_paged")
-    every = own.withColumn("_paged", F.lit(True)).unionByName(split)
-    merged = join_pages(every, key, "index", "markdown").join(banner_pages(every, key, "index", "text"), key)
-    listed = every.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("index", "markdown", "text"))).alias("pages"), F.max("_paged").alias("_paged"))
-    out = documents.drop("markdown").join(merged, key, "left").join(listed, key, "left")
-    single = F.when(F.col("pages").isNotNull(), 1).otherwise(0)
+    plain = strip_markdown_syntax(F.coalesce(F.nullif("_text", F.lit("")), "markdown"))
+    every = cleaned.join(raw.select(key, "index", "_text"), [key, "index"]).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("index", "markdown", plain.alias("text")))).alias("_ps"))
+    own = F.filter("_ps", lambda p: p["index"] >= 0)
+    chunks = F.filter(F.transform(F.split(F.get("_ps", F.lit(0))["markdown"], r"\n\s*---\s*\n", -1), strip), lambda c: c != "")
+    split = F.transform(chunks, lambda c, i: F.struct(i.alias("index"), c.alias("markdown"), strip_markdown_syntax(c).alias("text")))
+    listed = every.select(key, F.when(F.size(own) > 0, own).otherwise(split).alias("pages"), ((F.size(own) > 0) | (F.size(chunks) > 1)).alias("_paged"))
+    total = F.size("pages").cast("string")
+    banners = F.transform("pages", lambda p, i: F.when(strip(p["text"]) != "", F.concat(F.lit("--- Página "), (i + 1).cast("string"), F.lit("/"), total, F.lit(" ---\n"), strip(p["text"]))))
+    merged = F.array_join(F.transform("pages", lambda p: strip(p["markdown"])), PAGE_BREAK)
+    text = F.when(F.size("pages") == 1, strip(F.get("pages", F.lit(0))["text"])).otherwise(F.array_join(F.filter(banners, lambda b: b.isNotNull()), "\n\n"))
+    out = documents.drop("markdown").join(listed.select(key, "pages", "_paged", merged.alias("markdown"), text.alias("text")), key, "left")
+    single = F.when(F.size("pages") > 0, 1).otherwise(0)
     n = F.when(F.col("_paged"), F.size("pages")).when(F.col("is_pdf"), F.greatest(F.lit(1), F.coalesce("file_pages", F.lit(1)))).otherwise(single)
     mb = F.col("size_bytes") / (1024 * 1024)
     heavy = F.when(mb >= HEAVY_MB, F.concat(F.lit("Archivo pesado ("), F.format_string("%.1f", mb), F.lit(" MB). Si el resultado sale incompleto, intenta dividir el documento.")))

@@ -120,9 +120,9 @@ def flatten_tables(docs: DataFrame, key: str, text: str) -> DataFrame:
     of 35. Lines are rows, and a window over a document's lines finds the blocks.
     """
     t = whole(F.col(text))
-    piped_docs = docs.where(F.col(text).contains("|")).select(key, F.posexplode(F.split(F.regexp_replace(t, r"\n\z", ""), "\n", -1)).alias("line", "raw"))
+    ends = F.when(t.contains("|"), F.regexp_replace(t, r"\n\z", "")).otherwise(t)
     w = Window.partitionBy(key).orderBy("line")
-    lines = piped_docs.withColumn("_p", strip(F.col("raw")).startswith("|"))
+    lines = docs.select(key, F.posexplode(F.split(ends, "\n", -1)).alias("line", "raw")).withColumn("_p", strip(F.col("raw")).startswith("|"))
     lines = lines.withColumn("_b", F.coalesce(F.lag("_p").over(w), F.lit(False)))
     lines = lines.withColumn("_i", F.sum(F.when(F.col("_p") & F.col("_b"), 0).otherwise(1)).over(w))
     blocks = lines.groupBy(key, "_i", "_p").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "raw"))), lambda x: x["raw"]).alias("_rows"))
@@ -139,6 +139,6 @@ def flatten_tables(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     flat = F.filter(F.transform(F.filter("_rows", lambda r: ~r.contains("---")), lambda r: F.array_join(cells(r), " ")), lambda r: r != "")
     piece = F.when(~F.col("_p"), block).when(keep, F.concat(block, F.lit("\n"))).when(F.size(flat) == 0, "").otherwise(F.concat(F.array_join(flat, "\n"), F.lit("\n")))
-    merged = blocks.select(key, "_i", piece.alias("_x")).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_x"))), lambda x: x["_x"]).alias("_xs"))
-    made = merged.select(key, strip(F.regexp_replace(F.array_join("_xs", "\n"), r"\n{3,}", "\n\n")).alias("_m"))
-    return docs.select(key, t.alias("_t")).join(made, key, "left").select(key, F.coalesce("_m", "_t").alias("markdown"))
+    merged = blocks.select(key, "_i", piece.alias("_x"), block.alias("_t"), F.contains(block, F.lit("|")).alias("_pipe")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_i", "_x", "_t"))).alias("_xs"), F.max("_pipe").alias("_pipe"))
+    made = strip(F.regexp_replace(F.array_join(F.transform("_xs", lambda x: x["_x"]), "\n"), r"\n{3,}", "\n\n"))
+    return merged.select(key, F.when(F.col("_pipe"), made).otherwise(F.array_join(F.transform("_xs", lambda x: x["_t"]), "\n")).alias("markdown"))

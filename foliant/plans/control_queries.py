@@ -9,7 +9,9 @@ from foliant.functions.predicates import runs_async
 from foliant.functions.scores import HEADER_KEYS, header_hits
 from foliant.functions.text import normalize_wide_cell
 from foliant.operators import assembly, candidates, control, jobs, tables
-from foliant.plans.queries import COMPRESSED, NL, QUALITY_SQL, SECTIONED, SECTIONS, STATES, _sectioned, _states, _stream, events_of, query, sql_plain, sql_strip, sub, table
+from foliant.plans import cleaning_sql as Q
+from foliant.plans.cleaning_queries import STEPS, sql_blobs
+from foliant.plans.queries import COMPRESSED, NL, QUALITY_SQL, SECTIONED, SECTIONS, STATES, _sectioned, _states, _stream, events_of, query, sql_normalize, sql_plain, sql_strip, sub, table
 from foliant.streaming import jobs as streams
 
 SPACE = "' '"
@@ -374,3 +376,103 @@ def small_rules(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
         "doc_id", header_hits(F.concat(F.replace("text", F.lit("ß"), F.lit("ss")), F.lit(" Fecha "), "lang")).alias("hits"), runs_async(F.col("n_chars"), d % 90, d % 2 == 0).alias("async"), normalize_wide_cell(F.col("text")).alias("cell"),
     )
+
+
+def _assembled(spark, sf_dir):
+    """Documents of four pages each; of every seventh only the joined Markdown is known."""
+    k = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = (k / 4).cast("long")
+    pages = docs.where(n % 7 != 0).select(n.alias("doc"), (k % 4).cast("int").alias("index"), F.when(k % 2 == 0, F.col("text")).alias("markdown"), F.when(k % 2 == 1, F.col("text")).alias("text"), (k % 3 == 0).alias("digital"), F.when(k % 5 == 0, True).alias("ocr_sourced"))
+    joined = docs.where((n % 7 == 0) & (k % 4 < 2)).groupBy(n.alias("doc")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n\n---\n\n").alias("markdown"))
+    d = F.col("doc")
+    heads = docs.select(n.alias("doc")).distinct().join(joined, "doc", "left").select(
+        "doc", F.when(d % 3 == 0, "digital_pdf").when(d % 3 == 1, "tesseract").otherwise("vision").alias("method"), "markdown",
+        F.array(F.lit("a"), F.lit(""), F.concat(F.lit("w"), (d % 2).cast("string")), F.lit("a")).alias("warnings"), (d * 1024 * 1024).alias("size_bytes"), (d % 2 == 0).alias("is_pdf"), (d % 60).cast("int").alias("file_pages"),
+    )
+    return heads, pages
+
+
+ASSEMBLED = f"""
+WITH n AS (SELECT doc_id, doc_id // 4 AS doc, text FROM documents),
+pg AS (SELECT doc_id AS pid, doc, (doc_id % 4)::INT AS i, text AS own, text AS raw, doc % 3 <> 0 AND doc_id % 3 <> 0 AND doc_id % 5 <> 0 AS hard FROM n WHERE doc % 7 <> 0
+  UNION ALL SELECT -1 - doc, doc, -1, NULL, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id), doc % 3 <> 0 FROM n WHERE doc % 7 = 0 AND doc_id % 4 < 2 GROUP BY doc),
+nm AS (SELECT pid, hard, {sql_normalize('raw')} AS t FROM pg), gentle AS (SELECT pid, t FROM nm WHERE NOT hard), {Q.watermark_free('gentle', 'pid', 't')},
+ready AS (SELECT pid, true AS hard, {sql_blobs(sql_strip('t'))} AS t FROM nm WHERE hard UNION ALL SELECT pid, false, t FROM free),
+ln AS (SELECT pid, hard, generate_subscripts(ls, 1) - 1 AS line, unnest(ls) AS raw FROM (SELECT pid, hard, string_split(t, chr(10)) AS ls FROM ready)), s AS (SELECT pid, hard, line, raw, {sql_strip('raw')} AS s FROM ln), {STEPS},
+kk AS (SELECT pid, hard, line, raw, CASE WHEN hard THEN {Q.cleaned_line(True)} ELSE {Q.cleaned_line(False)} END AS cleaned FROM r3), kf AS (SELECT *, line - coalesce(lag(line) OVER (PARTITION BY pid ORDER BY line), -1) - 1 AS skipped FROM kk WHERE cleaned IS NOT NULL),
+kj AS (SELECT pid, string_agg(CASE WHEN skipped >= 10 AND (hard OR raw LIKE '#%') THEN chr(10) || '> Sello o timbre omitido.' || chr(10) || chr(10) ELSE '' END || cleaned, chr(10) ORDER BY line) AS t FROM kf GROUP BY pid),
+md AS (SELECT pid, doc, i, own, {sql_normalize('t')} AS m FROM pg JOIN kj USING (pid)),
+parts AS (SELECT doc, i, own, m, true AS paged FROM md WHERE i >= 0 AND m <> '' UNION ALL
+  SELECT doc, generate_subscripts(ps, 1) - 1, NULL, unnest(ps), len(ps) > 1 FROM (SELECT doc, list_filter(list_transform(string_split(regexp_replace(m, '\\n\\s*---\\s*\\n', chr(1), 'g'), chr(1)), lambda y: {sql_strip('y')}), lambda y: y <> '') AS ps FROM md WHERE i < 0)),
+txt AS (SELECT doc, i, m, paged, CASE WHEN i >= 0 AND own IS NOT NULL AND (doc * 4 + i) % 2 = 1 THEN {sql_plain('own')} ELSE {sql_plain('m')} END AS t FROM parts),
+dd AS (SELECT doc, bool_or(paged) AS paged, count(*) AS n, array_to_string(list(m ORDER BY i), chr(10) || chr(10) || '---' || chr(10) || chr(10)) AS markdown, list(t ORDER BY i) AS ts FROM txt GROUP BY doc),
+hd AS (SELECT DISTINCT doc FROM n)
+SELECT hd.doc, CASE hd.doc % 3 WHEN 0 THEN 'digital_pdf' WHEN 1 THEN 'tesseract' ELSE 'vision' END AS method, coalesce(markdown, '') AS markdown,
+  coalesce(CASE WHEN len(ts) = 1 THEN ts[1] ELSE array_to_string(list_filter(list_transform(ts, lambda t, i: CASE WHEN t <> '' THEN '--- Página ' || i || '/' || len(ts) || ' ---' || chr(10) || t END), lambda x: x IS NOT NULL), chr(10) || chr(10)) END, '') AS text,
+  CASE WHEN paged THEN n WHEN hd.doc % 2 = 0 THEN greatest(1, hd.doc % 60) WHEN n > 0 THEN 1 ELSE 0 END::INT AS total_pages, coalesce(n, 0)::INT AS n_pages,
+  concat_ws('|', 'a', 'w' || hd.doc % 2, CASE WHEN hd.doc >= 20 THEN 'Archivo pesado (' || hd.doc || '.0 MB). Si el resultado sale incompleto, intenta dividir el documento.' END,
+    CASE WHEN hd.doc % 2 = 0 AND NOT coalesce(paged, false) AND hd.doc % 60 > 30 THEN 'PDF largo (' || hd.doc % 60 || ' páginas). Revisa el resultado por secciones para validar tablas y texto.' END) AS warnings
+FROM hd LEFT JOIN dd USING (doc)
+"""
+
+
+@query(ASSEMBLED)
+def assembled_documents(spark, sf_dir):
+    heads, pages = _assembled(spark, sf_dir)
+    out = assembly.assemble(heads, pages, "doc")
+    return out.select("doc", "method", "markdown", "text", "total_pages", F.size("pages").alias("n_pages"), F.array_join("warnings", "|").alias("warnings"))
+
+
+@query(f"""
+WITH z AS (SELECT doc_id, text, {sql_normalize('text')} AS t FROM documents), b AS (SELECT doc_id, text, {sql_blobs(sql_strip('t'))} AS t FROM z),
+ln AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line, unnest(ls) AS raw FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM b)), s AS (SELECT doc_id, line, {sql_strip('raw')} AS s FROM ln), {STEPS},
+k AS (SELECT doc_id, line, {Q.cleaned_line()} AS cleaned FROM r3), f AS (SELECT *, line - coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY line), -1) - 1 AS skipped FROM k WHERE cleaned IS NOT NULL),
+j AS (SELECT doc_id, string_agg(CASE WHEN skipped >= 10 THEN chr(10) || '> Sello o timbre omitido.' || chr(10) || chr(10) ELSE '' END || cleaned, chr(10) ORDER BY line) AS t FROM f GROUP BY doc_id),
+m AS (SELECT d.doc_id, text, coalesce({sql_normalize('t')}, '') AS markdown FROM documents d LEFT JOIN j USING (doc_id))
+SELECT doc_id, markdown, length(text)::INT AS before_chars, length(markdown)::INT AS after_chars, (CASE WHEN text = '' THEN 0 ELSE len(string_split(regexp_replace(text, '\\n\\z', ''), chr(10))) END - CASE WHEN markdown = '' THEN 0 ELSE len(string_split(markdown, chr(10))) END)::INT AS lines_removed FROM m
+""")
+def cleaned_markdown(spark, sf_dir):
+    return assembly.clean(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN 'EVIDENCIA CRIPTOGRÁFICA' || chr(10) || 'FIRMANTE Nombre:' || chr(10) || ' Ana' || chr(10) || 'Status: Bueno' ELSE ' ' END AS fl, lang FROM documents),
+bl AS (SELECT doc_id, u.y, u.x, {sql_strip(sub("replace(u.t, chr(160), ' ')", ('[ ' + chr(92) + 't]+', SPACE), (chr(92) + 'n{3,}', NL + ' || ' + NL)))} AS t FROM (SELECT doc_id, unnest([{{'y': (doc_id % 50)::DOUBLE, 'x': 5.0, 't': '  bloque   uno ' || lang}}, {{'y': (doc_id % 7) + 1.5, 'x': 2.0, 't': 'segundo bloque ' || doc_id}}, {{'y': 1.0, 'x': 1.0, 't': 'NOTARIA PUBLICA'}}]) AS u FROM d)),
+bj AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY round_even(y / 4, 0), x, y) AS b FROM bl WHERE t <> '' AND t <> 'NOTARIA PUBLICA' GROUP BY doc_id),
+x AS (SELECT doc_id, fl, CASE WHEN length({sql_strip('fl')}) >= 24 THEN {sql_strip(sub("replace(fl, chr(160), ' ')", ('[ ' + chr(92) + 't]+', SPACE), (chr(92) + 'n{3,}', NL + ' || ' + NL)))} ELSE b END AS t FROM d JOIN bj USING (doc_id)), {Q.watermark_free('x', 'doc_id', 't')}
+SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN '### Evidencia criptográfica (resumen)' || chr(10) || '- **Firmante:** Ana' || chr(10) || '- **Estatus:** Bueno' || chr(10) || chr(10) || '> Cadena de firma, sellos de tiempo y tablas hex omitidos; solo metadatos legibles.' ELSE {Q.digital_text('t')} END AS markdown FROM free
+""")
+def digital_text_layers(spark, sf_dir):
+    d = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents")
+    flowing = F.when(d % 3 == 0, F.col("text")).when(d % 3 == 1, "EVIDENCIA CRIPTOGRÁFICA\nFIRMANTE Nombre:\n Ana\nStatus: Bueno").otherwise(" ")
+    block = lambda y, x, t: F.struct(y.cast("double").alias("y"), F.lit(x).alias("x"), t.alias("text"))
+    blocks = docs.select("doc_id", F.explode(F.array(
+        block(d % 50, 5.0, F.concat(F.lit("  bloque   uno "), "lang")), block(d % 7 + 1.5, 2.0, F.concat(F.lit("segundo bloque "), d.cast("string"))), block(F.lit(1), 1.0, F.lit("NOTARIA PUBLICA")))).alias("b")).select("doc_id", "b.*")
+    return assembly.digital_pages(docs.select("doc_id", flowing.alias("flowing")), blocks, ["doc_id"])
+
+
+CELL_TABLES = """
+WITH c AS (SELECT l_orderkey AS page_id, l_linenumber AS ordinal, max(l_partkey) AS p FROM lineitem GROUP BY ALL),
+m AS (SELECT *, '| ' || CASE WHEN p % 2 = 0 THEN 'fecha' ELSE 'cosa' END || ' | total |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || CASE WHEN p % 3 = 0 THEN '01/02/2020' ELSE 'valor' END || ' | ' || CASE WHEN p % 5 = 0 THEN '$ 5' ELSE 'cinco' END || ' |' AS markdown,
+  3 * 0.8 + 24 + CASE WHEN p % 3 = 0 THEN 18 ELSE 0 END + CASE WHEN p % 5 = 0 THEN 22 ELSE 0 END AS score FROM c)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY ordinal) - 1)::INT AS position, markdown, round(score, 6)::DOUBLE AS score FROM (SELECT *, rank() OVER (PARTITION BY page_id ORDER BY score DESC) AS r FROM m) WHERE r = 1
+"""
+
+
+@query(CELL_TABLES)
+def best_page_tables(spark, sf_dir):
+    return tables.best_tables(_cell_tables(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+def _cell_tables(spark, sf_dir):
+    p = F.col("p")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("ordinal")).agg(F.max("l_partkey").alias("p"))
+    md = F.concat(F.lit("| "), F.when(p % 2 == 0, "fecha").otherwise("cosa"), F.lit(" | total |\n| --- | --- |\n| "), F.when(p % 3 == 0, "01/02/2020").otherwise("valor"), F.lit(" | "), F.when(p % 5 == 0, "$ 5").otherwise("cinco"), F.lit(" |"))
+    return rows.select("page_id", "ordinal", md.alias("markdown"))
+
+
+@query(CELL_TABLES[: CELL_TABLES.index("SELECT page_id, (row")] + "SELECT page_id, arg_max(markdown, row(score, -ordinal)) AS markdown, arg_max(ordinal, row(score, -ordinal)) AS ordinal, round(max(score), 6)::DOUBLE AS score FROM m GROUP BY page_id HAVING max(score) >= 28")
+def accepted_page_table(spark, sf_dir):
+    return tables.best_table(_cell_tables(spark, sf_dir)).withColumn("score", F.round("score", 6)).select("page_id", "markdown", "ordinal", "score")
