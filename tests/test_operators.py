@@ -10,9 +10,10 @@ from foliant.functions import chatter as K
 from foliant.functions import cleaning as C
 from foliant.functions import predicates as P
 from foliant.functions import scores as S
+from foliant.functions import tables as T2
 from foliant.functions import text as T
-from foliant.operators import candidates, documents, jobs, layout, ranges
-from foliant.sources import readers, writers
+from foliant.operators import assembly, candidates, control, documents, jobs, layout, ranges
+from foliant.sources import folders, readers, writers
 
 
 def values(spark, rows, schema, *columns):
@@ -226,3 +227,50 @@ def test_throttled_streams_a_key(spark):
     found = [tuple(r) for r in out.collect()]
     assert set(found) == want and len(found) == len(want)
     assert "collect_list" not in out._jdf.queryExecution().toString()  # no row holds a whole key
+
+
+def test_runs_of_code_and_long_chains(spark):
+    words = ("abcdefgh " * 20_000).strip()  # a level of recursion for each word would end the stack
+    assert one(spark, [words, "abcde fghij klmno", "x " + "A1b2" * 12 + " y", None, "ab cdefg hijkl mnopq rstuv wxyzabcdef 1"], C.remove_base64) == [" ", "abcde fghij klmno", "x   y", "", "ab cdefg hijkl mnopq rstuv wxyzabcdef 1"]
+    chain = "ab " * 20_000 + "cd"
+    assert one(spark, [chain, "12." * 9000 + "34", "ab " * 11 + "cd"], P.is_stamp_line) == [True, False, False]
+    assert one(spark, ["FIRMA SELLO NOTARIAL de FIRMA SELLO NOTARIAL DE MEXICO"], C.strip_watermarks) == ["de FIRMA SELLO NOTARIAL DE MEXICO"]
+
+
+def test_tables_of_rows(spark):
+    cast = lambda c: F.col(c).cast("array<array<string>>")
+    tables_ = [[["", ""], ["a", " "], ["", ""], ["b", ""], [""]], [], [["x"]], [["", ""]]]
+    got = [v for (v,) in values(spark, [(t,) for t in tables_], "t array<array<string>>", T2.trim_edges(cast("t")).alias("v"))]
+    assert got == [[["a"], [""], ["b"]], [], [["x"]], []]
+    head = [["Fecha", ""], ["Nombre", "Total"], ["", "x"], ["1", "2", "3", "4", "5"], ["6", "7", "8"]]
+    plain = [["a", "b"], ["c", "d"]]
+    got = [v for (v,) in values(spark, [(head,), (plain,)], "t array<array<string>>", T2.merge_header(cast("t")).alias("v"))]
+    assert got == [[["Fecha", "Nombre", "Total", "x"], ["1", "2", "3", "4 5"], ["6", "7", "8", ""]], plain]
+    got = [v for (v,) in values(spark, [([["a", "b|c"], ["", ""], ["1"]],), ([["a"]],)], "t array<array<string>>", T2.rows_to_markdown(cast("t")).alias("v"))]
+    assert got == ["| a | b/c |\n| --- | --- |\n| 1 |  |", ""]
+    got = [tuple(v) for (v,) in values(spark, [([[1.0, 5.0], [3.0, 2.0]],), (None,), ([[1.0]],)], "p array<array<double>>", T2.box_to_xyxy(F.col("p")).alias("v"))]
+    assert got == [(1.0, 2.0, 3.0, 5.0), (0.0,) * 4, (0.0,) * 4]
+    assert [v for (v,) in values(spark, [([0, 10, 100, 120, 300],)], "b array<int>", T2.merge_narrow(F.col("b"), F.lit(300)).alias("v"))] == [[0, 100, 300]]
+    assert [v for (v,) in values(spark, [([5, 8, 20, 21, 40],)], "b array<int>", T2.spaced(F.col("b"), F.lit(12)).alias("v"))] == [[5, 20, 40]]
+    assert [v for (v,) in values(spark, [(5.0,), (99.0,), (-1.0,)], "x double", T2.column_of(F.col("x"), F.array(F.lit(0), F.lit(10), F.lit(20))).alias("v"))] == [0, 1, 1]
+
+
+def test_control(spark):
+    events = spark.createDataFrame([("a", 1, "start", 1), ("a", 2, "enqueue", 2), ("a", 3, "start", 3), ("a", 4, "enqueue", 4), ("a", 5, "cancel", 5), ("b", 1, "enqueue", 6), (None, 1, "enqueue", 7), ("c", None, "enqueue", 8)], "k string, t int, c string, i int")
+    got = [(r["i"], r["state"]) for r in control.lifecycle(events, "k", "t", "i", "c").orderBy("i").collect()]
+    assert got == [(2, "queued"), (3, "processing"), (5, "cancelled"), (6, "queued")]
+    files = spark.createDataFrame([("/a.pdf",)], "path string")
+    states = spark.createDataFrame([(1, " /a.pdf"), (2, "/b.pdf"), (3, None), (4, "")], "job_id int, upload_path string")
+    assert {r["job_id"] for r in control.missing_uploads(states, files).collect()} == {2, 3, 4}
+    warnings = [v for (v,) in values(spark, [(["a", "", "b", "a", None],)], "w array<string>", assembly.distinct_warnings(F.col("w")).alias("v"))]
+    assert warnings == [["a", "b"]]
+
+
+def test_shared_folder(spark):
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "applicationId": "x"})
+
+    with pytest.raises(ValueError):
+        folders.shared_dir(Cluster)
+    assert folders.shared_dir(spark).startswith("file:")
