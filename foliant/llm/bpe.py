@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm.common import table
+from foliant.llm.common import table, tidy
 
 #: Cached segments of a Python worker; beyond it, only those that came again stay. The cache changes no result.
 CACHE_ENTRIES = 300_000
@@ -340,7 +340,7 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_i
                 yield pa.RecordBatch.from_pydict(out)
 
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

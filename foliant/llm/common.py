@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +16,7 @@ from pyspark.sql.window import Window
 #: White space of the word contracts: the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
+_LOCAL: dict[str, str] = {}  # temporary folders of local sessions
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; without it, a local session gets a
+    temporary one, and a cluster an error, as its machines would not see each other's files."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
-        known = f"file://{tempfile.mkdtemp(prefix='foliant-')}"
-        spark.conf.set("spark.checkpoint.dir", known)
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        known = _LOCAL.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='foliant-')}")
     return known.rstrip("/")
 
 
@@ -38,6 +45,31 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow or an iterator UDF, with free memory given back at the end of a partition: Spark keeps its
+    Python workers for later stages, whose own need comes on top of what they hold."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
+#: Rows of a file, about, where a small table is written.
+FILE_ROWS = 20_000
+
+
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has no more rows than that, in tasks (and so files) for about FILE_ROWS rows each, or as it is dealt now
+    if that is fewer: a table of a few rows a partition costs a file, and on some stores a process, for each of them."""
+    wanted = max(1, -(-rows // FILE_ROWS))
+    return df.coalesce(wanted) if wanted < partitions(df.sparkSession) else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -51,7 +83,8 @@ def numbered(df: DataFrame, keys: list[str], row: str, rows: int, name: str = "n
     """Adds the number of each row within its keys, gapless from 0, without sorting a whole group in one task.
 
     Rows fall into hashed buckets; windows number a bucket, and the sizes of the buckets before it are added. The
-    table of bucket sizes has at most (groups x 4096) rows; groups must be few.
+    table of bucket sizes has at most (groups x 4096) rows; it is dealt by the same keys as the rows, and Spark decides by
+    its size whether to broadcast it. Columns named _bucket, _rank, _start or _rows must not exist.
     """
     buckets = max(16, min(4096, rows // 50_000))
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(row), F.lit(buckets)).cast("int"))
@@ -61,7 +94,7 @@ def numbered(df: DataFrame, keys: list[str], row: str, rows: int, name: str = "n
     inside = Window.partitionBy(*keys, "_bucket").orderBy(row)
     return (
         dealt.withColumn("_rank", F.row_number().over(inside))
-        .join(F.broadcast(starts), [*keys, "_bucket"])
+        .join(starts, [*keys, "_bucket"])
         .withColumn(name, F.col("_start") + F.col("_rank") - 1)
         .drop("_bucket", "_start", "_rank")
     )

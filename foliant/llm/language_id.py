@@ -19,13 +19,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import table
+from foliant.llm.common import table, tidy
 
 ORDER, DISCOUNT = 4, 0.75
 #: About so many labelled documents of each language are learned from, and so many more calibrate the rejection.
 FIT_DOCS, CALIBRATION_DOCS = 1500, 500
 #: Part of the calibration texts that may lie beyond the limit before its margin is added, and that margin.
 TAIL, MARGIN = 0.002, 0.25
+#: Bytes of text scored at once, about: each different word of them is scored once.
+SLICE_BYTES = 2 << 20
 UNKNOWN = "und"
 _FLOOR = -12.0
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -188,6 +190,16 @@ class KneserNey:
         return out
 
 
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows of a batch of texts by about SLICE_BYTES, one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+        yield lo, hi
+        lo = hi
+
+
 class LanguageModel:
     """Kneser-Ney models with calibrated limits."""
 
@@ -196,10 +208,10 @@ class LanguageModel:
         self.limit = np.full(len(models.languages), np.inf)
         self.scale = 1.0
 
-    def calibrate(self, texts: list[str], langs: list[str]) -> LanguageModel:
-        if not self.models.languages or not texts:
+    def calibrate(self, h: np.ndarray, langs: list[str]) -> LanguageModel:
+        """h: entropies of labelled texts, a row each; langs: their languages."""
+        if not self.models.languages or not len(h):
             return self
-        h = self.models.entropies(pa.array(texts, pa.string()))
         known = {x: k for k, x in enumerate(self.models.languages)}
         truth = np.array([known.get(x, -1) for x in langs])
         ok = ~np.isnan(h[:, 0]) & (truth >= 0)
@@ -253,38 +265,52 @@ def fit_languages(docs: DataFrame, fit_docs: int = FIT_DOCS, calibration_docs: i
         for lang, c in found.items():
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(c), pa.string()), "word": pa.array(list(c), pa.string()), "n": pa.array(list(c.values()), pa.int64())})
 
-    counted = sample.where("fits").select("text", "lang").mapInArrow(count, "lang string, word string, n long")
+    counted = sample.where("fits").select("text", "lang").mapInArrow(tidy(count), "lang string, word string, n long")
     counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, Counter] = {x: Counter() for x in counted.column("lang").unique().to_pylist()}
     for lang, word, n in zip(*(counted.column(c).to_pylist() for c in ("lang", "word", "n"))):
         counts[lang][word] = n
-    test = sample.where(~F.col("fits")).select("text", "lang").toArrow()  # about calibration_docs texts a language
-    model = LanguageModel(KneserNey().fit(counts) if counts else KneserNey())
-    return model.calibrate(test.column("text").to_pylist(), test.column("lang").to_pylist())
+    models = KneserNey().fit(counts) if counts else KneserNey()
+    if not models.languages:
+        return LanguageModel(models)
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in slices(batch.column(0)):
+                h = shared.value.entropies(batch.column(0).slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(list(h), pa.list_(pa.float64()))], names=["lang", "h"])
+
+    # executors read the texts; the driver gets a few numbers of about calibration_docs texts a language
+    test = sample.where(~F.col("fits")).select("text", "lang").mapInArrow(tidy(measure), "lang string, h array<double>").toArrow()
+    h = np.array(test.column("h").to_pylist(), np.float64).reshape(-1, len(models.languages))
+    return LanguageModel(models).calibrate(h, test.column("lang").to_pylist())
 
 
 def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs with lang_pred, score and accepted added (columns of these names are replaced).
+    """docs with lang_pred, score and accepted added (columns of these names are replaced, whatever their case).
 
-    A text that is null or has no letter is `und`, score 0, not accepted; so is every text if nothing was learned.
+    Only texts go to Python, and only the three results come back. A text that is null, empty or has no letter is `und`,
+    score 0, not accepted; so is every text if nothing was learned. Of languages that fit equally well the first by name
+    is taken. Texts are scored whole, whatever their length, and rows that repeat are scored each on its own; no other
+    column is read, and an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was fitted on
-    kept = [f for f in docs.schema if f.name not in ("lang_pred", "score", "accepted")]
-    text = [f.name for f in kept].index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            lo = 0
-            while lo < len(ends):  # about 4 MB at once, one text at least
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (4 << 20), "right")))
-                names, score, accepted = shared.value.predict(batch.column(text).slice(lo, hi - lo))
-                columns = [c.slice(lo, hi - lo) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(score), pa.array(accepted)], names=[*(f.name for f in kept), "lang_pred", "score", "accepted"])
-                lo = hi
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, f"{schema}, lang_pred string, score double, accepted boolean")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [shared.value.predict(texts.slice(lo, hi - lo)) for lo, hi in slices(texts)]
+            names = [x for p in parts for x in p[0]]
+            score, accepted = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in (1, 2))
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(accepted.astype(bool))], names=["lang_pred", "score", "accepted"])
+
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(predict)(batches)
+
+    found = F.arrow_udf(found, "struct<lang_pred string, score double, accepted boolean>")
+    added = ("lang_pred", "score", "accepted")
+    kept = [f"`{c}`" for c in docs.columns if c.lower() not in added]
+    return docs.select(*kept, found("text").alias("_found")).select(*kept, *[F.col("_found")[c].alias(c) for c in added])
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
