@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import stored
+from foliant.llm.common import few_files, stored
 
 
 def _summary(links: DataFrame) -> tuple:
@@ -24,10 +24,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.where("u <> v").distinct(), "links")
+        large = stored(few_files(large.where("u <> v").distinct(), before[0]), "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        pairs = stored(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
+        pairs = stored(few_files(small.select("e.u", "e.v").where("u <> v").distinct(), 2 * before[0]), "links")
         after = _summary(pairs)
         if after == before:
             break

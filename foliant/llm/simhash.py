@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.bpe import text_chunks
-from foliant.llm.common import partitions, stored, table
+from foliant.llm.common import few_files, stored, table, tidy
 from foliant.llm.components import components
 
 SEED, PARTS, PART_BITS = 42, 4, 16
@@ -35,7 +35,7 @@ TREE_SAMPLE = 8192
 #: A shard's share of fingerprints aimed at, and the most that one task holds (a larger shard is cut into a grid).
 SHARD_ROWS, TASK_HOMES, TASK_VISITS = 20_000, 60_000, 400_000
 #: The shingles of candidates that one task compares, about (a larger class is cut into a grid).
-TASK_SHINGLES = 4_000_000
+TASK_SHINGLES = 2_000_000
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=[id_col, *(f"fp{k}" for k in range(lanes))])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"fp{k} long" for k in range(lanes)))
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, " + ", ".join(f"fp{k} long" for k in range(lanes)))
 
 
 def part_values(fp: np.ndarray, part: int) -> np.ndarray:
@@ -256,7 +256,7 @@ def link_fingerprints(distinct: DataFrame, lanes: int, distances: tuple[int, int
             out = [(p, leaf, int(own.sum()), len(rows)) for p, leaf, rows, own in placed(batch)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 4, names=["part", "leaf", "homes", "visits"])
 
-    sizes = distinct.select(*names).mapInArrow(tally, "part long, leaf long, homes long, visits long").groupBy("part", "leaf").agg(F.sum("homes"), F.sum("visits")).collect()  # at most 4 x lanes x 1024 rows
+    sizes = distinct.select(*names).mapInArrow(tidy(tally), "part long, leaf long, homes long, visits long").groupBy("part", "leaf").agg(F.sum("homes"), F.sum("visits")).collect()  # at most 4 x lanes x 1024 rows
     grid = {(r[0], r[1]): (-(-r[2] // TASK_HOMES) or 1, -(-r[3] // TASK_VISITS) or 1) for r in sizes}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +291,7 @@ def link_fingerprints(distinct: DataFrame, lanes: int, distances: tuple[int, int
         return pa.table({"u": pa.array(node[rows]), "v": pa.array(node[label[rows]])})
 
     lanes_sql = ", ".join(f"{c} long" for c in names)
-    dealt = distinct.mapInArrow(deal, f"cell long, own boolean, home boolean, visit boolean, node long, {lanes_sql}")
+    dealt = distinct.mapInArrow(tidy(deal), f"cell long, own boolean, home boolean, visit boolean, node long, {lanes_sql}")
     return dealt.groupBy("cell").applyInArrow(search, "u long, v long").where("u <> v")
 
 
@@ -305,9 +305,10 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 4, distances: tuple[i
     names = [f"fp{k}" for k in range(lanes)]
     rows = stored(fingerprints(docs, shingle, lanes, id_col, text_col), "fingerprints")
     node = F.col("fp0") if lanes == 1 else F.monotonically_increasing_id()
-    distinct = stored(rows.groupBy(*names).agg(F.min(id_col).alias("least")).withColumn("node", node), "distinct-fingerprints")
+    n = rows.count()
+    distinct = stored(few_files(rows.groupBy(*names).agg(F.min(id_col).alias("least")), n).withColumn("node", node), "distinct-fingerprints")
     roots = components(link_fingerprints(distinct, lanes, distances))
-    inside = stored(distinct.join(roots, "node").select(*names, "least", "root"), "linked")
+    inside = stored(few_files(distinct.join(roots, "node").select(*names, "least", "root"), n), "linked")
     smallest = inside.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = inside.join(smallest, "root").select(*names, "component_id")
     classes = distinct.join(linked, names, "left").select(*names, F.coalesce("component_id", "least").alias("component_id"))
@@ -318,16 +319,23 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(text.encode(), size))
 
 
-def alike_in_cell(sets: list[np.ndarray], block: np.ndarray, similarity: float) -> np.ndarray:
-    """Classes of sets under Jaccard similarities of at least that. Where there are two blocks, only sets of different
-    blocks are compared; sets that are in one class already are not."""
-    forest, sizes, n = Forest(len(sets)), np.array([len(x) for x in sets]), len(sets)
-    owner = np.repeat(np.arange(n), sizes)
-    _, flat, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times[flat] > 1  # others count in the size only
-    flat, kept = flat[shared], np.bincount(owner[shared], minlength=n)
+def alike_in_cell(shingles: np.ndarray, sizes: np.ndarray, block: np.ndarray, similarity: float, most: int = 1 << 20) -> np.ndarray:
+    """Classes of sets (their shingles one after the other, and their sizes) under Jaccard similarities of at least that.
+    Where there are two blocks, only sets of different blocks are compared; sets that are in one class already are not.
+    About `most` shingles are compared with a set at once."""
+    forest, n = Forest(len(sizes)), len(sizes)
+    order = np.argsort(shingles, kind="stable").astype(np.int32)
+    first = np.ones(len(order), bool)
+    first[1:] = shingles[order[1:]] != shingles[order[:-1]]
+    code = np.empty(len(order), np.int32)
+    code[order] = np.cumsum(first, dtype=np.int32) - 1
+    del order, first
+    shared = np.bincount(code)[code] > 1  # others count in the size only
+    kept = np.bincount(np.repeat(np.arange(n, dtype=np.int32), sizes)[shared], minlength=n)
+    flat = code[shared]
+    del code, shared
     start = np.cumsum(kept) - kept
-    mark, across = np.zeros(len(times), bool), len(np.unique(block)) > 1
+    mark, across = np.zeros(int(flat.max(initial=0)) + 1, bool), len(np.unique(block)) > 1
     for i in range(n):
         few, many = np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
         apart = (forest.label[i + 1 :] != forest.label[i]) & (few >= similarity * many - 1e-6)
@@ -338,12 +346,18 @@ def alike_in_cell(sets: list[np.ndarray], block: np.ndarray, similarity: float)
             continue
         own = flat[start[i] : start[i] + kept[i]]
         mark[own] = True
-        ends = np.cumsum(kept[js])
-        at = np.arange(ends[-1]) + np.repeat(start[js] - ends + kept[js], kept[js])
-        both = np.add.reduceat(mark[flat[at]].astype(np.int64), ends - kept[js])
+        done = np.cumsum(kept[js])
+        lo = 0
+        while lo < len(js):
+            hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + most, "right")))
+            some = js[lo:hi]
+            ends = np.cumsum(kept[some])
+            at = np.arange(ends[-1]) + np.repeat(start[some] - ends + kept[some], kept[some])
+            both = np.add.reduceat(mark[flat[at]], ends - kept[some], dtype=np.int64)
+            some = some[both / (sizes[i] + sizes[some] - both) >= similarity]
+            forest.link(np.full(len(some), i), some)
+            lo = hi
         mark[own] = False
-        js = js[both / (sizes[i] + sizes[js] - both) >= similarity]
-        forest.link(np.full(len(js), i), js)
     return forest.label
 
 
@@ -361,16 +375,14 @@ def link_alike(members: DataFrame, shingle: int, similarity: float) -> DataFrame
     def search(cell: pa.Table) -> pa.Table:
         node, block = cell.column("node").to_numpy(), cell.column("block").to_numpy()
         column = cell.column("shingles").combine_chunks()
-        flat = column.flatten().to_numpy().view(np.uint64)
-        ends = np.cumsum(pc.list_value_length(column).to_numpy())
-        label = alike_in_cell(np.split(flat, ends[:-1]), block, similarity)
+        label = alike_in_cell(column.flatten().to_numpy(), pc.list_value_length(column).to_numpy().astype(np.int64), block, similarity)
         rows = np.nonzero(label != np.arange(len(label)))[0]
         return pa.table({"u": pa.array(node[rows]), "v": pa.array(node[label[rows]])})
 
     blocks = members.groupBy("candidate").agg(F.ceil(F.sum("n_shingles") / F.lit(TASK_SHINGLES)).cast("long").alias("blocks"), F.count("*").alias("n")).where("n > 1")
     blocks = blocks.select("candidate", F.greatest("blocks", F.lit(1)).alias("blocks"))
     dealt = members.join(blocks, "candidate").select("candidate", "node", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "text")
-    cells = dealt.mapInArrow(sets, "candidate long, node long, blocks long, block long, shingles array<long>")
+    cells = dealt.mapInArrow(tidy(sets), "candidate long, node long, blocks long, block long, shingles array<long>")
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return cells.groupBy("candidate", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).applyInArrow(search, "u long, v long")
 
@@ -398,13 +410,14 @@ def similar_classes(docs: DataFrame, shingle: int, similarity: float, limit: int
 
     kind = docs.schema[id_col].dataType.simpleString()
     longs = ", ".join(f"{c} long" for c in [*names, "set0", "set1", "n_shingles"])
-    rows = stored(docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {longs}"), "fingerprints")
+    rows = stored(docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, {longs}"), "fingerprints")
     distinct = rows.groupBy("set0", "set1", *names, "n_shingles").agg(F.min(id_col).alias("least"))
-    distinct = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
+    n = rows.count()
+    distinct = stored(few_files(distinct, n).withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
     near = components(link_fingerprints(distinct, lanes, (64, limit), reach)).select("node", F.col("root").alias("candidate"))
     members = distinct.join(near, "node").select("candidate", "node", "n_shingles", F.col("least").alias(id_col))
     roots = components(link_alike(members.join(docs.select(id_col, F.col(text_col).alias("text")), id_col), shingle, similarity))
-    inside = stored(distinct.join(roots, "node").select("node", "least", "root"), "linked")
+    inside = stored(few_files(distinct.join(roots, "node").select("node", "least", "root"), n), "linked")
     smallest = inside.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = inside.join(smallest, "root").select("node", "component_id")
     classes = distinct.join(linked, "node", "left").select("set0", "set1", F.coalesce("component_id", "least").alias("component_id"))

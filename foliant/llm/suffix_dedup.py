@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import partitions, stored, table
+from foliant.llm.common import few_files, partitions, stored, table, tidy
 
 LENGTH, GRAM = 200, 50
 #: Bytes that are hashed at once, and the largest bitmap of anchors (bits).
@@ -141,7 +141,7 @@ def anchor_counts(texts: DataFrame) -> DataFrame:
                 h, n = np.unique(anchors(data, ends)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], names=["h", "n"])
 
-    return texts.select(F.col("text").cast("binary")).mapInArrow(run, "h long, n int")
+    return texts.select(F.col("text").cast("binary")).mapInArrow(tidy(run), "h long, n int")
 
 
 def bitmap(found: DataFrame, name: str) -> tuple[bytes, int]:
@@ -202,7 +202,7 @@ def occurrences(docs: DataFrame, marks: bytes, bits: int) -> DataFrame:
                 columns = rk[k], at[k], (end - lo)[k].astype(np.int32), h[k].view(np.int64), cx.view(np.int64), own[k].view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[k])), *map(pa.array, columns)], names=names)
 
-    return keyed(docs).mapInArrow(run, f"doc_id {kind}, rk long, at long, size int, h long, cx long, own long")
+    return keyed(docs).mapInArrow(tidy(run), f"doc_id {kind}, rk long, at long, size int, h long, cx long, own long")
 
 
 def contexts(docs: DataFrame, marks: bytes, bits: int) -> DataFrame:
@@ -219,7 +219,7 @@ def contexts(docs: DataFrame, marks: bytes, bits: int) -> DataFrame:
                 columns = pa.array(own[k].view(np.int64)), pa.array(h[k].view(np.int64)), pa.array(d, pa.int32()), pa.array(cx.view(np.int64)), pa.array(ctx, pa.binary())
                 yield pa.RecordBatch.from_arrays(list(columns), names=["own", "h", "lead", "cx", "ctx"])
 
-    return keyed(docs).mapInArrow(run, "own long, h long, lead int, cx long, ctx binary")
+    return keyed(docs).mapInArrow(tidy(run), "own long, h long, lead int, cx long, ctx binary")
 
 
 def sort_suffixes(text: PrefixHashes, place: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -376,7 +376,7 @@ def marked_contexts(found: DataFrame) -> DataFrame:
             yield from work(pa.Table.from_batches(held))
 
     dealt = found.repartition(partitions(found.sparkSession), "h").sortWithinPartitions("h")
-    return dealt.select("h", "lead", "ctx", "cx").mapInArrow(run, "h long, cx long, a int, b int")
+    return dealt.select("h", "lead", "ctx", "cx").mapInArrow(tidy(run), "h long, cx long, a int, b int")
 
 
 def marked_in_large_groups(found: DataFrame) -> DataFrame:
@@ -391,9 +391,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, rk (xxhash64 of doc_id and text), spans: bytes that repeated strings cover, as structs (a, b)."""
     counted = anchor_counts(docs).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     found = stored(occurrences(docs, *bitmap(stored(counted, "repeated-anchors"), "h")), "occurrences", "zstd")
-    distinct = stored(found.groupBy("h", "cx").agg(F.count("*").alias("n"), F.min("own").alias("own"), F.first("size").alias("size")), "distinct-contexts", "zstd")
-    several = stored(distinct.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "several-contexts")
-    chosen = stored(distinct.join(several.select("h"), "h", "left_semi").select("own"), "chosen-contexts")
+    distinct = found.groupBy("h", "cx").agg(F.count("*").alias("n"), F.min("own").alias("own"), F.first("size").alias("size"))
+    distinct = stored(few_files(distinct, found.count()), "distinct-contexts", "zstd")
+    n = distinct.count()
+    several = stored(few_files(distinct.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), n), "several-contexts")
+    chosen = stored(few_files(distinct.join(several.select("h"), "h", "left_semi").select("own"), n), "chosen-contexts")
     # the join takes off what the bitmap lets through besides: copies of a hot context
     ctx = contexts(docs, *bitmap(chosen, "own")).join(chosen, "own", "left_semi").drop("own")
     large = several.where(F.col("n") > GROUP_MOST).select("h")
@@ -477,9 +479,9 @@ def without_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
             yield cut(batch, batch.column(width), batch.column(width + 1).to_pylist())
 
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("rk").alias("_key"), F.col("spans").alias("_spans"))
-    hit = rows.mapInArrow(touched, f"{kinds}, _rk long, _raw binary")
+    hit = rows.mapInArrow(tidy(touched), f"{kinds}, _rk long, _raw binary")
     joined = hit.join(spans, hit["doc_id"].eqNullSafe(spans["_id"]) & (hit["_rk"] == spans["_key"]), "left").drop("_rk", "_id", "_key")
-    return joined.mapInArrow(run, result).union(rows.mapInArrow(untouched, result))
+    return joined.mapInArrow(tidy(run), result).union(rows.mapInArrow(tidy(untouched), result))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
