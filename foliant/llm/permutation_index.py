@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by the order of its nearest pivots in direction, and by its length. Each shard of the index posts its vectors in the inverted
-files of those pivots with the pivot's rank; a query adds up, over the files of its own pivots, what the induced
-footrule distance (a pivot that is missing counts as rank `prefix`) saves for each vector. A line fitted in the shard
-turns that into a cosine; the vectors for which cosine times length is largest are ranked again by the inner product
-itself. Where all are equally long, these are the vectors with the smallest distance.
+A vector is represented by the order of its nearest pivots in direction, and by its length. Of many pivots only a short
+prefix counts, so the inverted file of a pivot posts few vectors, each with the rank that the pivot has for it. A query
+adds up, over the files of its own nearest pivots alone, what the induced footrule distance (a pivot that is missing
+counts as rank `prefix`) saves for each vector posted there. A line fitted in the shard turns that into a cosine; the
+vectors for which cosine times length is largest are ranked again by the inner product itself.
+
+How many are ranked again is fitted too, shard by shard and at every size alike: so many as find `target` of the true
+neighbours of a bounded number of sample queries.
 
 Every row is indexed. Queries meet every shard in blocks: (queries x shards) rows are dealt, never pairs.
 """
@@ -17,18 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm.common import stored, table
+from foliant.llm.common import partitions, stored, table
 
 #: Pivots (drawn by a hash of the id: a bounded sample), and how many of them represent a vector.
-PIVOTS, PREFIX = 256, 128
-#: Candidates that a shard ranks again: this part of its rows, and so many at least; ties at the cut stay in.
-RERANK, RERANK_LEAST = 0.12, 800
+PIVOTS, PREFIX = 2048, 64
+#: Part of the sample queries' true neighbours that the fitted depth must find, and sample queries of a shard, at most.
+TARGET, FIT_QUERIES = 0.95, 96
 #: Cosines of pivots: no more than the first, or the next where too few pivots are left. Only copies never count.
 ALIKE = (0.7, 0.8, 0.9, 0.95, 0.99, 0.999, 1 - 1e-9)
-#: Queries of a shard, at most, by which cosines are fitted to distances.
-FIT_QUERIES = 8
-#: Rows of a shard and of a block of queries, about.
-SHARD_ROWS, QUERY_ROWS = 8192, 16_384
+#: Rows of a shard (at least and at most) and of a block of queries, about.
+SHARD_ROWS, QUERY_ROWS = (4096, 65_536), 16_384
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -43,13 +44,16 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
 
 
-def permutations(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """Ranks of the pivots for each vector, `prefix` for all beyond the nearest ones."""
-    near = x @ pivots.T
-    order = np.argsort(-near, axis=1, kind="stable")[:, :prefix]
-    ranks = np.full(near.shape, prefix, np.int16)
-    np.put_along_axis(ranks, order, np.arange(order.shape[1], dtype=np.int16)[None, :], axis=1)
-    return ranks
+def nearest_pivots(unit: np.ndarray, pivots: np.ndarray, prefix: int, block: int = 1024) -> np.ndarray:
+    """The `prefix` nearest pivots of each direction, nearest first; of equally near ones the first."""
+    out = np.empty((len(unit), prefix), np.int16)
+    for lo in range(0, len(unit), block):
+        near = unit[lo : lo + block] @ pivots.T
+        some = np.argpartition(-near, prefix - 1, axis=1)[:, :prefix] if prefix < near.shape[1] else np.broadcast_to(np.arange(prefix), near.shape)
+        some = np.sort(some, axis=1)
+        order = np.argsort(-np.take_along_axis(near, some, axis=1), axis=1, kind="stable")
+        out[lo : lo + block] = np.take_along_axis(some, order, axis=1)
+    return out
 
 
 def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,75 +79,109 @@ def spread_pivots(drawn: np.ndarray, most: int, alike: tuple[float, ...] = (0.7,
     return np.stack(chosen) if chosen else drawn
 
 
-def savings(files: np.ndarray, asked: np.ndarray, prefix: int) -> np.ndarray:
-    """What the inverted files save each vector in the distance to a query, given the query's ranks of the pivots."""
-    saved = np.zeros(files.shape[1], np.int16)
-    for p in np.nonzero(asked < prefix)[0]:
-        saved += prefix - np.maximum(files[p], asked[p])
-    return saved
+class InvertedFiles:
+    """Of each pivot, the rows that have it among their nearest ones, and its rank for them."""
+
+    def __init__(self, near: np.ndarray, pivots: int):
+        self.rows, self.prefix = near.shape
+        order = np.argsort(near.reshape(-1), kind="stable")
+        self.posted = (order // self.prefix).astype(np.int32)
+        self.rank = (order % self.prefix).astype(np.int32)
+        self.start = np.searchsorted(near.reshape(-1)[order], np.arange(pivots + 1))
+
+    def savings(self, asked: np.ndarray) -> np.ndarray:
+        """What each row saves in the footrule distance to a query, given the query's nearest pivots."""
+        lo, hi = self.start[asked], self.start[asked + 1]
+        spans = [slice(a, b) for a, b in zip(lo.tolist(), hi.tolist())]
+        rank = np.maximum(np.concatenate([self.rank[s] for s in spans]), np.repeat(np.arange(len(asked)), hi - lo))
+        return np.bincount(np.concatenate([self.posted[s] for s in spans]), self.prefix - rank, self.rows)
 
 
-def search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int, prefix: int, rerank: float, least: int):
-    """Of each query, the k best of the shard: query ids, vector ids, inner products."""
+def search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int, prefix: int, sought: int, target: float):
+    """Of each query, the k best of the shard: query ids, vector ids, inner products. The depth of the second ranking is
+    the one that finds `target` of the `sought` nearest rows of sample queries."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
-    (unit, length), (q_unit, _) = directions(x), directions(q)
-    ranks = permutations(unit, pivots, prefix)
-    files = np.ascontiguousarray(ranks.T)  # inverted files: a pivot's rank for every row, as each holds a good part of them
-    asked = permutations(q_unit, pivots, prefix)
-    keep = min(len(ids), max(least, int(np.ceil(rerank * len(ids)))))
-    some = np.linspace(0, len(q) - 1, min(len(q), FIT_QUERIES)).astype(int)
-    seen = np.concatenate([savings(files, asked[i], prefix) for i in some]).astype(np.float64)
-    cosine = np.concatenate([unit @ q_unit[i] for i in some])
-    spread = ((seen - seen.mean()) ** 2).mean()
-    slope = max(((seen - seen.mean()) * (cosine - cosine.mean())).mean() / spread, 1e-9) if spread else 1e-9
-    base = cosine.mean() - slope * seen.mean()
+    raw = np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1])))[:, 0]
+    _, first, member = np.unique(raw, return_index=True, return_inverse=True)  # equal vectors are one entry of the files
+    copies = np.argsort(member, kind="stable")  # of each entry its rows, smallest id first
+    begin = np.searchsorted(member[copies], np.arange(len(first) + 1))
+    distinct = x[first]
+    (unit, length), (q_unit, _) = directions(distinct), directions(q)
+    files = InvertedFiles(nearest_pivots(unit, pivots, prefix), len(pivots))
+    asked = nearest_pivots(q_unit, pivots, prefix).astype(np.int64)
+    some = np.unique(np.linspace(0, len(q) - 1, FIT_QUERIES).astype(int))
+    seen = [files.savings(asked[i]) for i in some]
+    cosine = [unit @ q_unit[i] for i in some]
+    s, c = np.concatenate(seen), np.concatenate(cosine)
+    spread = ((s - s.mean()) ** 2).mean()
+    slope = max(((s - s.mean()) * (c - c.mean())).mean() / spread, 1e-9) if spread else 1e-9
+    base = c.mean() - slope * s.mean()
+    depths = []
+    for i, saved, near in zip(some, seen, cosine):
+        likely, true = length * (base + slope * saved), length * near
+        true[(ids[first] == query_ids[i]) & (np.diff(begin) == 1)] = -np.inf  # the query itself
+        best = np.argpartition(-true, min(sought, len(true)) - 1)[:sought]
+        depths.append(len(likely) - np.searchsorted(np.sort(likely), likely[best], "left"))
+    depth = int(np.quantile(np.concatenate(depths), target, method="higher"))
+    own = np.searchsorted(ids, query_ids, "right") - np.searchsorted(ids, query_ids, "left")
     out_q, out_v, out_s = [], [], []
     for i, query in enumerate(query_ids):
-        likely = length * (base + slope * savings(files, asked[i], prefix))
-        found = np.nonzero(likely >= np.partition(likely, len(ids) - keep)[len(ids) - keep])[0]
-        found = found[ids[found] != query]
-        score = (x[found] * q[i]).sum(axis=1)
-        best = np.lexsort((ids[found], -score))[:k]
+        most = k + own[i]  # rows of the query's own id are no candidates
+        keep = min(len(first), max(depth, most))
+        likely = length * (base + slope * files.savings(asked[i]))
+        found = np.nonzero(likely >= np.partition(likely, len(likely) - keep)[len(likely) - keep])[0]
+        score = (distinct[found] * q[i]).sum(axis=1)
+        if len(found) > most:
+            high = score >= np.partition(score, len(score) - most)[len(score) - most]
+            found, score = found[high], score[high]
+        # of equal vectors the smallest ids are enough
+        rows = np.concatenate([copies[begin[f] : min(begin[f + 1], begin[f] + most)] for f in found])
+        score = np.repeat(score, np.minimum(np.diff(begin)[found], most))
+        other = ids[rows] != query
+        rows, score = rows[other], score[other]
+        best = np.lexsort((ids[rows], -score))[:k]
         out_q.append(np.full(len(best), query))
-        out_v.append(ids[found][best])
+        out_v.append(ids[rows][best])
         out_s.append(score[best])
     cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     return cat(out_q, np.int64), cat(out_v, np.int64), cat(out_s, np.float64)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-            pivots: int = PIVOTS, prefix: int = PREFIX, rerank: float = RERANK, least: int = RERANK_LEAST) -> DataFrame:
+            pivots: int = PIVOTS, prefix: int = PREFIX, target: float = TARGET) -> DataFrame:
     """The k rows of vectors with the largest inner product for each row of queries (same columns), approximately.
 
-    Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor
-    do rows without an id. A query's own id is no candidate of it; a repeated query counts once, repeated other rows
-    are candidates each. Ties go to the smaller id. Returns query_id, rank (from 1), the id column, score.
+    Vectors that are null, zero, of another length than most (they have no inner product with those), or hold null or
+    non-finite components take no part, nor do rows without an id. A query's own id is no candidate of it; of rows that
+    repeat a query's id the smallest vector asks, repeated other rows are candidates each. Ties go to the smaller id.
+    Returns query_id, rank (from 1), the id column, score; other columns are not read, and an empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = stored(usable(vectors, id_col, vector_col), "vectors")
     stats = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("size")).first()
     n, size = stats["n"], stats["size"] or 0
-    asked = stored(usable(queries, id_col, vector_col).where(F.size("v") == size).dropDuplicates(["id"]), "queries")
+    asked = stored(usable(queries, id_col, vector_col).where(F.size("v") == size).groupBy("id").agg(F.min("v").alias("v")), "queries")
+
+    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return t.column("id").to_numpy(), flat.reshape(len(t), -1) if len(t) else np.zeros((0, size))
 
     def draw(table: DataFrame) -> np.ndarray:
-        found = table.orderBy(F.xxhash64("id"), "id").limit(4 * pivots).collect()
-        return directions(np.array([r["v"] for r in found], np.float64).reshape(-1, max(size, 1)))[0]
+        return directions(matrix(table.orderBy(F.xxhash64("id"), "id").limit(2 * pivots).toArrow())[1].reshape(-1, max(size, 1)))[0]
 
     drawn = draw(rows)
     chosen = spread_pivots(drawn, pivots)
     if len(chosen) < pivots:  # common vectors fill the draw, or all vectors are alike: draw from distinct ones
         chosen = spread_pivots(np.vstack([drawn, draw(rows.groupBy("v").agg(F.min("id").alias("id")))]), pivots, ALIKE)
-    prefix = max(1, min(prefix, len(chosen), 250))
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-asked.count() // QUERY_ROWS))
+    prefix = max(1, min(prefix, len(chosen)))
+    least, most = SHARD_ROWS
+    shards, blocks = max(1, -(-n // most), min(partitions(spark), n // least)), max(1, -(-asked.count() // QUERY_ROWS))
+    sought = min(k, 2 + -(-2 * k // shards))  # what a shard has of the k nearest, with slack
     spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     index = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", spread(blocks))
     asks = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", spread(shards))
-    shared = spark.sparkContext.broadcast(chosen)  # PIVOTS vectors
-
-    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return t.column("id").to_numpy(), flat.reshape(len(t), -1) if len(t) else np.zeros((0, size))
+    shared = spark.sparkContext.broadcast(chosen)  # at most `pivots` vectors
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, x = matrix(left)
@@ -151,7 +189,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         if not len(ids) or not len(query_ids):
             found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         else:
-            found = search_shard(ids, x, query_ids, q, shared.value, k, prefix, rerank, least)
+            found = search_shard(ids, x, query_ids, q, shared.value, k, prefix, sought, target)
         return pa.table(dict(zip(("query_id", "id", "score"), map(pa.array, found))))
 
     found = index.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInArrow(search, "query_id long, id long, score double")
