@@ -7,7 +7,10 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from foliant.llm import packing, simhash
+from pyspark.sql import functions as F
+from test_llm_operators import SlowKneserNey, brute_spans, duck
+
+from foliant.llm import language_id, packing, quality, simhash, suffix_dedup
 from foliant.llm.common import stored
 
 SF = "/root/testdata/sf0.001"
@@ -30,6 +33,69 @@ def test_filters_keep_columns_and_clean_documents(stages, spark):
     assert not [i for i in after if labels.get(i) == 0]
 
 
+def test_languages_are_accepted_as_by_dictionaries(stages):
+    docs, out = stages["language_id"]
+    part = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 40)) / (1 << 40)
+    share = language_id.FIT_DOCS / (language_id.FIT_DOCS + language_id.CALIBRATION_DOCS)
+    rows = docs.select("doc_id", "text", "lang", language_id.held_out(F.col("doc_id")).alias("out"), (part < share).alias("fits")).collect()
+    known = [r for r in rows if r["lang"] and r["text"] is not None and not r["out"]]
+    langs = sorted({r["lang"] for r in known if r["fits"]})
+    words = lambda t: "".join(c if c.isalpha() else " " for c in t.lower()).split()
+    slow = {x: SlowKneserNey(Counter(w for r in known if r["lang"] == x and r["fits"] for w in words(r["text"])), language_id.ORDER) for x in langs}
+    limit = {x: np.quantile([h for r in known if r["lang"] == x and not r["fits"] if (h := slow[x].entropy(r["text"])) is not None], 1 - language_id.TAIL) * (1 + language_id.MARGIN) for x in langs}
+    want, edge = set(), set()
+    for r in rows:
+        h = {x: slow[x].entropy(r["text"]) for x in langs}
+        if h[langs[0]] is not None:
+            best = min(langs, key=h.get)
+            if h[best] <= limit[best]:
+                want.add(r["doc_id"])
+            if abs(h[best] - limit[best]) < 1e-4:
+                edge.add(r["doc_id"])
+    assert {r["doc_id"] for r in out.collect()} - edge == want - edge and len(want) > 150
+
+
+def test_rules_reject_what_sql_does(stages):
+    docs, out = stages["quality_rules"]
+    want = Counter(r[0] for r in duck(f"SELECT doc_id FROM ({quality.OP1_SQL}) WHERE kept", documents=docs.toPandas()))
+    assert Counter(r["doc_id"] for r in out.collect()) == want and 0 < len(want) < docs.count()
+
+
+def test_repeated_strings_go_as_by_brute_force(stages):
+    docs, out = stages["suffix_dedup"]
+    rows = docs.collect()
+    coded, gone = brute_spans([r["text"] for r in rows])
+    want = Counter()
+    for r, text, g in zip(rows, coded, gone):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], g.astype(int), [0]])))
+        spans = suffix_dedup.merged([suffix_dedup.whole_characters(text, a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())])
+        at, kept = 0, b""
+        for a, b in spans:
+            kept, at = kept + text[at:a], b
+        want[r["doc_id"], (kept + text[at:]).decode()] += 1
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == want
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls in any column, empty and long texts, repeated rows, columns of other names and an empty table."""
+    good = " ".join(r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' AND n_chars > 500").orderBy("doc_id").limit(3).collect())
+    rows = [(None, None, None, None, None), (1, None, "en", "s", 1), (2, "", None, None, None), (3, good, None, None, None), (3, good, None, None, None), (None, good + " more", "en", None, 5), (4, good * 40, "en", "s", 2), (5, "🙂" * 300, "en", "s", 1)]
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = [*(F.lit(7).alias(c) for c in ("row", "key", "score", "_rk", "_row", "spans", "piece", "length", "node"))]
+    docs = spark.createDataFrame(rows, names).select("*", *extra)
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (docs, docs.limit(0)):
+            out = stage(spark, table, SF)
+            found = out.collect()
+            if name != "packing":
+                assert out.columns == corpus_pipeline.COLUMNS
+                assert len(found) <= table.count()
+            if name == "near_dedup" and found:  # one of those without words, one of the equal texts, and what is like neither
+                assert sum(r["text"] == good for r in found) <= 1 and len(found) == len({simhash.shingle_set(r["text"] or "", 5).tobytes() for r in found})
+            if name == "packing" and found:
+                assert Counter(r["doc_id"] for r in found if r["piece"] == 0) == Counter(r[0] for r in rows)
+
+
 def test_near_copies_go_and_others_stay(stages):
     def shingles(text):
         w = text.encode().lower().split()
