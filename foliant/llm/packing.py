@@ -1,9 +1,12 @@
 """Packing of documents into sequences of fixed length: a configuration linear program over the length histogram.
 
 A configuration is a multiset of lengths that fits one sequence. The program covers all pieces with as few
-configurations as possible. Weights on lengths are updated multiplicatively by what is left of each; a knapsack
-dynamic program prices configurations under them; the fractional solution is rounded down and best fit places the
-rest. Only the histogram (at most `capacity` counts) reaches the driver, and the plan is as small.
+configurations as possible. A piece is worth its length times a weight that is updated multiplicatively by how much of
+its length is left; a knapsack dynamic program prices configurations under these values, and those near the best price
+are taken, for as many whole sequences as the pieces left allow. Rounding down at once leaves its errors in the program,
+where later rounds price them again; best fit places what no such configuration holds. The values over the best price
+are a dual solution, which bounds from below what any packing takes. Only the histogram (at most `capacity` counts)
+reaches the driver, and the plan is as small.
 """
 
 from __future__ import annotations
@@ -19,26 +22,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.bpe import _ODD_SPACE, read_ranks, text_chunks
-from foliant.llm.common import numbered, stored, table
+from foliant.llm.common import numbered, stored, table, tidy
 
 CAPACITY, END_ID = 1024, 2
-#: Rounds of the multiplicative weights, the part of what is left that a round may use, and the weights' rate.
-ROUNDS, SHARE, RATE = 120, 0.25, 0.6
-#: The fractional solution covers this part of the pieces; the rest keeps enough short pieces for the rounding to fill
-#: sequences with (covering all was measured to take 0.1 % more sequences).
-COVERED = 0.5
+#: Rates of the multiplicative weights (of the plans by them, the one with the fewest sequences counts), the most rounds
+#: of each, and how far below the best price a configuration may be.
+RATES, ROUNDS, NEAR = (0.02, 0.05, 0.1, 0.2), 400, 0.1
 
 Pattern = tuple[int, ...]
 
 
 def price(values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack: best value for each room, and the length taken there (0: one token stays free)."""
+    """Unbounded knapsack: best value for each room, and the length taken there (0: one token stays free). Of equally
+    good lengths the longest, so that short pieces stay for the gaps."""
     best, taken = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for room in range(1, capacity + 1):
-        options = best[room - 1 :: -1][:room] + values[1 : room + 1]  # length 1, 2, ... room
-        k = int(options.argmax())
-        if options[k] > best[room - 1]:
-            best[room], taken[room] = options[k], k + 1
+        options = best[:room] + values[room:0:-1]  # length room, room - 1, ... 1
+        most = options.max()
+        if most > best[room - 1]:
+            best[room], taken[room] = most, room - int((options >= most - 1e-12).argmax())
         else:
             best[room] = best[room - 1]
     return best, taken
@@ -69,53 +71,48 @@ def best_fit(left: dict[int, int], capacity: int) -> Counter:
     return sum(classes.values(), Counter())
 
 
-def pack_plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[Pattern, int]]:
-    """Patterns and how many sequences take each; together they hold every piece of the histogram exactly once."""
-    need = np.zeros(capacity + 1)
-    for length, n in histogram.items():
-        need[length] = n
+def weighted_plan(need: np.ndarray, capacity: int, rate: float, rounds: int) -> tuple[Counter, float]:
+    """Patterns with counts, by multiplicative weights of one rate, and the best dual bound of the rounds."""
     left, lengths = need.copy(), np.arange(capacity + 1)
-    solution: Counter = Counter()  # the fractional program
-    weights = np.where(need > 0, 1.0, 0.0)
-    for t in range(rounds):
-        if left.sum() < (1 - COVERED) * need.sum() + 1:
-            break
-        values = np.where(left >= 0.5, weights * lengths / capacity, 0.0)
-        _, taken = price(values, capacity)
-        used = 0.0
-        for first in range(capacity, 0, -1):
-            if left[first] < 0.5:
+    weights, plan, bound = np.where(need > 0, 1.0, 0.0), Counter(), 0.0
+    for _ in range(rounds):
+        values = np.where(left > 0, weights * lengths / capacity, 0.0)
+        best, taken = price(values, capacity)
+        bound = max(bound, float((need * values).sum() / best[capacity]))
+        used = False
+        for first in np.nonzero(left)[0][::-1].tolist():
+            if not left[first] or values[first] + best[capacity - first] < (1 - NEAR) * best[capacity]:
                 continue
-            items, room = [first], capacity - first
+            each, room = Counter([first]), capacity - first
             while room > 0:
-                items.append(int(taken[room]))
-                room -= max(1, items[-1])
-            pattern = tuple(sorted((x for x in items if x), reverse=True))
-            each = Counter(pattern)
-            free = capacity - sum(pattern)
-            amount = min(left[x] / k for x, k in each.items()) * SHARE
-            if amount < 0.5 or free:  # only full sequences; what fills none is left to the rounding
-                continue
-            solution[pattern] += amount
-            used += amount
-            for x, k in each.items():
-                left[x] -= amount * k
-        part = np.divide(left, need, out=np.zeros_like(left), where=need > 0)
-        mean = left.sum() / need.sum()
-        weights = np.where(need > 0, weights * np.exp(RATE * (part - mean)), 0.0)
-        weights = np.clip(weights / weights[need > 0].mean(), 0.05, 20.0)
-        if not used:
+                if taken[room]:
+                    each[int(taken[room])] += 1
+                room -= max(1, int(taken[room]))
+            n = min(int(left[x]) // k for x, k in each.items())
+            if n:
+                plan[tuple(sorted(each.elements(), reverse=True))] += n
+                used = True
+                for x, k in each.items():
+                    left[x] -= n * k
+        if not used or not left.any():
             break
-    rest, plan = {int(x): int(need[x]) for x in np.nonzero(need)[0]}, Counter()
-    for pattern, amount in solution.items():
-        each = Counter(pattern)
-        n = min(int(amount), *(rest[x] // k for x, k in each.items()))
-        if n:
-            plan[pattern] += n
-            for x, k in each.items():
-                rest[x] -= n * k
-    plan += best_fit({x: n for x, n in rest.items() if n}, capacity)
-    return sorted(plan.items(), reverse=True)
+        part = np.divide(left, need, out=np.zeros(capacity + 1), where=need > 0)
+        weights = np.where(need > 0, weights * np.exp(rate * (part - left.sum() / need.sum())), 0.0)
+        weights = np.clip(weights / weights[need > 0].mean(), 0.05, 20.0)
+    return plan + best_fit({int(x): int(left[x]) for x in np.nonzero(left)[0]}, capacity), bound
+
+
+def pack_plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[Pattern, int]], int]:
+    """Patterns and how many sequences take each, which together hold every piece of the histogram exactly once; and a
+    number of sequences that no packing is below."""
+    need = np.zeros(capacity + 1, np.int64)
+    for length, n in histogram.items():
+        need[length] = n
+    if not need.any():
+        return [], 0
+    plans = [weighted_plan(need, capacity, rate, rounds) for rate in RATES]
+    fewest = min((p for p, _ in plans), key=lambda p: sum(p.values()))
+    return sorted(fewest.items(), reverse=True), int(np.ceil(max(b for _, b in plans) - 1e-6))
 
 
 class SegmentTokenizer:
@@ -136,7 +133,7 @@ class SegmentTokenizer:
         self.apart = re.compile("|".join([f"[{_ODD_SPACE}\x1c-\x1f]", *map(re.escape, special)]))
         self.spaced: dict[str, bytes] = {}
 
-    def ids(self, texts: list[str], cache_entries: int = 300_000) -> list[bytes]:
+    def ids(self, texts: list[str], cache_entries: int = 150_000) -> list[bytes]:
         """Ids of whole texts, as little-endian unsigned 32-bit integers."""
         out = []
         pack = lambda ids: array("I", ids).tobytes()
@@ -208,7 +205,7 @@ def tokenized_pieces(docs: DataFrame, paths: tuple[str, str, str], capacity: int
                 yield pa.RecordBatch.from_pydict(out)
 
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -221,7 +218,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     if histogram and not 0 < max(histogram) <= capacity:
         raise ValueError(f"a piece of {max(histogram)} tokens does not fit {capacity}")
-    plan = pack_plan(histogram, capacity)
+    plan, _ = pack_plan(histogram, capacity)
     slots, base = [], 0  # (length, numbers before, first sequence, pieces of the length in it, their offset)
     before: Counter = Counter()
     for pattern, n in plan:
@@ -248,7 +245,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "_row")
     counted = numbered(pieces, ["length"], "_row", sum(histogram.values()), "_n")
-    return counted.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    return counted.mapInArrow(tidy(place), f"{kinds}, sequence_id long, offset long")
 
 
 def public_paths() -> tuple[str, str, str]:
