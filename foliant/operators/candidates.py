@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant.functions.cleaning import append_annotations, format_annotations
 from foliant.functions.scores import default_quality_score, word_accent_ratio
-from foliant.functions.text import strip, whole
+from foliant.functions.text import strip, strip_markdown_syntax, whole
 
 
 def candidate_scores(words: DataFrame, keys: list[str], conf: str, quality: str) -> DataFrame:
@@ -47,3 +48,28 @@ def top_lines(lines: DataFrame, page: str, line: str, score: str, most: int = 24
     best = lines.groupBy(page, key.alias("key")).agg(F.max_by(line, F.struct(score, line)).alias("line"), F.max(score).alias("score"))
     rank = F.row_number().over(Window.partitionBy(page).orderBy(F.desc("score"), "key"))
     return best.withColumn("rank", rank).where(F.col("rank") <= most).select(page, "rank", "line", "score")
+
+
+def new_to(lines: Column, main: Column, gram: int = 12, stride: int = 4, longest: int = 80) -> Column:
+    """Lines of an array that a text does not hold: neither whole nor, up to `longest` characters, by a gram at every
+    `stride`-th place."""
+    low = F.lower(whole(main))
+
+    def held(line: Column) -> Column:
+        key = F.lower(line)
+        grams = F.transform(F.sequence(F.lit(0), F.greatest(F.length(key) - gram, F.lit(0)), F.lit(stride)), lambda i: F.substr(key, i + 1, F.lit(gram)))
+        return F.contains(low, key) | ((F.length(line) <= longest) & (F.length(key) >= gram) & F.exists(grams, lambda g: F.contains(low, g)))
+
+    return F.filter(F.transform(lines, strip), lambda x: (F.length(x) >= 2) & ~held(x))
+
+
+def enrich_pages(pages: DataFrame, lines: DataFrame, page: str, markdown: str, most: int = 24) -> DataFrame:
+    """page, markdown: pages with a section of what a second reading (lines: page, line, score) has and they have not."""
+    some = lines.withColumn("line", strip(F.col("line"))).where(F.length("line") >= 2)
+    best = top_lines(some, page, "line", "score", most)
+    extra = best.groupBy(page).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]).alias("_ls"))
+    joined = pages.select(page, F.col(markdown).alias("_md")).join(extra, page, "left").withColumn("_plain", strip_markdown_syntax(F.col("_md")))
+    fresh = new_to(F.split(format_annotations(F.coalesce("_ls", F.array().cast("array<string>"))), "\n", -1), F.col("_plain"))
+    bare = F.transform(fresh, lambda x: strip(F.regexp_replace(x, r"^-\s*\*\*[^*]+\*\*:\s*", "")))
+    body = joined.select(page, "_md", format_annotations(bare).alias("_body"))
+    return body.select(page, append_annotations(F.col("_md"), F.col("_body")).alias("markdown"))

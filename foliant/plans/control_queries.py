@@ -476,3 +476,26 @@ def _cell_tables(spark, sf_dir):
 @query(CELL_TABLES[: CELL_TABLES.index("SELECT page_id, (row")] + "SELECT page_id, arg_max(markdown, row(score, -ordinal)) AS markdown, arg_max(ordinal, row(score, -ordinal)) AS ordinal, round(max(score), 6)::DOUBLE AS score FROM m GROUP BY page_id HAVING max(score) >= 28")
 def accepted_page_table(spark, sf_dir):
     return tables.best_table(_cell_tables(spark, sf_dir)).withColumn("score", F.round("score", 6)).select("page_id", "markdown", "ordinal", "score")
+
+
+def sql_annotated(lines: str) -> str:
+    """A list of lines as bullets, joined."""
+    flat = f"list_filter(list_transform({lines}, lambda y: {sql_strip(sub('y', (chr(92) + 's+', SPACE)))}), lambda s: s <> '')"
+    kind = r"""CASE WHEN (regexp_matches(s, '^[A-Z0-9][A-Z0-9\s\-./]{2,}$') AND length(s) <= 48) OR (NOT (length(s) <= 42 AND regexp_matches(s, '[a-záéíóúñ]')) AND regexp_matches(s, '\d{2,}') AND length(s) <= 32)
+  THEN '- **Sello / código:** ' WHEN length(s) <= 42 AND regexp_matches(s, '[a-záéíóúñ]') THEN '- **Firma / manuscrito:** ' ELSE '- ' END || s"""
+    return f"array_to_string(list_transform({flat}, lambda s: {kind}), chr(10))"
+
+
+@query(f"""
+WITH l AS (SELECT doc_id - doc_id % 2 AS page, {sql_strip('unnest(string_split(text, chr(10)))')} AS line FROM documents), b AS (SELECT page, lower(line) AS k, arg_max(line, row(length(line), line)) AS line, max(length(line)) AS score FROM l WHERE length(line) >= 2 GROUP BY page, k),
+r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, k) AS rank FROM b), e AS (SELECT page, list(line ORDER BY rank) AS ls FROM r WHERE rank <= 24 GROUP BY page),
+p AS (SELECT doc_id, text, lower({sql_plain('text')}) AS main, string_split({sql_annotated('ls')}, chr(10)) AS fs FROM documents JOIN e ON page = doc_id),
+f AS (SELECT *, list_filter(list_transform(fs, lambda y: {sql_strip('y')}), lambda x: length(x) >= 2 AND NOT (contains(main, lower(x)) OR (length(x) BETWEEN 12 AND 80 AND len(list_filter(range(1, length(x) - 10, 4), lambda i: contains(main, lower(x)[i:i + 11]))) > 0))) AS fresh FROM p),
+g AS (SELECT doc_id, text, {sql_annotated('fresh')} AS body FROM f)
+SELECT doc_id, CASE WHEN body = '' THEN text WHEN contains(lower({sql_normalize('text')}), '## firmas, sellos y anotaciones') THEN {sql_normalize('text')} ELSE {sql_strip(f"{sql_normalize('text')} || {NL} || {NL} || '## Firmas, sellos y anotaciones' || {NL} || {NL} || body")} END AS markdown FROM g
+""")
+def enriched_pages(spark, sf_dir):
+    d = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select((d - d % 2).alias("doc_id"), F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("score", F.length(F.regexp_replace("line", r"^\s+|\s+$", "")))
+    return candidates.enrich_pages(docs.where(d % 2 == 0), lines, "doc_id", "text")
