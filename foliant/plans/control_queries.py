@@ -12,6 +12,7 @@ from foliant.operators import assembly, candidates, control, jobs, tables
 from foliant.plans import cleaning_sql as Q
 from foliant.plans.cleaning_queries import STEPS, sql_blobs
 from foliant.plans.queries import COMPRESSED, NL, QUALITY_SQL, SECTIONED, SECTIONS, STATES, _sectioned, _states, _stream, events_of, query, sql_normalize, sql_plain, sql_strip, sub, table
+from foliant.sources import writers
 from foliant.streaming import jobs as streams
 
 SPACE = "' '"
@@ -499,3 +500,14 @@ def enriched_pages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     lines = docs.select((d - d % 2).alias("doc_id"), F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("score", F.length(F.regexp_replace("line", r"^\s+|\s+$", "")))
     return candidates.enrich_pages(docs.where(d % 2 == 0), lines, "doc_id", "text")
+
+
+@query("""
+SELECT doc_id, '/download/' || doc_id || '/txt' AS txt, '/download/' || doc_id || '/md' AS md, CASE WHEN doc_id % 3 = 0 THEN '/download/' || doc_id || '/pdf' END AS pdf, CASE WHEN doc_id % 5 = 0 THEN '/download/' || doc_id || '/docx' END AS docx, 'f' || doc_id || '_x.md' AS name FROM documents
+""")
+def result_links(spark, sf_dir):
+    d = F.col("doc_id")
+    none = F.array().cast("array<string>")
+    written = F.concat(F.array(F.lit("txt"), F.lit("md")), F.when(d % 3 == 0, F.array(F.lit("pdf"))).otherwise(none), F.when(d % 5 == 0, F.array(F.lit("docx"))).otherwise(none))
+    links = writers.download_links(d.cast("string"), F.concat(F.lit("in/f"), d.cast("string"), F.lit(":x.pdf")), written)
+    return table(spark, sf_dir, "documents").select("doc_id", links.alias("l")).select("doc_id", "l.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.text import strip_markdown_syntax, whole
+from foliant.functions.text import safe_stem, strip_markdown_syntax, whole
 
 SEPARATOR = "\n\n---\n\n"
 EMPTY_RESULT = "# Resultado OCR"
@@ -30,6 +30,13 @@ def write_results(results: DataFrame, folder: str, key: str = "job_id", markdown
     rows.select(key, F.concat(F.lit("/download/"), key, F.lit("/md")).alias("md"), F.concat(F.lit("/download/"), key, F.lit("/txt")).alias("txt")).write.mode("overwrite").json(f"{folder}/manifest")
 
 
+def download_links(job_id: Column, filename: Column, written: Column) -> Column:
+    """Struct (txt, md, pdf, docx, name): links to a result's files, null for those formats (of an array) that were not
+    written, and the name under which its Markdown is kept."""
+    link = lambda f: F.when(F.array_contains(written, f), F.concat(F.lit("/download/"), job_id, F.lit(f"/{f}"))).alias(f)
+    return F.struct(*map(link, ("txt", "md", "pdf", "docx")), F.concat(safe_stem(filename), F.lit(".md")).alias("name"))
+
+
 def append_states(states: DataFrame, folder: str) -> None:
     """Job states as events: the latest one of a job counts."""
     states.write.mode("append").json(folder)
