@@ -179,6 +179,14 @@ def test_sources_and_sinks(spark, tmp_path):
     writers.write_results(spark.createDataFrame([("j1", "# T"), ("j2", "")], "job_id string, markdown string"), str(tmp_path / "out"))
     got = {r["job_id"]: r["value"] for r in spark.read.text(str(tmp_path / "out" / "md"), wholetext=True).collect()}
     assert got["j1"].strip() == "# T" and got["j2"].strip() == "# Resultado OCR"
+    (tmp_path / "texts").mkdir()
+    (tmp_path / "texts" / "j7.md").write_text("# uno\n\ndos")
+    assert [tuple(r) for r in readers.markdown_files(spark, str(tmp_path / "texts")).collect()] == [("j7", "# uno\n\ndos")]
+    for status in ("queued", "completed"):
+        row = [("a", status, 1, 2, f"2024-01-0{len(status)}", "2024-01-01")]
+        writers.append_states(spark.createDataFrame(row, "job_id string, status string, progress int, pages_total int, updated_at string, created_at string"), str(tmp_path / "log"))
+    log = spark.read.schema(readers.JOB_SCHEMA).json(str(tmp_path / "log"))
+    assert [r["status"] for r in jobs.latest_states(log, "job_id", "updated_at", "status").collect()] == ["completed"]
     pages = readers.page_batches(spark.createDataFrame([("d", 10), ("e", None)], "k string, n int"), "k", "n")
     assert pages.count() == 11 and pages.agg(F.max("batch")).first()[0] == 1
     out = readers.with_engine(pages, lambda pdf: pdf.assign(text="fake")[["k", "page", "text"]], "k string, page int, text string")
