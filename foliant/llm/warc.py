@@ -2,7 +2,8 @@
 
 Each archive file read gives one run: its captures sorted by URL key and time. Runs are dealt by ranges of
 (URL key, time, page), which also splits the history of a URL that many captures share, and a tournament of losers
-merges the runs' slices of a range. Ranges in order make the whole index.
+merges the runs' slices of a range. Within a range Spark sorts each slice (on disk where it must), and the merge moves
+row numbers of Arrow columns, not rows. Ranges in order make the whole index.
 
 Archives are written and read by Spark alone, so they can lie in any store it knows. They are uncompressed: an index
 entry's offset and length find a record by a range read.
@@ -13,19 +14,22 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import new_path, partitions, stored, table
+from foliant.llm.common import new_path, partitions, stored, table, tidy
 
 #: Payloads of fewer bytes are always written whole.
 LEAST_REVISIT = 100
-#: Records of an archive file: it is read as one value, so it has to stay small.
-FILE_RECORDS = 2000
+#: An archive file is read as one value, so it has to stay small: about so many bytes and records at most, one record at
+#: least. Payloads of like size, by powers of SIZE_STEP, share a file.
+FILE_BYTES, FILE_RECORDS, SIZE_STEP = 64 << 20, 2000, 16
 #: Index entries of a merged range, about.
-RANGE_ROWS = 250_000
+RANGE_ROWS = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n"
 
@@ -65,6 +69,12 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     )
 
 
+def utc_text(instant: Column) -> Column:
+    """An instant as WARC writes it, in UTC whatever the session's time zone."""
+    clock = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.unix_seconds(instant).cast("decimal(18,6)"))
+    return F.concat(F.replace(clock.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
+
+
 def record_uri(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
 
@@ -77,7 +87,7 @@ def record_text(date: Column) -> Column:
     uri = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
     return F.concat(
         F.lit(f"WARC/1.1{_END}WARC-Type: "), F.col("record_type"), F.lit(f"{_END}WARC-Record-ID: "), record_uri(F.col("page_id")),
-        F.lit(f"{_END}WARC-Date: "), F.date_format(date, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.lit(f"{_END}WARC-Date: "), utc_text(date),
         F.coalesce(F.concat(F.lit(f"{_END}WARC-Target-URI: "), uri), F.lit("")),
         F.lit(f"{_END}WARC-Payload-Digest: sha256:"), F.col("payload_digest"),
         F.when(revisit, F.concat(F.lit(f"{_END}WARC-Profile: {PROFILE}{_END}WARC-Refers-To: "), record_uri(F.col("refers_to")))).otherwise(""),
@@ -89,8 +99,12 @@ def record_text(date: Column) -> Column:
 def write_archives(records: DataFrame, path: str, date: Column | None = None) -> None:
     """One WARC file or more for each partition. Without a date, a capture's is its page_id's second of 2024 on."""
     when = F.timestamp_seconds(F.coalesce(F.col("page_id"), F.lit(0)) + 1_704_067_200) if date is None else date
-    # a record ends with two line ends, which is what the writer puts after each row
-    records.select(record_text(when)).write.option("lineSep", _END * 2).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    level = F.greatest(F.lit(0), F.ceil(F.log(float(SIZE_STEP), F.greatest(F.col("payload_bytes"), F.lit(1)) * FILE_RECORDS / FILE_BYTES))).cast("int")
+    records = records.withColumn("_level", level)
+    for k in sorted(r["_level"] for r in records.select("_level").distinct().collect()) or [0]:  # a handful: sizes are under 2 GB
+        rows = max(1, FILE_RECORDS // SIZE_STEP**k)
+        # a record ends with two line ends, which is what the writer puts after each row
+        records.where(F.col("_level") == k).select(record_text(when)).write.mode("append").option("lineSep", _END * 2).option("maxRecordsPerFile", rows).text(path)
 
 
 def parse_archive(content: bytes) -> Iterator[tuple[int, int, dict[str, str], memoryview]]:
@@ -132,11 +146,12 @@ def captures(path: str, content: bytes) -> list[tuple]:
             raise ValueError(f"the payload at byte {offset} of {path} does not match its digest")
         url = headers.get("warc-target-uri")
         out.append((url_key(url), headers["warc-date"], page_of(headers["warc-record-id"]), url, declared, digest, kind, page_of(headers.get("warc-refers-to")), path, offset, length))
-    return sorted(out, key=order_key)
+    return sorted(out, key=lambda row: order_key((row[0], row[1], row[2], row[8], row[9])))
 
 
 def order_key(row: tuple) -> tuple:
-    return row[0], row[1], row[2] is not None, row[2] or 0, row[8], row[9]
+    """row: URL key, time, page, file, offset. A null page comes first."""
+    return row[0], row[1], row[2] is not None, row[2] or 0, row[3], row[4]
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -149,13 +164,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 columns = list(zip(*rows)) if rows else [[]] * len(_NAMES)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if f"{n} long" in _INDEX else pa.string()) for n, c in zip(_NAMES, columns)], names=_NAMES)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _INDEX)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(tidy(run), _INDEX)
 
 
 class LoserTree:
     """Merges sorted sequences: each inner node keeps the loser of its match, the root the winner."""
 
-    def __init__(self, runs: list[list], key: Callable):
+    def __init__(self, runs: list, key: Callable):
         self.runs, self.key = [iter(r) for r in runs], key
         self.k = max(1, len(runs))
         self.heads = [self._next(i) for i in range(len(runs))] or [None]
@@ -195,30 +210,20 @@ def merge_index(runs: DataFrame) -> DataFrame:
     """The index in global order by URL key, time and page: range after range, each merged from its runs."""
     runs = stored(runs, "capture-runs")
     ranges = max(partitions(runs.sparkSession), -(-runs.count() // RANGE_ROWS))
-    file_at = _NAMES.index("file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[str, list] = {}
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                slices.setdefault(row[file_at], []).append(row)
-        for rows in slices.values():  # a shuffle may deliver pieces of a run in another order
-            if any(order_key(a) > order_key(b) for a, b in zip(rows, rows[1:])):
-                rows.sort(key=order_key)
-        out: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if f"{n} long" in _INDEX else pa.string()) for n, c in zip(_NAMES, zip(*out))], names=_NAMES)
-
-        for row in LoserTree(list(slices.values()), order_key) if slices else ():
-            out.append(row)
-            if len(out) == 10_000:
-                yield flush()
-                out = []
-        if out:
-            yield flush()
-
-    return runs.repartitionByRange(ranges, *_KEY).mapInArrow(run, _INDEX)
+        held = list(batches)
+        if not sum(map(len, held)):
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        file = rows.column("file").dictionary_encode().combine_chunks().indices.to_numpy()
+        cuts = [0, *(np.nonzero(np.diff(file))[0] + 1).tolist(), len(file)]  # the slices of the runs, one after the other
+        key = list(zip(*(rows.column(c).to_pylist() for c in ("url_key", "ts", "page_id", "file", "offset"))))
+        merged = iter(LoserTree([range(a, b) for a, b in zip(cuts, cuts[1:])], lambda i: order_key(key[i])))
+        while some := list(islice(merged, 10_000)):
+            yield from rows.take(pa.array(some)).to_batches()
+
+    return runs.repartitionByRange(ranges, *_KEY).sortWithinPartitions("file", *_KEY, "offset").mapInArrow(tidy(run), _INDEX)
 
 
 def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
