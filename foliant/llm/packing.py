@@ -29,6 +29,9 @@ CAPACITY, END_ID = 1024, 2
 #: of each, and how far below the best price a configuration may be.
 RATES, ROUNDS, NEAR = (0.02, 0.05, 0.1, 0.2), 400, 0.1
 
+#: Columns that the numbering of pieces uses.
+INNER = ("_row", "_n", "_bucket", "_rank", "_start", "_rows")
+
 Pattern = tuple[int, ...]
 
 
@@ -209,12 +212,13 @@ def tokenized_pieces(docs: DataFrame, paths: tuple[str, str, str], capacity: int
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces (length, and any columns but _row): places without gaps from 0.
+    """Adds sequence_id and offset to pieces (length, and other columns): places without gaps from 0. Columns of these two
+    names are replaced, such named as in INNER are left out. Null and repeated ids do no harm.
 
     Pieces of one length are numbered, and the plan says which numbers go to which sequences. A piece longer than the
     capacity raises an error; an empty table gives an empty one.
     """
-    pieces = stored(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    pieces = stored(pieces.drop("sequence_id", "offset", *INNER).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     if histogram and not 0 < max(histogram) <= capacity:
         raise ValueError(f"a piece of {max(histogram)} tokens does not fit {capacity}")

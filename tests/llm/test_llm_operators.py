@@ -423,6 +423,8 @@ def test_packing(docs, none):
             at += length
         assert at <= 1024
     assert packing.pack(packing.tokenized_pieces(none, packing.public_paths())).count() == 0
+    odd = pieces.select("*", *[F.lit("x").alias(c) for c in (*packing.INNER, "sequence_id", "offset", "label")])
+    assert Counter((r["doc_id"], r["piece"], r["label"]) for r in packing.pack(odd).collect()) == Counter((r["doc_id"], r["piece"], "x") for r in out)
 
 
 def test_plan_is_close_to_the_bound():
