@@ -112,30 +112,42 @@ def from_text(text: Column) -> Callable[[str], Column]:
     return lambda name: METRICS[name](text)
 
 
-def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, measured: tuple[str, ...] = ()) -> list[Rule]:
     """The rules by rejections per second, as measured on a sample of about `sample_rows` rows.
 
-    The sample is drawn over the whole table (row counts come from file footers). Each rule runs alone over it; the
-    time of a pass without a rule is taken off. Equal and unknown rates keep the given order; an empty table too.
+    The sample is drawn over the whole table (row counts come from file footers). Each rule runs alone over it, with the
+    metrics named in `measured` as columns that are there already; the time of a pass without a rule is taken off.
+    Rejections are those among what the rules before leave: after each choice the others are counted anew. Equal and
+    unknown rates keep the given order; an empty table too.
     """
     rows = docs.count()
     if not rows:
         return list(rules)
     drawn = docs.select(F.col(text_col).alias("text"))
-    sample = stored(drawn.sample(min(1.0, sample_rows / rows), seed=17) if rows > sample_rows else drawn, "quality-sample")
+    drawn = drawn.sample(min(1.0, sample_rows / rows), seed=17) if rows > sample_rows else drawn
     text = F.col("text")
+    sample = stored(drawn.select("text", *[METRICS[k](text).alias(k) for k in measured]), "quality-sample")
 
-    def timed(condition: Column) -> tuple[float, int]:
-        began = time.perf_counter()
-        n = sample.agg(F.count_if(condition).alias("n")).first()["n"]
-        return time.perf_counter() - began, n
+    def metric(name: str) -> Column:
+        return F.col(name) if name in measured else METRICS[name](text)
 
-    idle = min(timed(F.length(text) < 0)[0] for _ in range(2))
-    rate = {}
-    for rule in rules:
-        seconds, n = min(timed(rule.rejects(from_text(text), text)) for _ in range(2))
-        rate[rule.name] = n / max(seconds - idle, 1e-3)
-    return sorted(rules, key=lambda r: -rate[r.name])
+    def timed(condition: Column) -> float:
+        began = time.perf_counter()
+        sample.agg(F.count_if(condition)).first()
+        return time.perf_counter() - began
+
+    idle = min(timed(F.length(text) < 0) for _ in range(2))
+    cost = [max(min(timed(rule.rejects(metric, text)) for _ in range(2)) - idle, 1e-3) for rule in rules]
+    # how many rows each set of rules rejects: no more groups than the sample has rows
+    met = sample.select(*[F.coalesce(rule.rejects(metric, text), F.lit(False)).alias(f"r{k}") for k, rule in enumerate(rules)])
+    counts = [(r[:-1], r[-1]) for r in met.groupBy(*met.columns).count().collect()]
+    ordered, left = [], list(range(len(rules)))
+    while left:
+        best = max(left, key=lambda k: sum(n for hit, n in counts if hit[k]) / cost[k])
+        ordered.append(rules[best])
+        left.remove(best)
+        counts = [(hit, n) for hit, n in counts if not hit[best]]
+    return ordered
 
 
 def verdict(rules: list[Rule], metric: Callable[[str], Column], text: Column) -> Column:
@@ -147,7 +159,9 @@ def verdict(rules: list[Rule], metric: Callable[[str], Column], text: Column) ->
 
 
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of docs that no rule rejects, with docs' columns. A null text counts as an empty one."""
+    """The rows of docs that no rule rejects, with docs' columns and types. A null text counts as an empty one, which the
+    rule of few words rejects; a text is measured whole, whatever its length; rows that repeat are judged each on its own;
+    no other column is read, and an empty table stays empty."""
     text = F.col(text_col)
     return docs.where(verdict(order_rules(docs, rules, text_col, sample_rows), from_text(text), text).isNull())
 
@@ -156,9 +170,11 @@ def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows
     """One row per row of docs (doc_id, text): every metric, the base verdict and the cascade's.
 
     A null text counts as empty: no words, base_failed, not kept. Null or repeated doc_id are rows of their own;
-    other columns are not read. `failed_rule` is the first rule that rejects, in the measured order.
+    other columns are not read; an empty table gives no rows. `failed_rule` is the first rule that rejects, in the measured
+    order. The metrics are results of their own and there for every row; what a rule needs besides (capitals, lines) is
+    worked out only for rows that the rules before leave.
     """
-    ordered = order_rules(docs, rules, "text", sample_rows)
+    ordered = order_rules(docs, rules, "text", sample_rows, tuple(METRICS))
     text = F.col("text")
     measured = docs.select("doc_id", "text", words(text).alias("w"))
     measured = measured.select(
