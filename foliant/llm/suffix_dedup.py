@@ -465,23 +465,24 @@ def without_repeats(docs: DataFrame, characters: bool = False) -> DataFrame:
         spans_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
         return pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(sizes, pa.int64()), pa.array(removed, spans_type), pa.array(kept, pa.binary())], names=names)
 
-    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(shared.value, bits, batch.column(width).to_numpy())))
-
-    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rest = batch.filter(pa.array(~in_bitmap(shared.value, bits, batch.column(width).to_numpy())))
-            yield cut(rest, rest.column(width + 1), [None] * len(rest))
+    def marked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for keys in batches:
+            yield pa.array(in_bitmap(shared.value, bits, keys.to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield cut(batch, batch.column(width), batch.column(width + 1).to_pylist())
 
+    # the texts that may lose something go to their spans; of the others only the keys see Python
+    rows = rows.withColumn("_hit", F.arrow_udf(marked, "boolean")("_rk"))
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("rk").alias("_key"), F.col("spans").alias("_spans"))
-    hit = rows.mapInArrow(tidy(touched), f"{kinds}, _rk long, _raw binary")
+    hit = rows.where("_hit").drop("_hit")
     joined = hit.join(spans, hit["doc_id"].eqNullSafe(spans["_id"]) & (hit["_rk"] == spans["_key"]), "left").drop("_rk", "_id", "_key")
-    return joined.mapInArrow(tidy(run), result).union(rows.mapInArrow(tidy(untouched), result))
+    rest = rows.where("NOT _hit").select(
+        *[f"`{f.name}`" for f in fields], F.coalesce(F.octet_length("_raw"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.array().cast("array<struct<a: bigint, b: bigint>>").alias("removed"), F.coalesce("_raw", F.lit(b"")).alias("kept"),
+    )
+    return joined.mapInArrow(tidy(run), result).union(rest)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
