@@ -29,7 +29,7 @@ TARGET, FIT_QUERIES = 0.95, 96
 #: Cosines of pivots: no more than the first, or the next where too few pivots are left. Only copies never count.
 ALIKE = (0.7, 0.8, 0.9, 0.95, 0.99, 0.999, 1 - 1e-9)
 #: Rows of a shard (at least and at most) and of a block of queries, about.
-SHARD_ROWS, QUERY_ROWS = (4096, 65_536), 16_384
+SHARD_ROWS, QUERY_ROWS = (16_384, 65_536), 16_384
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
