@@ -268,7 +268,8 @@ class BytePairEncoder:
         for _, _, ps in several:
             for p in ps:
                 if p not in pieces and p not in known:
-                    found = spaced.get(p[1:]) if p[:1] == " " else self.plain.get(p)
+                    # what is kept without its space never begins with a line end
+                    found = spaced.get(p[1:]) if p[:1] == " " and p[1:2] != "\n" else self.plain.get(p)
                     if found is None:
                         pieces[p] = None
                     else:

@@ -487,6 +487,24 @@ def test_bpe_equals_tiktoken(docs, none):
     assert bpe.encoded(none, path, P.PATTERN).count() == 0
 
 
+def test_bpe_keeps_no_state_between_batches(monkeypatch):
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 2000)  # caches turn over
+    ours = bpe.BytePairEncoder(bpe.read_ranks(path), P.PATTERN)
+    theirs = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ours.ranks, special_tokens={})
+    rng = random.Random(9)
+    ours.encode_batch(["a\n"])
+    assert np.frombuffer(ours.encode_batch(["b \n c"])[0], "<u4").tolist() == theirs.encode_ordinary("b \n c")
+    alphabets = ["ab \n", "ab \n\t", "aé日 \n\r\u3000\x85\xa0\x0b\x1c", "a1.' \n", "don't we'll 12 \n!!", " \n"]
+    for _ in range(250):
+        texts = ["".join(rng.choices(rng.choice(alphabets), k=rng.randrange(24))) for _ in range(200)]
+        for t, ids in zip(texts, ours.encode_batch(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == theirs.encode_ordinary(t), t
+            assert ours.decode(ids) == t.encode()
+
+
 # nearest neighbours
 
 
