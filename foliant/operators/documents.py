@@ -81,10 +81,10 @@ def markdown_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
         F.when(s == "", "blank").when(s.rlike(r"^###\s"), "heading3").when(s.rlike(r"^##\s"), "heading2").when(s.rlike(r"^#\s"), "heading1")
         .when(s == "---", "break").when(s.startswith("|"), "table").when(s.rlike(r"^[-*]\s"), "bullet").when(s.rlike(r"^\d+\.\s"), "number").otherwise("paragraph")
     )
-    w = Window.partitionBy(key).orderBy("line")
+    w = Window.partitionBy(key).orderBy("line", "s")  # a key that repeats has several lines of one number
     lines = lines.withColumn("kind", kind).withColumn("before", F.lag("kind").over(w))
     new = F.when((F.col("kind") == F.col("before")) & F.col("kind").isin("table", "paragraph"), 0).otherwise(1)
-    lines = lines.withColumn("island", F.sum(new).over(w)).where("kind <> 'blank'")
+    lines = lines.withColumn("island", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("kind <> 'blank'")
     blocks = lines.groupBy(key, "island", "kind").agg(F.count("*").alias("lines"), F.sort_array(F.collect_list(F.struct("line", "s"))).alias("ls"))
     order = Window.partitionBy(key).orderBy("island")
     return blocks.select(key, F.row_number().over(order).alias("block"), "kind", "lines", F.array_join(F.transform("ls", lambda x: x["s"]), "\n").alias("text"))

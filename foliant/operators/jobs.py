@@ -13,6 +13,8 @@ from foliant.functions.text import strip
 
 TERMINAL = ("completed", "failed", "cancelled")
 ACTIVE = ("queued", "processing", "paused")
+# Of pages done every third is told, and another after 1.5 seconds.
+EVERY_PAGES, QUIET_SECONDS = 3, 1.5
 # What a user may do in which state, and what becomes of it.
 TRANSITIONS = {("pause", "processing"): "paused", ("pause", "queued"): "paused", ("resume", "paused"): "queued",
                ("cancel", "queued"): "cancelled", ("cancel", "processing"): "cancelled", ("cancel", "paused"): "cancelled"}
@@ -167,6 +169,21 @@ def throttled(events: DataFrame, key: str, time: str, tiebreak: str, seconds: fl
     return rows.mapInArrow(run, f"`{key}` {kinds[key]}, `{tiebreak}` {kinds[tiebreak]}")
 
 
+def percent(page: Column, total: Column) -> Column:
+    """Whole per cent of the pages done, from 0 to 100."""
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.floor(page * 100 / total))).cast("int")
+
+
+def told_pages(events: DataFrame, job: str, time: str, row: str, page: str, total: str) -> DataFrame:
+    """job, row, page, total, progress: the pages of a job that are told: every third one, and of the others such as come 1.5
+    seconds or more after the last of those that was told. Rows without a page or a total above 0 tell nothing."""
+    known = events.where((F.col(total) > 0) & F.col(page).isNotNull() & F.col(time).isNotNull())
+    third = F.col(page) % EVERY_PAGES == 0
+    quiet = throttled(known.where(~third), job, time, row, QUIET_SECONDS)
+    told = known.where(third).select(job, row).union(quiet.select(job, row))
+    return known.join(told, [job, row], "left_semi").select(F.col(job).alias("job"), F.col(row).alias("row"), F.col(page).alias("page"), F.col(total).alias("total"), percent(F.col(page), F.col(total)).alias("progress"))
+
+
 def page_plan(pages: DataFrame, readings: DataFrame, tables: DataFrame, key: list[str]) -> DataFrame:
     """Pages (key, route, markdown) with a reading (key, text) where they need one, and tables (key, table) after it."""
     joined = pages.join(readings, key, "left").join(tables, key, "left")

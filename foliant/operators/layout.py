@@ -44,10 +44,11 @@ def cluster_positions(points: DataFrame, keys: list[str], position: str, min_gap
 
 
 def longest_run(points: DataFrame, keys: list[str], order: str, flag: Column, min_length: int) -> DataFrame:
-    """The longest run of rows whose flag holds, 0 if shorter than min_length: keys, run."""
-    w = Window.partitionBy(*keys).orderBy(order)
+    """The longest run of rows whose flag holds, 0 if shorter than min_length: keys, run. Of rows of equal order those
+    whose flag does not hold come first."""
+    w = Window.partitionBy(*keys).orderBy(order, "_f")
     marked = points.withColumn("_f", F.coalesce(flag, F.lit(False)))
-    marked = marked.withColumn("_n", F.row_number().over(w)).withColumn("_k", F.sum(F.when(F.col("_f"), 1).otherwise(0)).over(w))
+    marked = marked.withColumn("_n", F.row_number().over(w)).withColumn("_k", F.sum(F.when(F.col("_f"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = marked.groupBy(*keys, (F.col("_n") - F.col("_k")).alias("_island")).agg(F.count_if("_f").alias("_size"))
     best = runs.groupBy(*keys).agg(F.max("_size").alias("run"))
     return best.select(*keys, F.when(F.col("run") >= min_length, F.col("run")).otherwise(0).alias("run"))
@@ -121,10 +122,10 @@ def flatten_tables(docs: DataFrame, key: str, text: str) -> DataFrame:
     """
     t = whole(F.col(text))
     ends = F.when(t.contains("|"), F.regexp_replace(t, r"\n\z", "")).otherwise(t)
-    w = Window.partitionBy(key).orderBy("line")
+    w = Window.partitionBy(key).orderBy("line", "raw")
     lines = docs.select(key, F.posexplode(F.split(ends, "\n", -1)).alias("line", "raw")).withColumn("_p", strip(F.col("raw")).startswith("|"))
     lines = lines.withColumn("_b", F.coalesce(F.lag("_p").over(w), F.lit(False)))
-    lines = lines.withColumn("_i", F.sum(F.when(F.col("_p") & F.col("_b"), 0).otherwise(1)).over(w))
+    lines = lines.withColumn("_i", F.sum(F.when(F.col("_p") & F.col("_b"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     blocks = lines.groupBy(key, "_i", "_p").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "raw"))), lambda x: x["raw"]).alias("_rows"))
     blocks = blocks.withColumn("_t", F.array_join("_rows", "\n"))
     blocks = blocks.withColumns({"_q": F.when(F.col("_p"), table_content_quality(F.col("_t"))), "_c": table_columns(F.col("_t"))})

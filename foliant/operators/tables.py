@@ -120,7 +120,7 @@ def header_tables(words: DataFrame, pages: DataFrame, page: str = "page_id", lea
     w = Window.partitionBy(page).orderBy("left", "pos", "text")
     head = headed.where("row = header")
     part = (header_hits(F.col("text")) == 0) & (F.length(F.upper("text")) <= 3)
-    head = head.withColumn("_new", F.when(part & (F.row_number().over(w) > 1), 0).otherwise(1)).withColumn("col", F.sum("_new").over(w))
+    head = head.withColumn("_new", F.when(part & (F.row_number().over(w) > 1), 0).otherwise(1)).withColumn("col", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     names = head.groupBy(page, "col").agg(
         F.min("left").alias("l"), F.max_by(F.col("left") + F.col("width"), F.struct("left", "pos", "text")).alias("r"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("left", "pos", "text"))), lambda x: x["text"]), " ").alias("name"),
