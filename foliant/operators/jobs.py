@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions.text import strip
+from foliant.operators.runs import group_bounds, let_through
 
 TERMINAL = ("completed", "failed", "cancelled")
 ACTIVE = ("queued", "processing", "paused")
@@ -152,19 +154,23 @@ def throttled(events: DataFrame, key: str, time: str, tiebreak: str, seconds: fl
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, last = object(), float("-inf")
+        now, last = None, 0
         for batch in batches:
-            go = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if k != now:
-                    now, last = k, float("-inf")
-                go.append(t - last >= seconds)
-                if go[-1]:
-                    last = t
-            yield batch.select([0, 1]).filter(pa.array(go, pa.bool_()))
-
-    kinds = dict(events.dtypes)
-    rows = events.where(F.col(time).isNotNull()).select(key, tiebreak, F.col(time).cast("double").alias("_t"))
+            if not len(batch):
+                continue
+            codes, times = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(), batch.column(2).to_numpy()
+            bounds = group_bounds(codes)
+            goes_on = now is not None and batch.column(0)[0].as_py() == now[0]
+            go = let_through(bounds, times, step, last if goes_on else None)
+            own = np.nonzero(go[bounds[-2] :])[0]
+            if len(own):
+                last = int(times[bounds[-2] + own[-1]])
+            now = (batch.column(0)[len(batch) - 1].as_py(),)
+            yield batch.select([0, 1]).filter(pa.array(go))
+
+    step, kinds = round(seconds * 1_000_000), dict(events.dtypes)
+    micros = F.unix_micros(F.col(time).cast("timestamp")) if kinds[time].startswith("timestamp") else F.round(F.col(time) * 1_000_000).cast("long")
+    rows = events.where(F.col(time).isNotNull()).select(key, tiebreak, micros.alias("_t"))
     rows = rows.repartition(key).sortWithinPartitions(key, "_t", tiebreak)
     return rows.mapInArrow(run, f"`{key}` {kinds[key]}, `{tiebreak}` {kinds[tiebreak]}")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 
 from foliant.functions.scores import looks_like_payroll, score_table_markdown, table_columns, table_content_quality
 from foliant.functions.text import normalize_cell, strip, whole
+from foliant.operators.runs import group_bounds, mean_breaks
 
 
 def layout_lines(words: DataFrame, page: str = "page_id", min_conf: float = 28) -> DataFrame:
@@ -58,25 +60,30 @@ def cluster_rows(words: DataFrame, page: str = "page_id") -> DataFrame:
     """Rows of a page: words in order of (cy, left) join the current row if they are near its running mean.
 
     The tolerance is 0.55 of the mean height of the page's words, 10 at least (14 without heights). A running mean that
-    starts anew is no window: rows stream in order of page, cy and left, and only the current row's sum is held.
-    Returns page, row (from 0), pos, left, cy, text.
+    starts anew is no window: rows stream in order of page, cy and left, and only the current row's sum is held. Words
+    without a place are in no row. Returns page, row (from 0), pos, left, cy, text.
     """
     tall = words.groupBy(page).agg(F.avg(F.when(F.col("height") > 0, F.col("height"))).alias("_h"))
-    known = words.select(page, "pos", "left", "cy", "text").join(tall, page).withColumn("_tol", F.greatest(F.lit(10.0), F.coalesce(F.col("_h") * 0.55, F.lit(14.0)))).drop("_h")
+    known = words.where("cy IS NOT NULL").select(page, "pos", "left", "cy", "text").join(tall, page).withColumn("_tol", F.greatest(F.lit(10.0), F.coalesce(F.col("_h") * 0.55, F.lit(14.0)))).drop("_h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, row, total, n = object(), 0, 0.0, 0
+        now, row, total, n = None, 0, 0.0, 0
         for batch in batches:
-            rows = []
-            for p, cy, tol in zip(*(batch.column(c).to_pylist() for c in (0, 3, 5))):
-                if p != now:
-                    now, row, total, n = p, 0, cy, 1
-                elif abs(cy - total / n) <= tol:
-                    total, n = total + cy, n + 1
-                else:
-                    row, total, n = row + 1, cy, 1
-                rows.append(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.int32()), *(batch.column(c) for c in (1, 2, 3, 4))], names=[page, "row", "pos", "left", "cy", "text"])
+            if not len(batch):
+                continue
+            codes = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            bounds, cy, tol = group_bounds(codes), batch.column(3).to_numpy(), batch.column(5).to_numpy()
+            goes_on = now is not None and batch.column(0)[0].as_py() == now[0]
+            breaks = mean_breaks(bounds, cy, tol, total if goes_on else 0.0, n if goes_on else 0)
+            upto = np.cumsum(breaks)
+            rows = upto - np.repeat(upto[bounds[:-1]] - breaks[bounds[:-1]], np.diff(bounds))
+            if goes_on:
+                rows[: bounds[1]] += row
+            last = max(int(bounds[-2]), int(np.nonzero(breaks)[0][-1]) if breaks.any() else 0)  # where the current row begins
+            whole_row = last > 0 or not goes_on or bool(breaks[0])
+            total, n = float(cy[last:].sum()) + (0.0 if whole_row else total), len(cy) - last + (0 if whole_row else n)
+            now, row = (batch.column(0)[len(batch) - 1].as_py(),), int(rows[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows.astype(np.int32)), *(batch.column(c) for c in (1, 2, 3, 4))], names=[page, "row", "pos", "left", "cy", "text"])
 
     kinds = dict(known.dtypes)
     ordered = known.select(page, "pos", "left", F.col("cy").cast("double"), "text", F.col("_tol").cast("double")).repartition(page).sortWithinPartitions(page, "cy", "left", "pos")
