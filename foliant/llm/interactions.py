@@ -53,7 +53,8 @@ def masks(docs: DataFrame, part_col: str = "source") -> DataFrame:
         F.unhex(F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)).alias("digest"),
     )
     own = stored(own, "content-masks")
-    firsts = own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # written, so that the join deals both sides anew and Spark can split the rows of a hot text
+    firsts = stored(own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first-texts")
     repeated = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
     return own.join(firsts, "digest", "left").select("doc_id", "part", (F.col("own") + repeated.cast("int") * 16).cast("int").alias("mask"))
 
