@@ -10,22 +10,25 @@ from foliant.functions.text import strip, strip_markdown_syntax, whole
 
 # Lines that speak about a document, texts that refuse it, and how a closing remark begins.
 META = (
-    "este (?:documento|archivo|pdf|contrato|imagen) (?:es|parece|contiene|muestra|que compartes)", "el documento que compartes",
-    "informaci[oó]n personal sensible", "riesgo de privacidad", "no tengo forma de verificar", "digitalizaci[oó]n autorizada",
-    "independientemente del contexto", "personas f[ií]sicas identificables", "(?:aquí|a continuación) (?:está|te presento|la transcripción|el texto)",
-    "he (?:transcrito|identificado|detectado|analizado)", "puedo (?:ayudarte|realizar|hacer|ofrecer|explicar|orientarte)", "¿en qu[eé] m[aá]s puedo ayudarte",
-    "(?:si deseas|si quieres|¿quieres?).*(?:análisis|analisis|revisión|resumen)", "(?:análisis|analisis) (?:de )?(?:las )?cl[aá]usulas",
-    "revis(?:ar|ión) (?:de )?(?:las )?cl[aá]usulas", "redactar o revisar cl[aá]usulas", "estructura general de un contrato", "requisitos legales de este tipo",
-    "i(?:'m| am) (?:happy to|able to) (?:help|analyze|review)", "this (?:document|image|appears to be|is a)", "here(?:'s| is) (?:the )?(?:transcription|ocr|contract)",
-    "como (?:modelo|asistente|ia)", "nota:? (?:como|que) (?:modelo|ia)", "transcripci[oó]n del documento", "transcribir o reproducir esos datos",
-)
+    "(?iu)"
+    "este (?:documento|archivo|pdf|contrato|imagen) (?:es|parece|contiene|muestra|que compartes)|el documento que compartes|"
+    "informaci[oó]n personal sensible|riesgo de privacidad|no tengo forma de verificar|digitalizaci[oó]n autorizada|independientemente del contexto|"
+    "personas f[ií]sicas identificables|(?:aquí|a continuación) (?:está|te presento|la transcripción|el texto)|"
+    "he (?:transcrito|identificado|detectado|analizado)|puedo (?:ayudarte|realizar|hacer|ofrecer|explicar|orientarte)|¿en qu[eé] m[aá]s puedo ayudarte|"
+    "(?:si deseas|si quieres|¿quieres?).*(?:análisis|analisis|revisión|resumen)|(?:análisis|analisis) (?:de )?(?:las )?cl[aá]usulas|"
+    "revis(?:ar|ión) (?:de )?(?:las )?cl[aá]usulas|redactar o revisar cl[aá]usulas|estructura general de un contrato|requisitos legales de este tipo|"
+    "i(?:'m| am) (?:happy to|able to) (?:help|analyze|review)|this (?:document|image|appears to be|is a)|"
+    "here(?:'s| is) (?:the )?(?:transcription|ocr|contract)|como (?:modelo|asistente|ia)|nota:? (?:como|que) (?:modelo|ia)|transcripci[oó]n del documento|"
+    "transcribir o reproducir esos datos"
+)
 REFUSALS = (
-    "not able to transcribe", "cannot transcribe", "can't transcribe", "privacy and security", "identity theft", "facilitate fraud", "no puedo transcribir",
-    "no estoy en capacidad", "por razones de privacidad", "informaci[oó]n personal sensible", "riesgo de privacidad", "no tengo forma de verificar",
-    "personas f[ií]sicas identificables", "transcribir o reproducir esos datos", "recomiendo usar.*canales oficiales",
-    "puedo (?:ayudarte|ofrecerte|explicar|orientarte)", "¿en qu[eé] m[aá]s puedo ayudarte", "(?:análisis|analisis) (?:legal|de cl[aá]usulas)",
-    "redactar o revisar cl[aá]usulas", "estructura general de un contrato",
-)
+    "(?iu)"
+    "not able to transcribe|cannot transcribe|can't transcribe|privacy and security|identity theft|facilitate fraud|no puedo transcribir|"
+    "no estoy en capacidad|por razones de privacidad|informaci[oó]n personal sensible|riesgo de privacidad|no tengo forma de verificar|"
+    "personas f[ií]sicas identificables|transcribir o reproducir esos datos|recomiendo usar.*canales oficiales|"
+    "puedo (?:ayudarte|ofrecerte|explicar|orientarte)|¿en qu[eé] m[aá]s puedo ayudarte|(?:análisis|analisis) (?:legal|de cl[aá]usulas)|"
+    "redactar o revisar cl[aá]usulas|estructura general de un contrato"
+)
 MARKERS = (
     "información personal sensible", "informacion personal sensible", "riesgo de privacidad", "no tengo forma de verificar", "¿en qué más puedo ayudarte",
     "en que más puedo ayudarte", "puedo explicar la estructura", "puedo ayudarte a redactar", "puedo orientarte sobre",
@@ -34,16 +37,12 @@ CLOSINGS = ("¿en qu[eé] m[aá]s puedo ayudarte", "puedo explicar la estructura
 FENCE = r"^(?:---+|\*\*\*|```)"
 
 
-def any_of(words: tuple[str, ...]) -> str:
-    return "(?iu)" + "|".join(words)
-
-
 def is_meta_line(line: Column) -> Column:
-    return whole(line).rlike(any_of(META))
+    return whole(line).rlike(META)
 
 
 def refuses(text: Column) -> Column:
-    return whole(text).rlike(any_of(REFUSALS))
+    return whole(text).rlike(REFUSALS)
 
 
 def split_lines(text: Column) -> Column:

@@ -30,6 +30,7 @@ BOILERPLATE = r"representaci[oó]n impresa de un cfdi|persona moral grandes cont
 TAX_REPEAT = r"(?:objeto de (?:i|í|l|1)mpuesto:?\s*0?2\s*(?:s[iííl1]\s*objeto de impuesto\s*)++)++"
 UUID = rf"(^|{EDGE})[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}($|{EDGE})"
 SERIAL = rf"(^|{EDGE})\d{{17,20}}($|{EDGE})"
+# Lines that are known to be noise or text.
 KNOWN_LINE = (
     r"^(nombre|domicilio|curp|vigencia|secci[oó]n|sexo|m[eé]xico)$|clave\s+de\s+elector|fecha\s+de\s+nacimiento|a[nñ]o\s+de\s+registro"
     r"|identificador\s+electr[oó]nico|total\s+a\s+pagar|saldo\s+al\s+corte|^[A-Z0-9<]{24,}$|☑|☐"
@@ -51,10 +52,12 @@ EVIDENCE_FIELDS = (
     ("Validez", r"Validez:\s*\n?\s*([^\n]+)"), ("OCSP", r"Nombre del respondedor:\s*\n?\s*([^\n]+)"),
     ("TSP", r"Identificador de la respuesta TSP:\s*\n?\s*(\S+)"),
 )
+# Lines that stamps leave.
 STAMP_LINES = (
     r"^[-*]\s*\*\*(?:sello|timbre|firma|manuscrito)|^(?:pagado|cotejado|copia\s+certificada)$|^\*\*(?:sello|timbre|firma)\s*/"
     r"|^(?:scanned\s+with\s+camscanner|camscanner)$"
 )
+# Headings that are to be trusted.
 HONEST_HEADINGS = (
     r"instituto\s+nacional\s+elector|credencial\s+para\s+votar|estados\s+unidos\s+mexicanos|acta\s+de\s+nacimiento|checklist|requisitos\s+de\s+contrataci|telmex"
     rf"|telefonos?\s+de\s+mexico|(?:^|{EDGE})cfe(?:$|{EDGE})|recibo|comprobante|experiencia\s+laboral|mi\s+perfil|formaci[oó]n|datos\s+de\s+(?:la\s+persona|filiaci[oó]n)"

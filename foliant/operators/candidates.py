@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions.cleaning import append_annotations, format_annotations
-from foliant.functions.scores import default_quality_score, word_accent_ratio
+from foliant.functions.scores import default_quality_score, text_quality_score, word_accent_ratio
 from foliant.functions.text import strip, strip_markdown_syntax, whole
 
+# The variants of a page image, how many configurations read one, what a quick reading has to reach, and what
+# a point of confidence counts.
+QUICK, PLAIN = "quick", "plain"
+VARIANTS = ("base", "soft", "strong", "binary", "invert", "fine")
+CONFIGS, GOOD_SCORE, LEAST_CHARS, CONFIDENCE = 5, 36, 24, 1.35
+
 
 def candidate_scores(words: DataFrame, keys: list[str], conf: str, quality: str) -> DataFrame:
     """keys, confidence (mean of words, -1 left out, 55 without any) and score: quality + 1.35 x confidence."""
@@ -36,10 +44,63 @@ def vote(readings: DataFrame, page: str, text: str, provider: str, within: float
     """
     size = F.length(strip(whole(F.col(text))))
     scored = readings.where(size >= 8).withColumns({"score": default_quality_score(F.col(text)), "size": size, "ratio": word_accent_ratio(F.col(text))})
-    top = scored.withColumn("best", F.max("score").over(Window.partitionBy(page)))
-    winner = F.max_by(text, F.struct("score", "size", "ratio", F.col(provider)))
-    tied = F.array_join(F.sort_array(F.collect_set(F.when(F.abs(F.col("score") - F.col("best")) < within, F.col(provider)))), "+")
-    return top.groupBy(page).agg(winner.alias("text"), F.concat(F.lit("parallel:"), tied).alias("label"))
+    # one text of a page leaves a task; of the others only the scores do
+    best = scored.groupBy(page).agg(
+        F.max_by(text, F.struct("score", "size", "ratio", F.col(provider))).alias("text"), F.max("score").alias("best"),
+        F.collect_set(F.struct(F.col(provider).alias("p"), F.col("score").alias("s"))).alias("votes"),
+    )
+    near = F.filter("votes", lambda v: F.abs(v["s"] - F.col("best")) < within)
+    tied = F.array_join(F.sort_array(F.array_distinct(F.transform(near, lambda v: v["p"]))), "+")
+    return best.select(page, "text", F.concat(F.lit("parallel:"), tied).alias("label"))
+
+
+def reading_steps() -> list[tuple[str, int, int, str, int]]:
+    """plan, step, ordinal, variant, config: the candidates of each plan in order; those of step 0 may settle a page."""
+    quick = [(0, 0, QUICK, 0)]
+
+    def every(variants: tuple[str, ...], configs: int) -> list[tuple]:
+        return [(1, k, v, c) for k, (v, c) in enumerate((v, c) for v in variants for c in range(configs))]
+
+    plans = {
+        "fast": every((QUICK,), 2), "quality": every(VARIANTS, CONFIGS), "balanced": quick + every(VARIANTS[:4], 3),
+        "range": quick + every((PLAIN, VARIANTS[1]), 2), "bulk": quick + every(VARIANTS[:2], 2),
+    }
+    return [(plan, *step) for plan, steps in plans.items() for step in steps]
+
+
+def read_by_mode(candidates: DataFrame, pages: DataFrame, page: str = "page_id", score: Callable[[Column], Column] = text_quality_score) -> DataFrame:
+    """page, variant, config, text, score, early: the reading of each page that its mode settles on.
+
+    pages: page, mode ('fast', 'quality' or 'balanced'), bulk, is_range; candidates: page, variant, config, text, confidence.
+    A reading's score is its quality + 1.35 x confidence; one without text has 0 and never wins. A fast page takes the best
+    of two quick readings, a page of quality the best of all variants and configurations; of equal ones the first, in the
+    order of the plan. Other pages first get one quick reading, which settles them if it reaches 36 and has 48 characters
+    without syntax (24 in a range), or in bulk if it has any text; only pages that are left have more readings scored, and
+    the best of these replaces the quick one unless it is worse. A page without a reading keeps an empty text.
+    """
+    plan = (
+        F.when(F.col("mode") == "fast", "fast").when((F.col("mode") == "quality") & ~F.col("bulk"), "quality")
+        .when(F.col("bulk"), "bulk").when(F.col("is_range"), "range").otherwise("balanced")
+    )
+    steps = pages.sparkSession.createDataFrame(reading_steps(), "_plan string, _step int, _ordinal int, variant string, config int")  # under 100 rows
+    known = pages.select(page, plan.alias("_plan"))
+    asked = candidates.select(page, "variant", "config", whole(F.col("text")).alias("text"), "confidence").join(known, page).join(F.broadcast(steps), ["_plan", "variant", "config"])
+    value = F.when(F.col("text") == "", 0.0).otherwise(score(F.col("text")) + CONFIDENCE * F.col("confidence"))
+    scored = lambda df: df.withColumn("score", value)
+    fields = F.struct("variant", "config", "text", "score")
+    quick = scored(asked.where("_step = 0")).groupBy(page).agg(F.max_by(F.struct(*[F.col(c) for c in ("variant", "config", "text", "score", "_plan")]), "score").alias("q"))
+    size = F.length(strip_markdown_syntax(F.col("q.text")))
+    good = (F.col("q.score") >= GOOD_SCORE) & (size >= F.when(F.col("q._plan") == "range", LEAST_CHARS).otherwise(2 * LEAST_CHARS))
+    quick = quick.withColumn("early", good | ((F.col("q._plan") == "bulk") & (F.col("q.text") != "")))
+    left = asked.where("_step = 1").join(quick.where("early").select(page), page, "left_anti")
+    best = scored(left).where("score > 0").groupBy(page).agg(F.max_by(fields, F.struct("score", -F.col("_ordinal"))).alias("f"))
+    joined = known.join(quick, page, "left").join(best, page, "left").withColumn("early", F.coalesce("early", F.lit(False)))
+    zero = F.lit(0.0)
+    better = F.coalesce(F.col("f.score"), zero) >= F.coalesce(F.col("q.score"), zero)
+    pick = lambda c: F.when(better, F.col(f"f.{c}")).otherwise(F.col(f"q.{c}"))
+    taken = lambda c: F.when(F.col("early"), F.col(f"q.{c}")).otherwise(pick(c))
+    has_text = whole(taken("text")) != ""
+    return joined.select(page, *[F.when(has_text, taken(c)).alias(c) for c in ("variant", "config")], whole(taken("text")).alias("text"), F.coalesce(taken("score"), zero).alias("score"), "early")
 
 
 def top_lines(lines: DataFrame, page: str, line: str, score: str, most: int = 24) -> DataFrame:

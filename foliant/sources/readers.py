@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions.predicates import runs_async
+
 # What can be ingested.
 SUFFIXES = ("pdf", "png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp")
 MAX_BYTES = 300 * 1024 * 1024
@@ -28,12 +30,36 @@ def documents(spark: SparkSession, folder: str, streaming: bool = False, max_byt
     return files.withColumns({"file_id": file_id(), "suffix": suffix}).where(F.col("suffix").isin(*suffixes) & (F.col("length") <= max_bytes))
 
 
+def ingested(files: DataFrame, pages: str, size: str, forced: str):
+    """files with background: whether one is read as a job (large or long files, or where it is forced) or at once."""
+    return files.withColumn("background", runs_async(F.col(size), F.col(pages), F.col(forced)))
+
+
 def job_states(spark: SparkSession, folder: str) -> DataFrame:
     """Job states from JSON files; malformed ones and such as are no objects are left out."""
     states = spark.read.schema(JOB_SCHEMA).option("mode", "PERMISSIVE").option("multiLine", True).json(folder)
     return states.where("_corrupt_record IS NULL AND job_id IS NOT NULL").drop("_corrupt_record")
 
 
+def rescued_states(spark: SparkSession, folder: str) -> DataFrame:
+    """Job states from files of JSON lines: the states' columns, raw and reason.
+
+    A line that is no state is not lost: raw is the line and reason tells why ('malformed', or 'no job_id' for an object
+    without one and for JSON that is no object). Both are null for a state. Blank lines are nothing.
+    """
+    lines = spark.read.text(folder).where(F.trim("value") != "")
+    states = F.from_json("value", JOB_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    parsed = lines.select("value", states.alias("s")).select("value", "s.*")
+    reason = F.when(F.col("_corrupt_record").isNotNull(), F.when(F.try_parse_json("value").isNull(), "malformed").otherwise("no job_id")).when(F.col("job_id").isNull(), "no job_id")
+    return parsed.select(*[F.when(reason.isNull(), F.col(c)).alias(c) for c in parsed.columns if c not in ("value", "_corrupt_record")], F.when(reason.isNotNull(), F.col("value")).alias("raw"), reason.alias("reason"))
+
+
+def written_results(spark: SparkSession, folder: str, asked: DataFrame, key: str = "job_id") -> DataFrame:
+    """key, markdown: the results of writers.write_results that are asked for, and null where there is none."""
+    kept = spark.read.text(f"{folder}/md", wholetext=True).select(F.col(key).cast(dict(asked.dtypes)[key]).alias(key), F.col("value").alias("markdown"))
+    return asked.select(key).join(kept, key, "left")
+
+
 def markdown_files(spark: SparkSession, folder: str) -> DataFrame:
     """job_id (the file's name) and markdown, a file a row."""
     files = spark.read.text(folder, wholetext=True).withColumn("path", F.input_file_name())
