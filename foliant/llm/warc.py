@@ -30,6 +30,8 @@ LEAST_REVISIT = 100
 FILE_BYTES, FILE_RECORDS, SIZE_STEP = 64 << 20, 2000, 16
 #: Index entries of a merged range, about.
 RANGE_ROWS = 100_000
+#: Seconds over which captures without a date are spread.
+DATES = 1 << 30
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n"
 
@@ -97,8 +99,12 @@ def record_text(date: Column) -> Column:
 
 
 def write_archives(records: DataFrame, path: str, date: Column | None = None) -> None:
-    """One WARC file or more for each partition. Without a date, a capture's is its page_id's second of 2024 on."""
-    when = F.timestamp_seconds(F.coalesce(F.col("page_id"), F.lit(0)) + 1_704_067_200) if date is None else date
+    """One WARC file or more for each partition. Without a date, a capture's is the second of its page_id, of DATES seconds
+    from 2024 on: ids may be any numbers, so dates come round again after 34 years.
+
+    A file holds payloads of like size, so each level of sizes is written apart; of a page only the level that it belongs to
+    works out more than its size."""
+    when = F.timestamp_seconds(F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(DATES)) + 1_704_067_200) if date is None else date
     level = F.greatest(F.lit(0), F.ceil(F.log(float(SIZE_STEP), F.greatest(F.col("payload_bytes"), F.lit(1)) * FILE_RECORDS / FILE_BYTES))).cast("int")
     records = records.withColumn("_level", level)
     for k in sorted(r["_level"] for r in records.select("_level").distinct().collect()) or [0]:  # a handful: sizes are under 2 GB
@@ -206,6 +212,13 @@ class LoserTree:
             self._play(winner)
 
 
+def text_at(column: pa.StringArray) -> Callable[[int], bytes]:
+    """The UTF-8 bytes of a row, which sort as the text does."""
+    _, ends, data = column.buffers()
+    ends, data = np.frombuffer(ends, np.int32)[column.offset :], memoryview(data or b"")
+    return lambda i: bytes(data[ends[i] : ends[i + 1]])
+
+
 def merge_index(runs: DataFrame) -> DataFrame:
     """The index in global order by URL key, time and page: range after range, each merged from its runs."""
     runs = stored(runs, "capture-runs")
@@ -218,8 +231,11 @@ def merge_index(runs: DataFrame) -> DataFrame:
         rows = pa.Table.from_batches(held).combine_chunks()
         file = rows.column("file").dictionary_encode().combine_chunks().indices.to_numpy()
         cuts = [0, *(np.nonzero(np.diff(file))[0] + 1).tolist(), len(file)]  # the slices of the runs, one after the other
-        key = list(zip(*(rows.column(c).to_pylist() for c in ("url_key", "ts", "page_id", "file", "offset"))))
-        merged = iter(LoserTree([range(a, b) for a, b in zip(cuts, cuts[1:])], lambda i: order_key(key[i])))
+        url, ts, name = (text_at(rows.column(c).chunk(0)) for c in ("url_key", "ts", "file"))
+        page, known = rows.column("page_id").fill_null(0).to_numpy(), rows.column("page_id").is_valid().to_numpy()
+        offset = rows.column("offset").to_numpy()
+        # a key is made when a row becomes the head of its run
+        merged = iter(LoserTree([range(a, b) for a, b in zip(cuts, cuts[1:])], lambda i: (url(i), ts(i), bool(known[i]), int(page[i]), name(i), int(offset[i]))))
         while some := list(islice(merged, 10_000)):
             yield from rows.take(pa.array(some)).to_batches()
 
@@ -254,6 +270,6 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to,
        array_to_string(list_reverse(string_split(regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\d*\.', ''), '.')), ',') || ')'
          || lower(regexp_extract(url, '://[^/?#]*([^#]*)', 1)) AS url_key,
-       strftime(make_timestamp((page_id + 1704067200) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS ts
+       strftime(make_timestamp(((page_id % 1073741824 + 1073741824) % 1073741824 + 1704067200) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS ts
 FROM f
 """

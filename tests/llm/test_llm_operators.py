@@ -218,6 +218,17 @@ def test_warc_round_trip(spark):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_warc_of_any_ids(spark):
+    ids = [2**63 - 1, -(2**63), -1, 10**13, 2**63 - 10, 0, 5, None]
+    pages = spark.createDataFrame([(i, f"http://h/{(i or 0) % 3}", "x" * 150 if k % 2 else f"page {i}") for k, i in enumerate(ids)], "page_id long, url string, html string")
+    out = warc.archive_pages(pages).collect()
+    assert sorted(map(repr, (r["page_id"] for r in out))) == sorted(map(repr, ids))
+    keys = [warc.order_key(tuple(r[c] for c in ("url_key", "ts", "page_id", "file", "offset"))) for r in out]
+    assert keys == sorted(keys)
+    assert all(r["ts"][:19] >= "2024" and r["ts"] < "2059" for r in out)
+    assert {(r["page_id"], r["refers_to"]) for r in out if r["record_type"] == "revisit"} == {(10**13, -(2**63)), (0, -(2**63)), (None, -(2**63))}
+
+
 def test_long_pages_get_files_of_their_own(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
     monkeypatch.setattr(warc, "FILE_RECORDS", 40)
