@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from foliant.functions import chatter
 from foliant.functions.predicates import runs_async
 from foliant.operators import candidates, documents, jobs
-from foliant.plans.queries import QUALITY_SQL, STATES, STATUS, events_of, query, sql_plain, sql_strip, table
+from foliant.plans.queries import QUALITY_SQL, STATES, STATUS, events_of, query, sql_normalize, sql_plain, sql_strip, table
 from foliant.sources import readers, state_log, writers
 from foliant.sources.folders import shared_dir
 
@@ -85,7 +85,7 @@ def state_times(spark, sf_dir):
 
 @query("""
 WITH e AS (SELECT event_id, event_type, event_id % 6 AS k FROM events)
-SELECT CASE k WHEN 0 THEN 'malformed' WHEN 1 THEN 'no job_id' WHEN 2 THEN 'no job_id' END AS reason, CASE WHEN k > 2 THEN event_type END AS status, count(*) AS lines, sum(CASE WHEN k > 2 THEN event_id % 90 END)::BIGINT AS pages, sum(CASE k WHEN 0 THEN length('{"job_id": "' || event_id || '"') WHEN 1 THEN length('{"status": "' || event_type || '"}') WHEN 2 THEN length('[' || event_id || ']') END)::BIGINT AS rescued
+SELECT CASE k WHEN 0 THEN 'malformed' WHEN 1 THEN 'no job_id' WHEN 2 THEN 'no object' END AS reason, CASE WHEN k > 2 THEN event_type END AS status, count(*) AS lines, sum(CASE WHEN k > 2 THEN event_id % 90 END)::BIGINT AS pages, sum(CASE k WHEN 0 THEN length('{"job_id": "' || event_id || '"') WHEN 1 THEN length('{"status": "' || event_type || '"}') WHEN 2 THEN length('[' || event_id || ']') END)::BIGINT AS rescued
 FROM e GROUP BY ALL
 """)
 def rescued_lines(spark, sf_dir):
@@ -118,14 +118,14 @@ def ingested_files(spark, sf_dir):
     return files.groupBy("suffix").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.count_if(later).alias("background"))
 
 
-RESULT = "CASE WHEN item_id % 5 = 0 OR text = '' THEN '# Resultado OCR' ELSE text END"
+RESULT = f"CASE WHEN item_id % 5 = 0 OR {sql_normalize('text')} = '' THEN '# Resultado OCR' ELSE {sql_normalize('text')} END"
 
 
-@query(f"SELECT item_id AS job_id, CASE WHEN item_id % 3 < 2 THEN {RESULT} || chr(10) END AS markdown FROM benchmark")
+@query(f"SELECT item_id AS job_id, CASE WHEN item_id % 3 < 2 THEN {RESULT} || chr(10) END AS markdown FROM (SELECT item_id, text || chr(13) || chr(10) || chr(10) || chr(10) || chr(10) || 'fin ' AS text FROM benchmark)")
 def written_results(spark, sf_dir):
     """Results of two thirds of the jobs, written as Markdown and plain text; those asked for are read again."""
     folder = _folder(spark, "results")
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("job_id"), F.when(F.col("item_id") % 5 != 0, F.col("text")).alias("markdown"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("job_id"), F.when(F.col("item_id") % 5 == 0, " \n ").otherwise(F.concat("text", F.lit("\r\n\n\n\nfin "))).alias("markdown"))
     writers.write_results(b.where("job_id % 3 < 2"), folder)
     return readers.written_results(spark, folder, b)
 

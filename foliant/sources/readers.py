@@ -44,13 +44,16 @@ def job_states(spark: SparkSession, folder: str) -> DataFrame:
 def rescued_states(spark: SparkSession, folder: str) -> DataFrame:
     """Job states from files of JSON lines: the states' columns, raw and reason.
 
-    A line that is no state is not lost: raw is the line and reason tells why ('malformed', or 'no job_id' for an object
-    without one and for JSON that is no object). Both are null for a state. Blank lines are nothing.
+    A line that is no state is not lost: raw is the line and reason tells why: 'malformed' JSON, 'no object', 'no job_id' or
+    'wrong type' of a column. Both are null for a state. Blank lines are nothing.
     """
     lines = spark.read.text(folder).where(F.trim("value") != "")
     states = F.from_json("value", JOB_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     parsed = lines.select("value", states.alias("s")).select("value", "s.*")
-    reason = F.when(F.col("_corrupt_record").isNotNull(), F.when(F.try_parse_json("value").isNull(), "malformed").otherwise("no job_id")).when(F.col("job_id").isNull(), "no job_id")
+    reason = (
+        F.when(F.try_parse_json("value").isNull(), "malformed").when(~F.trim("value").startswith("{"), "no object")
+        .when(F.get_json_object("value", "$.job_id").isNull(), "no job_id").when(F.col("_corrupt_record").isNotNull(), "wrong type")
+    )
     return parsed.select(*[F.when(reason.isNull(), F.col(c)).alias(c) for c in parsed.columns if c not in ("value", "_corrupt_record")], F.when(reason.isNotNull(), F.col("value")).alias("raw"), reason.alias("reason"))
 
 

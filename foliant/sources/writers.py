@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.text import safe_stem, strip_markdown_syntax, whole
+from foliant.functions.text import normalize_markdown, safe_stem, strip_markdown_syntax
 
 SEPARATOR = "\n\n---\n\n"
 EMPTY_RESULT = "# Resultado OCR"
 
 
 def result_markdown(markdown: Column) -> Column:
-    return F.coalesce(F.nullif(whole(markdown), F.lit("")), F.lit(EMPTY_RESULT))
+    """Normalized Markdown, or a heading alone where nothing is left."""
+    return F.coalesce(F.nullif(normalize_markdown(markdown), F.lit("")), F.lit(EMPTY_RESULT))
 
 
 def full_markdown(saved: Column, joined: Column, pages: Column, slack: int = 32) -> Column:

@@ -12,8 +12,8 @@ from foliant.functions import predicates as P
 from foliant.functions import scores as S
 from foliant.functions import tables as T2
 from foliant.functions import text as T
-from foliant.operators import assembly, candidates, control, documents, jobs, layout, ranges
-from foliant.sources import folders, readers, writers
+from foliant.operators import assembly, candidates, control, documents, jobs, layout, ranges, tables
+from foliant.sources import folders, readers, state_log, writers
 
 
 def values(spark, rows, schema, *columns):
@@ -282,3 +282,77 @@ def test_shared_folder(spark):
     with pytest.raises(ValueError):
         folders.shared_dir(Cluster)
     assert folders.shared_dir(spark).startswith("file:")
+
+
+def test_rows_that_tie(spark):
+    rows = spark.createDataFrame([(1, 1, True), (1, 2, True), (1, 2, True), (1, 3, True), (2, 1, True), (2, 1, False), (2, 2, True)], "k int, o int, f boolean")
+    assert dict(map(tuple, layout.longest_run(rows, ["k"], "o", F.col("f"), 2).collect())) == {1: 4, 2: 2}
+    twice = spark.createDataFrame([(1, "a\n| x |\n| y |\n# b"), (1, "a\n| x |\n| y |\n# b")], "k int, t string")
+    kinds = [(r["kind"], r["lines"]) for r in documents.markdown_blocks(twice, "k", "t").orderBy("block").collect()]
+    assert kinds == [("paragraph", 2), ("table", 4), ("heading1", 1), ("heading1", 1)]  # lines of one number stand together
+    cells = [("Fecha", 0.0), ("Fecha", 0.0), ("Concepto", 200.0), ("Importe", 400.0)]
+    words = [(1, 0, 0, left, 50.0, t) for t, left in cells] + [(1, r, k, 200.0 * k, 50.0, f"v{r}{k}") for r in range(1, 9) for k in range(3)]
+    table = tables.header_tables(spark.createDataFrame(words, "page_id int, row int, pos int, left double, width double, text string"), spark.createDataFrame([(1, 600)], "page_id int, width int"))
+    head = table.first()["markdown"].split("\n")[0]
+    assert head == "| Fecha | Fecha | Concepto | Importe |"
+
+
+def test_readings_by_mode(spark):
+    score = lambda t: F.length(t).cast("double")
+    offered = {
+        1: [("quick", 0, "x" * 50, 0.0), ("base", 0, "y" * 90, 0.0)],  # good at once
+        2: [("quick", 0, "x" * 40, 0.0), ("base", 0, "y" * 40, 0.0), ("soft", 0, "z" * 40, 0.0)],  # too short: the first of equal ones
+        3: [("quick", 0, "x" * 40, 0.0), ("plain", 0, "y" * 90, 0.0)],  # enough in a range
+        4: [("quick", 0, "x", 0.0), ("soft", 1, "y" * 90, 0.0)],  # enough in bulk
+        5: [("quick", 0, "", 90.0), ("soft", 1, "y", 0.0), ("strong", 0, "z" * 9, 0.0)],  # bulk takes what it can, two variants
+        6: [("quick", 0, "x" * 60, 0.0), ("quick", 1, "y" * 60, 0.0), ("base", 0, "z" * 90, 0.0)],  # fast: quick readings alone
+        7: [("quick", 0, "x" * 90, 0.0), ("fine", 4, "y", 9.0), ("base", 0, "z" * 9, 0.0)],  # quality: all but quick
+        8: [("quick", 0, "x" * 30, 0.0), ("base", 1, "y" * 3, 0.0)], 9: [("base", 4, "y", 0.0)], 10: [],
+    }
+    modes = {3: ("balanced", False, True), 4: ("balanced", True, False), 5: ("quality", True, False), 6: ("fast", False, False), 7: ("quality", False, False)}
+    pages = spark.createDataFrame([(k, *modes.get(k, ("balanced", False, False))) for k in offered], "page_id int, mode string, bulk boolean, is_range boolean")
+    rows = spark.createDataFrame([(k, *o) for k, v in offered.items() for o in v], "page_id int, variant string, config int, text string, confidence double")
+    out = {r["page_id"]: (r["variant"], r["config"], r["early"]) for r in candidates.read_by_mode(rows, pages, "page_id", score).collect()}
+    assert out == {
+        1: ("quick", 0, True), 2: ("base", 0, False), 3: ("quick", 0, True), 4: ("quick", 0, True), 5: ("soft", 1, False), 6: ("quick", 0, False),
+        7: ("fine", 4, False), 8: ("quick", 0, False), 9: (None, None, False), 10: (None, None, False),
+    }
+
+
+def test_readers_of_any_generation_see_whole_states(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/states"
+    assert state_log.read_states(spark, folder) is None and state_log.compact(spark, folder) == 0
+    add = lambda *rows: state_log.write_states(spark.createDataFrame(rows, "job_id string, status string"), folder)
+    now = lambda: {r["job_id"]: r["status"] for r in state_log.read_states(spark, folder).collect()}
+    assert [add(("a", "queued"), ("b", "queued"), (None, "lost")), add(("a", "processing"))] == [1, 2]
+    assert now() == {"a": "processing", "b": "queued"}
+    assert state_log.compact(spark, folder) == 1 and state_log.compact(spark, folder) == 1 and now() == {"a": "processing", "b": "queued"}
+    add(("b", "failed"), ("c", "queued"))
+    # a compaction that ends before its generation, and a write that does not end, change nothing
+    monkeypatch.setattr(state_log._Files, "write", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        state_log.compact(spark, folder)
+    monkeypatch.undo()
+    (tmp_path / "states" / "log" / "9").mkdir()
+    (tmp_path / "states" / "log" / "9" / "part-0.parquet").write_bytes(b"half")
+    assert now() == {"a": "processing", "b": "failed", "c": "queued"}
+    reader = state_log.read_states(spark, folder)  # of the first generation
+    assert state_log.compact(spark, folder) == 2
+    assert {r["job_id"]: r["status"] for r in reader.collect()} == now()
+    assert add(("c", "completed")) == 10 and state_log.compact(spark, folder) == 3 and now() == {"a": "processing", "b": "failed", "c": "completed"}
+    assert sorted(p.name for p in (tmp_path / "states" / "generations").glob("[0-9]*")) == ["2", "3"] and add(("d", "queued")) == 11
+    stamps = {r["job_id"]: r["updated_at"] for r in state_log.read_states(spark, folder).collect()}
+    assert stamps["a"] < stamps["c"]
+    # another's compaction came first: its snapshot holds
+    monkeypatch.setattr(state_log._Files, "write", lambda *_: False)
+    assert state_log.compact(spark, folder) == 3 and now()["d"] == "queued"
+    monkeypatch.undo()
+    files = state_log._Files(spark, folder)
+    assert files.claim("claims/77") and not files.claim("claims/77")
+
+
+def test_lines_that_are_no_states_are_kept(spark, tmp_path):
+    lines = ['{"job_id": "a", "status": "queued", "pages_total": 3}', '{"job_id": ', "[1]", "7", '{"status": "x"}', "", '{"job_id": "b", "pages_total": "many"}']
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(f"{tmp_path}/lines")
+    got = {(r["job_id"], r["raw"], r["reason"]) for r in readers.rescued_states(spark, f"{tmp_path}/lines").collect()}
+    assert got == {("a", None, None), (None, lines[1], "malformed"), (None, lines[2], "no object"), (None, lines[3], "no object"), (None, lines[4], "no job_id"), (None, lines[6], "wrong type")}
