@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +80,46 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of equally long lists."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def searched(index: DataFrame, asks: DataFrame, tasks: int, build: Callable, schema: str) -> DataFrame:
+    """index: shard, id, v. asks: shard, id, v and a column of its own. Gives every batch of asks of a shard to
+    build(ids, vectors), which is called once for all rows of the shard, with (ids, vectors, the column).
+
+    A shard's rows come first in a task and its asks follow, so a task holds what one shard builds and one batch, however
+    many asks there are. Vectors of one shard have one length.
+    """
+    extra = next(c for c in asks.columns if c not in ("shard", "id", "v"))
+    both = index.select("shard", F.lit(0).alias("kind"), "id", "v", F.lit(None).cast(dict(asks.dtypes)[extra]).alias(extra)).union(asks.select("shard", F.lit(1), "id", "v", extra))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, search, held = None, None, []
+        for batch in batches:
+            shards, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cut = np.nonzero((np.diff(shards) != 0) | (np.diff(kinds) != 0))[0] + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(batch)]):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if shards[a] != shard:
+                    shard, search, held = shards[a], None, []
+                if kinds[a] == 0:
+                    held.append((part.column(2).to_numpy(), matrix(part.column(3))))
+                    continue
+                if search is None:
+                    if not held:
+                        continue
+                    search = build(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+                    held = []
+                yield search(part.column(2).to_numpy(), matrix(part.column(3)), part.column(4))
+
+    return both.repartition(tasks, "shard").sortWithinPartitions("shard", "kind").mapInArrow(tidy(run), schema)
+
+
 def numbered(df: DataFrame, keys: list[str], row: str, rows: int, name: str = "n") -> DataFrame:
     """Adds the number of each row within its keys, gapless from 0, without sorting a whole group in one task.
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm.common import partitions, stored, table, tidy
+from foliant.llm.common import matrix, partitions, searched, stored, table, tidy
 
 #: Components are turned into floor(SCALE * x).
 SCALE = 1024
@@ -52,12 +52,6 @@ def whole_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
     return rows.select("id", F.transform("v", lambda x: F.floor(x)).alias("v"))
 
 
-def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Rows of equally long lists."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.int64)
-
-
 def upper_levels(sample: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
     """Sides and thresholds of the inner nodes of a full tree, in heap order: up to the threshold a vector goes left."""
     side, threshold = np.zeros(2**levels - 1, np.int64), np.zeros(2**levels - 1, np.int64)
@@ -167,35 +161,19 @@ class KDTree:
         return ids, best
 
 
-def searched(index: DataFrame, asks: DataFrame, k: int, tasks: int) -> DataFrame:
+def walked(index: DataFrame, asks: DataFrame, k: int, tasks: int) -> DataFrame:
     """index: shard, id, v. asks: shard, id, v, floor. Returns query_id, id, score, at most k rows for each row of asks."""
-    both = index.select("shard", F.lit(0).alias("kind"), "id", "v", F.lit(_LOWEST).alias("floor")).union(asks.select("shard", F.lit(1), "id", "v", "floor"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, tree, held = None, None, []
-        for batch in batches:
-            shards, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cut = np.nonzero((np.diff(shards) != 0) | (np.diff(kinds) != 0))[0] + 1
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(batch)]):
-                if a == b:
-                    continue
-                part = batch.slice(a, b - a)
-                if shards[a] != shard:
-                    shard, tree, held = shards[a], None, []
-                if kinds[a] == 0:
-                    held.append((part.column(2).to_numpy(), matrix(part.column(3))))
-                    continue
-                if tree is None:
-                    if not held:
-                        continue
-                    tree = KDTree(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), k)
-                    held = []
-                query_ids = part.column(2).to_numpy()
-                at, ids, scores = (np.concatenate(x) for x in tree.search(query_ids, matrix(part.column(3)), part.column(4).to_numpy()))
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[at]), pa.array(ids), pa.array(scores)], names=["query_id", "id", "score"])
-
-    dealt = both.repartition(tasks, "shard").sortWithinPartitions("shard", "kind")
-    return dealt.mapInArrow(tidy(run), "query_id long, id long, score long")
+    def build(ids: np.ndarray, x: np.ndarray):
+        tree = KDTree(ids, x, k)
+
+        def search(query_ids: np.ndarray, q: np.ndarray, floor: pa.Array) -> pa.RecordBatch:
+            at, found, scores = (np.concatenate(x) for x in tree.search(query_ids, q, floor.to_numpy()))
+            return pa.RecordBatch.from_arrays([pa.array(query_ids[at]), pa.array(found), pa.array(scores)], names=["query_id", "id", "score"])
+
+        return search
+
+    return searched(index, asks, tasks, build, "query_id long, id long, score long")
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:
@@ -315,7 +293,7 @@ def top_products(vectors: DataFrame, queries: Column, k: int = 10, id_col: str =
 
     def wave(asks: DataFrame, first: bool) -> DataFrame:
         to = routed(asks, first).withColumn("shard", shard_id(F.col("dim"), F.col("cell"), F.col("part"), block))
-        return searched(index, to, k, tasks)
+        return walked(index, to.select("shard", "id", "v", "floor"), k, tasks)
 
     home = stored(wave(asked.withColumn("floor", F.lit(_LOWEST)), True), "home-wave")
     floors = best_of(home, k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("known"))

@@ -1,15 +1,15 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by the order of its nearest pivots in direction, and by its length. Of many pivots only a short
-prefix counts, so the inverted file of a pivot posts few vectors, each with the rank that the pivot has for it. A query
-adds up, over the files of its own nearest pivots alone, what the induced footrule distance (a pivot that is missing
-counts as rank `prefix`) saves for each vector posted there. A line fitted in the shard turns that into a cosine; the
-vectors for which cosine times length is largest are ranked again by the inner product itself.
+A vector is represented by the order of its nearest pivots in direction, and by its length. A few hundred pivots are drawn,
+well under the rows, of which a prefix counts, so the inverted file of a pivot posts some of the vectors, each with the
+rank that the pivot has for it. A query adds up, over the files of its own nearest pivots alone, what the induced footrule
+distance (a pivot that is missing counts as rank `prefix`) saves for each vector posted there. A line turns that into a
+cosine; the vectors for which cosine times length is largest are ranked again by the inner product itself.
 
-How many are ranked again is fitted too, shard by shard and at every size alike: so many as find `target` of the true
-neighbours of a bounded number of sample queries.
+The line, and the share of a shard that is ranked again, are fitted once for the whole index, on a bounded sample of rows
+and of probes that are not asked: so many as find `target` of the probes' true neighbours in the sample.
 
-Every row is indexed. Queries meet every shard in blocks: (queries x shards) rows are dealt, never pairs.
+Every row is indexed. A shard's files are built once for QUERY_ROWS queries, and queries are sent to the shards.
 """
 
 from __future__ import annotations
@@ -20,28 +20,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm.common import partitions, stored, table
+from foliant.llm.common import matrix, partitions, searched, stored, table
 
-#: Pivots (drawn by a hash of the id: a bounded sample), and how many of them represent a vector.
-PIVOTS, PREFIX = 2048, 64
-#: Part of the sample queries' true neighbours that the fitted depth must find, and sample queries of a shard, at most.
-TARGET, FIT_QUERIES = 0.95, 96
+#: Pivots, at most (drawn by a hash of the id: a bounded sample), rows for each of them, at least, and how many pivots
+#: represent a vector.
+PIVOTS, PIVOT_ROWS, PREFIX = 512, 8, 64
+#: Part of the probes' true neighbours that the fitted share must find; rows and probes that it is fitted on, at most.
+TARGET, FIT_ROWS, FIT_PROBES = 0.96, 16_384, 256
 #: Cosines of pivots: no more than the first, or the next where too few pivots are left. Only copies never count.
 ALIKE = (0.7, 0.8, 0.9, 0.95, 0.99, 0.999, 1 - 1e-9)
-#: Rows of a shard (at least and at most) and of a block of queries, about.
-SHARD_ROWS, QUERY_ROWS = (16_384, 65_536), 16_384
+#: Rows of a shard (at least and at most), and queries for which its files are built once: more than it has rows.
+SHARD_ROWS, QUERY_ROWS = (16_384, 65_536), 1 << 18
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id, v (array<double>): rows with an id, whose vectors are whole, finite and not zero, of the commonest length."""
+    """id, v (array<double>), dim: rows with an id, whose vectors are whole, finite and not zero."""
     v = F.col(vector_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(
+    return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(
         F.col("id").isNotNull() & F.col("v").isNotNull()
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("v", lambda x: x != 0)
-    )
-    sizes = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), F.desc("n")).limit(1).collect()
-    return rows.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
+    ).withColumn("dim", F.size("v"))
 
 
 def nearest_pivots(unit: np.ndarray, pivots: np.ndarray, prefix: int, block: int = 1024) -> np.ndarray:
@@ -97,103 +96,132 @@ class InvertedFiles:
         return np.bincount(np.concatenate([self.posted[s] for s in spans]), self.prefix - rank, self.rows)
 
 
-def search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, k: int, prefix: int, sought: int, target: float):
-    """Of each query, the k best of the shard: query ids, vector ids, inner products. The depth of the second ranking is
-    the one that finds `target` of the `sought` nearest rows of sample queries."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    raw = np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1])))[:, 0]
-    _, first, member = np.unique(raw, return_index=True, return_inverse=True)  # equal vectors are one entry of the files
-    copies = np.argsort(member, kind="stable")  # of each entry its rows, smallest id first
-    begin = np.searchsorted(member[copies], np.arange(len(first) + 1))
-    distinct = x[first]
-    (unit, length), (q_unit, _) = directions(distinct), directions(q)
-    files = InvertedFiles(nearest_pivots(unit, pivots, prefix), len(pivots))
-    asked = nearest_pivots(q_unit, pivots, prefix).astype(np.int64)
-    some = np.unique(np.linspace(0, len(q) - 1, FIT_QUERIES).astype(int))
-    seen = [files.savings(asked[i]) for i in some]
-    cosine = [unit @ q_unit[i] for i in some]
-    s, c = np.concatenate(seen), np.concatenate(cosine)
+class PermutationIndex:
+    """A shard's rows by id, equal vectors as one entry of the inverted files. Without pivots, all entries are ranked."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray | None, prefix: int):
+        order = np.argsort(ids, kind="stable")
+        self.ids, x = ids[order], x[order]
+        raw = np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1])))[:, 0]
+        _, first, member = np.unique(raw, return_index=True, return_inverse=True)
+        self.copies = np.argsort(member, kind="stable")  # of each entry its rows, smallest id first
+        self.begin = np.searchsorted(member[self.copies], np.arange(len(first) + 1))
+        self.distinct, self.pivots, self.prefix = x[first], pivots, prefix
+        if pivots is not None:
+            unit, self.length = directions(self.distinct)
+            self.files = InvertedFiles(nearest_pivots(unit, pivots, prefix), len(pivots))
+
+    def nearest_of(self, q: np.ndarray) -> np.ndarray:
+        """The nearest pivots of each query."""
+        return nearest_pivots(directions(q)[0], self.pivots, self.prefix).astype(np.int64)
+
+    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, share: float, line: tuple[float, float]) -> pa.RecordBatch:
+        own = np.searchsorted(self.ids, query_ids, "right") - np.searchsorted(self.ids, query_ids, "left")
+        asked = None if self.pivots is None else self.nearest_of(q)
+        n, out = len(self.distinct), ([], [], [])
+        for i, query in enumerate(query_ids.tolist()):
+            most = k + int(own[i])  # rows of the query's own id are no candidates
+            keep = n if asked is None else min(n, max(int(np.ceil(share * n)), most))
+            found = np.arange(n)
+            if keep < n:
+                likely = self.length * (line[0] + line[1] * self.files.savings(asked[i]))
+                found = np.nonzero(likely >= np.partition(likely, n - keep)[n - keep])[0]
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = (self.distinct[found] * q[i]).sum(axis=1)
+            value = np.where(np.isnan(score), -np.inf, score)  # infinite less infinite ranks last
+            if len(found) > most:
+                high = value >= np.partition(value, len(value) - most)[len(value) - most]
+                found, score, value = found[high], score[high], value[high]
+            # of equal vectors the smallest ids are enough
+            rows = np.concatenate([self.copies[self.begin[f] : min(self.begin[f + 1], self.begin[f] + most)] for f in found])
+            times = np.minimum(np.diff(self.begin)[found], most)
+            score, value = np.repeat(score, times), np.repeat(value, times)
+            other = self.ids[rows] != query
+            rows, score, value = rows[other], score[other], value[other]
+            best = np.lexsort((self.ids[rows], -value))[:k]
+            for part, x in zip(out, (np.full(len(best), query), self.ids[rows][best], score[best])):
+                part.append(x)
+        columns = [np.concatenate(x) if x else np.zeros(0) for x in out]
+        kinds = pa.int64(), pa.int64(), pa.float64()
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["query_id", "id", "score"])
+
+
+def fitted(ids: np.ndarray, x: np.ndarray, probe_ids: np.ndarray, probes: np.ndarray, pivots: np.ndarray, prefix: int, sought: int, target: float) -> tuple[float, tuple[float, float]]:
+    """The share of entries to rank again, and the line (base and slope) from savings to cosines: what finds `target` of
+    the `sought` nearest rows of the probes, whose own rows do not count, among the rows of a sample."""
+    sample = PermutationIndex(ids, x, pivots, prefix)
+    unit, length = directions(sample.distinct)
+    seen = [sample.files.savings(asked) for asked in sample.nearest_of(probes)]
+    cosine = directions(probes)[0] @ unit.T
+    s, c = np.concatenate(seen), cosine.reshape(-1)
     spread = ((s - s.mean()) ** 2).mean()
     slope = max(((s - s.mean()) * (c - c.mean())).mean() / spread, 1e-9) if spread else 1e-9
     base = c.mean() - slope * s.mean()
     depths = []
-    for i, saved, near in zip(some, seen, cosine):
+    for probe, saved, near in zip(probe_ids, seen, cosine):
         likely, true = length * (base + slope * saved), length * near
-        true[(ids[first] == query_ids[i]) & (np.diff(begin) == 1)] = -np.inf  # the query itself
+        true[(sample.ids[sample.copies[sample.begin[:-1]]] == probe) & (np.diff(sample.begin) == 1)] = -np.inf
         best = np.argpartition(-true, min(sought, len(true)) - 1)[:sought]
         depths.append(len(likely) - np.searchsorted(np.sort(likely), likely[best], "left"))
-    depth = int(np.quantile(np.concatenate(depths), target, method="higher"))
-    own = np.searchsorted(ids, query_ids, "right") - np.searchsorted(ids, query_ids, "left")
-    out_q, out_v, out_s = [], [], []
-    for i, query in enumerate(query_ids):
-        most = k + own[i]  # rows of the query's own id are no candidates
-        keep = min(len(first), max(depth, most))
-        likely = length * (base + slope * files.savings(asked[i]))
-        found = np.nonzero(likely >= np.partition(likely, len(likely) - keep)[len(likely) - keep])[0]
-        score = (distinct[found] * q[i]).sum(axis=1)
-        if len(found) > most:
-            high = score >= np.partition(score, len(score) - most)[len(score) - most]
-            found, score = found[high], score[high]
-        # of equal vectors the smallest ids are enough
-        rows = np.concatenate([copies[begin[f] : min(begin[f + 1], begin[f] + most)] for f in found])
-        score = np.repeat(score, np.minimum(np.diff(begin)[found], most))
-        other = ids[rows] != query
-        rows, score = rows[other], score[other]
-        best = np.lexsort((ids[rows], -score))[:k]
-        out_q.append(np.full(len(best), query))
-        out_v.append(ids[rows][best])
-        out_s.append(score[best])
-    cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return cat(out_q, np.int64), cat(out_v, np.int64), cat(out_s, np.float64)
+    return float(np.quantile(np.concatenate(depths), target, method="higher")) / len(length), (base, slope)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
             pivots: int = PIVOTS, prefix: int = PREFIX, target: float = TARGET) -> DataFrame:
     """The k rows of vectors with the largest inner product for each row of queries (same columns), approximately.
 
-    Vectors that are null, zero, of another length than most (they have no inner product with those), or hold null or
-    non-finite components take no part, nor do rows without an id. A query's own id is no candidate of it; of rows that
-    repeat a query's id the smallest vector asks, repeated other rows are candidates each. Ties go to the smaller id.
-    Returns query_id, rank (from 1), the id column, score; other columns are not read, and an empty table gives no rows.
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id. Vectors of
+    different lengths have no inner product: a query's candidates are those of its own length; of lengths other than the
+    commonest all candidates are ranked. A query's own id is no candidate of it; of rows that repeat a query's id the
+    smallest vector asks, repeated other rows are candidates each. A product that is no number ranks last. Ties go to the
+    smaller id. Returns query_id, rank (from 1), the id column, score; other columns are not read, and an empty table
+    gives no rows.
     """
     spark = vectors.sparkSession
     rows = stored(usable(vectors, id_col, vector_col), "vectors")
-    stats = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("size")).first()
-    n, size = stats["n"], stats["size"] or 0
-    asked = stored(usable(queries, id_col, vector_col).where(F.size("v") == size).groupBy("id").agg(F.min("v").alias("v")), "queries")
-
-    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return t.column("id").to_numpy(), flat.reshape(len(t), -1) if len(t) else np.zeros((0, size))
-
-    def draw(table: DataFrame) -> np.ndarray:
-        return directions(matrix(table.orderBy(F.xxhash64("id"), "id").limit(2 * pivots).toArrow())[1].reshape(-1, max(size, 1)))[0]
-
-    drawn = draw(rows)
+    asked = stored(usable(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), "queries")
+    lengths = rows.groupBy("dim").agg(F.count("*").alias("n"))
+    commonest = lengths.orderBy(F.desc("n"), "dim").first()
+    if commonest is None:
+        return spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
+    size, n = commonest
+    own = rows.where(F.col("dim") == size)
+    pivots = max(1, min(pivots, n // PIVOT_ROWS))
+
+    def draw(df: DataFrame, salt: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+        t = df.orderBy(F.xxhash64("id", F.lit(salt)), "id").limit(most).select("id", "v").toArrow()
+        return t.column("id").to_numpy(), matrix(t.column("v")).reshape(len(t), size)
+
+    drawn = directions(draw(own, "pivot", 2 * pivots)[1])[0]
     chosen = spread_pivots(drawn, pivots)
     if len(chosen) < pivots:  # common vectors fill the draw, or all vectors are alike: draw from distinct ones
-        chosen = spread_pivots(np.vstack([drawn, draw(rows.groupBy("v").agg(F.min("id").alias("id")))]), pivots, ALIKE)
+        distinct = own.groupBy("v").agg(F.min("id").alias("id"))
+        chosen = spread_pivots(np.vstack([drawn, directions(draw(distinct, "pivot", 2 * pivots)[1])[0]]), pivots, ALIKE)
     prefix = max(1, min(prefix, len(chosen)))
     least, most = SHARD_ROWS
-    shards, blocks = max(1, -(-n // most), min(partitions(spark), n // least)), max(1, -(-asked.count() // QUERY_ROWS))
+    shards = max(1, -(-n // most), min(partitions(spark), n // least))
     sought = min(k, 2 + -(-2 * k // shards))  # what a shard has of the k nearest, with slack
-    spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    index = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", spread(blocks))
-    asks = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", spread(shards))
+    sample_ids, sample = draw(own, "sample", FIT_ROWS)
+    probe_ids, probes = draw(own.join(asked.select("id"), "id", "left_anti"), "probe", FIT_PROBES)
+    if not len(probe_ids):  # every row is asked: some of them are probes
+        probe_ids, probes = sample_ids[:FIT_PROBES], sample[:FIT_PROBES]
+    share, line = fitted(sample_ids, sample, probe_ids, probes, chosen, prefix, sought, target)
+    rest = lengths.where(F.col("dim") != size).agg(F.max("n")).first()[0] or 1
+    parts = F.when(F.col("dim") == size, F.lit(shards)).otherwise(F.lit(max(1, -(-rest // most))))
+    blocks = max(1, -(-asked.count() // QUERY_ROWS))
+    spread = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), m - 1))
+    shard = F.xxhash64("dim", "part", "block").alias("shard")
+    index = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("block", spread(F.lit(blocks).cast("long"))).select(shard, "id", "v")
+    asks = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks))).withColumn("part", spread(parts.cast("long"))).select(shard, "id", "v", "dim")
     shared = spark.sparkContext.broadcast(chosen)  # at most `pivots` vectors
 
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, x = matrix(left)
-        query_ids, q = matrix(right)
-        if not len(ids) or not len(query_ids):
-            found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        else:
-            found = search_shard(ids, x, query_ids, q, shared.value, k, prefix, sought, target)
-        return pa.table(dict(zip(("query_id", "id", "score"), map(pa.array, found))))
-
-    found = index.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInArrow(search, "query_id long, id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    def build(ids: np.ndarray, x: np.ndarray):
+        held = PermutationIndex(ids, x, shared.value if x.shape[1] == size else None, prefix)
+        return lambda query_ids, q, _: held.search(query_ids, q, k, share, line)
+
+    found = searched(index, asks, max(partitions(spark), min(shards * blocks, 10_000)), build, "query_id long, id long, score double")
+    value = F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc(value), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 

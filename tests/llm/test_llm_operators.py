@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and their SQL, on small tables with awkward rows."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -522,6 +523,7 @@ def test_bpe_keeps_no_state_between_batches(monkeypatch):
 def test_nearest_neighbours(spark, monkeypatch):
     monkeypatch.setattr(permutation_index, "SHARD_ROWS", (400, 500))
     monkeypatch.setattr(permutation_index, "QUERY_ROWS", 40)
+    monkeypatch.setattr(permutation_index, "PIVOTS", 200)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 16)).astype(np.float32)
     x[100:400] = x[100]  # a common vector
@@ -543,6 +545,12 @@ def test_nearest_neighbours(spark, monkeypatch):
     assert hit >= 0.9 * 20 * len(out)
     few = permutation_index.nearest(df.where("vec_id < 5"), df.where("vec_id < 2")).collect()
     assert len(few) == 8
+    other = df.where("vec_id < 300").union(spark.createDataFrame([(9000 + i, [1.0, float(i)], "e") for i in range(40)], df.schema))
+    out = permutation_index.nearest(other, other.where("vec_id = 9020")).collect()
+    assert [(r["vec_id"], r["score"]) for r in out[:2]] == [(9039, 781.0), (9038, 761.0)] and len(out) == 20 and min(r["vec_id"] for r in out) > 9000
+    huge = spark.createDataFrame([(0, [1e200, -1e200]), (1, [1e200, 1e200]), (2, [1.0, 0.0]), (3, [-1.0, 0.0]), (4, [0.5, 0.0])], "vec_id long, embedding array<double>")
+    out = permutation_index.nearest(huge, huge.where("vec_id = 0"), 4).collect()
+    assert [r["vec_id"] for r in out] == [2, 4, 3, 1] and np.isnan(out[3]["score"])
     assert permutation_index.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
@@ -562,7 +570,25 @@ def test_nearest_of_varied_lengths(spark, monkeypatch, outlier):
         score = x @ x[q]
         score[q] = -np.inf
         hit += len(out[q] & set(np.argsort(-score)[:20].tolist()))
-    assert len(pivots[-1]) == permutation_index.PIVOTS and hit >= 0.9 * 20 * 75
+    assert len(pivots[-1]) == 3000 // permutation_index.PIVOT_ROWS and hit >= 0.9 * 20 * 75
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1", "check_l"])
+def test_recall_on_queries_that_nothing_was_fitted_on(spark, size):
+    folder = f"/root/testdata/{size}"
+    if not os.path.exists(folder):
+        pytest.skip("no such tables")
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").toArrow()
+    ids, x = rows.column("vec_id").to_numpy(), np.array(rows.column("embedding").to_pylist(), np.float64)
+    out = defaultdict(set)
+    for r in permutation_index.op9_permutation_index(spark, folder).collect():
+        out[r["query_id"]].add(r["vec_id"])
+    asked = np.nonzero(ids % 20 == 0)[0]
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    best = np.argpartition(-score, 20, axis=1)[:, :20]
+    hit = sum(len(out[q] & set(ids[b].tolist())) for q, b in zip(ids[asked].tolist(), best))
+    assert hit >= 0.92 * 20 * len(asked)
 
 
 def test_pivots_are_refilled():
