@@ -3,10 +3,12 @@
 A configuration is a multiset of lengths that fits one sequence. The program covers all pieces with as few
 configurations as possible. A piece is worth its length times a weight that is updated multiplicatively by how much of
 its length is left; a knapsack dynamic program prices configurations under these values, and those near the best price
-are taken, for as many whole sequences as the pieces left allow. Rounding down at once leaves its errors in the program,
-where later rounds price them again; best fit places what no such configuration holds. The values over the best price
-are a dual solution, which bounds from below what any packing takes. Only the histogram (at most `capacity` counts)
-reaches the driver, and the plan is as small.
+are taken, each round for a share of what the pieces left allow: their amounts add up to a fractional solution. It is
+rounded down, and what is left is solved again, with amounts that are rounded as they come; best fit places what no such
+configuration holds. Where lengths are few and rare, rounding costs more than the program gains: of the plans by several
+rates, with and without the fractional solution, and of best fit alone, the one with the fewest sequences counts. The
+values over the best price are a dual solution, which bounds from below what any packing takes. Only the histogram (at
+most `capacity` counts) reaches the driver, and the plan is as small.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ CAPACITY, END_ID = 1024, 2
 #: Rates of the multiplicative weights (of the plans by them, the one with the fewest sequences counts), the most rounds
 #: of each, and how far below the best price a configuration may be.
 RATES, ROUNDS, NEAR = (0.02, 0.05, 0.1, 0.2), 400, 0.1
+#: Share of what the pieces left allow that a round adds to a fractional solution, and the part of a length below which it
+#: counts as covered.
+SHARE, SETTLED = 0.3, 1e-3
 
 #: Columns that the numbering of pieces uses.
 INNER = ("_row", "_n", "_bucket", "_rank", "_start", "_rows")
@@ -74,34 +79,56 @@ def best_fit(left: dict[int, int], capacity: int) -> Counter:
     return sum(classes.values(), Counter())
 
 
-def weighted_plan(need: np.ndarray, capacity: int, rate: float, rounds: int) -> tuple[Counter, float]:
-    """Patterns with counts, by multiplicative weights of one rate, and the best dual bound of the rounds."""
-    left, lengths = need.copy(), np.arange(capacity + 1)
+def weighted_amounts(need: np.ndarray, capacity: int, rate: float, rounds: int, share: float | None = None) -> tuple[Counter, np.ndarray, float]:
+    """Amounts of patterns by multiplicative weights of one rate, what they leave of each length, and the best dual bound of
+    the rounds. Each round takes a share of what the pieces left allow; without a share, all of it in whole sequences."""
+    left, lengths = need.astype(np.int64 if share is None else np.float64), np.arange(capacity + 1)
     weights, plan, bound = np.where(need > 0, 1.0, 0.0), Counter(), 0.0
     for _ in range(rounds):
-        values = np.where(left > 0, weights * lengths / capacity, 0.0)
+        values = np.where(left > (0 if share is None else SETTLED * need), weights * lengths / capacity, 0.0)
+        if not values.any():
+            break
         best, taken = price(values, capacity)
         bound = max(bound, float((need * values).sum() / best[capacity]))
         used = False
-        for first in np.nonzero(left)[0][::-1].tolist():
-            if not left[first] or values[first] + best[capacity - first] < (1 - NEAR) * best[capacity]:
+        for first in np.nonzero(values)[0][::-1].tolist():
+            if left[first] <= 0 or values[first] + best[capacity - first] < (1 - NEAR) * best[capacity]:
                 continue
             each, room = Counter([first]), capacity - first
             while room > 0:
                 if taken[room]:
                     each[int(taken[room])] += 1
                 room -= max(1, int(taken[room]))
-            n = min(int(left[x]) // k for x, k in each.items())
-            if n:
+            n = min(int(left[x]) // k for x, k in each.items()) if share is None else share * min(left[x] / k for x, k in each.items())
+            if n > 0:
                 plan[tuple(sorted(each.elements(), reverse=True))] += n
                 used = True
                 for x, k in each.items():
                     left[x] -= n * k
-        if not used or not left.any():
+        if not used:
             break
         part = np.divide(left, need, out=np.zeros(capacity + 1), where=need > 0)
         weights = np.where(need > 0, weights * np.exp(rate * (part - left.sum() / need.sum())), 0.0)
         weights = np.clip(weights / weights[need > 0].mean(), 0.05, 20.0)
+    return plan, left, bound
+
+
+def rounded(amounts: Counter, need: np.ndarray) -> tuple[Counter, np.ndarray]:
+    """Amounts in whole sequences, none more than there are pieces for, and the pieces left."""
+    plan, left = Counter(), need.copy()
+    for pattern, amount in sorted(amounts.items(), key=lambda x: (-x[1], x[0])):
+        each = Counter(pattern)
+        n = min(int(amount + 1e-9), *(int(left[x]) // k for x, k in each.items()))
+        if n > 0:
+            plan[pattern] += n
+            for x, k in each.items():
+                left[x] -= n * k
+    return plan, left
+
+
+def settled(need: np.ndarray, capacity: int, rate: float, rounds: int) -> tuple[Counter, float]:
+    """A plan for all pieces with amounts that are rounded as they come, and a dual bound."""
+    plan, left, bound = weighted_amounts(need, capacity, rate, rounds)
     return plan + best_fit({int(x): int(left[x]) for x in np.nonzero(left)[0]}, capacity), bound
 
 
@@ -113,9 +140,16 @@ def pack_plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int =
         need[length] = n
     if not need.any():
         return [], 0
-    plans = [weighted_plan(need, capacity, rate, rounds) for rate in RATES]
-    fewest = min((p for p, _ in plans), key=lambda p: sum(p.values()))
-    return sorted(fewest.items(), reverse=True), int(np.ceil(max(b for _, b in plans) - 1e-6))
+    plans, bounds = [best_fit({k: n for k, n in histogram.items() if n}, capacity)], []
+    for rate in RATES:
+        amounts, _, bound = weighted_amounts(need, capacity, rate, rounds, SHARE)
+        whole, left = rounded(amounts, need)
+        rest, _ = settled(left, capacity, rate, rounds) if left.any() else (Counter(), 0.0)
+        plan, other = settled(need, capacity, rate, rounds)
+        plans += [whole + rest, plan]
+        bounds += [bound, other]
+    fewest = min(plans, key=lambda p: sum(p.values()))
+    return sorted(fewest.items(), reverse=True), int(np.ceil(max(bounds) - 1e-6))
 
 
 class SegmentTokenizer:
