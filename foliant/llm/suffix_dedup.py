@@ -6,7 +6,8 @@ a time is sorting all that matter. Each start of such a string belongs to one an
 
 1. Anchors of all texts are counted by hash; a bitmap of bounded size keeps those that occur twice (a false hit costs
    work only).
-2. The context of an anchor, the bytes of its starts, is hashed. A context that occurs twice is repeated as a whole.
+2. The context of an anchor, the bytes of its starts, gets a digest (128 bits of SHA-256). A context that occurs twice is
+   repeated as a whole; no two texts with one digest are known of any length, so its bytes are not shipped to be compared.
 3. Only where one anchor has different contexts are bytes dealt, one occurrence of each context. Their suffixes are
    sorted by merging runs; two suffixes are compared by the longest common extension, found by binary search over
    prefix polynomial hashes (8 steps). Neighbours that agree in 200 bytes are repeats, and their bytes are compared to
@@ -18,12 +19,12 @@ Texts are read once for each of these steps rather than shuffled whole.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -186,9 +187,16 @@ def anchored(batch: pa.RecordBatch):
         yield row, rk[row], at, h, place - lo, lo, hi + LENGTH, data, own
 
 
+def context_digest(ctx: bytes, lead: int) -> bytes:
+    """Of a context and the anchor's place in it."""
+    digest = hashlib.sha256(ctx)
+    digest.update(bytes([lead]))
+    return digest.digest()[:16]
+
+
 def occurrences(docs: DataFrame, marks: bytes, bits: int) -> DataFrame:
-    """Contexts of the anchors in the bitmap: doc_id, rk, at (first byte in the text), size, h, cx (hashes of the anchor
-    and of the context with the anchor's distance), own (a hash of the occurrence)."""
+    """Contexts of the anchors in the bitmap: doc_id, rk, at (first byte in the text), size, h, cx (a hash of the anchor,
+    and a digest of the context with the anchor's distance), own (a hash of the occurrence)."""
     shared = docs.sparkSession.sparkContext.broadcast(marks)  # at most BITMAP_BITS
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "rk", "at", "size", "h", "cx", "own"]
@@ -198,11 +206,11 @@ def occurrences(docs: DataFrame, marks: bytes, bits: int) -> DataFrame:
             for row, rk, at, h, lead, lo, end, data, own in anchored(batch):
                 k = np.nonzero(in_bitmap(shared.value, bits, h))[0]
                 raw = data.tobytes()
-                cx = np.fromiter((xxhash.xxh64_intdigest(raw[a:b], d) for a, b, d in zip(lo[k].tolist(), end[k].tolist(), lead[k].tolist())), np.uint64, len(k))
-                columns = rk[k], at[k], (end - lo)[k].astype(np.int32), h[k].view(np.int64), cx.view(np.int64), own[k].view(np.int64)
+                cx = pa.array([context_digest(raw[a:b], d) for a, b, d in zip(lo[k].tolist(), end[k].tolist(), lead[k].tolist())], pa.binary())
+                columns = rk[k], at[k], (end - lo)[k].astype(np.int32), h[k].view(np.int64), cx, own[k].view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[k])), *map(pa.array, columns)], names=names)
 
-    return keyed(docs).mapInArrow(tidy(run), f"doc_id {kind}, rk long, at long, size int, h long, cx long, own long")
+    return keyed(docs).mapInArrow(tidy(run), f"doc_id {kind}, rk long, at long, size int, h long, cx binary, own long")
 
 
 def contexts(docs: DataFrame, marks: bytes, bits: int) -> DataFrame:
@@ -215,11 +223,11 @@ def contexts(docs: DataFrame, marks: bytes, bits: int) -> DataFrame:
                 k = np.nonzero(in_bitmap(shared.value, bits, own))[0]
                 raw, d = data.tobytes(), lead[k].tolist()
                 ctx = [raw[a:b] for a, b in zip(lo[k].tolist(), end[k].tolist())]
-                cx = np.fromiter(map(xxhash.xxh64_intdigest, ctx, d), np.uint64, len(k))
-                columns = pa.array(own[k].view(np.int64)), pa.array(h[k].view(np.int64)), pa.array(d, pa.int32()), pa.array(cx.view(np.int64)), pa.array(ctx, pa.binary())
+                cx = pa.array(list(map(context_digest, ctx, d)), pa.binary())
+                columns = pa.array(own[k].view(np.int64)), pa.array(h[k].view(np.int64)), pa.array(d, pa.int32()), cx, pa.array(ctx, pa.binary())
                 yield pa.RecordBatch.from_arrays(list(columns), names=["own", "h", "lead", "cx", "ctx"])
 
-    return keyed(docs).mapInArrow(tidy(run), "own long, h long, lead int, cx long, ctx binary")
+    return keyed(docs).mapInArrow(tidy(run), "own long, h long, lead int, cx binary, ctx binary")
 
 
 def sort_suffixes(text: PrefixHashes, place: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -376,7 +384,7 @@ def marked_contexts(found: DataFrame) -> DataFrame:
             yield from work(pa.Table.from_batches(held))
 
     dealt = found.repartition(partitions(found.sparkSession), "h").sortWithinPartitions("h")
-    return dealt.select("h", "lead", "ctx", "cx").mapInArrow(tidy(run), "h long, cx long, a int, b int")
+    return dealt.select("h", "lead", "ctx", "cx").mapInArrow(tidy(run), "h long, cx binary, a int, b int")
 
 
 def marked_in_large_groups(found: DataFrame) -> DataFrame:
