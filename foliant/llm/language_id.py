@@ -24,6 +24,8 @@ from foliant.llm.common import table, tidy
 ORDER, DISCOUNT = 4, 0.75
 #: About so many labelled documents of each language are learned from, and so many more calibrate the rejection.
 FIT_DOCS, CALIBRATION_DOCS = 1500, 500
+#: Languages that are learned, at most: those with the most documents.
+MOST_LANGUAGES = 256
 #: Part of the calibration texts that may lie beyond the limit before its margin is added, and that margin.
 TAIL, MARGIN = 0.002, 0.25
 #: Bytes of text scored at once, about: each different word of them is scored once.
@@ -240,20 +242,22 @@ class LanguageModel:
         return names.tolist(), score, ~none & (np.where(none, np.inf, low) <= self.limit[best])
 
 
-def fit_languages(docs: DataFrame, fit_docs: int = FIT_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> LanguageModel:
+def fit_languages(docs: DataFrame, fit_docs: int = FIT_DOCS, calibration_docs: int = CALIBRATION_DOCS, most_languages: int = MOST_LANGUAGES) -> LanguageModel:
     """Learns from the documents (doc_id, text, lang) that are not held out and have a language.
 
     From each language about fit_docs + calibration_docs of them are drawn by a hash of doc_id, whole texts: a bounded
-    sample. Executors count its words; the driver gets those counts and fits arrays from them.
+    sample. Of more than most_languages values of lang those with the most documents are learned, of equal ones the first
+    by name: a column that holds other things than languages costs no more. Executors count the sample's words; the driver gets those counts and fits arrays from them.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    supported = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    sizes = {r["lang"]: r["n"] for r in supported.collect()}
     if not sizes:
         return LanguageModel(KneserNey())
     drawn = fit_docs + calibration_docs
     part = (F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 40)) / (1 << 40)).cast("double")
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, drawn / n))])[F.col("lang")]
-    sample = known.where(part < share).select("text", "lang", (part < share * fit_docs / drawn).alias("fits"))
+    sample = known.where(F.col("lang").isin(*sizes)).where(part < share).select("text", "lang", (part < share * fit_docs / drawn).alias("fits"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}

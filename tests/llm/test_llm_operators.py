@@ -263,6 +263,12 @@ def test_languages(spark):
     assert language_id.identified(df.limit(0), language_id.fit_languages(df)).count() == 0
 
 
+def test_values_that_are_no_languages(spark):
+    rows = [(i, f"the and of {i % 7}", "en" if i % 2 else f"junk {i}") for i in range(400)]
+    model = language_id.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_languages=3)
+    assert len(model.models.languages) <= 3 and "en" in model.models.languages
+
+
 def test_kneser_ney_sums_to_one():
     model = language_id.KneserNey(3).fit({"x": Counter({"abab": 3, "abc": 1, "ca": 2})})
     total = 0.0
