@@ -88,16 +88,15 @@ def job_summaries(spark, sf_dir):
 
 
 @query("""
-WITH h AS (SELECT c_custkey AS job_id, c_custkey // 2 AS t, c_custkey AS p FROM customer WHERE c_custkey <= 40), e AS (SELECT c_custkey AS job_id, 1000 + c_custkey AS t, c_custkey AS p FROM customer WHERE c_custkey BETWEEN 20 AND 25),
+WITH h AS (SELECT c_custkey AS job_id, c_custkey // 2 AS t, c_custkey AS p FROM customer), e AS (SELECT o_custkey AS job_id, 1000 + o_orderkey AS t, o_orderkey AS p FROM orders WHERE o_orderkey % 500 = 0),
 b AS (SELECT *, 0 AS old FROM e UNION ALL SELECT *, 1 FROM h), d AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY old, p) AS n FROM b)
 SELECT job_id, t AS completed_at, (row_number() OVER (ORDER BY old, p) - 1)::INT AS position FROM d WHERE n = 1 ORDER BY old, p LIMIT 30
 """)
 def history_appended(spark, sf_dir):
-    """The newest 30 entries: a top-k report."""
-    k = F.col("c_custkey")
-    c = table(spark, sf_dir, "customer")
-    saved = c.where("c_custkey <= 40").select(k.alias("job_id"), (k / 2).cast("long").alias("completed_at"), k.alias("position"))
-    entry = c.where("c_custkey BETWEEN 20 AND 25").select(k.alias("job_id"), (k + 1000).alias("completed_at"), k.alias("position"))
+    """The newest 30 entries of all customers' jobs, after every 500th order came in as an entry: a top-k report."""
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    saved = table(spark, sf_dir, "customer").select(k.alias("job_id"), (k / 2).cast("long").alias("completed_at"), k.alias("position"))
+    entry = table(spark, sf_dir, "orders").where(o % 500 == 0).select(F.col("o_custkey").alias("job_id"), (o + 1000).alias("completed_at"), o.alias("position"))
     return control.append_history(saved, entry)
 
 
@@ -220,14 +219,15 @@ def first_fit_lines(spark, sf_dir):
 
 
 @query("""
-WITH q AS (SELECT conv_id AS request, CASE WHEN conv_id % 4 = 0 THEN [conv_id % 50, conv_id % 7] WHEN conv_id % 4 = 1 THEN [conv_id % 90, -5] ELSE [conv_id % 31, conv_id % 11, conv_id % 3] END AS ids FROM (SELECT DISTINCT conv_id FROM conversations)),
+WITH q AS (SELECT doc_id AS request, CASE WHEN doc_id % 4 = 0 THEN [doc_id, doc_id + 7] WHEN doc_id % 4 = 1 THEN [doc_id, -5] ELSE [doc_id + 1, doc_id, doc_id // 3] END AS ids FROM documents),
 u AS (SELECT request, unnest(ids) AS id, generate_subscripts(ids, 1) AS j FROM q), h AS (SELECT request, j, doc_id IS NOT NULL AS hit, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS m FROM u LEFT JOIN documents ON doc_id = id)
 SELECT request, CASE WHEN bool_and(hit) THEN nullif(array_to_string(list_filter(list(m ORDER BY j), lambda x: x <> ''), chr(10) || chr(10) || '---' || chr(10) || chr(10)), '') || chr(10) END AS markdown, count(*) AS parts FROM h GROUP BY request
 """)
 def requested_outputs(spark, sf_dir):
-    k = F.col("conv_id")
+    """A request for every document, together with one or two others."""
+    k = F.col("doc_id")
     ids = lambda *x: F.concat_ws(", ", *[(v if hasattr(v, "cast") else F.lit(v)).cast("string") for v in x])
-    asked = table(spark, sf_dir, "conversations").select("conv_id").distinct().select(k.alias("request"), F.when(k % 4 == 0, ids(k % 50, k % 7)).when(k % 4 == 1, ids(k % 90, -5)).otherwise(ids(k % 31, k % 11, k % 3)).alias("job_ids"))
+    asked = table(spark, sf_dir, "documents").select(k.alias("request"), F.when(k % 4 == 0, ids(k, k + 7)).when(k % 4 == 1, ids(k, -5)).otherwise(ids(k + 1, k, (k / 3).cast("long"))).alias("job_ids"))
     return assembly.merge_requested(asked, table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("job_id"), F.col("text").alias("markdown")))
 
 
@@ -244,14 +244,14 @@ def stacked_pages(spark, sf_dir):
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'corto' ELSE text END AS t, doc_id % 10 AS doc, CASE WHEN doc_id % 4 = 0 THEN ['| a |', ' '] ELSE [] END AS tb FROM documents),
+WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN regexp_replace(text, '\\S', '', 'g') WHEN 1 THEN regexp_replace(text, '[\\s\\S]*?(\\S)\\s*$', '\\1') ELSE text END AS t, doc_id % 10 AS doc, CASE WHEN doc_id % 4 = 0 THEN ['| a |', ' '] ELSE [] END AS tb FROM documents),
 l AS (SELECT doc, length({sql_plain('t')}) >= 24 AS h, len(tb) AS k, {sql_strip("array_to_string(list_filter(list_concat(CASE WHEN length(" + sql_plain('t') + ") >= 24 THEN [t] ELSE [] END, CASE WHEN length(" + sql_plain('t') + ") >= 24 AND len(tb) > 0 THEN ['## Tablas detectadas'] ELSE [] END, tb), lambda x: trim(x) <> ''), chr(10) || chr(10))")} AS page FROM d),
 s AS (SELECT doc, sum(length({sql_plain('page')}))::BIGINT AS chars, count(*) FILTER (h) AS text_pages, sum(k)::BIGINT AS tables, count(*) AS n FROM l GROUP BY doc)
 SELECT doc, chars, text_pages, tables, chars >= least(100, greatest(36, n * 18)) AND text_pages > 0 AS accepted FROM s
 """)
 def digital_acceptance(spark, sf_dir):
     d = F.col("doc_id")
-    t = F.when(d % 3 == 0, "").when(d % 3 == 1, "corto").otherwise(F.col("text"))
+    t = F.when(d % 3 == 0, F.regexp_replace("text", r"[^\s]", "")).when(d % 3 == 1, F.regexp_replace("text", r"[\s\S]*?(\S)\s*$", "$1")).otherwise(F.col("text"))
     tables_ = F.when(d % 4 == 0, F.array(F.lit("| a |"), F.lit(" "))).otherwise(F.array().cast("array<string>"))
     pages = table(spark, sf_dir, "documents").select((d % 10).alias("doc"), t.alias("text"), tables_.alias("tables"))
     return assembly.digital_acceptance(pages, "doc")
@@ -385,7 +385,7 @@ def _assembled(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n = (k / 4).cast("long")
     pages = docs.where(n % 7 != 0).select(n.alias("doc"), (k % 4).cast("int").alias("index"), F.when(k % 2 == 0, F.col("text")).alias("markdown"), F.when(k % 2 == 1, F.col("text")).alias("text"), (k % 3 == 0).alias("digital"), F.when(k % 5 == 0, True).alias("ocr_sourced"))
-    joined = docs.where((n % 7 == 0) & (k % 4 < 2)).groupBy(n.alias("doc")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n\n---\n\n").alias("markdown"))
+    joined = docs.where(n % 7 == 0).groupBy(n.alias("doc")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n\n---\n\n").alias("markdown"))
     d = F.col("doc")
     heads = docs.select(n.alias("doc")).distinct().join(joined, "doc", "left").select(
         "doc", F.when(d % 3 == 0, "digital_pdf").when(d % 3 == 1, "tesseract").otherwise("vision").alias("method"), "markdown",
@@ -397,7 +397,7 @@ def _assembled(spark, sf_dir):
 ASSEMBLED = f"""
 WITH n AS (SELECT doc_id, doc_id // 4 AS doc, text FROM documents),
 pg AS (SELECT doc_id AS pid, doc, (doc_id % 4)::INT AS i, text AS own, text AS raw, doc % 3 <> 0 AND doc_id % 3 <> 0 AND doc_id % 5 <> 0 AS hard FROM n WHERE doc % 7 <> 0
-  UNION ALL SELECT -1 - doc, doc, -1, NULL, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id), doc % 3 <> 0 FROM n WHERE doc % 7 = 0 AND doc_id % 4 < 2 GROUP BY doc),
+  UNION ALL SELECT -1 - doc, doc, -1, NULL, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id), doc % 3 <> 0 FROM n WHERE doc % 7 = 0 GROUP BY doc),
 nm AS (SELECT pid, hard, {sql_normalize('raw')} AS t FROM pg), gentle AS (SELECT pid, t FROM nm WHERE NOT hard), {Q.watermark_free('gentle', 'pid', 't')},
 ready AS (SELECT pid, true AS hard, {sql_blobs(sql_strip('t'))} AS t FROM nm WHERE hard UNION ALL SELECT pid, false, t FROM free),
 ln AS (SELECT pid, hard, generate_subscripts(ls, 1) - 1 AS line, unnest(ls) AS raw FROM (SELECT pid, hard, string_split(t, chr(10)) AS ls FROM ready)), s AS (SELECT pid, hard, line, raw, {sql_strip('raw')} AS s FROM ln), {STEPS},
@@ -438,8 +438,8 @@ def cleaned_markdown(spark, sf_dir):
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN 'EVIDENCIA CRIPTOGRÁFICA' || chr(10) || 'FIRMANTE Nombre:' || chr(10) || ' Ana' || chr(10) || 'Status: Bueno' ELSE ' ' END AS fl, lang FROM documents),
-bl AS (SELECT doc_id, u.y, u.x, {sql_strip(sub("replace(u.t, chr(160), ' ')", ('[ ' + chr(92) + 't]+', SPACE), (chr(92) + 'n{3,}', NL + ' || ' + NL)))} AS t FROM (SELECT doc_id, unnest([{{'y': (doc_id % 50)::DOUBLE, 'x': 5.0, 't': '  bloque   uno ' || lang}}, {{'y': (doc_id % 7) + 1.5, 'x': 2.0, 't': 'segundo bloque ' || doc_id}}, {{'y': 1.0, 'x': 1.0, 't': 'NOTARIA PUBLICA'}}]) AS u FROM d)),
+WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN 'EVIDENCIA CRIPTOGRÁFICA' || chr(10) || 'FIRMANTE Nombre:' || chr(10) || ' Ana' || chr(10) || 'Status: Bueno' || chr(10) || regexp_replace(text, '[^a-z\\s]', '', 'g') ELSE ' ' END AS fl, text FROM documents),
+bl AS (SELECT doc_id, u.y, u.x, {sql_strip(sub("replace(u.t, chr(160), ' ')", ('[ ' + chr(92) + 't]+', SPACE), (chr(92) + 'n{3,}', NL + ' || ' + NL)))} AS t FROM (SELECT doc_id, unnest([{{'y': (doc_id % 50)::DOUBLE, 'x': 5.0, 't': '  bloque   uno ' || text}}, {{'y': (doc_id % 7) + 1.5, 'x': 2.0, 't': 'segundo bloque ' || doc_id}}, {{'y': 1.0, 'x': 1.0, 't': 'NOTARIA PUBLICA'}}]) AS u FROM d)),
 bj AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY round_even(y / 4, 0), x, y) AS b FROM bl WHERE t <> '' AND t <> 'NOTARIA PUBLICA' GROUP BY doc_id),
 x AS (SELECT doc_id, fl, CASE WHEN length({sql_strip('fl')}) >= 24 THEN {sql_strip(sub("replace(fl, chr(160), ' ')", ('[ ' + chr(92) + 't]+', SPACE), (chr(92) + 'n{3,}', NL + ' || ' + NL)))} ELSE b END AS t FROM d JOIN bj USING (doc_id)), {Q.watermark_free('x', 'doc_id', 't')}
 SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN '### Evidencia criptográfica (resumen)' || chr(10) || '- **Firmante:** Ana' || chr(10) || '- **Estatus:** Bueno' || chr(10) || chr(10) || '> Cadena de firma, sellos de tiempo y tablas hex omitidos; solo metadatos legibles.' ELSE {Q.digital_text('t')} END AS markdown FROM free
@@ -447,10 +447,10 @@ SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN '### Evidencia criptográfica (resu
 def digital_text_layers(spark, sf_dir):
     d = F.col("doc_id")
     docs = table(spark, sf_dir, "documents")
-    flowing = F.when(d % 3 == 0, F.col("text")).when(d % 3 == 1, "EVIDENCIA CRIPTOGRÁFICA\nFIRMANTE Nombre:\n Ana\nStatus: Bueno").otherwise(" ")
+    flowing = F.when(d % 3 == 0, F.col("text")).when(d % 3 == 1, F.concat(F.lit("EVIDENCIA CRIPTOGRÁFICA\nFIRMANTE Nombre:\n Ana\nStatus: Bueno\n"), F.regexp_replace("text", r"[^a-z\s]", ""))).otherwise(" ")
     block = lambda y, x, t: F.struct(y.cast("double").alias("y"), F.lit(x).alias("x"), t.alias("text"))
     blocks = docs.select("doc_id", F.explode(F.array(
-        block(d % 50, 5.0, F.concat(F.lit("  bloque   uno "), "lang")), block(d % 7 + 1.5, 2.0, F.concat(F.lit("segundo bloque "), d.cast("string"))), block(F.lit(1), 1.0, F.lit("NOTARIA PUBLICA")))).alias("b")).select("doc_id", "b.*")
+        block(d % 50, 5.0, F.concat(F.lit("  bloque   uno "), "text")), block(d % 7 + 1.5, 2.0, F.concat(F.lit("segundo bloque "), d.cast("string"))), block(F.lit(1), 1.0, F.lit("NOTARIA PUBLICA")))).alias("b")).select("doc_id", "b.*")
     return assembly.digital_pages(docs.select("doc_id", flowing.alias("flowing")), blocks, ["doc_id"])
 
 
@@ -488,9 +488,9 @@ def sql_annotated(lines: str) -> str:
 
 
 @query(f"""
-WITH l AS (SELECT doc_id - doc_id % 2 AS page, {sql_strip('unnest(string_split(text, chr(10)))')} AS line FROM documents), b AS (SELECT page, lower(line) AS k, arg_max(line, row(length(line), line)) AS line, max(length(line)) AS score FROM l WHERE length(line) >= 2 GROUP BY page, k),
+WITH l AS (SELECT doc_id + 1 - 2 * (doc_id % 2) AS page, {sql_strip('unnest(string_split(text, chr(10)))')} AS line FROM documents), b AS (SELECT page, lower(line) AS k, arg_max(line, row(length(line), line)) AS line, max(length(line)) AS score FROM l WHERE length(line) >= 2 GROUP BY page, k),
 r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, k) AS rank FROM b), e AS (SELECT page, list(line ORDER BY rank) AS ls FROM r WHERE rank <= 24 GROUP BY page),
-p AS (SELECT doc_id, text, lower({sql_plain('text')}) AS main, string_split({sql_annotated('ls')}, chr(10)) AS fs FROM documents JOIN e ON page = doc_id),
+p AS (SELECT doc_id, text, lower({sql_plain('text')}) AS main, string_split({sql_annotated("coalesce(ls, [])")}, chr(10)) AS fs FROM documents LEFT JOIN e ON page = doc_id),
 f AS (SELECT *, list_filter(list_transform(fs, lambda y: {sql_strip('y')}), lambda x: length(x) >= 2 AND NOT (contains(main, lower(x)) OR (length(x) BETWEEN 12 AND 80 AND len(list_filter(range(1, length(x) - 10, 4), lambda i: contains(main, lower(x)[i:i + 11]))) > 0))) AS fresh FROM p),
 g AS (SELECT doc_id, text, {sql_annotated('fresh')} AS body FROM f)
 SELECT doc_id, CASE WHEN body = '' THEN text WHEN contains(lower({sql_normalize('text')}), '## firmas, sellos y anotaciones') THEN {sql_normalize('text')} ELSE {sql_strip(f"{sql_normalize('text')} || {NL} || {NL} || '## Firmas, sellos y anotaciones' || {NL} || {NL} || body")} END AS markdown FROM g
@@ -498,8 +498,8 @@ SELECT doc_id, CASE WHEN body = '' THEN text WHEN contains(lower({sql_normalize(
 def enriched_pages(spark, sf_dir):
     d = F.col("doc_id")
     docs = table(spark, sf_dir, "documents")
-    lines = docs.select((d - d % 2).alias("doc_id"), F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("score", F.length(F.regexp_replace("line", r"^\s+|\s+$", "")))
-    return candidates.enrich_pages(docs.where(d % 2 == 0), lines, "doc_id", "text")
+    lines = docs.select((d + 1 - 2 * (d % 2)).alias("doc_id"), F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("score", F.length(F.regexp_replace("line", r"^\s+|\s+$", "")))
+    return candidates.enrich_pages(docs, lines, "doc_id", "text")
 
 
 @query("""
