@@ -39,10 +39,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """What lies at path is read by this session alone, and goes when its driver ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends here, and a lost executor costs nothing before it."""
+    """Writes df to the shared folder and reads it again: lineage ends here, and a lost executor costs nothing before it. The table goes at the end of the session."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path, compression=compression)
+    drop_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import new_path, partitions, stored, table, tidy
+from foliant.llm.common import drop_at_exit, new_path, partitions, stored, table, tidy
 
 #: Payloads of fewer bytes are always written whole.
 LEAST_REVISIT = 100
@@ -249,9 +249,11 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     empty index.
     """
     spark = pages.sparkSession
-    path = path or new_path(spark, "warc")
-    write_archives(with_revisits(pages), path)
-    return merge_index(read_archives(spark, path))
+    archives = path or new_path(spark, "warc")
+    write_archives(with_revisits(pages), archives)
+    if path is None:
+        drop_at_exit(spark, archives)
+    return merge_index(read_archives(spark, archives))
 
 
 def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
