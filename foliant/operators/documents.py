@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions.text import PAGE_BREAK, compress_markdown, section_title, strip, whole
+from foliant.operators.grams import held_strings
 
 
 def ordered_texts(df: DataFrame, key: str, order: str, text: Column) -> DataFrame:
@@ -98,21 +99,22 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 def lines_not_in(lines: DataFrame, main: DataFrame, line: str, main_key: str, main_text: str, gram: int = 12, stride: int = 4, longest: int = 80) -> DataFrame:
     """Distinct lines (lower case, two characters or more) that no text of main holds, by the anti-substring rule.
 
-    A line goes if a text holds it, or, up to `longest` characters, any of its grams at every `stride`-th place.
-    Texts are indexed by their grams at every place (shorter at the end), so the candidates come from an equi-join on
-    grams, not from all pairs; lines shorter than a gram meet the grams' prefixes of their own length. Grams carry a
-    hash of their text; only texts that a long line's first gram is found in are looked at again.
+    A line goes if a text holds it, or, up to `longest` characters, any of its grams at every `stride`-th place. Long lines
+    are known by grams end to end: such as a text holds all of are looked at again in the texts that hold the rarest one.
+    A filter of the lines' grams goes to the texts, from which only what it lets through is taken: no text is exploded,
+    and none is shuffled but those that a long line is looked for in.
     """
     keys = lines.select(F.lower(strip(F.col(line))).alias("key")).where(F.length("key") >= 2).distinct()
-    texts = main.select(F.lower(F.col(main_text)).alias("t")).where("t <> ''").distinct().withColumn("tid", F.xxhash64("t"))
+    texts = main.select(F.lower(F.col(main_text)).alias("t")).where("t <> ''").withColumn("tid", F.xxhash64("t"))
     n = F.length("key")
-    probes = keys.where(n >= gram).select("key", F.explode(F.transform(
-        F.sequence(F.lit(1), F.when(n <= longest, n - gram + 1).otherwise(F.lit(1)), F.lit(stride)), lambda i: F.substr("key", i, F.lit(gram)))).alias("g"))
-    grams = texts.select("tid", F.explode(F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.substr("t", i, F.lit(gram)))).alias("g")).distinct()
-    short_hits = probes.where(F.length("key") <= longest).join(grams.select("g").distinct(), "g", "left_semi").select("key")
-    near = probes.where(F.length("key") > longest).join(grams, "g").select("key", "tid").distinct()
-    long_hits = near.join(texts, "tid").where(F.contains("t", "key")).select("key")
-    lengths = F.sequence(F.lit(2), F.lit(gram - 1))
-    pieces = grams.select("g").distinct().select(F.explode(F.transform(F.filter(lengths, lambda k: k <= F.length("g")), lambda k: F.substr("g", F.lit(1), k))).alias("key")).distinct()
-    tiny = keys.where(n < gram).join(pieces, "key", "left_semi")
-    return keys.join(short_hits.union(long_hits).union(tiny).distinct(), "key", "left_anti")
+    apart = F.when(n <= longest, F.lit(stride)).otherwise(F.lit(gram))
+    starts = F.when(n < gram, F.array(F.lit(1))).otherwise(F.array_distinct(F.concat(F.sequence(F.lit(1), n - gram + 1, apart), F.when(n > longest, F.array(n - gram + 1)).otherwise(F.array().cast("array<int>")))))
+    probes = keys.select("key", F.explode(F.transform(starts, lambda i: F.substr("key", i, F.lit(gram)))).alias("g"))
+    known = probes.select("g").distinct()
+    held = held_strings(texts, "tid", "t", known, "g").join(known, "g", "left_semi").distinct()
+    counted = held.groupBy("g").agg(F.count("*").alias("texts"))
+    short = probes.where(n <= longest).join(counted, "g", "left_semi").select("key")
+    long = probes.where(n > longest).join(counted, "g", "left").groupBy("key").agg(F.min_by("g", "texts").alias("g"), F.bool_and(F.col("texts").isNotNull()).alias("all"))
+    near = long.where("all").select("key", "g").join(held, "g").select("key", "tid")
+    found = near.join(texts, "tid").where(F.contains("t", "key")).select("key")
+    return keys.join(short.union(found).distinct(), "key", "left_anti")

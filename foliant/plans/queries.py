@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from foliant.functions import predicates as P
 from foliant.functions import scores as S
 from foliant.functions import text as T
 from foliant.operators import candidates, documents, jobs, layout, ranges
-from foliant.sources.folders import shared_dir
+from foliant.sources.folders import session_folder
 from foliant.streaming import jobs as streams
 
 QUERIES: dict = {}
@@ -578,7 +577,7 @@ def throttled_progress(spark, sf_dir):
 def _stream(spark, sf_dir, build, mode):
     """What a stream over the events table gives when it has read all there is."""
     events = table(spark, sf_dir, "events")
-    name = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    name = session_folder(spark, "stream")
     source = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet" if os.path.isdir(f"{sf_dir}/events.parquet") else f"{sf_dir}/events.parquet*")
     out = build(source.withColumn("ts", F.col("ts").cast("timestamp")))
     sink = out.writeStream.outputMode(mode).option("checkpointLocation", f"{name}/state").trigger(availableNow=True)

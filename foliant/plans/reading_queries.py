@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from foliant.functions import chatter
@@ -11,11 +9,11 @@ from foliant.functions.predicates import runs_async
 from foliant.operators import candidates, documents, jobs
 from foliant.plans.queries import QUALITY_SQL, STATES, STATUS, events_of, query, sql_normalize, sql_plain, sql_strip, table
 from foliant.sources import readers, state_log, writers
-from foliant.sources.folders import shared_dir
+from foliant.sources.folders import session_folder
 
 
 def _folder(spark, name):
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{session_folder(spark, name)}/{name}"
 
 
 # the readings of a page, by mode

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import functions as F
 
 from foliant.plans.control_queries import KEPT
 from foliant.plans.queries import STATES, STATUS, query, table
-from foliant.sources.folders import shared_dir
+from foliant.sources.folders import session_folder
 from foliant.streaming import circuits, progress, queue
 
 
@@ -27,7 +26,7 @@ def _events(spark, sf_dir, folder, beat=False):
 
 def _folder(spark):
     queue.rocksdb(spark)
-    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    return session_folder(spark, "stream")
 
 
 def _all(spark, out, folder):

@@ -356,3 +356,27 @@ def test_lines_that_are_no_states_are_kept(spark, tmp_path):
     spark.createDataFrame([(x,) for x in lines], "value string").write.text(f"{tmp_path}/lines")
     got = {(r["job_id"], r["raw"], r["reason"]) for r in readers.rescued_states(spark, f"{tmp_path}/lines").collect()}
     assert got == {("a", None, None), (None, lines[1], "malformed"), (None, lines[2], "no object"), (None, lines[3], "no object"), (None, lines[4], "no job_id"), (None, lines[6], "wrong type")}
+
+
+def test_lines_that_texts_hold(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choices("abcé ", k=n))
+    texts = [word(rng.randrange(5, 600)) for _ in range(12)] + ["", None, "zz" * 700]
+    lines = [word(rng.choice([1, 2, 3, 5, 11, 12, 13, 40, 90])) for _ in range(150)] + [None, "z" * 300, "ZZ", "z" * 1500]
+    for _ in range(60):
+        t = rng.choice(texts[:12])
+        n = rng.choice([2, 8, 12, 30, 81, 100, 200])
+        k = rng.randrange(max(1, len(t) - n))
+        lines += [t[k : k + n].upper(), t[k : k + n] + "x", "x" + t[k : k + n]]
+    keys = {x for x in ((line or "").strip().lower() for line in lines) if len(x) >= 2}
+    whole = [(t or "").lower() for t in texts]
+
+    def held(k):
+        grams = [k[i : i + 12] for i in range(0, len(k) - 11, 4)] if 12 <= len(k) <= 80 else []
+        return any(g in t for g in [k, *grams] for t in whole)
+
+    main = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    out = documents.lines_not_in(spark.createDataFrame([(x,) for x in lines], "line string").repartition(4), main, "line", "i", "t")
+    assert {r["key"] for r in out.collect()} == {k for k in keys if not held(k)}
+    assert documents.lines_not_in(spark.createDataFrame([("ab",)], "line string"), main.limit(0), "line", "i", "t").count() == 1
+    assert documents.lines_not_in(spark.createDataFrame([], "line string"), main, "line", "i", "t").count() == 0
