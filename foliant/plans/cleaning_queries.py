@@ -182,7 +182,7 @@ def structured_text(spark, sf_dir):
 
 TALK = "CASE doc_id % 5 WHEN 0 THEN 'Aquí está el texto:' || chr(10) || '---' || chr(10) WHEN 1 THEN 'He analizado la imagen' || chr(13) || chr(10) || chr(10) ELSE '' END"
 AFTER = "CASE doc_id % 3 WHEN 0 THEN chr(10) || ' ¿En qué más puedo ayudarte?' || chr(10) || 'x' WHEN 1 THEN chr(10) || 'Transcripción del documento' ELSE '' END"
-META_SQL, REFUSAL_SQL = "(?i)" + "|".join(K.META).replace("'", "''"), "(?i)" + "|".join(K.REFUSALS).replace("'", "''")
+META_SQL, REFUSAL_SQL = (x.replace("(?iu)", "(?i)").replace("'", "''") for x in (K.META, K.REFUSALS))
 NOTHING = "''"
 
 
