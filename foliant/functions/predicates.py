@@ -202,5 +202,5 @@ def is_quota_error(status: Column, body: Column) -> Column:
     return F.coalesce(status.isin(402, 429), F.lit(False)) | hinted
 
 
-def runs_async(size_bytes: Column, pages: Column, is_pdf: Column, heavy_mb: int = 15, heavy_pages: int = 35) -> Column:
+def runs_async(size_bytes: Column, pages: Column, is_pdf: Column, heavy_mb: float = 15, heavy_pages: int = 35) -> Column:
     return (size_bytes >= heavy_mb * 1024 * 1024) | (is_pdf & (pages >= heavy_pages))

@@ -112,7 +112,7 @@ def ingested_files(spark, sf_dir):
     for k, suffix in enumerate(("pdf", "png", "jpg", "zip")):
         pages.where(F.col("page_id") % 4 == k).select(F.base64(F.encode("html", "UTF-8")).alias("x")).select(F.regexp_replace("x", r"\s", "")).write.mode("append").option("maxRecordsPerFile", 1).option("extension", suffix).csv(folder)
     files = readers.documents(spark, folder, max_bytes=LIMIT)
-    later = runs_async(F.col("length") * (15 * 1024 * 1024 // 1000 + 1), F.lit(1), F.lit(True))
+    later = runs_async(F.col("length"), F.lit(1), F.col("suffix") == "pdf", heavy_mb=1000 / (1 << 20))
     return files.groupBy("suffix").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.count_if(later).alias("background"))
 
 

@@ -8,8 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.functions.predicates import runs_async
-
 # What can be ingested.
 SUFFIXES = ("pdf", "png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp")
 MAX_BYTES = 300 * 1024 * 1024
@@ -30,11 +28,6 @@ def documents(spark: SparkSession, folder: str, streaming: bool = False, max_byt
     return files.withColumns({"file_id": file_id(), "suffix": suffix}).where(F.col("suffix").isin(*suffixes) & (F.col("length") <= max_bytes))
 
 
-def ingested(files: DataFrame, pages: str, size: str, forced: str):
-    """files with background: whether one is read as a job (large or long files, or where it is forced) or at once."""
-    return files.withColumn("background", runs_async(F.col(size), F.col(pages), F.col(forced)))
-
-
 def job_states(spark: SparkSession, folder: str) -> DataFrame:
     """Job states from JSON files; malformed ones and such as are no objects are left out."""
     states = spark.read.schema(JOB_SCHEMA).option("mode", "PERMISSIVE").option("multiLine", True).json(folder)
