@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -54,16 +55,22 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run for mapInArrow or an iterator UDF, with free memory given back at the end of a partition: Spark keeps its
-    Python workers for later stages, whose own need comes on top of what they hold."""
+    """run for mapInArrow or an iterator UDF, with free memory given back at both ends of a partition: Spark keeps its
+    Python workers for later stages, whose own need comes on top of what they hold, and what the last batch of a
+    partition held is free only when the next one begins."""
 
-    def wrapped(batches: Iterator) -> Iterator:
-        yield from run(batches)
+    def give_back() -> None:
+        gc.collect()
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
         if trim is not None:
             trim(0)
 
+    def wrapped(batches: Iterator) -> Iterator:
+        give_back()
+        yield from run(batches)
+        give_back()
+
     return wrapped
 
 

@@ -34,6 +34,9 @@ RATES, ROUNDS, NEAR = (0.02, 0.05, 0.1, 0.2), 400, 0.1
 #: counts as covered.
 SHARE, SETTLED = 0.3, 1e-3
 
+#: Bytes of text that are tokenized at once, at least one text.
+CHUNK_BYTES = 4 << 20
+
 #: Columns that the numbering of pieces uses.
 INNER = ("_row", "_n", "_bucket", "_rank", "_start", "_rows")
 
@@ -220,7 +223,7 @@ def tokenized_pieces(docs: DataFrame, paths: tuple[str, str, str], capacity: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(*paths)
         for batch in batches:
-            for lo, texts in text_chunks(batch.column(1)):
+            for lo, texts in text_chunks(batch.column(1), CHUNK_BYTES):
                 rows, piece, start, length, crc, parts = [], [], [], [], [], []
                 for i, ids in enumerate(tok.ids(texts)):
                     ids += end

@@ -59,6 +59,11 @@ class PrefixHashes:
         with np.errstate(over="ignore"):
             np.cumsum((data.astype(np.uint64) + np.uint64(1)) * PrefixHashes.tables[0][: n - 1], out=self.sums[1:])
 
+    @staticmethod
+    def forget() -> None:
+        """Frees the tables of powers, which a worker would keep for later stages."""
+        PrefixHashes.tables = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
     def windows(self, size: int) -> np.ndarray:
         """Hashes of all substrings of that size, mixed."""
         h = (self.sums[size:] - self.sums[:-size]) * self.back[: len(self.sums) - size]
@@ -141,6 +146,7 @@ def anchor_counts(texts: DataFrame) -> DataFrame:
             for data, ends, _, _ in segments(batch.column(0)):
                 h, n = np.unique(anchors(data, ends)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], names=["h", "n"])
+        PrefixHashes.forget()
 
     return texts.select(F.col("text").cast("binary")).mapInArrow(tidy(run), "h long, n int")
 
@@ -209,6 +215,7 @@ def occurrences(docs: DataFrame, marks: bytes, bits: int) -> DataFrame:
                 cx = pa.array([context_digest(raw[a:b], d) for a, b, d in zip(lo[k].tolist(), end[k].tolist(), lead[k].tolist())], pa.binary())
                 columns = rk[k], at[k], (end - lo)[k].astype(np.int32), h[k].view(np.int64), cx, own[k].view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[k])), *map(pa.array, columns)], names=names)
+        PrefixHashes.forget()
 
     return keyed(docs).mapInArrow(tidy(run), f"doc_id {kind}, rk long, at long, size int, h long, cx binary, own long")
 
@@ -226,6 +233,7 @@ def contexts(docs: DataFrame, marks: bytes, bits: int) -> DataFrame:
                 cx = pa.array(list(map(context_digest, ctx, d)), pa.binary())
                 columns = pa.array(own[k].view(np.int64)), pa.array(h[k].view(np.int64)), pa.array(d, pa.int32()), cx, pa.array(ctx, pa.binary())
                 yield pa.RecordBatch.from_arrays(list(columns), names=["own", "h", "lead", "cx", "ctx"])
+        PrefixHashes.forget()
 
     return keyed(docs).mapInArrow(tidy(run), "own long, h long, lead int, cx binary, ctx binary")
 
@@ -382,6 +390,7 @@ def marked_contexts(found: DataFrame) -> DataFrame:
                 held, size = t.slice(lo).to_batches(), 0
         if held:
             yield from work(pa.Table.from_batches(held))
+        PrefixHashes.forget()
 
     dealt = found.repartition(partitions(found.sparkSession), "h").sortWithinPartitions("h")
     return dealt.select("h", "lead", "ctx", "cx").mapInArrow(tidy(run), "h long, cx binary, a int, b int")
