@@ -54,7 +54,10 @@ class _Files:
         out.write(bytearray(text.encode()))
         out.close()
         self.fs.mkdirs(self.path(name).getParent())
-        return not self.exists(name) and self.fs.rename(self.path(draft), self.path(name))
+        if not self.exists(name) and self.fs.rename(self.path(draft), self.path(name)):
+            return True
+        self.drop(draft)
+        return False
 
     def read(self, name: str) -> str:
         stream = self.fs.open(self.path(name))

@@ -48,7 +48,7 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        held = sorted(tuple(x) for x in self.held.get())
+        held = sorted((tuple(x) for x in self.held.get()), key=lambda x: (x[0], x[1] is not None, x[1] or 0))
         due, later = [x for x in held if x[0] // 1000 <= now], [x for x in held if x[0] // 1000 > now]
         if due:
             self.held.clear()
