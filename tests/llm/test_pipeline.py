@@ -161,3 +161,24 @@ def test_packed_pieces_hold_the_last_texts(stages):
         for k, (s, n) in enumerate(packing.cut(len(ids))):
             want[r["doc_id"], k, zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes())] += 1
     assert Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in pieces.collect()) == want
+
+
+def test_no_class_of_the_tables_is_lost(spark):
+    """The stage's classes against a prefix filter: sets of similarity 0.8 share one of their rarest fifth of shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = simhash.similar_classes(docs, corpus_pipeline.SHINGLE, corpus_pipeline.SIMILARITY, corpus_pipeline.LIMIT, corpus_pipeline.REACH)
+    got = {r["doc_id"]: r["component_id"] for r in found.collect()}
+    sets = {r["doc_id"]: simhash.shingle_set(r["text"] or "", corpus_pipeline.SHINGLE) for r in docs.collect()}
+    times = Counter(x for s in sets.values() for x in s.tolist())
+    posted, order = {}, sorted(sets)
+    forest, place = simhash.Forest(len(order)), {i: k for k, i in enumerate(order)}
+    for i in order:
+        n = len(sets[i])
+        prefix = sorted(sets[i].tolist(), key=lambda x: (times[x], x))[: n - int(np.ceil(0.8 * n)) + 1] if n else ["none"]
+        for j in sorted({j for x in prefix for j in posted.get(x, ())}):
+            a, b = sets[i], sets[j]
+            if len(a) == len(b) == 0 or len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+                forest.link(np.array([place[i]]), np.array([place[j]]))
+        for x in prefix:
+            posted.setdefault(x, []).append(i)
+    assert got == {i: order[forest.label[place[i]]] for i in order}
