@@ -20,6 +20,8 @@ ASK, LEAVE, YIELD = "ask", "leave", "yield"
 RUNNING_MINUTES, WAITING_MINUTES, TTL_HOURS, STUCK_SECONDS = 8, 180, 48, 20
 # Fixed value: slots of a queue, at most.
 MOST_SLOTS = 3
+#: Events that go to the state at once.
+APPENDED = 1000
 
 
 def rocksdb(spark: SparkSession) -> None:
@@ -37,11 +39,17 @@ class InOrder(StatefulProcessor):
         self.held = handle.getListState("held", f"_us long, row long, {self.fields}")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        now, soonest = timerValues.getCurrentWatermarkInMs(), None
+        now, soonest, new = timerValues.getCurrentWatermarkInMs(), None, []
+        names = [f.split()[0] for f in self.fields.split(", ")]
         for r in rows if key[0] is not None else ():  # heartbeats hold nothing
             if r["_us"] // 1000 > now or now <= 0:  # what comes later than `late` is left out
-                self.held.appendValue((r["_us"], r["row"], *(r[f.split()[0]] for f in self.fields.split(", "))))
+                new.append((r["_us"], r["row"], *(r[n] for n in names)))
                 soonest = r["_us"] if soonest is None else min(soonest, r["_us"])
+            if len(new) == APPENDED:  # a call for each event takes longer than all else
+                self.held.appendList(new)
+                new = []
+        if new:
+            self.held.appendList(new)
         if soonest is not None:
             self.handle.registerTimer(soonest // 1000)
         return iter(())

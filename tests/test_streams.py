@@ -138,3 +138,30 @@ def test_circuits_over_batches(spark, tmp_path):
     out = streamed(spark, folder, [rows[:100], rows[100:], [(None, at(100_000), None, None)]], schema, build)
     assert sorted((r["row"], r["disabled"]) for r in out) == sorted((r["row"], r["disabled"]) for r in whole.collect())
     assert 0 < sum(r["disabled"] for r in out) < len(out)
+
+
+def test_held_events_go_to_the_state_in_few_calls():
+    class State:
+        calls, rows = 0, []
+
+        def appendList(self, rows):
+            self.calls, self.rows = self.calls + 1, self.rows + rows
+
+    class Handle:
+        timers = []
+
+        def getListState(self, name, schema):
+            return State()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 5
+
+    slots = queue.Slots()
+    slots.init(Handle())
+    rows = [{"_us": 1000 * k, "row": k, "job": k, "command": queue.ASK, "slots": 1} for k in range(2500)]
+    assert list(slots.handleInputRows((1,), iter(rows), Times())) == []
+    assert [r[1] for r in slots.held.rows] == list(range(6, 2500)) and slots.held.calls == 3 and slots.handle.timers == [6]
