@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliant.functions.text import WORD, compress_markdown, normalize_cell, strip, strip_markdown_syntax, whole
+from foliant.functions.text import WORD, compress_markdown, count_chars, count_words, normalize_cell, once, strip, strip_markdown_syntax, whole
 
 # Fixed values.
 QUALITY_CHARS = r"[a-zA-ZáéíóúÁÉÍÓÚñÑüÜ0-9\s,.;:!?()\"'\-/%$#@&]"
@@ -31,17 +31,18 @@ def ratio(part: Column, total: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(part / total)
 
 
-# The scores below keep to plain functions of one expression, without branches or lambdas around it, so that generated
-# code works out the rewritten text once per row.
-
-
 def text_quality_score(text: Column) -> Column:
     """Of stripped Markdown: share of useful characters, length, words and lines; 0 to 165."""
-    plain = strip_markdown_syntax(text)
+    return once(strip_markdown_syntax(text), plain_quality_score)
+
+
+def plain_quality_score(plain: Column) -> Column:
+    """text_quality_score of a text that is stripped already. Columns of their own, or `once`, keep it from being stripped
+    for each part of the score, also inside branches, which generated code does not look into."""
     length = F.length(plain)
-    useful = F.regexp_count(plain, F.lit(QUALITY_CHARS)) / F.greatest(length, F.lit(1)) * 55
-    words = F.least(F.regexp_count(plain, F.lit(WORD)), F.lit(400)) / 10
-    lines = F.least(F.regexp_count(plain, F.lit(r"[^\n]*\S[^\n]*")), F.lit(80)) / 4
+    useful = count_chars(plain, QUALITY_CHARS) / F.greatest(length, F.lit(1)) * 55
+    words = F.least(count_words(plain), F.lit(400)) / 10
+    lines = F.least((plain != "").cast("int") + F.regexp_count(plain, F.lit(r"\n\s*+")), F.lit(80)) / 4
     return useful + F.least(length, F.lit(3000)) / 60 + words + lines
 
 
@@ -67,9 +68,8 @@ def word_accent_ratio(text: Column) -> Column:
 
 
 def default_quality_score(text: Column) -> Column:
-    plain = strip(F.regexp_replace(F.regexp_replace(whole(text), r"[#*|_>`\[\]()]", " "), r"\s+", " "))
-    words = F.least(F.regexp_count(plain, F.lit(WORD)), F.lit(400)) / 10
-    return F.least(F.length(plain), F.lit(3000)) / 60 + words + word_accent_ratio(plain) * 20
+    plain = strip(F.regexp_replace(whole(text), r"[#*|_>`\[\]()\s]++", " "))
+    return once(plain, lambda p: F.least(F.length(p), F.lit(3000)) / 60 + F.least(count_words(p), F.lit(400)) / 10 + word_accent_ratio(p) * 20)
 
 
 def base64_char_ratio(text: Column) -> Column:

@@ -15,7 +15,7 @@ WORD = r"[\p{L}\p{N}_]+"
 NORMALIZE_STEPS = [("\r\n", "\n"), ("\r", "\n"), ("\f", "\n\n---\n\n"), (r"\n{3,}", "\n\n")]
 STRIP_STEPS = [
     (r"(?md)^#{1,6}\s+", ""), (r"(?md)^\s*[-*]\s+", ""), (r"(?md)^\s*\d+\.\s+", ""),
-    (r"(?md)^\s*\|?(?:\s*:?-+:?\s*\|)++\s*$", ""), (r"\|", " "), (r"\*\*", ""), ("__", ""), (r"\*", ""), ("_", ""),
+    (r"(?md)^\s*\|?(?:\s*:?-+:?\s*\|)++\s*$", ""), (r"\|", " "), ("[*_]++", ""),
     (r"\[(.*?)\]\((.*?)\)", "$1"), (r"\n\s*---\s*\n", "\n\n"), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n"),
 ]
 
@@ -31,6 +31,17 @@ def once(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def count_chars(text: Column, kind: str) -> Column:
+    """Characters of a class ([...]), without an array of them."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{kind}++", ""))
+
+
+def count_words(text: Column) -> Column:
+    """Matches of WORD, without an array of them: each, with what comes before it, to an x, and none is in what follows."""
+    marked = F.regexp_replace(text, rf"[^\p{{L}}\p{{N}}_]*+{WORD}+", "x")
+    return once(marked, lambda m: F.length(m) - F.length(F.replace(m, F.lit("x"), F.lit(""))))
+
+
 def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

@@ -93,7 +93,9 @@ def read_by_mode(candidates: DataFrame, pages: DataFrame, page: str = "page_id",
     good = (F.col("q.score") >= GOOD_SCORE) & (size >= F.when(F.col("q._plan") == "range", LEAST_CHARS).otherwise(2 * LEAST_CHARS))
     quick = quick.withColumn("early", good | ((F.col("q._plan") == "bulk") & (F.col("q.text") != "")))
     left = asked.where("_step = 1").join(quick.where("early").select(page), page, "left_anti")
-    best = scored(left).where("score > 0").groupBy(page).agg(F.max_by(fields, F.struct("score", -F.col("_ordinal"))).alias("f"))
+    # a filter on the score would work it out a second time, before the rows
+    order = F.when(F.col("score") > 0, F.struct("score", -F.col("_ordinal")))
+    best = scored(left).groupBy(page).agg(F.max_by(fields, order).alias("f"))
     joined = known.join(quick, page, "left").join(best, page, "left").withColumn("early", F.coalesce("early", F.lit(False)))
     zero = F.lit(0.0)
     better = F.coalesce(F.col("f.score"), zero) >= F.coalesce(F.col("q.score"), zero)

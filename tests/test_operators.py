@@ -380,3 +380,16 @@ def test_lines_that_texts_hold(spark):
     assert {r["key"] for r in out.collect()} == {k for k in keys if not held(k)}
     assert documents.lines_not_in(spark.createDataFrame([("ab",)], "line string"), main.limit(0), "line", "i", "t").count() == 1
     assert documents.lines_not_in(spark.createDataFrame([], "line string"), main, "line", "i", "t").count() == 0
+
+
+def test_counts_without_arrays_and_one_stripping_in_a_branch(spark):
+    texts = ["", "x", "xx xöx_1\n\n x", "🙂a🙂", "ünï² ١ x", " \n", "a\n \t\nb\x0bc", "**_x_** [l](u)"]
+    t = spark.createDataFrame([(x,) for x in texts], "t string").select("t", T.strip(F.col("t")).alias("p"))
+    kind = S.QUALITY_CHARS
+    same = t.select(
+        T.count_chars(F.col("t"), kind) == F.regexp_count("t", F.lit(kind)), T.count_words(F.col("t")) == F.regexp_count("t", F.lit(T.WORD)),
+        (F.col("p") != "").cast("int") + F.regexp_count("p", F.lit(r"\n\s*+")) == F.regexp_count("p", F.lit(r"[^\n]*\S[^\n]*")),
+    )
+    assert all(all(r) for r in same.collect())
+    plan = t.select(F.when(F.col("t") == "", 0.0).otherwise(S.text_quality_score(F.col("t"))).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("{2,}") == 1
