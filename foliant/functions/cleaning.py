@@ -185,12 +185,18 @@ def is_garbage_line(line: Column, rest: Column | None = None) -> Column:
 def strip_watermarks(text: Column) -> Column:
     """Lines without stamps: whole stamp lines go; dates, serials and stamped runs of capitals go from the others."""
 
+    runs = r"(?<![\p{L}\p{N}_])[A-ZÁÉÍÓÚÑ]{2,}(?:\s+[A-ZÁÉÍÓÚÑ]{2,}){1,4}(?![\p{L}\p{N}_])"
+
+    def row(s: Column) -> Column:
+        # few lines have a date, a serial or two words of capitals: a plain test tells, and the others stay as they are
+        dated = [(rf"(^|{EDGE})\d{{2}}/\d{{2}}/\d{{2}}\s+\d{{2}}:\d{{2}}:\d{{2}}($|{EDGE})", "$1 $2"), (rf"(^|{EDGE})(?:\d{{2}}\.){{6,}}\d{{2,}}(?:\.\d{{2,}}+(?=$|{EDGE}))*+($|{EDGE})", "$1 $2")]
+        numbered = F.when(s.rlike(r"\d{2}[/.]\d{2}"), rewrite(s, dated)).otherwise(s)
+        told = once(numbered, lambda r: F.when(r.rlike(r"[A-ZÁÉÍÓÚÑ]{2}\s+[A-ZÁÉÍÓÚÑ]{2}"), replace_each(r, runs, lambda x: F.when(is_stamp_line(x), "").otherwise(x))).otherwise(r))
+        return strip(F.regexp_replace(told, r"\s{2,}", " "))
+
     def line(raw: Column) -> Column:
-        s = strip(raw)
-        row = rewrite(s, [(rf"(^|{EDGE})\d{{2}}/\d{{2}}/\d{{2}}\s+\d{{2}}:\d{{2}}:\d{{2}}($|{EDGE})", "$1 $2"), (rf"(^|{EDGE})(?:\d{{2}}\.){{6,}}\d{{2,}}(?:\.\d{{2,}}+(?=$|{EDGE}))*+($|{EDGE})", "$1 $2")])
-        row = replace_each(row, r"(?<![\p{L}\p{N}_])[A-ZÁÉÍÓÚÑ]{2,}(?:\s+[A-ZÁÉÍÓÚÑ]{2,}){1,4}(?![\p{L}\p{N}_])", lambda x: F.when(is_stamp_line(x), "").otherwise(x))
-        row = strip(F.regexp_replace(row, r"\s{2,}", " "))
-        return F.when(s == "", "").when(is_stamp_line(s) | (row == ""), F.lit(None)).otherwise(row)
+        kept = lambda s: once(row(s), lambda r: F.when(r != "", r))
+        return once(strip(raw), lambda s: F.when(s == "", "").when(is_stamp_line(s), None).otherwise(kept(s)))
 
     lines = F.filter(F.transform(F.split(F.regexp_replace(whole(text), "\r\n", "\n"), "\n", -1), line), lambda x: x.isNotNull())
     return strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))

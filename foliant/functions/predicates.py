@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliant.functions.scores import EDGE, HEADER_HINTS, PAYROLL_KEYS, bounded, token_vowel_ratio
-from foliant.functions.text import WORD, normalize_whitespace, strip, strip_markdown_syntax, whole
+from foliant.functions.text import WORD, normalize_whitespace, once, strip, strip_markdown_syntax, whole
 
 # Patterns of stamp and heading lines.
 STAMP_DATETIME = rf"(?:^|{EDGE})\d{{2}}/\d{{2}}/\d{{2}}\s+\d{{2}}:\d{{2}}:\d{{2}}(?:$|{EDGE})"
@@ -64,11 +64,16 @@ def tokens(line: Column) -> Column:
 
 def is_stamp_line(line: Column) -> Column:
     """Stamps of dates, serials and hexadecimal chains, and two to five words of capitals without connectors."""
-    s = strip(whole(line))
+    return once(strip(whole(line)), _is_stamp)
+
+
+def _is_stamp(s: Column) -> Column:
     connected = F.exists(F.array(*map(F.lit, (" DE ", " DEL ", " LA ", " EL ", " Y "))), lambda t: s.contains(t))
-    capitals = capitals_only(s) & F.size(tokens(s)).between(2, 5) & (F.length(s) < 56) & ~s.rlike(LOWER) & ~connected
-    stamped = (s.rlike(STAMP_DATETIME) & (F.length(s) < 40)) | (s.rlike(DOTTED_SERIAL) & (F.length(s) < 100)) | s.rlike(HEX_CHAIN)
-    return (s != "") & ~s.rlike("(?iu)" + LEGAL_LINE) & (stamped | capitals)
+    # short lines of capitals alone: the length and small letters tell of most lines before anything is rewritten
+    capitals = (F.length(s) < 56) & ~s.rlike(LOWER) & capitals_only(s) & F.size(tokens(s)).between(2, 5) & ~connected
+    dated = (F.length(s) < 40) & s.rlike(STAMP_DATETIME)
+    serial = (F.length(s) < 100) & s.rlike(DOTTED_SERIAL)
+    return (s != "") & (capitals | dated | serial | s.rlike(HEX_CHAIN)) & ~s.rlike("(?iu)" + LEGAL_LINE)
 
 
 def is_heading_line(line: Column) -> Column:

@@ -393,3 +393,11 @@ def test_counts_without_arrays_and_one_stripping_in_a_branch(spark):
     assert all(all(r) for r in same.collect())
     plan = t.select(F.when(F.col("t") == "", 0.0).otherwise(S.text_quality_score(F.col("t"))).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("{2,}") == 1
+
+
+def test_watermarks_work_a_line_out_once(spark):
+    t = spark.createDataFrame([("a",)], "t string")
+    plan = t.select(C.strip_watermarks(F.col("t")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\s{2,}") == 1
+    texts = ["Texto largo que sigue y sigue sin final 01/02/20 10:11:12 JUAN PEREZ fin", "palabra " * 13 + "  x  20.30.40.50.60.70.80.90 y", "JUAN PEREZ\n\n\n\nab  c", "de de de de de de de de de de de de de", "TRIBUNAL DE LO CIVIL", None]
+    assert one(spark, texts, C.strip_watermarks) == ["Texto largo que sigue y sigue sin final fin", "palabra " * 13 + "x y", "ab c", "", "TRIBUNAL DE LO CIVIL", ""]
