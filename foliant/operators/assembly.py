@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from foliant.functions.cleaning import normalize_digital_text, summarize_evidence
 from foliant.functions.predicates import is_crypto_evidence, is_stamp_line, is_vision_source, source_providers
-from foliant.functions.scores import minimum_pdf_text_chars, text_quality_score
+from foliant.functions.scores import minimum_pdf_text_chars, plain_quality_score, text_quality_score
 from foliant.functions.text import PAGE_BREAK, compress_markdown, normalize_markdown, normalize_whitespace, strip, strip_markdown_syntax, whole
 from foliant.operators.cleaned import sanitized
 from foliant.operators.documents import keep_sections, split_sections
@@ -114,24 +114,27 @@ def accepted_reading(readings: DataFrame, page: str = "page_id") -> DataFrame:
 def settled_pages(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     """pages (key, index, markdown, source, local) with final (Markdown), fell_back and providers (of the pages that a hosted
     reading settled): weak readings give way to local ones that are better by more than 8."""
-    score = text_quality_score(F.col("markdown"))
-    weak = (score < 28) | (F.length(strip_markdown_syntax(F.col("markdown"))) < LEAST_PAGE_CHARS)
-    back = weak & (text_quality_score(F.col("local")) > score + 8)
+    staged = pages.withColumn("_p", strip_markdown_syntax(F.col("markdown")))
+    staged = staged.withColumns({"_score": plain_quality_score(F.col("_p")), "_chars": F.length("_p")}).withColumn("_weak", (F.col("_score") < 28) | (F.col("_chars") < LEAST_PAGE_CHARS))
+    staged = staged.withColumn("_back", F.when(F.col("_weak"), text_quality_score(F.col("local")) > F.col("_score") + 8).otherwise(False))
     none = F.array().cast("array<string>")
-    used = F.when(~weak & (whole(F.col("source")) != "") & is_vision_source(F.col("source")), source_providers(F.col("source"))).otherwise(none)
-    return pages.withColumns({"final": F.when(back, F.col("local")).otherwise(F.col("markdown")), "fell_back": back, "providers": used})
+    used = F.when(~F.col("_weak") & (whole(F.col("source")) != "") & is_vision_source(F.col("source")), source_providers(F.col("source"))).otherwise(none)
+    return staged.withColumns({"final": F.when(F.col("_back"), F.col("local")).otherwise(F.col("markdown")), "fell_back": F.col("_back"), "providers": used}).drop("_p", "_score", "_chars", "_weak", "_back")
 
 
 def provider_usage(pages: DataFrame, key: str = "doc_id", parallel: bool = False) -> DataFrame:
     """Documents of settled pages: key, pages, fallbacks, method: the provider of most pages (of equal ones the one that
     came first), 'parallel' where several are asked at once, or 'vision' without any."""
-    settled = settled_pages(pages, key).where("final <> ''")
-    totals = settled.groupBy(key).agg(F.count("*").alias("pages"), F.count_if("fell_back").alias("fallbacks"))
-    one = settled.select(key, "index", F.posexplode("providers").alias("at", "provider"))
-    counts = one.groupBy(key, "provider").agg(F.count("*").alias("n"), F.min(F.struct("index", "at")).alias("first"))
-    order = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "first"))
-    top = counts.withColumn("_r", order).where("_r = 1").select(key, F.lit("parallel").alias("method") if parallel else F.col("provider").alias("method"))
-    return totals.join(top, key, "left").select(key, "pages", "fallbacks", F.coalesce("method", F.lit("vision")).alias("method"))
+    # one pass over the pages, each once for each provider or alone; a filter on `final` would score the texts again before it
+    full = settled_pages(pages, key).select(key, "index", (F.col("final") != "").alias("_full"), "fell_back", F.posexplode_outer("providers").alias("at", "provider"))
+    once_ = F.col("_full") & (F.coalesce("at", F.lit(0)) == 0)
+    counts = full.groupBy(key, "provider").agg(
+        F.count_if("_full").alias("n"), F.min(F.when(F.col("_full"), F.struct("index", "at"))).alias("first"), F.count_if(once_).alias("_pages"), F.count_if(once_ & F.col("fell_back")).alias("_back"),
+    )
+    label = F.lit("parallel") if parallel else F.col("provider")
+    best = F.min_by(label, F.when(F.col("provider").isNotNull() & (F.col("n") > 0), F.struct(-F.col("n"), "first")))
+    totals = counts.groupBy(key).agg(F.sum("_pages").alias("pages"), F.sum("_back").alias("fallbacks"), best.alias("method")).where("pages > 0")
+    return totals.select(key, "pages", "fallbacks", F.coalesce("method", F.lit("vision")).alias("method"))
 
 
 def analyze(docs: DataFrame, key: str, text: str) -> DataFrame:
