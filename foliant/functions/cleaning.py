@@ -87,8 +87,7 @@ def remove_base64(text: Column, strict_reference: bool = True) -> Column:
 
 def strip_inline_noise(line: Column) -> Column:
     """A line without tax seals, serials, identifiers, encoded runs and pipe runs."""
-    folded = F.lower(F.upper(whole(line)))
-    sealed = F.exists(F.array(*map(F.lit, SEAL_WORDS)), lambda w: folded.contains(w))  # few lines need the ten patterns
+    sealed = once(F.lower(F.upper(whole(line))), lambda f: F.exists(F.array(*map(F.lit, SEAL_WORDS)), lambda w: f.contains(w)))  # few lines need the ten patterns
     t = F.when(sealed, rewrite(whole(line), [(f"(?iu){p}.*", "") for p in SEAL_TAILS])).otherwise(whole(line))
     t = rewrite(t, [(f"(?iu){TAX_REPEAT}", " "), (UUID, "$1 $2"), (SERIAL, "$1 $2")])
     t = rewrite(remove_base64(t), [("[A-Za-z0-9+/=]{32,}", " "), (r"(?i)\[\s*m\d?\s*\]", ""), (r"\|{2,}", " "), (r"\s{2,}", " ")])
@@ -123,8 +122,11 @@ def looks_like_stamp_noise(line: Column) -> Column:
 
 def is_stamp_gibberish(line: Column) -> Column:
     """The full test for circular stamps read badly."""
-    s = strip(whole(line))
-    ts, r, words = tokens(s), token_vowel_ratio(s), F.size(meaningful_words(s))
+    return once(strip(whole(line)), lambda s: once(tokens(s), lambda ts: once(token_vowel_ratio(s), lambda r: _is_gibberish(s, ts, r))))
+
+
+def _is_gibberish(s: Column, ts: Column, r: Column) -> Column:
+    words = F.size(meaningful_words(s))
     n, tiny = F.size(ts), F.size(F.filter(ts, lambda t: F.length(t) <= 3))
     digits = F.regexp_count(s, F.lit("[0-9]"))
     long_words = F.filter(F.regexp_extract_all(s, F.lit("[a-záéíóúñA-ZÁÉÍÓÚÑ]{5,}"), F.lit(0)), lambda w: w.rlike(VOWEL))
@@ -141,7 +143,10 @@ def is_stamp_gibberish(line: Column) -> Column:
 
 def looks_like_seal_tokens(line: Column) -> Column:
     """Tokens of hardly any vowels, in a line of hardly any words; or a lone arrow in a short one."""
-    s = whole(line)
+    return once(whole(line), lambda s: once(token_vowel_ratio(s), lambda r: _has_seal_tokens(s, r)))
+
+
+def _has_seal_tokens(s: Column, r: Column) -> Column:
     plain = F.transform(tokens(s), lambda t: F.regexp_replace(t, "^['\".,;]+|['\".,;]+$", ""))
 
     def sealish(t: Column) -> Column:
@@ -150,27 +155,30 @@ def looks_like_seal_tokens(line: Column) -> Column:
         signs = t.rlike(r"""^[A-Z0-9+/=|<>)($'".:\-\[\]]{8,}$""") & (vowels(t) < 2)
         return (F.length(t) >= 6) & (coded | capital | signs)
 
-    r = token_vowel_ratio(s)
     arrow = s.contains(">") & (F.length(s) < 55) & (r < 0.55) & ~s.rlike(r"(?iu)RFC|TOTAL|IMPORTE|\$|[0-9]{3,}|@")
-    return (F.exists(plain, sealish) & (r < 0.42)) | ((F.size(tokens(s)) > 0) & arrow)
+    return ((r < 0.42) & F.exists(plain, sealish)) | (arrow & (F.size(tokens(s)) > 0))
 
 
 def is_seal_line(line: Column, rest: Column | None = None) -> Column:
     """rest: strip_inline_noise of the stripped line, where it is at hand."""
-    s = strip(whole(line))
-    rest = strip_inline_noise(s) if rest is None else rest
+    return once(strip(whole(line)), lambda s: _is_seal(s, strip_inline_noise(s) if rest is None else rest))
+
+
+def _is_seal(s: Column, rest: Column) -> Column:
     phrase = s.rlike("(?iu)" + SEAL_LINE)
     long_ = (F.length(s) > 350) & (base64_char_ratio(s) > 0.38)
     thin = (F.length(rest) < F.greatest(F.lit(40.0), F.length(s) * 0.07)) | (token_vowel_ratio(rest) < 0.2)
     first = phrase & ((F.length(rest) < 28) | (base64_char_ratio(rest) > 0.45))
-    serial = s.rlike(SERIAL) & (F.length(s) < 120) & phrase
+    serial = (F.length(s) < 120) & s.rlike(SERIAL) & phrase
     return (s != "") & (first | F.when(long_, thin).otherwise(serial | has_long_base64(s)))
 
 
 def is_garbage_line(line: Column, rest: Column | None = None) -> Column:
     """Any of the tests above, or hardly any words, letters or vowels for its length."""
-    s = strip(whole(line))
-    ts = tokens(s)
+    return once(strip(whole(line)), lambda s: once(tokens(s), lambda ts: _is_garbage(s, ts, rest)))
+
+
+def _is_garbage(s: Column, ts: Column, rest: Column | None) -> Column:
     n = F.size(ts)
     short = F.size(F.filter(ts, lambda t: (F.length(t) <= 2) & ~F.regexp_replace(F.lower(t), "^[.,;:]+|[.,;:]+$", "").isin(*FUNCTION_WORDS)))
     words = F.size(F.filter(ts, lambda t: (F.length(t) >= 3) & t.rlike("[a-záéíóúñA-ZÁÉÍÓÚÑ]")))
@@ -178,7 +186,7 @@ def is_garbage_line(line: Column, rest: Column | None = None) -> Column:
     flat = (F.length(s) >= 20) & ((letters(s) < 6) | ((letters(s) >= 10) & (vowels(s) / letters(s) < 0.12)))
     fine = F.regexp_count(s, F.lit(r"[\p{L}\p{N}$.,]"))
     odd = (F.length(s) >= 80) & ((fine / F.length(s) < 0.52) | ((base64_char_ratio(s) > 0.42) & (token_vowel_ratio(s) < 0.25)))
-    boiler = s.rlike("(?iu)" + BOILERPLATE) & (F.length(s) < 160)
+    boiler = (F.length(s) < 160) & s.rlike("(?iu)" + BOILERPLATE)
     return (s == "") | is_seal_line(s, rest) | looks_like_seal_tokens(s) | is_stamp_gibberish(s) | boiler | few | flat | odd
 
 
@@ -282,6 +290,7 @@ def clean_line(s: Column, cleaned: Column, rest: Column, aggressive: bool = True
     """
     title = strip(F.regexp_replace(s, r"^#+\s*", ""))
     stamped = (title != "") & (F.length(title) <= 72) & ~title.rlike("(?iu)" + HONEST_HEADINGS) & ((capitals_only(title) & F.size(tokens(title)).between(2, 5)) | looks_like_seal_tokens(title) | is_stamp_gibberish(title))
+    changed = (s != cleaned) | (cleaned != rest)  # where nothing was taken off, both tests are one
     r = token_vowel_ratio(cleaned)
     rescued = (F.length(s) > 180) & (F.length(cleaned) >= 35) & (r >= 0.32) & ~looks_like_seal_tokens(cleaned)
     harsh = (
@@ -291,14 +300,14 @@ def clean_line(s: Column, cleaned: Column, rest: Column, aggressive: bool = True
     return (
         F.when(s == "", "").when(is_table_line(s), s).when(s.startswith("#"), F.when(~stamped, s))
         .when(s.rlike("(?iu)" + STAMP_LINES) | ((F.length(s) <= 3) & ~s.rlike("^[0-9]+$")), None).when(cleaned == "", None).when(rescued, cleaned)
-        .when(is_garbage_line(cleaned, rest) | is_garbage_line(s, cleaned) | (F.lit(aggressive) & harsh), None).otherwise(cleaned)
+        .when(is_garbage_line(cleaned, rest) | (changed & is_garbage_line(s, cleaned)) | (F.lit(aggressive) & harsh), None).otherwise(cleaned)
     )
 
 
 def clean_lines(lines: DataFrame, line: str, aggressive: bool = True) -> DataFrame:
     """lines with `cleaned` added."""
     staged = lines.withColumn("_s", strip(whole(F.col(line))))
-    staged = staged.withColumn("_c", strip_inline_noise(F.col("_s"))).withColumn("_r", strip_inline_noise(F.col("_c")))
+    staged = staged.withColumn("_c", strip_inline_noise(F.col("_s"))).withColumn("_r", F.when(F.col("_c") == F.col("_s"), F.col("_c")).otherwise(strip_inline_noise(F.col("_c"))))
     return staged.withColumn("cleaned", clean_line(F.col("_s"), F.col("_c"), F.col("_r"), aggressive)).drop("_s", "_c", "_r")
 
 

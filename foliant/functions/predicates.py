@@ -100,7 +100,7 @@ def has_pipe_grid(text: Column) -> Column:
 def has_long_base64(text: Column) -> Column:
     """A run of 44 characters of the alphabet, white space left out, with a plus, slash or equals sign."""
     runs = F.regexp_extract_all(F.regexp_replace(whole(text), r"\s+", ""), F.lit("[A-Za-z0-9+/]{44,}={0,2}"), F.lit(0))
-    return F.exists(runs, lambda x: x.rlike("[+/=]"))
+    return whole(text).rlike("[+/=]") & F.exists(runs, lambda x: x.rlike("[+/=]"))
 
 
 def is_crypto_evidence(text: Column) -> Column:

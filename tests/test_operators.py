@@ -401,3 +401,10 @@ def test_watermarks_work_a_line_out_once(spark):
     assert plan.count(r"\s{2,}") == 1
     texts = ["Texto largo que sigue y sigue sin final 01/02/20 10:11:12 JUAN PEREZ fin", "palabra " * 13 + "  x  20.30.40.50.60.70.80.90 y", "JUAN PEREZ\n\n\n\nab  c", "de de de de de de de de de de de de de", "TRIBUNAL DE LO CIVIL", None]
     assert one(spark, texts, C.strip_watermarks) == ["Texto largo que sigue y sigue sin final fin", "palabra " * 13 + "x y", "ab c", "", "TRIBUNAL DE LO CIVIL", ""]
+
+
+def test_the_cleaner_strips_a_line_once(spark):
+    t = spark.createDataFrame([("a",)], "t string")
+    plan = lambda f: t.select(f(F.col("t")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(C.is_stamp_gibberish).count(r"^\s+|\s+$") == 1
+    assert plan(P.is_stamp_line).count(r"^\s+|\s+$") == 1
