@@ -91,47 +91,72 @@ def saved_pct(text: Column) -> Column:
 
 
 def table_lines(markdown: Column) -> Column:
-    return F.filter(F.split(whole(markdown), "\n", -1), lambda x: strip(x).startswith("|"))
+    return F.filter(F.split(whole(markdown), "\n", -1), lambda x: x.rlike(r"^\s*\|"))
 
 
 def cell_is_garbage(cell: Column) -> Column:
-    text = normalize_cell(cell)
-    fine = F.regexp_count(text, F.lit(r"[\p{L}\p{N}$.,/-]"))
-    return F.when(text == "", False).otherwise(
-        ((F.length(text) <= 2) & ~text.rlike("^[0-9]+$")) | (fine / F.length(text) < 0.45) | text.rlike(r"^(?:[^\p{L}\p{N}_]|_){1,4}$")
-    )
+    def garbage(text: Column) -> Column:
+        fine = F.regexp_count(text, F.lit(r"[\p{L}\p{N}$.,/-]"))
+        return F.when(text == "", False).otherwise(
+            ((F.length(text) <= 2) & ~text.rlike("^[0-9]+$")) | (fine / F.length(text) < 0.45) | text.rlike(r"^(?:[^\p{L}\p{N}_]|_){1,4}$")
+        )
 
+    return once(normalize_cell(cell), garbage)
 
-def table_columns(markdown: Column) -> Column:
-    first = F.try_element_at(table_lines(markdown), F.lit(1))
+
+def with_lines(markdown: Column, body) -> Column:
+    """body(markdown, its table lines), each worked out once per row."""
+    return once(whole(markdown), lambda m: once(table_lines(m), lambda lines: body(m, lines)))
+
+
+def width(lines: Column) -> Column:
+    """Columns of the first of some table lines, 0 without any."""
+    first = F.try_element_at(lines, F.lit(1))
     return F.coalesce(F.length(first) - F.length(F.replace(first, F.lit("|"), F.lit(""))) - 1, F.lit(0))
 
 
+def body_lines(lines: Column) -> Column:
+    return F.filter(lines, lambda x: ~x.contains("---"))
+
+
+def table_columns(markdown: Column) -> Column:
+    return width(table_lines(markdown))
+
+
 def looks_like_payroll(markdown: Column) -> Column:
     """Date, name and concept headers with amounts, in three to ten columns."""
-    upper = F.upper(whole(markdown))
-    amount = whole(markdown).rlike(DATE_CELL) | whole(markdown).rlike(MONEY_CELL) | upper.contains("IMPORTE") | upper.contains("PAGO")
-    body = F.filter(table_lines(markdown), lambda x: ~x.contains("---"))
-    first = F.try_element_at(body, F.lit(1))
-    columns = F.coalesce(F.length(first) - F.length(F.replace(first, F.lit("|"), F.lit(""))) - 1, F.lit(0))
-    return upper.contains("FECHA") & upper.contains("NOMBRE") & upper.contains("CONCEPTO") & amount & columns.between(3, 10)
+    return with_lines(markdown, _is_payroll)
+
+
+def _is_payroll(m: Column, lines: Column) -> Column:
+    def headed(upper: Column) -> Column:
+        amount = upper.contains("IMPORTE") | upper.contains("PAGO") | m.rlike(DATE_CELL) | m.rlike(MONEY_CELL)
+        return upper.contains("FECHA") & upper.contains("NOMBRE") & upper.contains("CONCEPTO") & amount & width(body_lines(lines)).between(3, 10)
+
+    return once(F.upper(m), headed)
+
+
+def _marks(text: Column) -> Column:
+    return F.struct(text.rlike("(?iu)" + bounded(HEADER_HINTS)).alias("hint"), text.rlike(DATE_CELL).alias("date"), text.rlike(MONEY_CELL).alias("money"))
 
 
 def table_content_quality(markdown: Column) -> Column:
     """Share of good cells, raised by dates, money and headers; at most 1."""
-    lines = table_lines(markdown)
-    body = F.filter(lines, lambda x: ~x.contains("---"))
-    split = F.transform(body, lambda x: F.transform(F.split(F.regexp_replace(strip(x), r"^\|+|\|+$", ""), r"\|", -1), strip))
-    cells = F.flatten(split)
-    full = F.filter(cells, lambda c: c != "")
-    good = F.size(F.filter(full, lambda c: ~cell_is_garbage(c) & (F.length(c) >= 2)))
-    empty = 1.0 - F.size(full) / F.greatest(F.size(cells), F.lit(1))
-    bonus = (
-        F.when(markdown.rlike(DATE_CELL), 0.15).otherwise(0.0) + F.when(markdown.rlike(MONEY_CELL), 0.15).otherwise(0.0)
-        + F.when(markdown.rlike("(?iu)" + bounded(HEADER_HINTS)), 0.1).otherwise(0.0)
-    )
-    none = (F.size(lines) < 3) | (F.size(full) == 0) | ((table_columns(markdown) > 8) & (empty > 0.35))
-    return F.when(none, 0.0).otherwise(F.least(F.lit(1.0), good / F.size(full) + bonus))
+    return with_lines(markdown, lambda m, lines: once(_marks(m), lambda marks: _quality(lines, marks)))
+
+
+def _quality(lines: Column, marks: Column) -> Column:
+    split = F.transform(body_lines(lines), lambda x: F.transform(F.split(F.regexp_replace(strip(x), r"^\|+|\|+$", ""), r"\|", -1), strip))
+    bonus = F.when(marks["date"], 0.15).otherwise(0.0) + F.when(marks["money"], 0.15).otherwise(0.0) + F.when(marks["hint"], 0.1).otherwise(0.0)
+
+    def share_(cells: Column, full: Column) -> Column:
+        good = F.size(F.filter(full, lambda c: (F.length(c) >= 2) & ~cell_is_garbage(c)))
+        empty = 1.0 - F.size(full) / F.greatest(F.size(cells), F.lit(1))
+        none = (F.size(full) == 0) | ((width(lines) > 8) & (empty > 0.35))
+        return F.when(none, 0.0).otherwise(F.least(F.lit(1.0), good / F.size(full) + bonus))
+
+    cells = once(F.flatten(split), lambda cells: once(F.filter(cells, lambda c: c != ""), lambda full: share_(cells, full)))
+    return F.when(F.size(lines) < 3, 0.0).otherwise(cells)
 
 
 def score_table_markdown(markdown: Column, quality: Column | None = None) -> Column:
@@ -139,15 +164,21 @@ def score_table_markdown(markdown: Column, quality: Column | None = None) -> Col
 
     quality: table_content_quality, where it is a column already.
     """
-    lines, columns = table_lines(markdown), table_columns(markdown)
-    quality = table_content_quality(markdown) if quality is None else quality
-    body = F.array_join(lines, "\n")
+
+    def of_body(m: Column, lines: Column, marks: Column) -> Column:
+        # the marks of the table's lines, which most often are all of the text
+        table = once(F.array_join(lines, "\n"), lambda body: F.when(body == m, marks).otherwise(_marks(body)))
+        own = _quality(lines, marks) if quality is None else quality
+        return once(own, lambda q: F.when(q < 0.28, 0.0).otherwise(once(table, lambda t: once(width(lines), lambda n: _table_score(m, lines, q, t, n)))))
+
+    return with_lines(markdown, lambda m, lines: F.when(F.size(lines) < 3, 0.0).otherwise(once(_marks(m), lambda marks: of_body(m, lines, marks))))
+
+
+def _table_score(m: Column, lines: Column, quality: Column, marks: Column, columns: Column) -> Column:
     score = (
-        F.least(F.size(lines), F.lit(80)) * 0.8 * quality
-        + F.when(body.rlike("(?iu)" + bounded(HEADER_HINTS)), 24 * quality).otherwise(0.0)
-        + F.when(body.rlike(DATE_CELL), 18.0).otherwise(0.0) + F.when(body.rlike(MONEY_CELL), 22.0).otherwise(0.0)
+        F.least(F.size(lines), F.lit(80)) * 0.8 * quality + F.when(marks["hint"], 24 * quality).otherwise(0.0)
+        + F.when(marks["date"], 18.0).otherwise(0.0) + F.when(marks["money"], 22.0).otherwise(0.0)
         + F.when(columns.between(4, 9), 12.0).when(columns > 10, -18.0).otherwise(0.0)
     )
-    payroll = looks_like_payroll(markdown)
-    none = (F.size(lines) < 3) | ((columns > 10) & ~payroll) | (quality < 0.28)
-    return F.when(none, 0.0).when((columns > 8) & ~payroll, F.least(score, F.lit(12.0))).otherwise(score)
+    strange = (columns > 8) & ~_is_payroll(m, lines)
+    return once(strange, lambda odd: F.when(odd & (columns > 10), 0.0).when(odd, F.least(score, F.lit(12.0))).otherwise(score))

@@ -78,7 +78,7 @@ def rows_to_markdown(rows: Column) -> Column:
 
 def accept_table(markdown: Column, score: Column, least: float = 28.0, most_columns: int = 8) -> Column:
     """Whether a table is taken: a score of 28, and eight columns at most unless it is a payroll."""
-    return (score >= least) & (looks_like_payroll(markdown) | (table_columns(markdown) <= most_columns))
+    return (score >= least) & ((table_columns(markdown) <= most_columns) | looks_like_payroll(markdown))
 
 
 # positions of lines; a page's are as few as it has rulings

@@ -47,7 +47,8 @@ def whole(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without \\s at both ends, by bytes: a pattern would be tried at every place of the text."""
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def normalize_markdown(text: Column) -> Column:

@@ -145,8 +145,9 @@ def best_table(candidates: DataFrame, page: str = "page_id") -> DataFrame:
 def best_tables(candidates: DataFrame, page: str = "page_id") -> DataFrame:
     """Of each page (page, ordinal, markdown) all tables that have the page's highest score, if that is over 0, in order:
     page, position (from 0), markdown, score."""
-    scored = candidates.withColumn("score", score_table_markdown(F.col("markdown"))).where("score > 0")
-    ranked = scored.withColumn("_r", F.rank().over(Window.partitionBy(page).orderBy(F.desc("score")))).where("_r = 1")
+    scored = candidates.withColumn("score", score_table_markdown(F.col("markdown")))
+    # a filter on the score before the ranks would work it out a second time
+    ranked = scored.withColumn("_r", F.rank().over(Window.partitionBy(page).orderBy(F.desc("score")))).where("_r = 1 AND score > 0")
     return ranked.withColumn("position", F.row_number().over(Window.partitionBy(page).orderBy("ordinal")) - 1).select(page, "position", "markdown", "score")
 
 

@@ -408,3 +408,20 @@ def test_the_cleaner_strips_a_line_once(spark):
     plan = lambda f: t.select(f(F.col("t")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan(C.is_stamp_gibberish).count(r"^\s+|\s+$") == 1
     assert plan(P.is_stamp_line).count(r"^\s+|\s+$") == 1
+
+
+def times_in_plan(df, part):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(part)
+
+
+def test_tables_are_taken_apart_once(spark):
+    """A table's lines are split once for its quality and score, its rows too; the marks of the whole text count for its lines."""
+    rows = [(1, 0, "| fecha | total |\n| --- | --- |\n| 01/02/2020 | $ 5 |"), (1, 1, "fecha 01/02/2020 $ 5\n| cosa | otra |\n| --- | --- |\n| valor | cinco |"), (2, 0, "nada"), (3, 0, None)]
+    candidates = spark.createDataFrame(rows, "page_id long, ordinal int, markdown string")
+    best = tables.best_tables(candidates)
+    assert times_in_plan(best, "split(") <= 3
+    assert times_in_plan(tables.best_table(candidates), "split(") <= 6
+    got = {(r["page_id"], r["position"]): r["score"] for r in best.collect()}
+    assert list(got) == [(1, 0)] and got[1, 0] == pytest.approx(3 * 0.8 + 24 + 18 + 22)
+    other = candidates.where("ordinal = 1").select(S.score_table_markdown(F.col("markdown")).alias("s")).first()["s"]
+    assert other == pytest.approx(3 * 0.8)  # what stands outside the table's lines raises its quality only
