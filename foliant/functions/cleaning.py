@@ -222,19 +222,25 @@ def structure_markdown(text: Column) -> Column:
     bullet = lambda x: F.concat(F.lit("- "), F.regexp_replace(x, r"^[-•*]\s+", ""))
     is_number, is_bullet = (lambda x: x.rlike(r"^\d+[.)]\s+")), (lambda x: x.rlike(r"^[-•*]\s+"))
 
-    def block(raw: Column) -> Column:
-        lines = F.filter(F.transform(F.split(raw, "\n", -1), strip), lambda x: x != "")
-        single = F.try_element_at(lines, F.lit(1))
-        one = (
+    def one(single: Column) -> Column:
+        return (
             F.when(is_heading_line(single), F.concat(F.lit("## "), strip(F.regexp_replace(single, ":+$", "")))).when(is_number(single), number(single))
             .when(is_bullet(single), bullet(single)).otherwise(single)
-        )
-        many = F.when(F.forall(lines, is_number), F.array_join(F.transform(lines, number), "\n\n")).when(F.forall(lines, is_bullet), F.array_join(F.transform(lines, bullet), "\n\n")).otherwise(F.array_join(lines, "\n"))
-        return F.when(F.size(lines) == 1, one).when(F.size(lines) > 1, many)
+        )
+
+    def block(raw: Column) -> Column:
+        def shaped(lines: Column) -> Column:
+            many = F.when(F.forall(lines, is_number), F.array_join(F.transform(lines, number), "\n\n")).when(F.forall(lines, is_bullet), F.array_join(F.transform(lines, bullet), "\n\n")).otherwise(F.array_join(lines, "\n"))
+            return F.when(F.size(lines) == 1, once(lines[0], one)).when(F.size(lines) > 1, many)
+
+        return once(F.filter(F.transform(F.split(raw, "\n", -1), strip), lambda x: x != ""), shaped)
 
-    blocks = F.filter(F.transform(F.split(body, r"\n\s*\n", -1), block), lambda x: x.isNotNull())
-    marked = body.rlike(r"(?md)^#{1,6}\s|^\|.+\||^\s*[-*]\s+\S|^\d+\.\s+\S")
-    return F.when(marked, normalize_markdown(body)).otherwise(normalize_markdown(F.array_join(blocks, "\n\n")))
+    def marked_up(b: Column) -> Column:
+        blocks = F.filter(F.transform(F.split(b, r"\n\s*\n", -1), block), lambda x: x.isNotNull())
+        marked = b.rlike(r"(?md)^#{1,6}\s|^\|.+\||^\s*[-*]\s+\S|^\d+\.\s+\S")
+        return F.when(marked, b).otherwise(F.array_join(blocks, "\n\n"))
+
+    return normalize_markdown(once(body, marked_up))
 
 
 def polish_paragraphs(text: Column) -> Column:
@@ -256,20 +262,22 @@ def polish_paragraphs(text: Column) -> Column:
 def format_annotations(lines: Column) -> Column:
     """Bullets that tell seals and codes from signatures and handwriting. lines: an array."""
 
-    def one(raw: Column) -> Column:
-        s = strip(F.regexp_replace(raw, r"\s+", " "))
+    def one(s: Column) -> Column:
         code = (s.rlike(r"^[A-Z0-9][A-Z0-9\s\-./]{2,}$") & (F.length(s) <= 48)) | (~((F.length(s) <= 42) & s.rlike("[a-záéíóúñ]")) & s.rlike(r"\d{2,}") & (F.length(s) <= 32))
         hand = (F.length(s) <= 42) & s.rlike("[a-záéíóúñ]")
         return F.when(s == "", None).when(code, F.concat(F.lit("- **Sello / código:** "), s)).when(hand, F.concat(F.lit("- **Firma / manuscrito:** "), s)).otherwise(F.concat(F.lit("- "), s))
 
-    return F.array_join(F.filter(F.transform(lines, one), lambda x: x.isNotNull()), "\n")
+    return F.array_join(F.filter(F.transform(lines, lambda raw: once(strip(F.regexp_replace(raw, r"\s+", " ")), one)), lambda x: x.isNotNull()), "\n")
 
 
 def append_annotations(markdown: Column, body: Column) -> Column:
     """The annotations' section at the end, once; without a body nothing changes."""
-    base = normalize_markdown(markdown)
-    present = F.lower(base).contains(ANNOTATIONS.lower())
-    return F.when(strip(whole(body)) == "", markdown).when(present, base).otherwise(strip(F.concat(base, F.lit(f"\n\n{ANNOTATIONS}\n\n"), strip(whole(body)))))
+    def appended(notes: Column) -> Column:
+        present = lambda base: F.lower(base).contains(ANNOTATIONS.lower())
+        full = once(normalize_markdown(markdown), lambda base: F.when(present(base), base).otherwise(strip(F.concat(base, F.lit(f"\n\n{ANNOTATIONS}\n\n"), notes))))
+        return F.when(notes == "", markdown).otherwise(full)
+
+    return once(strip(whole(body)), appended)
 
 
 def summarize_evidence(text: Column) -> Column:

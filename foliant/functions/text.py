@@ -11,18 +11,26 @@ from pyspark.sql import functions as F
 PAGE_BREAK = "\n\n---\n\n"
 WORD = r"[\p{L}\p{N}_]+"
 
-# Steps of the rewrites, in order (pattern, replacement); (?md) makes ^ and $ match at \n alone.
-NORMALIZE_STEPS = [("\r\n", "\n"), ("\r", "\n"), ("\f", "\n\n---\n\n"), (r"\n{3,}", "\n\n")]
+# Steps of the rewrites, in order (pattern, replacement, and a string that every match holds, where there is
+# one); (?md) makes ^ and $ match at \n alone.
+NORMALIZE_STEPS = [("\r\n", "\n"), ("\r", "\n"), ("\f", "\n\n---\n\n"), (r"\n{3,}", "\n\n", "\n\n\n")]
 STRIP_STEPS = [
-    (r"(?md)^#{1,6}\s+", ""), (r"(?md)^\s*[-*]\s+", ""), (r"(?md)^\s*\d+\.\s+", ""),
-    (r"(?md)^\s*\|?(?:\s*:?-+:?\s*\|)++\s*$", ""), (r"\|", " "), ("[*_]++", ""),
-    (r"\[(.*?)\]\((.*?)\)", "$1"), (r"\n\s*---\s*\n", "\n\n"), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n"),
+    (r"(?md)^#{1,6}\s+", "", "#"), (r"(?md)^\s*[-*]\s+", ""), (r"(?md)^\s*\d+\.\s+", ""),
+    (r"(?md)^\s*\|?(?:\s*:?-+:?\s*\|)++\s*$", "", "|"), ("|", " "), ("*", ""), ("_", ""),
+    (r"\[(.*?)\]\((.*?)\)", "$1", "]("), (r"\n\s*---\s*\n", "\n\n", "---"), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n", "\n\n\n"),
 ]
 
 
-def rewrite(text: Column, steps: list[tuple[str, str]]) -> Column:
-    for pattern, replacement in steps:
-        text = F.regexp_replace(text, pattern, replacement)
+def rewrite(text: Column, steps: list[tuple]) -> Column:
+    """text after the steps. A pattern that is one character, or control characters alone, is taken as it is, by bytes; one
+    with a string that all its matches hold is not tried on texts without that."""
+    for pattern, replacement, *held in steps:
+        if len(pattern) == 1 or not pattern.strip("\r\n\f"):
+            text = F.replace(text, F.lit(pattern), F.lit(replacement))
+        elif held:
+            text = once(text, lambda t: F.when(t.contains(held[0]), F.regexp_replace(t, pattern, replacement)).otherwise(t))  # noqa: B023
+        else:
+            text = F.regexp_replace(text, pattern, replacement)
     return text
 
 
@@ -96,7 +104,7 @@ def clean_text(text: Column, min_useful_ratio: float = 0.55, min_len_skip: int =
 
 def normalize_cell(cell: Column) -> Column:
     """A table cell on one line: white space runs to one space, pipes to slashes."""
-    return strip(F.regexp_replace(strip(F.regexp_replace(whole(cell), r"\s+", " ")), r"\|", "/"))
+    return F.replace(strip(F.regexp_replace(whole(cell), r"\s+", " ")), F.lit("|"), F.lit("/"))
 
 
 def normalize_wide_cell(cell: Column) -> Column:

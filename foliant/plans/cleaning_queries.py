@@ -132,8 +132,8 @@ b AS (SELECT doc_id, text, array_to_string(list_transform(list_filter(ls, lambda
 SELECT doc_id, body, CASE WHEN {sql_strip('body')} = '' THEN text ELSE {sql_strip(f"{sql_normalize('text')} || {NL} || {NL} || '## Firmas, sellos y anotaciones' || {NL} || {NL} || {sql_strip('body')}")} END AS appended FROM b
 """)
 def annotations(spark, sf_dir):
-    body = C.format_annotations(F.split("text", "\n", -1))
-    return table(spark, sf_dir, "documents").select("doc_id", body.alias("body"), C.append_annotations(F.col("text"), body).alias("appended"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", C.format_annotations(F.split("text", "\n", -1)).alias("body"))
+    return d.select("doc_id", "body", C.append_annotations(F.col("text"), F.col("body")).alias("appended"))
 
 
 EVIDENCE = "CASE doc_id % 3 WHEN 0 THEN 'Evidencia criptográfica' || chr(10) || 'Archivo Firmado: a.pdf' || chr(10) || 'FIRMANTE Nombre:' || chr(10) || '  Ana Ruiz ' || chr(10) || 'Status: Bueno' || chr(10) || text WHEN 1 THEN 'Validez:  Vigente' || chr(10) || text ELSE text END"

@@ -425,3 +425,14 @@ def test_tables_are_taken_apart_once(spark):
     assert list(got) == [(1, 0)] and got[1, 0] == pytest.approx(3 * 0.8 + 24 + 18 + 22)
     other = candidates.where("ordinal = 1").select(S.score_table_markdown(F.col("markdown")).alias("s")).first()["s"]
     assert other == pytest.approx(3 * 0.8)  # what stands outside the table's lines raises its quality only
+
+
+def test_texts_are_rewritten_once(spark):
+    """Annotations and paragraphs: a line or text is worked out once for all that is asked of it; steps that cannot match are left out."""
+    d = spark.createDataFrame([("a  b\n\nX-12 34\n",), ("",), (None,)], "t string")
+    notes = d.select("t", C.format_annotations(F.split("t", "\n", -1)).alias("b"))
+    assert times_in_plan(notes, "regexp_replace(") <= 1
+    assert times_in_plan(notes.select(C.append_annotations(F.col("t"), F.col("b"))), "regexp_replace(") <= 3
+    assert times_in_plan(d.select(C.structure_markdown(F.col("t"))), "split(") <= 2
+    assert times_in_plan(d.select(T.strip_markdown_syntax(F.col("t"))), "regexp_replace(") <= 9
+    assert one(spark, ["| a |\n|:-:|\n*b* _c_ [x](y)\n\n\n---\n\n# d\r\re\ff"], T.strip_markdown_syntax) == ["a \n\nb c x\n\nd\n\ne\n\nf"]
