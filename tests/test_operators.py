@@ -432,7 +432,22 @@ def test_texts_are_rewritten_once(spark):
     d = spark.createDataFrame([("a  b\n\nX-12 34\n",), ("",), (None,)], "t string")
     notes = d.select("t", C.format_annotations(F.split("t", "\n", -1)).alias("b"))
     assert times_in_plan(notes, "regexp_replace(") <= 1
-    assert times_in_plan(notes.select(C.append_annotations(F.col("t"), F.col("b"))), "regexp_replace(") <= 3
-    assert times_in_plan(d.select(C.structure_markdown(F.col("t"))), "split(") <= 2
-    assert times_in_plan(d.select(T.strip_markdown_syntax(F.col("t"))), "regexp_replace(") <= 9
+    assert times_in_plan(notes.select(C.append_annotations(F.col("t"), F.col("b")).alias("v")), "regexp_replace(") <= 3
+    assert times_in_plan(d.select(C.structure_markdown(F.col("t")).alias("v")), "split(") <= 5
+    assert times_in_plan(d.select(T.strip_markdown_syntax(F.col("t")).alias("v")), "regexp_replace(") <= 9
     assert one(spark, ["| a |\n|:-:|\n*b* _c_ [x](y)\n\n\n---\n\n# d\r\re\ff"], T.strip_markdown_syntax) == ["a \n\nb c x\n\nd\n\ne\n\nf"]
+
+
+def test_words_of_talk_are_part_of_what_the_patterns_find(spark):
+    meta = [
+        "ESTE PDF contiene", "el documento que compartes", "Información personal sensible", "riesgo de privacidad", "no tengo forma de verificar", "digitalización autorizada", "independientemente del contexto",
+        "personas físicas identificables", "AQUÍ está", "a continuación te presento", "he detectado", "he analizado", "he identificado", "puedo explicar", "si deseas un resumen", "¿quieres revisión", "analisis de cláusulas",
+        "revisar las clausulas", "estructura general de un contrato", "requisitos legales de este tipo", "I'm happy to help", "i am able to review", "thıs iſ a", "here's ocr", "Here is the contract", "como ia", "nota: que ia", "transcripcion del documento",
+    ]
+    no = ["not able to transcribe", "privacy and security", "IDENTITY THEFT", "facilitate fraud", "no estoy en capacidad", "recomiendo usar los canales oficiales", "puedo orientarte", "análisis legal", "redactar o revisar cláusulas", "contrato de estructura"]
+    found = lambda pattern: lambda t: t.rlike(pattern)
+    assert one(spark, meta, K.is_meta_line) == one(spark, meta, found(K.META)) and all(one(spark, meta, K.is_meta_line))
+    assert one(spark, no, K.refuses) == one(spark, no, found(K.REFUSALS)) == [True] * 9 + [False]
+    d = spark.createDataFrame([("x\n puedo ayudarte a redactar",)], "t string")
+    assert times_in_plan(d.select(K.strip_chatter(F.col("t")).alias("v")), "split(") <= 3
+    assert one(spark, ["\n puedo explicar la estructura y todo lo demás de este contrato" + " x" * 60, "a\n\n¿En qué más puedo ayudarte\nb"], K.strip_chatter) != ["", ""]
