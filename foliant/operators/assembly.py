@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from foliant.functions.cleaning import normalize_digital_text, summarize_evidence
 from foliant.functions.predicates import is_crypto_evidence, is_stamp_line, is_vision_source, source_providers
 from foliant.functions.scores import minimum_pdf_text_chars, plain_quality_score, text_quality_score
-from foliant.functions.text import PAGE_BREAK, compress_markdown, normalize_markdown, normalize_whitespace, strip, strip_markdown_syntax, whole
+from foliant.functions.text import PAGE_BREAK, compress_markdown, normalize_markdown, normalize_whitespace, once, strip, strip_markdown_syntax, whole
 from foliant.operators.cleaned import sanitized
 from foliant.operators.documents import keep_sections, split_sections
 
@@ -106,8 +106,7 @@ def best_engine(readings: DataFrame, page: str = "page_id", weight: float = 1.35
 def accepted_reading(readings: DataFrame, page: str = "page_id") -> DataFrame:
     """The cascade of engines: of each page the first reading by priority that is good enough. readings: page, priority,
     engine, markdown, min_score, min_chars. Pages without one have none."""
-    plain = strip_markdown_syntax(F.col("markdown"))
-    good = (text_quality_score(F.col("markdown")) >= F.col("min_score")) & (F.length(plain) >= F.col("min_chars"))
+    good = once(strip_markdown_syntax(F.col("markdown")), lambda p: (F.length(p) >= F.col("min_chars")) & (plain_quality_score(p) >= F.col("min_score")))
     return readings.where(good).groupBy(page).agg(F.min_by(F.struct("engine", "markdown"), "priority").alias("b")).select(page, "b.*")
 
 
