@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from foliant.functions.cleaning import append_annotations, format_annotations
 from foliant.functions.scores import default_quality_score, text_quality_score, word_accent_ratio
-from foliant.functions.text import strip, strip_markdown_syntax, whole
+from foliant.functions.text import once, strip, strip_markdown_syntax, whole
 
 # The variants of a page image, how many configurations read one, what a quick reading has to reach, and what
 # a point of confidence counts.
@@ -116,14 +116,14 @@ def top_lines(lines: DataFrame, page: str, line: str, score: str, most: int = 24
 def new_to(lines: Column, main: Column, gram: int = 12, stride: int = 4, longest: int = 80) -> Column:
     """Lines of an array that a text does not hold: neither whole nor, up to `longest` characters, by a gram at every
     `stride`-th place."""
-    low = F.lower(whole(main))
+    def held(line: Column, low: Column, key: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.length(key) - gram, F.lit(0)), F.lit(stride))
+        return F.contains(low, key) | ((F.length(line) <= longest) & (F.length(key) >= gram) & F.exists(places, lambda i: F.contains(low, F.substr(key, i + 1, F.lit(gram)))))
 
-    def held(line: Column) -> Column:
-        key = F.lower(line)
-        grams = F.transform(F.sequence(F.lit(0), F.greatest(F.length(key) - gram, F.lit(0)), F.lit(stride)), lambda i: F.substr(key, i + 1, F.lit(gram)))
-        return F.contains(low, key) | ((F.length(line) <= longest) & (F.length(key) >= gram) & F.exists(grams, lambda g: F.contains(low, g)))
+    def fresh(low: Column) -> Column:
+        return F.filter(F.transform(lines, strip), lambda x: (F.length(x) >= 2) & ~once(F.lower(x), lambda key: held(x, low, key)))
 
-    return F.filter(F.transform(lines, strip), lambda x: (F.length(x) >= 2) & ~held(x))
+    return once(F.lower(whole(main)), fresh)
 
 
 def enrich_pages(pages: DataFrame, lines: DataFrame, page: str, markdown: str, most: int = 24) -> DataFrame:
