@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions.scores import looks_like_payroll, score_table_markdown, table_columns, table_content_quality
-from foliant.functions.text import normalize_cell, strip, whole
+from foliant.functions.text import normalize_cell, once, strip, whole
 from foliant.operators.runs import group_bounds, mean_breaks
 
 
@@ -105,15 +105,16 @@ def cells_to_markdown(cells: DataFrame, table: str, row: str, col: str, cell: st
 
     Rows are padded to the widest; the first row that is left is the header. Of a repeated cell the greatest text counts.
     """
-    full = cells.groupBy(table, F.col(row).alias("r"), F.col(col).alias("c")).agg(F.max(normalize_cell(F.col(cell))).alias("v"))
-    width = F.max(F.col("c") + 1)
-    rows = full.groupBy(table, "r").agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("m"), width.alias("w"), F.max(F.col("v") != "").alias("full")).where("full")
-    sheets = rows.groupBy(table).agg(F.sort_array(F.collect_list(F.struct("r", F.map_entries("m").alias("e")))).alias("rows"), F.max("w").alias("w"))
+    # one shuffle: rows are made where their table is; the greatest of a sorted row's equal places comes last
+    placed = cells.select(table, F.col(row).alias("r"), F.col(col).alias("c"), normalize_cell(F.col(cell)).alias("v")).repartition(table)
+    last = lambda e: F.filter(e, lambda x, i: F.coalesce(F.get(e, i + 1)["c"] != x["c"], F.lit(True)))
+    rows = placed.groupBy(table, "r").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("e")).withColumn("e", once(F.col("e"), last)).where(F.exists("e", lambda x: x["v"] != ""))
+    sheets = rows.groupBy(table).agg(F.sort_array(F.collect_list(F.struct("r", "e"))).alias("rows"), F.max(F.element_at("e", -1)["c"] + 1).alias("w"))
     index = F.sequence(F.lit(0), F.col("w") - 1)
 
     def line(x):
-        m = F.map_from_entries(x["e"])
-        return F.concat(F.lit("| "), F.array_join(F.transform(index, lambda i: F.coalesce(F.try_element_at(m, i), F.lit(""))), " | "), F.lit(" |"))
+        cells_ = once(F.map_from_entries(x["e"]), lambda m: F.transform(index, lambda i: F.coalesce(F.try_element_at(m, i), F.lit(""))))
+        return F.concat(F.lit("| "), F.array_join(cells_, " | "), F.lit(" |"))
 
     rule = F.concat(F.lit("| "), F.array_join(F.transform(index, lambda i: F.lit("---")), " | "), F.lit(" |"))
     lines = F.transform("rows", line)
