@@ -22,7 +22,7 @@ class Told(InOrder):
         self.last = handle.getValueState("last", "_us long")
 
     def take(self, key, due: list[tuple], now: int) -> Iterator[Row]:
-        last = self.last.get()[0] if self.last.exists() else None
+        (last,) = self.last.get() or (None,)
         for us, row, page, total in due:
             if page % EVERY_PAGES and last is not None and us - last < QUIET_SECONDS * 1_000_000:
                 continue

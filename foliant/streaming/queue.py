@@ -159,9 +159,9 @@ class TimeOuts(InOrder):
         return [*own, TTL_HOURS * 3600]
 
     def take(self, key, due: list[tuple], now: int) -> Iterator[Row]:
-        until, *state = self.last.get() if self.last.exists() else (None,)
+        until, *state = self.last.get() or (None,)
         if state and due:
-            for at in self.deadlines(state):
+            for at in [x for x in self.deadlines(state) if x > until][:1]:  # the one that is set
                 if at > 1000 * now:
                     self.handle.deleteTimer(-(-at // 1000))
         for event in due:
@@ -171,12 +171,10 @@ class TimeOuts(InOrder):
             yield self.told(key, event[0], state)
         if not state:
             return
-        for at in self.deadlines(state):
-            if at > 1000 * now:
-                self.handle.registerTimer(-(-at // 1000))
-            elif at > until:
-                yield self.told(key, at, state)
-        if max(self.deadlines(state)) > 1000 * now:
+        ahead = [x for x in self.deadlines(state) if x > 1000 * now]
+        yield from (self.told(key, at, state) for at in self.deadlines(state) if until < at <= 1000 * now)
+        if ahead:
+            self.handle.registerTimer(-(-ahead[0] // 1000))  # each sets the next one: a call for every limit takes longer
             self.last.update((max(until, 1000 * now), *state))
         else:
             self.last.clear()  # nothing changes any more
