@@ -64,7 +64,7 @@ def tokens(line: Column) -> Column:
 
 def is_stamp_line(line: Column) -> Column:
     """Stamps of dates, serials and hexadecimal chains, and two to five words of capitals without connectors."""
-    return once(strip(whole(line)), _is_stamp)
+    return once(F.regexp_replace(whole(line), r"^\s+|\s+$", ""), _is_stamp)
 
 
 def _is_stamp(s: Column) -> Column:
