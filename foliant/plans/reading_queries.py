@@ -108,10 +108,11 @@ SELECT suffix, count(*) AS files, sum(n)::BIGINT AS bytes, count(*) FILTER (n >=
 def ingested_files(spark, sf_dir):
     """Pages as files of four suffixes, of which the known ones are taken up to a size; the larger ones are for later."""
     folder = _folder(spark, "files")
-    pages = table(spark, sf_dir, "pages")
-    for k, suffix in enumerate(("pdf", "png", "jpg", "zip")):
-        pages.where(F.col("page_id") % 4 == k).select(F.base64(F.encode("html", "UTF-8")).alias("x")).select(F.regexp_replace("x", r"\s", "")).write.mode("append").option("maxRecordsPerFile", 1).option("extension", suffix).csv(folder)
-    files = readers.documents(spark, folder, max_bytes=LIMIT)
+    suffixes = ("pdf", "png", "jpg", "zip")
+    suffix = F.get(F.array(*map(F.lit, suffixes)), (F.col("page_id") % 4).cast("int"))
+    pages = table(spark, sf_dir, "pages").select(suffix.alias("suffix"), F.regexp_replace(F.base64(F.encode("html", "UTF-8")), r"\s", "").alias("x"))
+    writers.write_files(pages, folder, "suffix", "x", suffixes)
+    files = readers.documents(spark, f"{folder}/*", max_bytes=LIMIT)
     later = runs_async(F.col("length"), F.lit(1), F.col("suffix") == "pdf", heavy_mb=1000 / (1 << 20))
     return files.groupBy("suffix").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.count_if(later).alias("background"))
 

@@ -13,6 +13,7 @@ from foliant.functions import scores as S
 from foliant.functions import tables as T2
 from foliant.functions import text as T
 from foliant.operators import assembly, candidates, control, documents, jobs, layout, ranges, tables
+from foliant.plans import reading_queries
 from foliant.sources import folders, readers, state_log, writers
 
 
@@ -451,3 +452,24 @@ def test_words_of_talk_are_part_of_what_the_patterns_find(spark):
     d = spark.createDataFrame([("x\n puedo ayudarte a redactar",)], "t string")
     assert times_in_plan(d.select(K.strip_chatter(F.col("t")).alias("v")), "split(") <= 3
     assert one(spark, ["\n puedo explicar la estructura y todo lo demás de este contrato" + " x" * 60, "a\n\n¿En qué más puedo ayudarte\nb"], K.strip_chatter) != ["", ""]
+
+
+def test_files_are_written_without_a_process_each(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "FOLDER_FILES", 3)
+    rows = [("pdf", f"á{i % 5}") for i in range(10)] + [("png", ""), ("png", "a\nb"), ("png", None), ("doc", "x"), (None, "x")]
+    df = spark.createDataFrame(rows, "suffix string, x string").repartition(2)
+    for folder in (tmp_path / "a", f"file://{tmp_path}/b"):
+        writers.write_files(df, str(folder), "suffix", "x", ("pdf", "png"))
+    for folder in (tmp_path / "a", tmp_path / "b"):
+        files = [f for f in folder.rglob("*") if f.is_file()]
+        assert sorted((f.suffix[1:], f.read_text()) for f in files) == sorted((s, x + "\n") for s, x in rows[:12])
+        assert not [f for f in files if f.name.startswith(".")] and all(len(list(d.iterdir())) <= 3 for d in folder.iterdir())
+        assert readers.documents(spark, f"file://{folder}/*").count() == 12
+    writers.write_files(df.limit(0), f"{tmp_path}/c", "suffix", "x", ("pdf", "png"))
+    assert readers.documents(spark, f"{tmp_path}/c/*").count() == 0
+
+
+def test_queries_write_files_with_no_checksums_beside_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reading_queries, "_folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    assert reading_queries.ingested_files(spark, "/root/testdata/sf0.001").count() > 0
+    assert list((tmp_path / "files").rglob("*.pdf")) and not list((tmp_path / "files").rglob("*.crc"))
