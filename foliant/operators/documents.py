@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions.text import PAGE_BREAK, compress_markdown, section_title, strip, whole
-from foliant.operators.grams import held_strings
+from foliant.operators.grams import held_strings, maybe_held, window_filter
+from foliant.sources.folders import session_folder
 
 
 def ordered_texts(df: DataFrame, key: str, order: str, text: Column) -> DataFrame:
@@ -101,11 +102,17 @@ def lines_not_in(lines: DataFrame, main: DataFrame, line: str, main_key: str, ma
 
     A line goes if a text holds it, or, up to `longest` characters, any of its grams at every `stride`-th place. Long lines
     are known by grams end to end: such as a text holds all of are looked at again in the texts that hold the rarest one.
-    A filter of the lines' grams goes to the texts, from which only what it lets through is taken: no text is exploded,
-    and none is shuffled but those that a long line is looked for in.
+    Where the texts are few enough for a filter of their grams, it goes to the lines first, and only such as it lets through
+    are looked for. A filter of these lines' grams goes to the texts, from which only what it lets through is taken: no text
+    is exploded, and none is shuffled but those that a long line is looked for in.
     """
-    keys = lines.select(F.lower(strip(F.col(line))).alias("key")).where(F.length("key") >= 2).distinct()
+    every = lines.select(F.lower(strip(F.col(line))).alias("key")).where(F.length("key") >= 2)
     texts = main.select(F.lower(F.col(main_text)).alias("t")).where("t <> ''").withColumn("tid", F.xxhash64("t"))
+    windows = window_filter(texts, "t", list(range(2, gram + 1)))
+    some = every if windows is None else maybe_held(every, "key", windows, gram, stride, longest)
+    folder = session_folder(lines.sparkSession, "lines")
+    some.distinct().write.parquet(f"{folder}/keys")  # read three times
+    keys = lines.sparkSession.read.schema("key string").parquet(f"{folder}/keys")
     n = F.length("key")
     apart = F.when(n <= longest, F.lit(stride)).otherwise(F.lit(gram))
     starts = F.when(n < gram, F.array(F.lit(1))).otherwise(F.array_distinct(F.concat(F.sequence(F.lit(1), n - gram + 1, apart), F.when(n > longest, F.array(n - gram + 1)).otherwise(F.array().cast("array<int>")))))
@@ -117,4 +124,4 @@ def lines_not_in(lines: DataFrame, main: DataFrame, line: str, main_key: str, ma
     long = probes.where(n > longest).join(counted, "g", "left").groupBy("key").agg(F.min_by("g", "texts").alias("g"), F.bool_and(F.col("texts").isNotNull()).alias("all"))
     near = long.where("all").select("key", "g").join(held, "g").select("key", "tid")
     found = near.join(texts, "tid").where(F.contains("t", "key")).select("key")
-    return keys.join(short.union(found).distinct(), "key", "left_anti")
+    return every.distinct().join(short.union(found).distinct(), "key", "left_anti")

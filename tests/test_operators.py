@@ -12,7 +12,7 @@ from foliant.functions import predicates as P
 from foliant.functions import scores as S
 from foliant.functions import tables as T2
 from foliant.functions import text as T
-from foliant.operators import assembly, candidates, control, documents, jobs, layout, ranges, tables
+from foliant.operators import assembly, candidates, control, documents, grams, jobs, layout, ranges, tables
 from foliant.plans import reading_queries
 from foliant.sources import folders, readers, state_log, writers
 
@@ -473,3 +473,21 @@ def test_queries_write_files_with_no_checksums_beside_them(spark, tmp_path, monk
     monkeypatch.setattr(reading_queries, "_folder", lambda spark, name: f"file://{tmp_path}/{name}")
     assert reading_queries.ingested_files(spark, "/root/testdata/sf0.001").count() > 0
     assert list((tmp_path / "files").rglob("*.pdf")) and not list((tmp_path / "files").rglob("*.crc"))
+
+
+def test_only_lines_that_a_text_may_hold_are_looked_for(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    texts = [word(300) for _ in range(5)]
+    lines = [word(rng.choice([9, 40, 80, 81, 400])).strip() for _ in range(400)] + [texts[0][10:30], texts[1][:200], texts[2][5:14], texts[3][40:120], texts[4][7:88] + "x"]
+    main = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    asked = []
+    monkeypatch.setattr(documents, "held_strings", lambda *a: asked.append(a[3].count()) or grams.held_strings(*a))
+    ask = lambda: {r["key"] for r in documents.lines_not_in(spark.createDataFrame([(x,) for x in lines], "line string"), main, "line", "i", "t").collect()}
+    got = ask()
+    assert asked[0] < 100 and {x.strip() for x in lines[400:404]} & got == set() and lines[404].strip() in got
+    monkeypatch.setattr(documents, "window_filter", lambda *a: None)
+    assert ask() == got and asked[1] > 2000
+    monkeypatch.setattr(documents, "window_filter", grams.window_filter)
+    monkeypatch.setattr(grams, "SEGMENT", 50)
+    assert ask() == got
