@@ -3,13 +3,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions import tables as T
 from foliant.functions.scores import header_hits, score_table_markdown
-from foliant.functions.text import strip
+from foliant.functions.text import once, strip
 from foliant.operators.layout import cluster_positions
 
 
@@ -52,23 +52,43 @@ def infer_bounds(rows: DataFrame, pages: DataFrame, page: str = "page_id") -> Da
     The middles of the twelve widest gaps of the first eight rows, 28 apart; where they give fewer than four columns,
     quantiles of the words' centres, 30 apart.
     """
-    w = Window.partitionBy(page, "row").orderBy("left", "pos", "width")
-    right = F.col("left") + F.col("width")
-    after = rows.withColumn("_next", F.lead("left").over(w)).withColumn("_i", F.row_number().over(w))
-    gaps = after.where((F.col("row") < 8) & (F.col("_next") - right >= 14))
-    widest = F.row_number().over(Window.partitionBy(page).orderBy(F.desc(F.col("_next") - right), "row", "_i"))
-    mids = gaps.withColumn("_n", widest).where("_n <= 12").groupBy(page).agg(F.sort_array(F.collect_set(F.bround((right + F.col("_next")) / 2, 1))).alias("mids"))
-    centre = F.col("left") + F.col("width") / 2
-    counts = [4, 5, 6, 7, 8]
-    stats = rows.groupBy(page).agg(F.count("*").alias("n"), *[F.percentile(centre, F.array(*[F.lit(i / (m - 1)) for i in range(m)])).alias(f"q{m}") for m in counts])
-    both = pages.select(page, F.col("width").cast("double").alias("_w")).join(stats, page, "left").join(mids, page, "left")
-    m = F.least(F.lit(8), F.greatest(F.lit(4), F.floor(F.col("n") / 6)))
-    quantiles = F.coalesce(*[F.when(m == k, F.slice(f"q{k}", 2, k - 2)) for k in counts])
-    zero, edge = F.array(F.lit(0.0)), F.array(F.col("_w"))
-    by_gaps = F.concat(T.spaced(F.concat(zero, "mids"), F.lit(28)), edge)
-    by_centres = F.when(F.col("n") < 8, F.concat(zero, edge)).otherwise(F.concat(T.spaced(F.concat(zero, quantiles), F.lit(30)), edge))
-    bounds = F.when(F.size("mids") > 0, F.when(F.size(by_gaps) >= 5, by_gaps))
-    return both.select(page, F.coalesce(bounds, by_centres, F.concat(zero, edge)).alias("bounds"))
+    words = F.sort_array(F.collect_list(F.struct("row", "left", "pos", "width")))
+    joined = pages.select(page, F.col("width").cast("double").alias("_w")).join(rows.groupBy(page).agg(words.alias("ws")), page, "left")
+    return joined.select(page, F.coalesce(bounds_of(F.col("ws"), F.col("_w")), F.array(F.lit(0.0), F.col("_w"))).alias("bounds"))
+
+
+def bounds_of(words: Column, width: Column) -> Column:
+    """The bounds of infer_bounds from a page's words (an array of structs with row, left and width) by row and left edge."""
+    right = lambda w: w["left"] + w["width"]
+
+    def gap(w: Column, i: Column) -> Column:
+        after = F.get(words, i + 1)
+        wide = (w["row"] < 8) & after["row"].eqNullSafe(w["row"]) & (after["left"] - right(w) >= 14)
+        return F.when(wide, F.struct((right(w) - after["left"]).alias("d"), i.alias("i"), F.bround((right(w) + after["left"]) / 2, 1).alias("mid")))
+
+    def middles(gaps: Column) -> Column:
+        return F.sort_array(F.array_distinct(F.transform(F.slice(F.sort_array(gaps), 1, 12), lambda g: g["mid"])))
+
+    zero, edge, n = F.array(F.lit(0.0)), F.array(width), F.size(words)
+
+    def by_gaps(mids: Column) -> Column:
+        return F.when(F.size(mids) > 0, once(F.concat(T.spaced(F.concat(zero, mids), F.lit(28)), edge), lambda b: F.when(F.size(b) >= 5, b)))
+
+    def quantiles(centres: Column) -> Column:
+        m = F.least(F.lit(8), F.greatest(F.lit(4), F.floor(n / 6))).cast("int")
+
+        def between(at: Column) -> Column:
+            low, high = F.get(centres, F.floor(at).cast("int")), F.get(centres, F.ceil(at).cast("int"))
+            return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+        return F.transform(F.sequence(F.lit(1), m - 2), lambda i: once(i / (m - 1) * (F.size(centres) - 1), between))
+
+    def by_centres() -> Column:
+        centres = F.array_sort(F.filter(F.transform(words, lambda w: w["left"] + w["width"] / 2), lambda c: c.isNotNull()))
+        return F.when(n < 8, F.concat(zero, edge)).otherwise(F.concat(T.spaced(F.concat(zero, once(centres, quantiles)), F.lit(30)), edge))
+
+    gaps = F.filter(F.transform(words, gap), lambda g: g.isNotNull())
+    return once(once(gaps, middles), lambda mids: F.coalesce(by_gaps(mids), by_centres()))
 
 
 def rows_of_cells(words: DataFrame, bounds: DataFrame, page: str = "page_id") -> DataFrame:
@@ -101,12 +121,32 @@ def grid_tables(words: DataFrame, grids: DataFrame, page: str = "page_id") -> Da
 
 def cluster_tables(words: DataFrame, pages: DataFrame, page: str = "page_id") -> DataFrame:
     """page, markdown from words in rows alone (page, row, pos, left, width, text); three rows at least. pages: page, width."""
-    many = words.groupBy(page).agg(F.max("row").alias("_last")).where("_last >= 2").select(page)
-    kept = words.join(many, page, "left_semi")
-    rows = rows_of_cells(kept, infer_bounds(kept, pages, page), page)
+    ordered = F.sort_array(F.collect_list(F.struct("row", "left", "pos", "text", "width")))
+    sheets = words.groupBy(page).agg(F.max("row").alias("_last"), ordered.alias("ws")).where("_last >= 2").select(page, "ws")
+    wide = sheets.join(pages.select(page, F.col("width").cast("double").alias("_w")).hint("shuffle_hash"), page)
+    known = wide.select(page, "ws", bounds_of(F.col("ws"), F.col("_w")).alias("bounds"))
+    rows = known.select(page, cells_of(F.col("ws"), F.col("bounds")).alias("rows"))
     return rows.select(page, T.rows_to_markdown(T.trim_edges(F.col("rows"))).alias("markdown"))
 
 
+def cells_of(words: Column, bounds: Column) -> Column:
+    """The rows of cells of rows_of_cells from a page's words (an array of structs with row, left, width and text) in order
+    of row, left edge, pos and text."""
+    begins = F.filter(F.transform(words, lambda w, i: F.when((i == 0) | ~F.get(words, i - 1)["row"].eqNullSafe(w["row"]), i)), lambda i: i.isNotNull())
+
+    def cells(line: Column, edges: Column) -> Column:
+        n = F.size(edges)
+        # T.column_of for bounds that ascend, but for the last one, by the left edges that a word's centre has passed
+        passed = lambda w: F.size(F.filter(edges, lambda e: e <= w["left"] + w["width"] / 2))
+        placed = F.transform(line, lambda w: F.struct(((passed(w) + n - 1) % n).alias("col"), w["text"].alias("text")))
+        return once(placed, lambda ws: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.transform(F.filter(ws, lambda w: w["col"] == i), lambda w: w["text"]), " ")))
+
+    def lines(starts: Column, edges: Column) -> Column:
+        return F.transform(starts, lambda s, k: once(F.slice(words, s + 1, F.coalesce(F.get(starts, k + 1), F.size(words)) - s), lambda line: cells(line, edges)))
+
+    return once(F.slice(bounds, F.lit(1), F.size(bounds) - 1), lambda edges: once(begins, lambda starts: lines(starts, edges)))
+
+
 def header_tables(words: DataFrame, pages: DataFrame, page: str = "page_id", least_words: int = 24) -> DataFrame:
     """page, markdown under a header row: the first of ten rows with three header words. words: page, row, pos, left,
     width, text; pages: page, width.

@@ -491,3 +491,20 @@ def test_only_lines_that_a_text_may_hold_are_looked_for(spark, monkeypatch):
     monkeypatch.setattr(documents, "window_filter", grams.window_filter)
     monkeypatch.setattr(grams, "SEGMENT", 50)
     assert ask() == got
+
+
+def test_tables_of_words_take_one_shuffle_of_the_words(spark):
+    rng = random.Random(9)
+    rows = [(p, r, k, float(rng.randrange(0, 900, 7)), float(rng.choice([0, 10, 25, 60])), rng.choice(["a", "b|c", " ", "", None])) for p in range(40) for r in range(rng.randrange(1, 12)) for k in range(rng.randrange(1, 9))]
+    rows += [(90, r, 0, 5.0, 2.0, t) for r in range(3) for t in "ba"] + [(91, 1, 0, 5.0, 2.0, "a"), (None, 2, 0, 1.0, 1.0, "x"), (92, 4, 1, None, 3.0, "y"), (92, None, 1, 4.0, 3.0, "z")]
+    words = spark.createDataFrame(rows, "page_id int, row int, pos int, left double, width double, text string").repartition(3)
+    pages = words.select("page_id").distinct().withColumn("width", F.when(F.col("page_id") % 3 == 0, 300.0).otherwise(1000.0))
+    out = tables.cluster_tables(words, pages)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3
+    bounds = tables.infer_bounds(words, pages)
+    assert {r["page_id"]: len(r["bounds"]) for r in bounds.collect()}[90] == 2
+    many = words.join(words.groupBy("page_id").agg(F.max("row").alias("m")).where("m >= 2").select("page_id"), "page_id", "left_semi")
+    same = tables.rows_of_cells(many, bounds).select("page_id", T2.rows_to_markdown(T2.trim_edges(F.col("rows"))).alias("markdown"))
+    got = {tuple(r) for r in out.collect()}
+    assert got == {tuple(r) for r in same.collect()} and len(got) > 30
