@@ -62,14 +62,46 @@ def word_vowel_ratio(text: Column) -> Column:
     return share(text, rf"{WORD_CHAR}{{5,}}|{WORD_CHAR}*{VOWEL_WIDE}{WORD_CHAR}*", WORD)
 
 
+def accent_words(text: Column) -> Column:
+    """Struct (words, good): the words, and those that hold an accent or have four characters; both from one pass, which
+    leaves a blank for each word, with one of its characters if it is good, and a blank for what follows the last."""
+    c, gap = WORD_CHAR, r"[^\p{L}\p{N}_]"
+    marked = F.regexp_replace(whole(text), rf"{gap}*+(?:{c}{{3}}({c}){c}*+|{c}*?({ACCENT}){c}*+|{c}++)|{gap}++\z", " $1$2")
+    tail = F.substring(whole(text), -1, 1).rlike(gap).cast("int")
+
+    def counted(m: Column, good: Column) -> Column:
+        return F.struct((F.length(m) - good - tail).alias("words"), good.alias("good"))
+
+    return once(marked, lambda m: once(F.length(F.replace(m, F.lit(" "), F.lit(""))), lambda good: counted(m, good)))
+
+
+def accent_share(words: Column) -> Column:
+    return words["good"] / F.greatest(words["words"], F.lit(1))
+
+
 def word_accent_ratio(text: Column) -> Column:
     """Share of words that hold an accent or have four characters."""
-    return share(text, rf"{WORD_CHAR}{{4,}}|{WORD_CHAR}*{ACCENT}{WORD_CHAR}*", WORD)
+    return once(accent_words(text), accent_share)
+
+
+#: Characters of a length that count, and how many of a text mostly hold as many.
+MOST_CHARS, FIRST_CHARS = 3000, 4000
 
 
-def default_quality_score(text: Column) -> Column:
-    plain = strip(F.regexp_replace(whole(text), r"[#*|_>`\[\]()\s]++", " "))
-    return once(plain, lambda p: F.least(F.length(p), F.lit(3000)) / 60 + F.least(count_words(p), F.lit(400)) / 10 + word_accent_ratio(p) * 20)
+def default_quality_score(text: Column, words: Column | None = None) -> Column:
+    """Of the text without marks of Markdown: length, words and share of good words; at most 110.
+
+    words: accent_words of the text, where it is a column already.
+    """
+    size = lambda t: F.length(strip(F.regexp_replace(t, r"[#*|_>`\[\]()\s]++", " ")))
+    full = whole(text)
+    # a text is no shorter than its beginning
+    most = F.lit(MOST_CHARS)
+    length = once(F.least(size(F.substring(full, 1, FIRST_CHARS)), most), lambda n: F.when((n >= most) | (F.length(full) <= FIRST_CHARS), n).otherwise(F.least(size(full), most)))
+    # of the marks, only an underscore is part of a word
+    bare = accent_words(F.replace(full, F.lit("_"), F.lit(" ")))
+    own = bare if words is None else F.when(full.contains("_"), bare).otherwise(words)
+    return once(own, lambda w: length / 60 + F.least(w["words"], F.lit(400)) / 10 + accent_share(w) * 20)
 
 
 def base64_char_ratio(text: Column) -> Column:

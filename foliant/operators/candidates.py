@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions.cleaning import append_annotations, format_annotations
-from foliant.functions.scores import default_quality_score, text_quality_score, word_accent_ratio
+from foliant.functions.scores import accent_share, accent_words, default_quality_score, text_quality_score
 from foliant.functions.text import once, strip, strip_markdown_syntax, whole
 
 # The variants of a page image, how many configurations read one, what a quick reading has to reach, and what
@@ -43,7 +43,8 @@ def vote(readings: DataFrame, page: str, text: str, provider: str, within: float
     Readings under eight characters have no vote.
     """
     size = F.length(strip(whole(F.col(text))))
-    scored = readings.where(size >= 8).withColumns({"score": default_quality_score(F.col(text)), "size": size, "ratio": word_accent_ratio(F.col(text))})
+    known = readings.where(size >= 8).withColumns({"_words": accent_words(F.col(text)), "size": size})
+    scored = known.withColumns({"score": default_quality_score(F.col(text), F.col("_words")), "ratio": accent_share(F.col("_words"))})
     # one text of a page leaves a task; of the others only the scores do
     best = scored.groupBy(page).agg(
         F.max_by(text, F.struct("score", "size", "ratio", F.col(provider))).alias("text"), F.max("score").alias("best"),

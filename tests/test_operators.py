@@ -508,3 +508,21 @@ def test_tables_of_words_take_one_shuffle_of_the_words(spark):
     same = tables.rows_of_cells(many, bounds).select("page_id", T2.rows_to_markdown(T2.trim_edges(F.col("rows"))).alias("markdown"))
     got = {tuple(r) for r in out.collect()}
     assert got == {tuple(r) for r in same.collect()} and len(got) > 30
+
+
+def test_words_and_good_words_come_from_one_pass(spark):
+    rng = random.Random(2)
+    texts = ["", None, "x", " x ", "xx xöx_1\n\n x", "🙂a🙂", "ñ", "aé", "_", "a_b", "__ab__ *cd*", "١٢٣٤ x", "𝒳𝒳𝒳𝒳 𝒳", "...", "a.", ".a", " " * 5000 + "a" * 5000, "a " * 4000, "# |" * 3000 + "fin", "xxxx " * 900]
+    texts += ["".join(rng.choices("axé_ñÑ.1 \n*#🙂ü", k=rng.choice([3, 20, 200]))) for _ in range(300)]
+    t = spark.createDataFrame([(x,) for x in texts], "t string")
+    good, word = rf"{S.WORD_CHAR}{{4,}}|{S.WORD_CHAR}*{S.ACCENT}{S.WORD_CHAR}*", T.WORD
+    plain = T.strip(F.regexp_replace(T.whole(F.col("t")), r"[#*|_>`\[\]()\s]++", " "))
+    p = t.select("t", plain.alias("p"), S.accent_words(F.col("t")).alias("w"))
+    before = F.least(F.length("p"), F.lit(3000)) / 60 + F.least(F.regexp_count("p", F.lit(word)), F.lit(400)) / 10 + S.share(F.col("p"), good, word) * 20
+    same = p.select(
+        F.col("w.words") == F.regexp_count(T.whole(F.col("t")), F.lit(word)), F.col("w.good") == F.regexp_count(T.whole(F.col("t")), F.lit(good)),
+        S.default_quality_score(F.col("t")) == before, S.default_quality_score(F.col("t"), F.col("w")) == before, S.word_accent_ratio(F.col("t")) == S.share(F.col("t"), good, word),
+    )
+    assert all(all(r) for r in same.collect())
+    vote = candidates.vote(t.select(F.lit(1).alias("page"), "t", F.lit("a").alias("who")), "page", "t", "who")
+    assert vote._jdf.queryExecution().optimizedPlan().toString().count("{3}") == 2
