@@ -5,13 +5,14 @@ Tests on lines take a line as it is; the words they look for are fixed values of
 
 from __future__ import annotations
 
+from string import ascii_letters, digits
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from foliant.functions.predicates import CLAUSE, ORDINAL, SENTENCE, capitals_only, has, has_long_base64, is_heading_line, is_stamp_line, is_table_line, tokens
 from foliant.functions.scores import EDGE, VOWEL, base64_char_ratio, token_vowel_ratio, word_vowel_ratio
-from foliant.functions.text import normalize_markdown, normalize_whitespace, once, rewrite, strip, whole
+from foliant.functions.text import count_chars, normalize_markdown, normalize_whitespace, once, rewrite, strip, whole
 
 # Phrases of digital tax seals that end a line's useful text, and what else goes from inside a line.
 SEAL_TAILS = (
@@ -19,8 +20,6 @@ SEAL_TAILS = (
     "N[uú]mero de serie del Certificado(?: de Sello Digital)?(?: del SAT)?:?", "Certificado de Sello Digital:?", "Complemento de Certificaci[oó]n Digital del SAT",
     "Este documento es una representaci[oó]n impresa de un CFDI", "Persona Moral Grandes Contribuyentes", r"HOJA\s+\d+\s*/\s*\d+",
 )
-#: One of these is part of each of them.
-SEAL_WORDS = ("sello", "certificaci", "certificado", "representaci", "contribuyentes", "hoja")
 SEAL_LINE = (
     "sello digital del cfdi|sello digital del sat|sello del sat|cadena original del complemento|n[uú]mero de serie del certificado"
     "|certificado de sello digital|cadena original del timbre|complemento de certificaci[oó]n digital"
@@ -45,6 +44,21 @@ SMALL_TOKENS = r"(?:^|[^\p{L}\p{N}_])(?:[A-Za-z]{1,2}[\s|]{1,3}){5}"  # a test:
 #: 48 characters of the alphabet, or groups of five or more that white space parts, four at least. A group counts only
 #: where another begins after it, so the possessive loop ends where a greedy one would have turned back to.
 BASE64_RUNS = r"[A-Za-z0-9+/=]{48,}|(?:[A-Za-z0-9+/]{5,}+\s++(?=[A-Za-z0-9+/=]{5})){3,}+[A-Za-z0-9+/=]{5,}"
+#: Characters of encoded text, without and with padding, and letters. Classes of single characters are looked up in a table, ranges one by one.
+CODED, PADDED = f"[{ascii_letters}{digits}+/]", f"[{ascii_letters}{digits}+/=]"
+SPANISH = f"{ascii_letters}áéíóúñÁÉÍÓÚÑ"
+#: Of a text without equals signs, the BASE64_RUNS with 36 characters: what is counted goes on over white space only where a
+#: run does. A run that is too short holds no other that is long enough, so none needs to be taken first.
+CHAIN = (
+    rf"(?={CODED}{{5,}}+\s++{CODED}{{5,}}+\s++{CODED}{{5,}}+\s++{CODED}{{5}})(?=(?:{CODED}(?:\s++(?={CODED}{{5}}))?+){{36}})(?:{CODED}{{5,}}+\s++(?={CODED}{{5}})){{3,}}+{CODED}++"
+)
+LONG_RUNS, NOISE_RUNS = (rf"(?<!{CODED})(?={CODED}{{5}})(?:{CODED}{{48,}}+|{CHAIN}{rest})" for rest in ("", rf"|{CODED}{{32,}}+"))
+#: A meaningful word: four letters or digits with a vowel, but for signs at its ends. Without a small letter it is all capitals.
+MEANINGFUL = rf"""(?<!\S)[.,;:'"]*+(?=[{SPANISH}{digits}]{{4}})[{''.join(c for c in SPANISH + digits if c not in VOWEL)}]*+{VOWEL}[{SPANISH}{digits}]*+[.,;:'"]*+(?!\S)"""
+# A part of each match of SEAL_TAILS, and of SEAL_LINE and BOILERPLATE, in any case; it begins with one of few
+# letters, so that hardly more than one look-up is spent on a character. Other letters stand for s and i where case does not count.
+SEAL_PART = r"[lLfFpPbBjJ](?:[lL][oO]|[iIİı][cC][aA]|[rR][eE][sSſ][eE][nN]|[uU][yY][eE][nN]|[aA]\s*\d)"
+SEAL_LINE_PART = r"[lLdDmMpPbBjJ](?:[lL][oO]|[eE][nN][aA]|[eE][rR][oO] [dD]|[lL][eE][mM]|[rR][eE][sSſ][eE][nN]|[uU][yY][eE][nN]|[aA]\s*\d)"
 EVIDENCE_FIELDS = (
     ("Archivo firmado", r"Archivo\s+Firmado:\s*\n?\s*(\S+)"), ("Firmante", r"FIRMANTE\s+Nombre:\s*\n\s*([^\n]+)"),
     ("No. serie", r"FIRMA\s+No\.\s*serie:\s*\n\s*([^\n]+)"), ("Algoritmo", r"Algoritmo:\s*\n?\s*([^\n]+)"),
@@ -82,24 +96,33 @@ def remove_base64(text: Column, strict_reference: bool = True) -> Column:
         coded = (F.length(F.regexp_replace(found, r"\s+", "")) >= 36) & (F.lit(strict_reference) | found.rlike("[0-9+/=]"))
         return F.when(coded, " ").otherwise(found)
 
-    return once(whole(text), lambda t: F.when(t.rlike(BASE64_RUNS), replace_each(t, BASE64_RUNS, blank)).otherwise(t))
+    def each(t: Column) -> Column:
+        return F.when(t.rlike(BASE64_RUNS), replace_each(t, BASE64_RUNS, blank)).otherwise(t)
+
+    if not strict_reference:
+        return once(whole(text), each)
+    return once(whole(text), lambda t: F.when(t.contains("="), each(t)).otherwise(F.regexp_replace(t, LONG_RUNS, " ")))
 
 
 def strip_inline_noise(line: Column) -> Column:
     """A line without tax seals, serials, identifiers, encoded runs and pipe runs."""
-    sealed = once(F.lower(F.upper(whole(line))), lambda f: F.exists(F.array(*map(F.lit, SEAL_WORDS)), lambda w: f.contains(w)))  # few lines need the ten patterns
-    t = F.when(sealed, rewrite(whole(line), [(f"(?iu){p}.*", "") for p in SEAL_TAILS])).otherwise(whole(line))
-    t = rewrite(t, [(f"(?iu){TAX_REPEAT}", " "), (UUID, "$1 $2"), (SERIAL, "$1 $2")])
-    t = rewrite(remove_base64(t), [("[A-Za-z0-9+/=]{32,}", " "), (r"(?i)\[\s*m\d?\s*\]", ""), (r"\|{2,}", " "), (r"\s{2,}", " ")])
-    return strip(F.regexp_replace(t, r"""^[ |.,;:\-'"]+|[ |.,;:\-'"]+$""", ""))
+
+    def denoised(s: Column) -> Column:
+        t = F.when(s.rlike(SEAL_PART), rewrite(s, [(f"(?iu){p}.*", "") for p in SEAL_TAILS])).otherwise(s)  # few lines need the ten patterns
+        t = rewrite(t, [(f"(?iu){TAX_REPEAT}", " "), (UUID, "$1 $2", "-"), (SERIAL, "$1 $2")])
+        coded = lambda x: F.when(x.contains("="), F.regexp_replace(remove_base64(x), f"{PADDED}{{32,}}+", " ")).otherwise(F.regexp_replace(x, NOISE_RUNS, " "))
+        t = rewrite(once(t, coded), [(r"(?i)\[\s*m\d?\s*\]", "", "["), (r"\|{2,}", " ", "||"), (r"\s{2,}", " ")])
+        return strip(F.regexp_replace(t, r"""^[ |.,;:\-'"]+|[ |.,;:\-'"]+$""", ""))
+
+    return once(whole(line), denoised)
 
 
 def letters(line: Column) -> Column:
-    return F.regexp_count(line, F.lit(r"\p{L}"))
+    return count_chars(line, r"[\p{L}]")
 
 
 def vowels(line: Column) -> Column:
-    return F.regexp_count(line, F.lit(VOWEL))
+    return count_chars(line, VOWEL)
 
 
 def meaningful_words(line: Column) -> Column:
@@ -123,23 +146,24 @@ def looks_like_stamp_noise(line: Column) -> Column:
 def is_stamp_gibberish(line: Column) -> Column:
     """The full test for circular stamps read badly."""
     bare = F.regexp_replace(whole(line), r"^\s+|\s+$", "")  # as a pattern: a test counts it in the plan
-    return once(bare, lambda s: once(tokens(s), lambda ts: once(token_vowel_ratio(s), lambda r: _is_gibberish(s, ts, r))))
+    return once(bare, lambda s: once(token_vowel_ratio(s), lambda r: _is_gibberish(s, r)))
 
 
-def _is_gibberish(s: Column, ts: Column, r: Column) -> Column:
-    words = F.size(meaningful_words(s))
-    n, tiny = F.size(ts), F.size(F.filter(ts, lambda t: F.length(t) <= 3))
-    digits = F.regexp_count(s, F.lit("[0-9]"))
+def _is_gibberish(s: Column, r: Column) -> Column:
+    """r: token_vowel_ratio of s. Lines with few vowels, and short ones without a meaningful word; the others take no test."""
+    n, tiny = F.regexp_count(s, F.lit(r"\S++")), F.regexp_count(s, F.lit(r"(?<!\S)\S{1,3}+(?!\S)"))
     long_words = F.filter(F.regexp_extract_all(s, F.lit("[a-záéíóúñA-ZÁÉÍÓÚÑ]{5,}"), F.lit(0)), lambda w: w.rlike(VOWEL))
-    mixed = s.rlike(r"[A-Za-z]+[0-9]+|[0-9]+[A-Za-z]+") & (r < 0.35) & (F.size(long_words) == 0)
+    mixed = s.rlike(r"[A-Za-z]+[0-9]+|[0-9]+[A-Za-z]+") & (F.size(long_words) == 0)
     fields = s.rlike(r"(?iu)RFC|IVA|CP|CURP|BBVA|\$|TOTAL|PAGADO")
-    early = (
-        ((n >= 4) & (tiny / n > 0.5) & (r < 0.38)) | ((n >= 6) & (r < 0.22)) | (s.rlike(SMALL_TOKENS) & (r < 0.35)) | mixed
-        | ((F.length(s) >= 12) & (r < 0.15) & (letters(s) >= 6) & (digits >= 1)) | ((F.length(s) <= 45) & (n <= 5) & (words == 0) & ~fields)
-        | ((F.length(s) < 60) & (words == 0) & s.rlike("[A-Za-z0-9+/=]{5,}") & ~fields & ~s.rlike("[0-9]{3,}"))
+    thin = (r < 0.38) & (
+        once(n, lambda k: ((k >= 4) & (tiny / k > 0.5)) | ((k >= 6) & (r < 0.22))) | ((r < 0.35) & (s.rlike(SMALL_TOKENS) | mixed))
+        | ((r < 0.15) & (F.length(s) >= 12) & (letters(s) >= 6) & s.rlike("[0-9]"))
     )
-    capitals = (F.length(s) <= 30) & (F.upper(s) == s) & (r < 0.25) & (words == 0) & ~s.rlike("[0-9]{3,}")
-    return (F.length(s) < 4) | (~s.startswith("#") & ~s.rlike("(?iu)" + KNOWN_LINE) & (early | capitals))
+    short = (F.length(s) < 60) & ~s.rlike(MEANINGFUL) & (
+        ((F.length(s) <= 45) & (n <= 5) & ~fields) | (s.rlike("[A-Za-z0-9+/=]{5,}") & ~fields & ~s.rlike("[0-9]{3,}"))
+        | ((F.length(s) <= 30) & (F.upper(s) == s) & (r < 0.25) & ~s.rlike("[0-9]{3,}"))
+    )
+    return (F.length(s) < 4) | (~s.startswith("#") & (thin | short) & ~s.rlike("(?iu)" + KNOWN_LINE))
 
 
 def looks_like_seal_tokens(line: Column) -> Column:
@@ -157,38 +181,48 @@ def _has_seal_tokens(s: Column, r: Column) -> Column:
         return (F.length(t) >= 6) & (coded | capital | signs)
 
     arrow = s.contains(">") & (F.length(s) < 55) & (r < 0.55) & ~s.rlike(r"(?iu)RFC|TOTAL|IMPORTE|\$|[0-9]{3,}|@")
-    return ((r < 0.42) & F.exists(plain, sealish)) | (arrow & (F.size(tokens(s)) > 0))
+    return ((r < 0.42) & F.exists(plain, sealish)) | arrow
 
 
 def is_seal_line(line: Column, rest: Column | None = None) -> Column:
     """rest: strip_inline_noise of the stripped line, where it is at hand."""
-    return once(strip(whole(line)), lambda s: _is_seal(s, strip_inline_noise(s) if rest is None else rest))
+    return once(strip(whole(line)), lambda s: _is_seal(s, strip_inline_noise(s) if rest is None else rest, F.lit(True)))
 
 
-def _is_seal(s: Column, rest: Column) -> Column:
-    phrase = s.rlike("(?iu)" + SEAL_LINE)
-    long_ = (F.length(s) > 350) & (base64_char_ratio(s) > 0.38)
-    thin = (F.length(rest) < F.greatest(F.lit(40.0), F.length(s) * 0.07)) | (token_vowel_ratio(rest) < 0.2)
-    first = phrase & ((F.length(rest) < 28) | (base64_char_ratio(rest) > 0.45))
-    serial = (F.length(s) < 120) & s.rlike(SERIAL) & phrase
-    return (s != "") & (first | F.when(long_, thin).otherwise(serial | has_long_base64(s)))
+def _is_seal(s: Column, rest: Column, told: Column) -> Column:
+    """told: whether the line holds a SEAL_LINE_PART. rest is worked out only where there is a phrase, or a long dense line."""
 
+    def sealed(phrase: Column, dense: Column, e: Column) -> Column:
+        thin = (F.length(e) < F.greatest(F.lit(40.0), F.length(s) * 0.07)) | (token_vowel_ratio(e) < 0.2)
+        first = (F.length(e) < 28) | (base64_char_ratio(e) > 0.45)
+        return (phrase & first) | F.when(dense, thin).otherwise((phrase & (F.length(s) < 120) & s.rlike(SERIAL)) | has_long_base64(s))
 
-def is_garbage_line(line: Column, rest: Column | None = None) -> Column:
-    """Any of the tests above, or hardly any words, letters or vowels for its length."""
-    return once(strip(whole(line)), lambda s: once(tokens(s), lambda ts: _is_garbage(s, ts, rest)))
+    def open_(phrase: Column, dense: Column) -> Column:
+        return F.when(phrase | dense, once(rest, lambda e: sealed(phrase, dense, e))).otherwise(has_long_base64(s))
+
+    phrase, dense = told & s.rlike("(?iu)" + SEAL_LINE), (F.length(s) > 350) & (base64_char_ratio(s) > 0.38)
+    return (s != "") & once(phrase, lambda p: once(dense, lambda d: open_(p, d)))
 
 
-def _is_garbage(s: Column, ts: Column, rest: Column | None) -> Column:
-    n = F.size(ts)
-    short = F.size(F.filter(ts, lambda t: (F.length(t) <= 2) & ~F.regexp_replace(F.lower(t), "^[.,;:]+|[.,;:]+$", "").isin(*FUNCTION_WORDS)))
-    words = F.size(F.filter(ts, lambda t: (F.length(t) >= 3) & t.rlike("[a-záéíóúñA-ZÁÉÍÓÚÑ]")))
-    few = (n >= 8) & ((short / n > 0.48) | (words / n < 0.28))
-    flat = (F.length(s) >= 20) & ((letters(s) < 6) | ((letters(s) >= 10) & (vowels(s) / letters(s) < 0.12)))
-    fine = F.regexp_count(s, F.lit(r"[\p{L}\p{N}$.,]"))
-    odd = (F.length(s) >= 80) & ((fine / F.length(s) < 0.52) | ((base64_char_ratio(s) > 0.42) & (token_vowel_ratio(s) < 0.25)))
+def is_garbage_line(line: Column) -> Column:
+    """Any of the tests above, or hardly any words, letters or vowels for its length."""
+    return once(strip(whole(line)), lambda s: once(token_vowel_ratio(s), lambda r: _is_garbage(s, r)))
+
+
+def _is_garbage(s: Column, r: Column) -> Column:
+    """Of a stripped line; r: its token_vowel_ratio. What takes more is tried only where a plain count allows it."""
+    known = F.regexp_count(s, F.lit(rf"(?<!\S)(?=\S{{1,2}}(?!\S))[.,;:]*+(?i:{'|'.join(w for w in FUNCTION_WORDS if len(w) < 3)})[.,;:]*+(?!\S)"))
+    most = F.regexp_count(s, F.lit(r"(?<!\S)\S{1,2}+(?!\S)"))
+    bare = F.regexp_count(s, F.lit(rf"(?<!\S)(?=\S{{3}})[^\s{SPANISH}]++(?!\S)"))  # three characters, none of them a letter
+    sparse = lambda n, k: ((k / n > 0.48) & ((k - known) / n > 0.48)) | ((n - k - bare) / n < 0.28)
+    few = once(F.regexp_count(s, F.lit(r"\S++")), lambda n: (n >= 8) & once(most, lambda k: sparse(n, k)))
+    # letters are no more than characters, and no fewer than vowels
+    thin = lambda v: ((v < 6) | (v / F.length(s) < 0.12)) & once(letters(s), lambda k: (k < 6) | ((k >= 10) & (v / k < 0.12)))
+    flat = (F.length(s) >= 20) & once(vowels(s), thin)
+    odd = (F.length(s) >= 80) & ((count_chars(s, r"[\p{L}\p{N}$.,]") / F.length(s) < 0.52) | ((r < 0.25) & (base64_char_ratio(s) > 0.42)))
     boiler = (F.length(s) < 160) & s.rlike("(?iu)" + BOILERPLATE)
-    return (s == "") | is_seal_line(s, rest) | looks_like_seal_tokens(s) | is_stamp_gibberish(s) | boiler | few | flat | odd
+    sealed = once(s.rlike(SEAL_LINE_PART), lambda told: _is_seal(s, strip_inline_noise(s), told) | (told & boiler))
+    return (s == "") | sealed | _has_seal_tokens(s, r) | _is_gibberish(s, r) | few | flat | odd
 
 
 def strip_watermarks(text: Column) -> Column:
@@ -291,48 +325,70 @@ def summarize_evidence(text: Column) -> Column:
     return F.concat(F.when(F.size(found) < 2, none).otherwise(body), F.lit(EVIDENCE_FOOT))
 
 
-def clean_line(s: Column, cleaned: Column, rest: Column, aggressive: bool = True) -> Column:
+def _pair(s: Column, r: Column) -> Column:
+    return F.struct(s.alias("s"), r.alias("r"))
+
+
+def clean_line(s: Column, cleaned: Column, aggressive: bool | Column = True) -> Column:
     """A recognised line: cleaned, empty, or null where it goes. Table lines and honest headings stay.
 
-    s: the stripped line; cleaned and rest: strip_inline_noise of it and of that, as columns of their own (see
-    clean_lines), so that none is worked out again in each test.
+    s: the stripped line; cleaned: strip_inline_noise of it. Both are taken as they are, so they should be columns or
+    variables, and each test is tried only where those before it leave the line open.
     """
+    hard = F.lit(aggressive) if isinstance(aggressive, bool) else aggressive
     title = strip(F.regexp_replace(s, r"^#+\s*", ""))
-    stamped = (title != "") & (F.length(title) <= 72) & ~title.rlike("(?iu)" + HONEST_HEADINGS) & ((capitals_only(title) & F.size(tokens(title)).between(2, 5)) | looks_like_seal_tokens(title) | is_stamp_gibberish(title))
-    changed = (s != cleaned) | (cleaned != rest)  # where nothing was taken off, both tests are one
-    r = token_vowel_ratio(cleaned)
-    rescued = (F.length(s) > 180) & (F.length(cleaned) >= 35) & (r >= 0.32) & ~looks_like_seal_tokens(cleaned)
-    harsh = (
-        ((F.length(s) > 90) & (F.length(cleaned) < F.greatest(F.lit(22.0), F.length(s) * 0.14))) | ((F.length(cleaned) >= 120) & (r < 0.18))
-        | ((F.length(cleaned) <= 14) & (r < 0.45) & ~cleaned.rlike(rf"(?iu)[$€]|^\d+[.,]\d{{2}}$|RFC|IVA|CP(?:$|{EDGE})"))
-    )
+
+    def stamped(t: Column) -> Column:
+        seal = once(token_vowel_ratio(t), lambda r: _has_seal_tokens(t, r) | _is_gibberish(t, r))
+        return (t != "") & (F.length(t) <= 72) & ~t.rlike("(?iu)" + HONEST_HEADINGS) & ((capitals_only(t) & F.size(tokens(t)).between(2, 5)) | seal)
+
+    def told(r: Column) -> Column:
+        rescued = (F.length(s) > 180) & (F.length(cleaned) >= 35) & (r >= 0.32) & ~_has_seal_tokens(cleaned, r)
+        harsh = (
+            ((F.length(s) > 90) & (F.length(cleaned) < F.greatest(F.lit(22.0), F.length(s) * 0.14))) | ((F.length(cleaned) >= 120) & (r < 0.18))
+            | ((F.length(cleaned) <= 14) & (r < 0.45) & ~cleaned.rlike(rf"(?iu)[$€]|^\d+[.,]\d{{2}}$|RFC|IVA|CP(?:$|{EDGE})"))
+        )
+        # the line is tested cleaned and as it is; without the signs at its ends it has the same words
+        own = F.when(F.btrim(s, F.lit(" |.,;:-'\"")) == cleaned, r).otherwise(token_vowel_ratio(s))
+        both = F.when(s == cleaned, F.array(_pair(cleaned, r))).otherwise(F.array(_pair(cleaned, r), _pair(s, own)))
+        garbage = F.exists(both, lambda x: once(x["s"], lambda y: _is_garbage(y, x["r"])))
+        return F.when(rescued, cleaned).when((hard & harsh) | garbage, None).otherwise(cleaned)
+
     return (
-        F.when(s == "", "").when(is_table_line(s), s).when(s.startswith("#"), F.when(~stamped, s))
-        .when(s.rlike("(?iu)" + STAMP_LINES) | ((F.length(s) <= 3) & ~s.rlike("^[0-9]+$")), None).when(cleaned == "", None).when(rescued, cleaned)
-        .when(is_garbage_line(cleaned, rest) | (changed & is_garbage_line(s, cleaned)) | (F.lit(aggressive) & harsh), None).otherwise(cleaned)
-    )
+        F.when(s == "", "").when(is_table_line(s), s).when(s.startswith("#"), F.when(~once(title, stamped), s))
+        .when(s.rlike("(?iu)" + STAMP_LINES) | ((F.length(s) <= 3) & ~s.rlike("^[0-9]+$")), None).when(cleaned == "", None)
+        .otherwise(once(token_vowel_ratio(cleaned), told))
+    )
+
+
+def cleaned_line(line: Column, aggressive: bool | Column = True) -> Column:
+    """A line as it was recognised through the whole cleaner."""
+    return once(strip(whole(line)), lambda s: once(strip_inline_noise(s), lambda c: clean_line(s, c, aggressive)))
 
 
 def clean_lines(lines: DataFrame, line: str, aggressive: bool = True) -> DataFrame:
     """lines with `cleaned` added."""
-    staged = lines.withColumn("_s", strip(whole(F.col(line))))
-    staged = staged.withColumn("_c", strip_inline_noise(F.col("_s"))).withColumn("_r", F.when(F.col("_c") == F.col("_s"), F.col("_c")).otherwise(strip_inline_noise(F.col("_c"))))
-    return staged.withColumn("cleaned", clean_line(F.col("_s"), F.col("_c"), F.col("_r"), aggressive)).drop("_s", "_c", "_r")
+    return lines.withColumn("cleaned", cleaned_line(F.col(line), aggressive))
 
 
-def sanitize_documents(docs: DataFrame, key: str, text: str, aggressive: bool = True, run: int = 10) -> DataFrame:
-    """key, markdown: documents without seals and noise. Ten lines or more dropped in a row leave a note behind.
+def sanitize(text: Column, aggressive: bool | Column = True, run: int = 10) -> Column:
+    """A text without seals and noise. Ten lines or more dropped in a row leave a note behind.
 
-    Lines are numbered and cleaned as rows; a window over a document's lines tells the runs of dropped ones.
+    Line by line inside the row, without a shuffle; of the lines that stay, the places tell the runs of dropped ones.
     """
-    body = F.regexp_replace(whole(F.col(text)), r"(?is)\n##\s+Firmas,\s+sellos\s+y\s+anotaciones.*", "")
-    body = remove_base64(strip(body)) if aggressive else strip_watermarks(strip(body))
-    lines = clean_lines(docs.select(key, F.posexplode(F.split(body, "\n", -1)).alias("line", "raw")), "raw", aggressive)
-    kept = F.col("cleaned").isNotNull()
-    before = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    seen = lines.withColumn("_last", F.max(F.when(kept, F.col("line"))).over(before))
-    skipped = F.col("line") - F.coalesce("_last", F.lit(-1)) - 1
-    note = (skipped >= run) & (F.lit(aggressive) | F.col("raw").startswith("#"))
-    piece = F.when(note, F.concat(F.lit("\n> Sello o timbre omitido.\n\n"), "cleaned")).otherwise(F.col("cleaned"))
-    joined = seen.groupBy(key).agg(F.sort_array(F.collect_list(F.when(kept, F.struct("line", piece.alias("t"))))).alias("ls"))
-    return joined.select(key, normalize_markdown(F.array_join(F.transform("ls", lambda x: x["t"]), "\n")).alias("markdown"))
+    hard = F.lit(aggressive) if isinstance(aggressive, bool) else aggressive
+    whole_ = strip(F.regexp_replace(whole(text), r"(?is)\n##\s+Firmas,\s+sellos\s+y\s+anotaciones.*", ""))
+    body = once(whole_, lambda t: F.when(hard, remove_base64(t)).otherwise(strip_watermarks(t)))
+    lines = F.transform(F.split(body, "\n", -1), lambda raw, i: F.struct(i.alias("line"), (hard | raw.startswith("#")).alias("noted"), cleaned_line(raw, aggressive).alias("t")))
+
+    def piece(kept: Column, x: Column, j: Column) -> Column:
+        skipped = x["line"] - F.coalesce(F.when(j > 0, F.get(kept, j - 1)["line"]), F.lit(-1)) - 1
+        return F.when((skipped >= run) & x["noted"], F.concat(F.lit("\n> Sello o timbre omitido.\n\n"), x["t"])).otherwise(x["t"])
+
+    joined = once(F.filter(lines, lambda x: x["t"].isNotNull()), lambda kept: F.array_join(F.transform(kept, lambda x, j: piece(kept, x, j)), "\n"))
+    return normalize_markdown(joined)
+
+
+def sanitize_documents(docs: DataFrame, key: str, text: str, aggressive: bool = True, run: int = 10) -> DataFrame:
+    """key, markdown: documents without seals and noise."""
+    return docs.select(key, sanitize(F.col(text), aggressive, run).alias("markdown"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_letters, digits
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ VOWEL = "[aeiouáéíóúAEIOUÁÉÍÓÚ]"
 VOWEL_WIDE = "[aeiouáéíóúüAEIOUÁÉÍÓÚÜ]"
 ACCENT = "[áéíóúÁÉÍÓÚñÑ]"
 SPANISH_LETTER = "[a-záéíóúñA-ZÁÉÍÓÚÑ]"
+#: The letters one by one, which the engine looks up in a table, and those that are no vowels.
+LETTERS = f"[{ascii_letters}áéíóúñÁÉÍÓÚÑ]"
+CONSONANTS = f"[{''.join(c for c in ascii_letters + 'ñÑ' if c not in VOWEL)}]"
 WORD_CHAR = r"[\p{L}\p{N}_]"
 HEADER_KEYS = ("FECHA", "NOMBRE", "CONCEPTO", "PAGO", "IMPORTE", "PAGADO", "MONTO", "REAL", "ROBADO")
 PAYROLL_KEYS = ("FECHA", "NOMBRE", "CONCEPTO", "IMPORTE", "PAGO")
@@ -53,8 +58,14 @@ def share(text: Column, good: str, all_: str) -> Column:
 
 
 def token_vowel_ratio(text: Column) -> Column:
-    """Share of runs of three or more Spanish letters that hold a vowel."""
-    return share(text, rf"(?={SPANISH_LETTER}*{VOWEL}){SPANISH_LETTER}{{3,}}", f"{SPANISH_LETTER}{{3,}}")
+    """Share of runs of three or more Spanish letters that hold a vowel. Those without one are counted, as they are few."""
+
+    def share_of(t: Column) -> Column:
+        runs = lambda bare: once(F.regexp_count(t, F.lit(f"{LETTERS}{{3,}}+")), lambda n: (n - bare) / n)
+        any_ = F.when(t.rlike(f"{LETTERS}{{3}}"), 1.0).otherwise(0.0)
+        return once(F.regexp_count(t, F.lit(rf"{CONSONANTS}(?<!{LETTERS}.){CONSONANTS}{{2,}}+(?!{LETTERS})")), lambda bare: F.when(bare == 0, any_).otherwise(runs(bare)))
+
+    return once(whole(text), share_of)
 
 
 def word_vowel_ratio(text: Column) -> Column:
@@ -105,7 +116,7 @@ def default_quality_score(text: Column, words: Column | None = None) -> Column:
 
 
 def base64_char_ratio(text: Column) -> Column:
-    return ratio(F.regexp_count(whole(text), F.lit("[A-Za-z0-9+/=]")), F.length(whole(text)))
+    return ratio(count_chars(whole(text), f"[{ascii_letters}{digits}+/=]"), F.length(whole(text)))
 
 
 def header_hits(text: Column) -> Column:
@@ -165,7 +176,7 @@ def _is_payroll(m: Column, lines: Column) -> Column:
         amount = upper.contains("IMPORTE") | upper.contains("PAGO") | m.rlike(DATE_CELL) | m.rlike(MONEY_CELL)
         return upper.contains("FECHA") & upper.contains("NOMBRE") & upper.contains("CONCEPTO") & amount & width(body_lines(lines)).between(3, 10)
 
-    return once(F.upper(m), headed)
+    return once(F.when(m.rlike("[oO][mM][bB][rR]"), F.upper(m)).otherwise(""), headed)  # few texts hold a part of NOMBRE
 
 
 def _marks(text: Column) -> Column:

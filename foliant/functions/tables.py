@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliant.functions.scores import HEADER_HINTS, HEADER_KEYS, bounded, header_hits, looks_like_payroll, table_columns
-from foliant.functions.text import normalize_cell, once, strip
+from foliant.functions.cleaning import replace_each
+from foliant.functions.scores import HEADER_HINTS, HEADER_KEYS, bounded, header_hits, looks_like_payroll, score_table_markdown, table_columns, table_content_quality
+from foliant.functions.text import normalize_cell, once, strip, whole
 
-__all__ = ["HEADER_KEYS", "accept_table", "box_to_xyxy", "cap_columns", "column_of", "has_grid", "merge_header", "merge_narrow", "rows_to_markdown", "spaced", "trim_edges", "typical_gap"]
+__all__ = ["HEADER_KEYS", "accept_table", "box_to_xyxy", "cap_columns", "column_of", "flatten", "has_grid", "merge_header", "merge_narrow", "rows_to_markdown", "spaced", "trim_edges", "typical_gap"]
 
 
 def padded(rows: Column) -> Column:
@@ -153,3 +154,32 @@ def box_to_xyxy(polygon: Column) -> Column:
 
 def is_header(text: Column, least: int = 3) -> Column:
     return header_hits(text) >= least
+
+
+#: Lines, one after the other, that begin with a pipe.
+PIPE_BLOCK = r"(?<![^\n])[ \t\x0b\f\r]*+\|[^\n]*+(?:\n[ \t\x0b\f\r]*+\|[^\n]*+)*+"
+
+
+def flatten(text: Column) -> Column:
+    """A text in which pipe blocks that make no good table are lines of text; one without pipes stays as it is.
+
+    A block stays if it is a payroll of ten columns at most, has five at most and a quality of 0.48, or four and a score
+    of 35.
+    """
+
+    def piped(t: Column) -> Column:
+        return strip(F.regexp_replace(once(F.regexp_replace(t, r"\n\z", ""), lambda x: replace_each(x, PIPE_BLOCK, _flat_block)), r"\n{3,}", "\n\n"))
+
+    return once(whole(text), lambda t: F.when(t.contains("|"), piped(t)).otherwise(t))
+
+
+def _flat_block(block: Column) -> Column:
+    def cells(row: Column) -> Column:
+        return F.filter(F.transform(F.split(F.regexp_replace(strip(row), r"^\|+|\|+$", ""), r"\|", -1), strip), lambda c: c != "")
+
+    def good(columns: Column, quality: Column) -> Column:
+        return (looks_like_payroll(block) & (columns <= 10)) | ((columns <= 5) & (quality >= 0.48)) | ((columns <= 4) & (score_table_markdown(block, quality) >= 35))
+
+    keep = once(table_columns(block), lambda n: once(table_content_quality(block), lambda q: good(n, q)))
+    flat = F.filter(F.transform(F.filter(F.split(block, "\n", -1), lambda r: ~r.contains("---")), lambda r: F.array_join(cells(r), " ")), lambda r: r != "")
+    return F.when(keep, F.concat(block, F.lit("\n"))).otherwise(once(flat, lambda ls: F.when(F.size(ls) == 0, "").otherwise(F.concat(F.array_join(ls, "\n"), F.lit("\n")))))

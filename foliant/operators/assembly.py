@@ -10,7 +10,7 @@ from foliant.functions.cleaning import normalize_digital_text, summarize_evidenc
 from foliant.functions.predicates import is_crypto_evidence, is_stamp_line, is_vision_source, source_providers
 from foliant.functions.scores import minimum_pdf_text_chars, plain_quality_score, text_quality_score
 from foliant.functions.text import PAGE_BREAK, compress_markdown, normalize_markdown, normalize_whitespace, once, strip, strip_markdown_syntax, whole
-from foliant.operators.cleaned import sanitized
+from foliant.operators.cleaned import cleaned
 from foliant.operators.documents import keep_sections, split_sections
 
 PLAIN_METHODS = ("digital_pdf", "markitdown")
@@ -52,9 +52,11 @@ def assemble(documents: DataFrame, pages: DataFrame, key: str = "doc_id") -> Dat
     )
     # a document's own Markdown counts as page -1, used where no page is left
     raw = raw.unionByName(documents.where(whole(F.col("markdown")) != "").select(key, F.lit(-1).alias("index"), F.col("markdown").alias("_raw"), F.lit(None).cast("string").alias("_text"), hard.alias("_hard")))
-    cleaned = sanitized(raw.withColumn("_k", F.struct(key, "index")), "_k", "_raw", "_hard").select("_k.*", "markdown").where("markdown <> ''")
+    done = raw.select(key, "index", "_text", cleaned(F.col("_raw"), F.col("_hard")).alias("markdown"))
     plain = strip_markdown_syntax(F.coalesce(F.nullif("_text", F.lit("")), "markdown"))
-    every = cleaned.join(raw.select(key, "index", "_text"), [key, "index"]).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("index", "markdown", plain.alias("text")))).alias("_ps"))
+    # blank pages go inside the grouping: a filter would clean the texts a second time before it
+    page = F.when(F.col("markdown") != "", F.struct("index", "markdown", plain.alias("text")))
+    every = done.groupBy(key).agg(F.sort_array(F.collect_list(page)).alias("_ps")).where(F.size("_ps") > 0)
     own = F.filter("_ps", lambda p: p["index"] >= 0)
     chunks = F.filter(F.transform(F.split(F.get("_ps", F.lit(0))["markdown"], r"\n\s*---\s*\n", -1), strip), lambda c: c != "")
     split = F.transform(chunks, lambda c, i: F.struct(i.alias("index"), c.alias("markdown"), strip_markdown_syntax(c).alias("text")))
@@ -157,9 +159,8 @@ def edit(docs: DataFrame, key: str, text: str, keep: Column, compress: Column) -
 
 def clean(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, markdown (sanitized), before_chars, after_chars, lines_removed."""
-    done = sanitized(docs.select(key, F.col(text).alias("_t"), F.lit(True).alias("_hard")), key, "_t", "_hard", flatten=False)
+    both = docs.select(key, whole(F.col(text)).alias("_b")).withColumn("markdown", cleaned(F.col("_b"), F.lit(True), flat=False))
     lines = lambda t: F.when(t == "", 0).otherwise(F.regexp_count(F.regexp_replace(t, r"\n\z", ""), F.lit("\n")) + 1)
-    both = docs.select(key, whole(F.col(text)).alias("_b")).join(done, key)
     return both.select(key, "markdown", F.length("_b").alias("before_chars"), F.length("markdown").alias("after_chars"), (lines(F.col("_b")) - lines(F.col("markdown"))).alias("lines_removed"))
 
 

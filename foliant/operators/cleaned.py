@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.cleaning import sanitize_documents
+from foliant.functions.cleaning import sanitize
+from foliant.functions.tables import flatten
 from foliant.functions.text import normalize_markdown
-from foliant.operators.layout import flatten_tables
+
+
+def cleaned(text: Column, hard: Column, flat: bool = True) -> Column:
+    """A text normalized, cleaned (hard where the flag says so) and without tables that are none, inside its row."""
+    done = sanitize(normalize_markdown(text), F.coalesce(hard, F.lit(False)))
+    return flatten(done) if flat else done
 
 
 def sanitized(docs: DataFrame, key: str, text: str, hard: str, flatten: bool = True) -> DataFrame:
-    """key, markdown: normalized, cleaned (hard where the flag says so) and without tables that are none."""
-    rows = docs.select(key, normalize_markdown(F.col(text)).alias("_md"), F.coalesce(hard, F.lit(False)).alias("_hard"))
-    parts = [sanitize_documents(rows.where(F.col("_hard") == flag), key, "_md", aggressive=flag) for flag in (True, False)]
-    both = parts[0].union(parts[1])
-    return flatten_tables(both, key, "markdown") if flatten else both
+    """key, markdown: the texts through `cleaned`."""
+    return docs.select(key, cleaned(F.col(text), F.col(hard), flatten).alias("markdown"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.functions.scores import looks_like_payroll, score_table_markdown, table_columns, table_content_quality
+from foliant.functions.tables import flatten
 from foliant.functions.text import normalize_cell, once, strip, whole
 from foliant.operators.runs import group_bounds, mean_breaks
 
@@ -123,31 +123,5 @@ def cells_to_markdown(cells: DataFrame, table: str, row: str, col: str, cell: st
 
 
 def flatten_tables(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, markdown: pipe blocks that make no good table become lines of text; texts without pipes stay as they are.
-
-    A block stays if it is a payroll of ten columns at most, has five at most and a quality of 0.48, or four and a score
-    of 35. Lines are rows, and a window over a document's lines finds the blocks.
-    """
-    t = whole(F.col(text))
-    ends = F.when(t.contains("|"), F.regexp_replace(t, r"\n\z", "")).otherwise(t)
-    w = Window.partitionBy(key).orderBy("line", "raw")
-    lines = docs.select(key, F.posexplode(F.split(ends, "\n", -1)).alias("line", "raw")).withColumn("_p", strip(F.col("raw")).startswith("|"))
-    lines = lines.withColumn("_b", F.coalesce(F.lag("_p").over(w), F.lit(False)))
-    lines = lines.withColumn("_i", F.sum(F.when(F.col("_p") & F.col("_b"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    blocks = lines.groupBy(key, "_i", "_p").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "raw"))), lambda x: x["raw"]).alias("_rows"))
-    blocks = blocks.withColumn("_t", F.array_join("_rows", "\n"))
-    blocks = blocks.withColumns({"_q": F.when(F.col("_p"), table_content_quality(F.col("_t"))), "_c": table_columns(F.col("_t"))})
-    columns, block = F.col("_c"), F.col("_t")
-    keep = (
-        (looks_like_payroll(block) & (columns <= 10)) | ((columns <= 5) & (F.col("_q") >= 0.48))
-        | ((columns <= 4) & (score_table_markdown(block, F.col("_q")) >= 35))
-    )
-
-    def cells(row: Column) -> Column:
-        return F.filter(F.transform(F.split(F.regexp_replace(strip(row), r"^\|+|\|+$", ""), r"\|", -1), strip), lambda c: c != "")
-
-    flat = F.filter(F.transform(F.filter("_rows", lambda r: ~r.contains("---")), lambda r: F.array_join(cells(r), " ")), lambda r: r != "")
-    piece = F.when(~F.col("_p"), block).when(keep, F.concat(block, F.lit("\n"))).when(F.size(flat) == 0, "").otherwise(F.concat(F.array_join(flat, "\n"), F.lit("\n")))
-    merged = blocks.select(key, "_i", piece.alias("_x"), block.alias("_t"), F.contains(block, F.lit("|")).alias("_pipe")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_i", "_x", "_t"))).alias("_xs"), F.max("_pipe").alias("_pipe"))
-    made = strip(F.regexp_replace(F.array_join(F.transform("_xs", lambda x: x["_x"]), "\n"), r"\n{3,}", "\n\n"))
-    return merged.select(key, F.when(F.col("_pipe"), made).otherwise(F.array_join(F.transform("_xs", lambda x: x["_t"]), "\n")).alias("markdown"))
+    """key, markdown: pipe blocks that make no good table become lines of text; texts without pipes stay as they are."""
+    return docs.select(key, flatten(F.col(text)).alias("markdown"))

@@ -1,6 +1,7 @@
 """Branch tables and properties of the operators, with nulls and odd values."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -13,6 +14,7 @@ from foliant.functions import scores as S
 from foliant.functions import tables as T2
 from foliant.functions import text as T
 from foliant.operators import assembly, candidates, control, documents, grams, jobs, layout, ranges, tables
+from foliant.operators.cleaned import sanitized
 from foliant.plans import reading_queries
 from foliant.sources import folders, readers, state_log, writers
 
@@ -526,3 +528,48 @@ def test_words_and_good_words_come_from_one_pass(spark):
     assert all(all(r) for r in same.collect())
     vote = candidates.vote(t.select(F.lit(1).alias("page"), "t", F.lit("a").alias("who")), "page", "t", "who")
     assert vote._jdf.queryExecution().optimizedPlan().toString().count("{3}") == 2
+
+
+def test_runs_of_code_by_one_pattern(spark):
+    """The pattern for long runs blanks what a look at each run would, also where runs touch or are too short."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abZ9+/ñ" if rng.random() < 0.1 else "abcdeZ9+/") for _ in range(rng.choice([1, 3, 4, 5, 5, 6, 7, 9, 12, 31, 33, 47, 48, 50])))
+    gap = lambda: rng.choice([" ", " ", " ", "  ", "\n", ". ", ", ", "|", "-", " = " if rng.random() < 0.1 else " "])
+    texts = ["".join(word() + gap() for _ in range(rng.randrange(1, 14))) for _ in range(1500)] + ["abcde fghij klmno pqrst", "abcde fghij klmno pqrst" + "u" * 16, "x=abcdefghi abcdefghi abcdefghi abcdefghi"]
+
+    def each(m):
+        return " " if len(re.sub(r"\s", "", m[0])) >= 36 else m[0]
+
+    code = r"[A-Za-z0-9+/=]{48,}|(?:[A-Za-z0-9+/]{5,}+\s++(?=[A-Za-z0-9+/=]{5})){3,}+[A-Za-z0-9+/=]{5,}"
+    assert one(spark, texts, C.remove_base64) == [re.sub(code, each, t) for t in texts]
+
+
+def test_tests_of_lines_tried_only_where_they_may_hold(spark):
+    """Plain counts and parts of phrases stand before tests that take longer; they rule out no line that these would take."""
+    phrases = ["SELLO DIGITAL DEL CFDI", "ſello del sat", "Cadena Original del Complemento x", "NÚMERO de serie del certificado", "certificado de sello digital", "cadena original del TİMBRE", "complemento de certificacıón digital"]
+    assert one(spark, [f"{p} A1" for p in phrases], C.is_seal_line) == [True] * 7
+    boiler = ["Representación impresa de un CFDI entregada al cliente de la casa", "Persona moral grandes contribuyentes de la zona centro y norte", "HOJA  3 / 4"]
+    assert one(spark, [*boiler, "una frase llana de prueba que se queda"], C.is_garbage_line) == [True, True, True, False]
+    tails = ["Total 5 ſELLO DEL SAT: x", "Total 5 Hoja 3 / 4 x", "Total 5 NUMERO DE SERIE DEL CERTİFİCADO x", "Total 5 este documento es una representación impresa de un cfdi", "Total 5 persona moral grandes contribuyentes"]
+    assert one(spark, tails, C.strip_inline_noise) == ["Total 5"] * 5
+    few = ["a 1 b 2 c 3 d 4 e", "de la y el a los con un", "12 345 678 901 234 567 890 123 casa", "De, la. y: el; a no si lo perro gato"]
+    assert one(spark, few, C.is_garbage_line) == [True, True, True, False]
+    ratios = ["", "12 ab", "casa xyz", "bcd fgh", "xyzñ áb ábc ÑÑÑ", "bcdüfgh", None]
+    assert one(spark, ratios, S.token_vowel_ratio) == [0.0, 0.0, 0.5, 0.0, 1 / 3, 0.0, 0.0]
+    words = ["'casa',", "x9a1", "bcdf", "cása-b", "A1B2", "..", "ÁRBOL", "ñañ"]
+    assert [len(v) for v in one(spark, words, C.meaningful_words)] == [int(v) for v in one(spark, words, lambda c: c.rlike(C.MEANINGFUL))]
+
+
+def test_documents_are_cleaned_in_their_rows(spark):
+    """Neither cleaning nor flattening shuffles, and a text is cleaned once, whether hard or gently."""
+    docs = spark.createDataFrame([(1, "Primera frase de prueba larga\n" + "zz\n" * 10 + "Segunda frase de prueba larga", True), (2, None, None), (3, "zz\n# A\n" + "a\n" * 12 + "# Recibo de pago", False)], "k long, t string, h boolean")
+    hard, gentle = "Primera frase de prueba larga\n\n> Sello o timbre omitido.\n\nSegunda frase de prueba larga", "> Sello o timbre omitido.\n\n# Recibo de pago"
+    for df in (C.sanitize_documents(docs, "k", "t"), sanitized(docs, "k", "t", "h"), assembly.clean(docs, "k", "t"), layout.flatten_tables(docs, "k", "t")):
+        plan = df._jdf.queryExecution().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+    assert dict(map(tuple, sanitized(docs, "k", "t", "h").collect())) == {1: hard, 2: "", 3: gentle}
+    pages = docs.select("k", F.lit(0).alias("index"), F.col("t").alias("markdown"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("digital"), F.lit(False).alias("ocr_sourced"))
+    heads = docs.select("k", F.when(F.col("h"), "vision").otherwise("markitdown").alias("method"), F.lit(None).cast("string").alias("markdown"), F.array(F.lit("w")).alias("warnings"), F.lit(1).alias("size_bytes"), F.lit(False).alias("is_pdf"), F.lit(1).alias("file_pages"))
+    out = assembly.assemble(heads, pages, "k")
+    assert times_in_plan(out, "sellos\\s+y\\s+anotaciones") == 1
+    assert {r["k"]: (r["markdown"], len(r["pages"]), r["total_pages"]) for r in out.collect()} == {1: (hard, 1, 1), 2: ("", 0, 0), 3: (gentle, 1, 1)}
