@@ -7,8 +7,10 @@ key is a heartbeat, which only moves the watermark. State lies in RocksDB (`rock
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -22,6 +24,11 @@ RUNNING_MINUTES, WAITING_MINUTES, TTL_HOURS, STUCK_SECONDS = 8, 180, 48, 20
 MOST_SLOTS = 3
 #: Events that go to the state at once.
 APPENDED = 1000
+#: Events that a task packs at once, and one of them: how it stands in a packed value. kind: the command (0 is any other), 4
+#: for a null row, 8 for a null job, and 16 times the slots.
+PACKED = 1 << 18
+EVENT = np.dtype([("us", "<i8"), ("row", "<i8"), ("job", "<i8"), ("kind", "u1")])
+COMMANDS = (None, ASK, LEAVE, YIELD)
 
 
 def rocksdb(spark: SparkSession) -> None:
@@ -83,8 +90,10 @@ class Slots(InOrder):
         self.busy = handle.getListState("busy", "job long")
 
     def take(self, key, due: list[tuple], now: int) -> Iterator[Row]:
-        if not due:
-            return
+        if due:
+            yield from self.given(key, due)
+
+    def given(self, key, due: Iterable[tuple]) -> Iterator[Row]:
         waiting, busy = dict.fromkeys(x[0] for x in self.waiting.get()), {x[0] for x in self.busy.get()}
         for _, row, job, command, slots in due:
             if command == ASK:
@@ -105,6 +114,93 @@ class Slots(InOrder):
                 state.put([(j,) for j in jobs])
 
 
+class PackedSlots(Slots):
+    """Slots of events that come packed, by `pack`: a state value holds thousands, and each is unpacked once, when its time
+    has come."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "n long", "events binary")
+        self.mark = handle.getValueState("mark", "n long, at long")  # values held, and the timer that is set (ms)
+        self.waiting = handle.getListState("waiting", "job long")
+        self.busy = handle.getListState("busy", "job long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        n, at = self.mark.get() or (0, None)
+        before = at
+        for r in rows:
+            events = np.frombuffer(r["events"], EVENT)
+            if now > 0:  # what comes later than `late` is left out
+                events = events[events["us"] // 1000 > now]
+            if len(events):
+                n, at = self.keep(n, at, events)
+        if at != before:
+            self.handle.registerTimer(at)
+        if n:
+            self.mark.update((n, at))
+        return iter(())
+
+    def keep(self, n: int, at: int | None, events: np.ndarray) -> tuple[int, int]:
+        self.held.updateValue((n,), (events.tobytes(),))
+        soonest = int(events["us"].min()) // 1000
+        return n + 1, soonest if at is None else min(at, soonest)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        n, at = self.mark.get() or (0, None)
+        if at is None or at > now:  # a timer before it has taken what was due
+            return
+        events = np.concatenate([np.frombuffer(bytes(self.held.getValue((k,))[0]), EVENT) for k in range(n)])
+        for k in range(n):
+            self.held.removeKey((k,))
+        is_due = events["us"] // 1000 <= now
+        due, later = events[is_due], events[~is_due]
+        if len(later):
+            n, at = self.keep(0, None, later)
+            self.mark.update((n, at))
+            self.handle.registerTimer(at)
+        else:
+            self.mark.clear()
+        order = np.lexsort((due["row"], due["kind"] & 4 == 0, due["us"]))  # of one time, null rows first
+        yield from self.given(key, unpacked(due[order]))
+
+
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """queue, events: the events of a task (queue, _us, row, job, kind), a row for each queue and PACKED events. Those without
+    a queue go; they have moved the watermark by then."""
+
+    def rows(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        t = t.filter(t["queue"].is_valid())
+        queues, events = t["queue"].to_numpy(), np.empty(len(t), EVENT)
+        for name, c in (("us", "_us"), ("row", "row"), ("job", "job"), ("kind", "kind")):
+            events[name] = t[c].to_numpy()
+        order = np.argsort(queues, kind="stable")
+        queues, events = queues[order], events[order]
+        bounds = np.flatnonzero(np.r_[len(queues) > 0, queues[1:] != queues[:-1]]) if len(queues) else np.empty(0, int)
+        parts = [x.tobytes() for x in np.split(events, bounds[1:])] if len(queues) else []
+        return pa.RecordBatch.from_arrays([pa.array(queues[bounds], pa.int64()), pa.array(parts, pa.binary())], names=["queue", "events"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= PACKED:
+            yield rows(held)
+            held, size = [], 0
+    if size:
+        yield rows(held)
+
+
+def unpacked(events: np.ndarray) -> Iterator[tuple]:
+    """The events as `given` takes them, with a part of them as Python objects at a time."""
+    for k in range(0, len(events), 1 << 16):
+        part = events[k : k + (1 << 16)]
+        for us, row, job, kind in zip(*(part[c].tolist() for c in EVENT.names)):
+            yield us, None if kind & 4 else row, None if kind & 8 else job, COMMANDS[kind & 3], kind >> 4
+
+
 def _timed(events: DataFrame, time: str, late: str) -> DataFrame:
     return events.withWatermark(time, late).withColumn("_us", F.unix_micros(time))
 
@@ -118,11 +214,15 @@ def slots(events: DataFrame, queue: str, job: str, time: str, row: str, command:
     events of `late`.
     """
     number = F.lit(slots) if isinstance(slots, int) else slots
-    rows = _timed(events, time, late).select(
-        F.col(queue).cast("long").alias("queue"), F.col(job).cast("long").alias("job"), F.col(row).cast("long").alias("row"), F.col(command).alias("command"),
-        number.cast("int").alias("slots"), "_us", time,
-    )
-    return rows.where("command IS NOT NULL OR queue IS NULL").groupBy("queue").transformWithState(Slots(), "queue long, row long, job long", "append", "EventTime")
+    row_, job_ = F.col(row).cast("long"), F.col(job).cast("long")
+    code = F.when(F.col(command) == ASK, 1).when(F.col(command) == LEAVE, 2).when(F.col(command) == YIELD, 3).otherwise(0)
+    kind = code + F.when(row_.isNull(), 4).otherwise(0) + F.when(job_.isNull(), 8).otherwise(0) + 16 * F.least(F.greatest(number.cast("int"), F.lit(1)), F.lit(MOST_SLOTS))
+    known = _timed(events.where(F.col(command).isNotNull() | F.col(queue).isNull()), time, late)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    # an event without a time has no place among the others
+    rows = known.where("_us IS NOT NULL").select(F.col(queue).cast("long").alias("queue"), "_us", zero(row_).alias("row"), zero(job_).alias("job"), kind.cast("tinyint").alias("kind"))
+    # a row of the state's operator is thousands of events; one by one they would take longer than all else
+    return rows.mapInArrow(pack, "queue long, events binary").groupBy("queue").transformWithState(PackedSlots(), "queue long, row long, job long", "append", "EventTime")
 
 
 class TimeOuts(InOrder):

@@ -4,6 +4,7 @@ import random
 import uuid
 from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +166,78 @@ def test_held_events_go_to_the_state_in_few_calls():
     rows = [{"_us": 1000 * k, "row": k, "job": k, "command": queue.ASK, "slots": 1} for k in range(2500)]
     assert list(slots.handleInputRows((1,), iter(rows), Times())) == []
     assert [r[1] for r in slots.held.rows] == list(range(6, 2500)) and slots.held.calls == 3 and slots.handle.timers == [6]
+
+
+def test_events_go_to_the_state_packed(monkeypatch):
+    """A call for thousands of events, a timer for the soonest of them; null rows and jobs, times and slots come back."""
+    calls = []
+
+    class State(dict):
+        def getValue(self, key):
+            calls.append("get")
+            return self[key]
+
+        def updateValue(self, key, value):
+            calls.append("put")
+            self[key] = value
+
+        def removeKey(self, key):
+            del self[key]
+
+        def put(self, rows):
+            self["rows"] = rows
+
+        def update(self, value):
+            self["value"] = value
+
+        def get(self):
+            return self.get_()
+
+        def clear(self):
+            dict.clear(self)
+
+    class ListState(State):
+        def get_(self):
+            return iter(self["rows"] if "rows" in self else ())
+
+    class ValueState(State):
+        def get_(self):
+            return self["value"] if "value" in self else None
+
+    class Handle:
+        timers = []
+        getMapState = lambda self, *_: State()
+        getListState = lambda self, *_: ListState()
+        getValueState = lambda self, *_: ValueState()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Times:
+        now = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    monkeypatch.setattr(queue, "PACKED", 4000)
+    rng = random.Random(8)
+    code = {c: k for k, c in enumerate(queue.COMMANDS)}
+    made = [(rng.choice([1, 1, 2, None]), rng.randrange(10_000) * 1000, k if k % 9 else None, rng.randrange(40) if k % 7 else None, rng.choice(queue.COMMANDS), rng.randrange(1, 4)) for k in range(10_000)]
+    batches = [pa.RecordBatch.from_pylist([{"queue": q, "_us": us, "row": row or 0, "job": job or 0, "kind": code[c] + 4 * (row is None) + 8 * (job is None) + 16 * n} for q, us, row, job, c, n in made[k : k + 1000]], pa.schema([("queue", pa.int64()), ("_us", pa.int64()), ("row", pa.int64()), ("job", pa.int64()), ("kind", pa.int8())])) for k in range(0, 10_000, 1000)]
+    packed = [r for b in queue.pack(iter(batches)) for r in b.to_pylist()]
+    assert [r["queue"] for r in packed] == [1, 2] * 3
+    slots, times, out = queue.PackedSlots(), Times(), []
+    slots.init(Handle())
+    own = [r for r in packed if r["queue"] == 1]
+    assert list(slots.handleInputRows((1,), iter(own), times)) == [] and calls == ["put"] * 3
+    mine = sorted((e[1:] for e in made if e[0] == 1), key=lambda e: (e[0], e[1] is not None, e[1] or 0))
+    assert slots.handle.timers == [mine[0][0] // 1000]
+    for times.now in (4000, 20_000):
+        for _ in range(2):  # the second finds nothing that is due
+            out += slots.handleExpiredTimer((1,), times, None)
+    plain = queue.Slots()
+    plain.waiting, plain.busy = ListState(), ListState()
+    want = list(plain.given((1,), mine))
+    key = lambda r: (r["row"] or 0, r["row"] is not None, r["job"] or 0, r["job"] is None)
+    assert sorted(map(key, out)) == sorted(map(key, want)) and len(want) > 50
+    assert calls == ["put"] * 3 + ["get"] * 3 + ["put", "get"] and len(slots.handle.timers) == 2
